@@ -12,7 +12,7 @@ from .common import Workspace, join_unique, ranked, word_count
 WEIGHTS = 3
 MAX_EPOCHS = 3
 #: Documents of a source that one task puts in order.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 
 
 def water_level(sources: DataFrame) -> float:
