@@ -49,7 +49,7 @@ class _Model:
         self.sizes, self.lengths, self.decode = sizes.astype(np.int64), lengths, decode
         self.counts = np.zeros((k, self.width), np.int64)
         self.seen = np.zeros((k, 256), np.int64)
-        self.syms = np.full((most + 2, k), self.width - 1, np.int64)
+        self.syms = np.tile(self.sizes, (most + 2, 1))  # before a block: a symbol beyond its own alphabet
         self.at1 = np.full(k * self.width, _NONE << 3)
         self.at2 = np.full(k << _HASH_BITS, _NONE << 3)
         lanes = np.arange(k)
