@@ -1,11 +1,67 @@
-"""Corpus pipeline over `documents`; its stages are registered as they are built."""
+"""Corpus pipeline over `documents`: toxicity filter, line de-duplication, near-duplicate removal, mixing, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run()
+writes every stage's result as Parquet in the shared folder and hands what it reads back to the next stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexspan.llm import toxicity
+from lexspan.llm.common import Workspace
+from lexspan.llm.lines import dedup_lines
+from lexspan.llm.mixing import mixture
+from lexspan.llm.packing import pack
+from lexspan.llm.queries import vocabulary
+from lexspan.llm.simhash import keep_one
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on this corpus's labels, doesn't reject."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where("predicted = 0").select("row.*")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with the lines that stay; a null text that lost nothing stays null, n_chars follows the text."""
+    lines = dedup_lines(docs)
+    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
+    replaced = {"text": text, "n_chars": F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": text}
+    return lines.select(*[replaced.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest doc_id."""
+    return keep_one(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: documents as often as their source's target takes them, the last one cut at the budget's last word."""
+    return mixture(docs)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the mixture's documents in sequences of 1024 ids; a repeated document is packed as often as it is there."""
+    return pack(docs, vocabulary("byte_bpe_50k.json"), end_id=0, window=1024)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("near duplicates", drop_near_copies),
+    ("mixing", mix),
+    ("packing", pack_tokens),
+]
+
+#: A fitted classifier, XXH64 fingerprints and tokenizers are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for number, (_, stage) in enumerate(STAGES):
+        docs = ws.stage(stage(spark, docs, sf_dir), f"stage-{number}")
     return docs

@@ -49,3 +49,13 @@ with d as (
 )
 select doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::bigint taken from r
 """
+
+# SHA-1 is not in DuckDB's functions by that name in every version; the payloads themselves decide what is equal
+ORACLES["op10_warc"] = """
+with p as (select page_id, coalesce(html, '') h, octet_length(encode(coalesce(html, ''))) n from pages),
+q as (select *, max(page_id) over (partition by h) keep from p)
+select page_id, n::bigint payload_bytes, sha1(h) payload_digest,
+       case when n >= 1000 and page_id <> keep then 'revisit' else 'response' end record_type,
+       case when n >= 1000 and page_id <> keep then keep end refers_to
+from q
+"""

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, documents
 from .exact import exact_groups
+from .html_text import extract
 from .lines import dedup_lines
 from .mixing import mix_sources
 from .packing import pack
 from .repetition import repetition_rules
 from .simhash import near_groups
 from .tokenfiles import read_tokens, with_starts, write_tokens
+from .toxicity import fit, held_out, score
+from .warc import read_warc, write_warc
 
 
 def vocabulary(name: str) -> str:
@@ -22,6 +25,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model).select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "token-files")
     write_tokens(documents(spark, sf_dir), f"{ws.path}/files", vocabulary("word_bpe_49k.json"), end_id=2)
@@ -54,4 +63,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_repetition, op4_pack, op5_mix, op6_simhash, op7_line_dedup, op8_exact_dedup)}
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{Workspace(spark, 'archive').path}/warc"
+    write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), at)
+    return read_warc(spark, at).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_repetition, op4_pack, op5_mix, op6_simhash, op7_line_dedup, op8_exact_dedup, op9_html, op10_warc)}
