@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: Chunks whose ids a worker remembers for good (the frequent ones come first), and further ones it holds until they are as many.
-MEMO_CHUNKS, RECENT_CHUNKS = 900_000, 100_000
-#: Marks the first chunk of a text; no text from Arrow has a lone surrogate.
+MEMO_CHUNKS, RECENT_CHUNKS = 600_000, 100_000
+#: Marks a chunk that no space goes before; no text from Arrow has a lone surrogate.
 _FIRST = "\ud800"
 _BLANKS = re.compile(r"^ | $| \s|\s ")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: Texts whose commas and full stops can't be cut off safely, or that have white space at an end or in runs, or the mark.
+_UNCUT = re.compile(r"(?:[^\w\s]|_)[,.]\s|^\s|\s\s|\s$|^[,.]|\s[,.]|\ud800")
+#: Beyond these letters lower case may depend on what stands around.
+_FAR = re.compile("[^\0-\u024f]")
+#: Byte-level symbols: printable bytes stand for themselves, the others, in order, for the characters from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SYMBOLS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class Encoder:
@@ -35,19 +41,47 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
         self.recent: dict[str, bytes] = {}
         # does the space belong to the piece after it?
-        self.glue = " " if self._encode([" a"]) != self._encode(["a"]) else ""
+        one, other = (e.ids for e in self.tokenizer.encode_batch([" a", "a"], add_special_tokens=False))
+        self.glue = " " if one != other else ""
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        """Ids of each chunk. One that is a single run of letters which normalisation leaves alone goes straight to the
+        tokenizer's model, in the symbols that byte-level pre-tokenisation gives bytes."""
+        out: list[bytes] = [b""] * len(chunks)
+        rest = []
+        tokenize = self.tokenizer.model.tokenize
+        for i, chunk in enumerate(chunks):
+            word = chunk[1:] if chunk[:1] == " " else chunk
+            if word.isalpha() and not _FAR.search(word) and (self.glue or chunk == word.lower()):
+                symbols = chunk.encode().decode("latin-1").translate(_SYMBOLS) if self.glue or not word.isascii() else chunk
+                out[i] = array("H", [t.id for t in tokenize(symbols)]).tobytes()
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = array("H", e.ids).tobytes()
+        return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = []
-        for text in texts:
-            text = text or ""
+    def _chunks(self, text: str) -> list[str]:
+        """Chunks whose ids, one after the other, are those of the text."""
+        if _UNCUT.search(text):
             chunks = _BETWEEN.split(text) if _BLANKS.search(text) else text.split(" ")
-            if self.glue:  # a first chunk is marked, as it has no space before it
-                chunks[0] = _FIRST + chunks[0]
-            split.append(chunks)
+        elif self.glue:  # a comma or full stop after a letter or digit is a piece of its own, and so is a single line feed
+            for mark in ",.":
+                text = text.replace(f"{mark} ", f" {_FIRST}{mark} ").replace(f"{mark}\n", f" {_FIRST}{mark}\n {_FIRST}")
+            chunks = text.split(" ")
+        else:
+            if not _FAR.search(text):
+                text = text.lower()
+            text = text.replace("\n", " ")
+            for mark in ",.":
+                text = text.replace(f"{mark} ", f" {mark} ")
+            chunks = text.split(" ")
+        if self.glue:  # a first chunk is marked, as it has no space before it
+            chunks[0] = _FIRST + chunks[0]
+        return chunks
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = [self._chunks(text or "") for text in texts]
         memo, recent = self.memo, self.recent
         if len(recent) > RECENT_CHUNKS:
             recent.clear()

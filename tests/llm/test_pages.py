@@ -134,7 +134,7 @@ def test_archive_odd_rows(spark, pages, tmp_path):
     texts = []
     for n in (2, 5):
         at = f"{tmp_path}/{n}"
-        manifest = write_warc(table(n), f"file://{at}", roll_bytes=3000, shard_bytes=40_000)
+        manifest = write_warc(table(n), f"file://{at}", roll_bytes=300, shard_bytes=20_000)
         got = read_warc(spark, f"file://{at}", with_payload=True).collect()
         assert Counter(tuple(r[c] for c in COLUMNS) for r in got) == slow_archive(rows)
         payloads = {(r[0], r[2] or "") for r in rows}
