@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, ranked
+from .common import LAST_ID, Workspace, ranked
 
-#: Pages of consecutive URLs that are compared with their neighbours in one task.
-BLOCK_PAGES = 64
+#: Pages of consecutive URLs that one task compares with their neighbours, and the most such runs there are; runs get longer
+#: beyond that, so that the list of their first pages, which goes to every task, stays bounded.
+RUN_PAGES, MAX_RUNS = 2_000, 10_000
 #: A neighbour that shares at least this part of a page's characters is a copy and tells nothing about its furniture.
 COPY_SHARE = 0.8
 
@@ -185,46 +187,57 @@ def _nearness(a: str, b: str) -> int:
     return n
 
 
-def extract(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
+def extract(pages: DataFrame, run_pages: int = RUN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars and n_shared (lines deleted by comparison) for every page.
 
-    Pages are ranked by host, path, whole URL and page_id; `block_pages` in a row form a block, and a page's neighbours are
-    the pages of its host right before and after it in its block, the one with the longer common path first.
+    Pages are ranked by host, path, whole URL and page_id, and cut into runs of `run_pages`; a page's neighbours are the
+    pages of its host right before and after it in its run, the one with the longer common path first.
 
     Defined cases: a null or empty html has an empty text; null and odd URLs have no host and are neighbours of each other;
     repeated rows are copies and don't count as neighbours for each other; other columns are not read.
 
-    Ranks come from a range sort with distributed prefix sums, so a host of any size is spread over tasks.
+    Ranks come from a range sort of the keys alone with distributed prefix sums, so a host of any size is spread over
+    tasks; the first keys of all runs (MAX_RUNS at most) then tell each page its run, and the pages are shuffled once.
     """
     ws = Workspace(pages.sparkSession, "html")
     url = F.coalesce("url", F.lit(""))
     pattern = "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^?#]*)"
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.lower(F.regexp_extract(url, pattern, 1)).alias("host"), F.regexp_extract(url, pattern, 2).alias("path"))
-    rows = ranked(ws, rows, [F.col("host"), F.col("path"), F.col("url"), F.col("page_id")], "rank")
-    rows = rows.withColumn("block", F.floor(F.col("rank") / block_pages))
-
-    def texts(own: list[tuple]) -> pa.RecordBatch:
-        parsed = [blocks_of(r[2]) for r in own]
-        out = []
-        for i in range(len(own)):
-            near = [j for j in (i - 1, i + 1) if 0 <= j < len(own) and own[j][3] == own[i][3]]
-            near.sort(key=lambda j: -_nearness(own[i][4], own[j][4]))
-            out.append(main_text(parsed[i], [parsed[j] for j in near]))
-        columns = [[r[0] for r in own], [r[1] for r in own], [t for t, _ in out], [len(t) for t, _ in out], [n for _, n in out]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_chars", "n_shared"])
+    order = ["host", "path", "u", "id"]
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.lower(F.regexp_extract(url, pattern, 1)).alias("host"), F.regexp_extract(url, pattern, 2).alias("path"), url.alias("u"), F.coalesce(F.col("page_id").cast("long"), F.lit(LAST_ID)).alias("id"))
+    keys = ranked(ws, rows.select(*order), [F.col(c) for c in order], "rank")
+    step = max(run_pages, -(-keys.count() // MAX_RUNS))
+    firsts = sorted(tuple(r) for r in keys.where((F.col("rank") > 0) & (F.col("rank") % step == 0)).select(*order).collect())
+
+    @F.pandas_udf("int")
+    def run_of(host: pd.Series, path: pd.Series, u: pd.Series, i: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(firsts, k) for k in zip(host, path, u, i, strict=True)], dtype="int32")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        block = None
+        before = now = None
+
+        def text(row: tuple, *near: tuple | None) -> tuple:
+            near = [x for x in near if x is not None and x[3:5] == row[3:5]]
+            near.sort(key=lambda x: -_nearness(row[2], x[2]))
+            found, n = main_text(row[5], [x[5] for x in near])
+            return row[0], row[1], found, len(found), n
+
+        def out(made: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*made, strict=True) if made else [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_chars", "n_shared"])
+
         for batch in batches:
-            for *row, b in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "host", "path", "block")), strict=True):
-                if b != block and held:
-                    yield texts(held)
-                    held = []
-                block = b
-                held.append(tuple(row))
-        if held:
-            yield texts(held)
-
-    dealt = rows.repartition("block").sortWithinPartitions("block", "rank").select("page_id", "url", "html", "host", "path", "block")
-    return dealt.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_shared long")
+            made = []
+            for *row, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "path", "host", "run", "html")), strict=True):
+                after = (*row, blocks_of(page))
+                if now is not None:
+                    made.append(text(now, before, after))
+                before, now = now, after
+                if len(made) >= 500:
+                    yield out(made)
+                    made = []
+            yield out(made)
+        if now is not None:
+            yield out([text(now, before)])
+
+    dealt = rows.withColumn("run", run_of(*order)).repartition("run").sortWithinPartitions("run", *order)
+    return dealt.select("page_id", "url", "path", "host", "run", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_shared long")
