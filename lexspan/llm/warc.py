@@ -13,8 +13,10 @@ import json
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ from .tokenfiles import raw_strings
 
 #: A file ends with the record that brings it to this many compressed bytes; a shard holds payloads of about so many.
 ROLL_BYTES, SHARD_BYTES = 8 << 20, 32 << 20
+#: Shards get larger beyond so many, as the first record of each goes to every task.
+MAX_SHARDS = 10_000
 #: Payloads from this size on are stored once.
 MIN_REVISIT = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -79,6 +83,8 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_
     files and their content depend on the pages alone. Files are written under a temporary name, moved into place, and
     count once manifest.json (also moved into place) names them.
 
+    The first records of all shards tell each page its shard.
+
     Defined cases: a null html is an empty payload; null page_ids come last and are always responses; rows that repeat a
     page_id and payload are the same page: all responses, or all revisits; url is optional; an empty table gives a
     manifest without files; other columns are not read.
@@ -89,26 +95,39 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("length", F.octet_length("payload").cast("long"))
     meta = rows.select("id", "length", "sha1", F.when((F.col("length") >= MIN_REVISIT) & (F.col("id") != LAST_ID), F.concat_ws("-", F.sha2("payload", 256), "length")).alias("same"))
     meta = ranked(ws, meta, [F.col("id"), F.col("sha1")], "before", size=F.col("length") + 512)
-    meta = ws.stage(meta.withColumn("shard", F.floor(F.col("before") / shard_bytes)), "meta")
+    # no more than MAX_SHARDS first records go to every task
+    whole = meta.agg(F.coalesce(F.max("before"), F.lit(0))).first()[0]
+    step = max(shard_bytes, -(-whole // MAX_SHARDS))
+    meta = ws.stage(meta.withColumn("shard", F.floor(F.col("before") / step)), "meta")
+    firsts = sorted(tuple(r[0]) for r in meta.groupBy("shard").agg(F.min(F.struct("id", "sha1"))).select(F.col("min(struct(id, sha1))")).collect())
+
+    @F.pandas_udf("int")
+    def shard_of(i: pd.Series, sha1: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(firsts, k) for k in zip(i, sha1, strict=True)], dtype="int32")
+
     copies = meta.where("same is not null").groupBy("same").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n"))
     copies = ws.stage(copies.where("n > 1"), "copies")
-    plan = join_unique(meta.where("same is not null"), copies, ["same"], "n").unionByName(meta.where("same is null").withColumns({"keep": F.lit(None).cast("long"), "n": F.lit(None).cast("long")}))
-    # a row for each page and payload
-    plan = plan.groupBy("id", "sha1").agg(F.min("shard").alias("shard"), F.max(F.when(F.col("keep") != F.col("id"), F.col("keep"))).alias("keep"))
-    joined = rows.join(plan, ["id", "sha1"])
-    joined = joined.withColumn("payload", F.when(F.col("keep").isNull(), F.col("payload")))  # revisits need no payload from here on
-    dealt = joined.repartition("shard").sortWithinPartitions("shard", "id", "sha1", "url")
+    again = join_unique(meta.where("same is not null"), copies, ["same"], "n", "inner").where("id != keep").select("id", "sha1", "keep").distinct()
+    # what a revisit refers to comes right before its record, so the pages themselves are shuffled once
+    empty = {c: F.lit(None).cast(t) for c, t in (("url", "string"), ("payload", "binary"), ("length", "long"))}
+    both = rows.withColumn("keep", F.lit(None).cast("long")).unionByName(again.withColumns(empty))
+    dealt = both.withColumn("shard", shard_of("id", "sha1")).repartition("shard").sortWithinPartitions("shard", "id", "sha1", F.col("keep").asc_nulls_last(), "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, number, size = None, 0, 0
+        known: tuple = (None, None, None)
         for batch in batches:
             names, values = [], []
-            for i, url, payload, sha1, length, s, keep in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "payload", "sha1", "length", "shard", "keep")), strict=True):
+            for i, url, payload, sha1, length, s, refers_to in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "payload", "sha1", "length", "shard", "keep")), strict=True):
+                if refers_to is not None:
+                    known = (i, sha1, refers_to)
+                    continue
+                keep = known[2] if known[:2] == (i, sha1) else None
                 if s != shard:
                     shard, number, size = s, 0, 0
                 elif size >= roll_bytes:
                     number, size = number + 1, 0
-                values.append(member(record(None if i == LAST_ID else i, url, payload or b"", sha1, length, keep)))
+                values.append(member(record(None if i == LAST_ID else i, url, b"" if keep is not None else payload or b"", sha1, length, keep)))
                 names.append(f"{shard:08d}-{number:05d}")
                 size += len(values[-1]) + 1
             yield pa.RecordBatch.from_arrays([pa.array(names), raw_strings(values), pa.array(range(len(values)), pa.int32())], names=["file", "value", "place"])
