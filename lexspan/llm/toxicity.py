@@ -88,21 +88,23 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(z, -40.0), 40.0))))
 
 
-def _counterfactuals(words: set[str], rng: np.random.Generator) -> list[tuple[list[int], list[int]]]:
-    """Feature changes (added, removed) that must not move the score: swaps of the text's own identity terms for another of their
-    group, and, as most texts have none, mentions that are put in or swapped after being put in."""
-    changes = []
-    for term in sorted(words & _GROUP.keys()):
-        other = rng.choice([t for t in _GROUP[term] if t != term])
-        changes.append((features(str(other)), features(term)))
+def _counterfactuals(words: set[str], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature changes that must not move the score, as (number of the change, feature, +1 added or -1 removed).
+
+    The text's own identity terms are swapped for another of their group; and, as most texts have none, a mention is put in,
+    and swapped after being put in.
+    """
+    changes = [(str(rng.choice([t for t in _GROUP[term] if t != term])), term) for term in sorted(words & _GROUP.keys())]
     group = IDENTITY[rng.integers(len(IDENTITY))]
     a, b = rng.choice(len(group), 2, replace=False)
-    changes += [(features(group[a]), []), (features(group[a]), features(group[b]))]
-    return changes
+    changes += [(group[a], ""), (group[a], group[b])]
+    flat = [(n, f, sign) for n, pair in enumerate(changes) for word, sign in zip(pair, (1, -1), strict=True) if word for f in features(word)]
+    number, feature, sign = (np.array(x, np.int32) for x in zip(*flat, strict=True))
+    return number, feature, sign
 
 
-def fit_rows(rows: list[tuple[int, np.ndarray, list]], prior: float, penalty: float = 2.0, l1: float = 1e-5, epochs: int = 40, rate: float = 0.3, seed: int = 11) -> Model:
-    """Logistic regression on (label, feature ids, counterfactual changes) by AdaGrad with soft thresholding.
+def fit_rows(rows: list[tuple[int, np.ndarray, tuple]], prior: float, penalty: float = 2.0, l1: float = 1e-5, epochs: int = 40, rate: float = 0.3, seed: int = 11) -> Model:
+    """Logistic regression on (label, distinct feature ids, counterfactual changes or ()) by AdaGrad with soft thresholding.
 
     The loss is the log loss plus `penalty` times the mean squared change of the logit over the rows' counterfactuals.
     Features that are rare or tell the classes apart no better than chance keep weight 0. The bias is shifted from the
@@ -113,23 +115,20 @@ def fit_rows(rows: list[tuple[int, np.ndarray, list]], prior: float, penalty: fl
         return Model(bias=float(np.log((prior or 1e-9) / (1 - prior or 1e-9))))
     size = 1 << BITS
     owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    uniq = np.unique(owner * size + np.concatenate([r[1] for r in rows]).astype(np.int64))
-    held = np.bincount(uniq % size, minlength=size).astype(float)
-    with_toxic = np.bincount(uniq % size, y[uniq // size], size)
+    ids = np.concatenate([r[1] for r in rows]).astype(np.int32)
+    held = np.bincount(ids, minlength=size).astype(float)
+    with_toxic = np.bincount(ids, y[owner], size)
     share = (with_toxic / y.sum(), (held - with_toxic) / (len(y) - y.sum()))
     spread = np.sqrt(held / len(y) * (1 - held / len(y)) * (1 / y.sum() + 1 / (len(y) - y.sum()))) + 1e-12
     used = np.flatnonzero((held >= 4) & (np.abs(share[0] - share[1]) > 3 * spread))
     place = np.full(size, -1)
     place[used] = np.arange(len(used))
-    uniq = uniq[place[uniq % size] >= 0]
-    ids, starts = place[uniq % size], np.searchsorted(uniq // size, np.arange(len(rows) + 1))  # each feature of a text counts once
-    changes = []  # one row of signed features for each row's counterfactuals
-    for _, _, own in rows:
-        parts = [(place[np.array(side, np.int64)], sign) for added, removed in own for side, sign in ((added, 1.0), (removed, -1.0))]
-        number = np.repeat(np.arange(len(parts)) // 2, [len(x) for x, _ in parts]) if parts else np.zeros(0, np.int64)
-        feature = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.int64)
-        signs = np.concatenate([np.full(len(x), sign) for x, sign in parts]) if parts else np.zeros(0)
-        changes.append((number[feature >= 0], feature[feature >= 0], signs[feature >= 0]))
+    keep = place[ids] >= 0
+    ids, starts = place[ids[keep]], np.searchsorted(owner[keep], np.arange(len(rows) + 1))
+    changes = []
+    for number, feature, sign in (r[2] or (np.zeros(0, np.int32),) * 3 for r in rows):
+        known = place[feature] >= 0
+        changes.append((number[known], place[feature[known]], sign[known]))
     w, b, g2, gb2 = np.zeros(len(used)), 0.0, np.full(len(used), 1e-6), 1e-6
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -176,14 +175,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
         for batch in batches:
             for doc_id, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
                 words = words_of(text)
-                ids = [i for w in sorted(words) for i in features(w)]
-                changes = _counterfactuals(words, np.random.default_rng(doc_id & 0xFFFFFFFF))
-                yield pa.RecordBatch.from_arrays([pa.array([toxic], pa.int32()), pa.array([ids], pa.list_(pa.int32())), pa.array([[list(c[0]) for c in changes]], pa.list_(pa.list_(pa.int32()))), pa.array([[list(c[1]) for c in changes]], pa.list_(pa.list_(pa.int32())))], names=["toxic", "ids", "added", "removed"])
+                ids = np.unique(np.array([i for w in words for i in features(w)], np.int32))
+                made = [ids, *_counterfactuals(words, np.random.default_rng(doc_id & 0xFFFFFFFF))]
+                yield pa.RecordBatch.from_arrays([pa.array([toxic], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in made]], names=["toxic", "ids", "number", "feature", "sign"])
 
     # the sample has 2 * max_rows ids at most
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample.select("doc_id", F.col("toxic").cast("int").alias("toxic"))), "doc_id")
-    made = chosen.mapInArrow(run, "toxic int, ids array<int>, added array<array<int>>, removed array<array<int>>").toArrow().to_pydict()
-    rows = sorted(((t, np.array(i, np.int64), list(zip(a, r, strict=True))) for t, i, a, r in zip(*made.values(), strict=True)), key=lambda x: (x[0], x[1].tobytes()))
+    made = chosen.mapInArrow(run, "toxic int, ids binary, number binary, feature binary, sign binary").toArrow()
+    columns = [made[c].to_pylist() for c in ("toxic", "ids", "number", "feature", "sign")]
+    rows = [(t, *(np.frombuffer(x, np.int32) for x in rest)) for t, *rest in sorted(zip(*columns, strict=True))]
+    rows = [(t, ids, tuple(change)) for t, ids, *change in rows]
     return fit_rows(rows, toxic / total if total else 0.0)
 
 
