@@ -79,7 +79,7 @@ def by_precedence(sources: list[DataFrame], key: str, order: str) -> DataFrame:
 
 def merge_unscanned(new: DataFrame, old: DataFrame, key: str, scanned: Column) -> DataFrame:
     """The new scan, and old rows outside what was scanned that it doesn't have."""
-    return new.unionByName(old.where(~scanned).join(new.select(key), key, "left_anti"))
+    return new.unionByName(old.where(~scanned).select(*new.columns).join(new.select(key), key, "left_anti"))
 
 
 def merge_keep(new: DataFrame, old: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -6,3 +6,5 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+from . import aggregates, filters, joins, scalars, searches, trees, writes  # noqa: E402, F401
