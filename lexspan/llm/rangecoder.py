@@ -10,7 +10,7 @@ mixture of three predictors that learn as they go:
 For each pair of confidences the mixture gives the order-2 prediction a share, the order-1 prediction a share of the
 rest, and what remains to the order-0 frequencies. At fixed places everything is learnt anew from the ids before; in
 between the model stands still, so an encoder finds the probabilities of a whole stretch in a few numpy operations. A
-64-bit carry-less range coder codes the ids with 16-bit output words. All blocks of a call advance together, one numpy
+64-bit carry-less range coder codes the ids with 32-bit output words. All blocks of a call advance together, one numpy
 operation for all of them.
 """
 
@@ -27,8 +27,8 @@ _NONE = 0xFFFF  # no prediction; local symbols are smaller, as a block has at mo
 _HASH_BITS, _HASH_STEP = 11, 3
 _SHARE_BITS, _FREQ_BITS = 16, 14
 _FULL, _WHOLE = np.uint64(1 << _SHARE_BITS), np.uint64(1 << _FREQ_BITS)
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_SHIFT, _WORD, _HALF, _MASK, _ZERO = np.uint64(16), np.uint64(48), np.uint64(32), np.uint64(2**32 - 1), np.uint64(0)
+_BOTTOM = np.uint64(1 << 32)
+_HALF, _MASK, _ZERO, _ONE = np.uint64(32), np.uint64(2**32 - 1), np.uint64(0), np.uint64(1)
 _SBITS, _FBITS = np.uint64(_SHARE_BITS), np.uint64(_FREQ_BITS)
 
 
@@ -53,7 +53,7 @@ class _Model:
         self.at1 = np.full(k * self.width, _NONE << 3)
         self.at2 = np.full(k << _HASH_BITS, _NONE << 3)
         lanes = np.arange(k)
-        self.row0, self.row2, self.row_share, self.row_freq = lanes * self.width, lanes << _HASH_BITS, lanes * 64, lanes << _FREQ_BITS
+        self.row0, self.row2, self.row_share, self.row_seen, self.row_freq = lanes * self.width, lanes << _HASH_BITS, lanes * 64, lanes * 256, lanes << _FREQ_BITS
 
     def contexts(self, t, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Where the predictions of order 2 and order 1 at place(s) t are kept."""
@@ -71,14 +71,17 @@ class _Model:
         """Take in places a to b of the first n lanes, then set shares and frequencies."""
         if b > a:
             t = np.arange(a, b)
-            real = (t[:, None] < self.lengths[None, :n]).ravel()
-            sym = self.syms[a + 2 : b + 2, :n].ravel()[real]
-            self.counts[:n] += np.bincount((self.row0[:n] + self.syms[a + 2 : b + 2, :n]).ravel()[real], minlength=n * self.width).reshape(n, -1)
-            i2, i1 = (x.ravel()[real] for x in self.contexts(t, n))
-            e2, e1 = self.at2[i2], self.at1[i1]
+            sym, where, (i2, i1) = self.syms[a + 2 : b + 2, :n], self.row0[:n], self.contexts(t, n)
+            lane = self.row_seen[:n]
+            if self.lengths[n - 1] < b:  # places beyond a block's end don't count
+                real = t[:, None] < self.lengths[None, :n]
+                sym, i2, i1, where, lane = sym[real], i2[real], i1[real], np.broadcast_to(where, real.shape)[real], np.broadcast_to(lane, real.shape)[real]
+            e2, e1 = self.at2.take(i2), self.at1.take(i1)
             hit2, hit1 = (e2 >> 3) == sym, (e1 >> 3) == sym
-            lane = np.broadcast_to(np.arange(n), (b - a, n)).ravel()[real]
-            self.seen[:n] += np.bincount((((lane << 3) + (e2 & 7) << 3) + (e1 & 7) << 2) + hit2 * 2 + hit1, minlength=n * 256).reshape(n, -1)
+            self.counts[:n] += np.bincount((where + sym).ravel(), minlength=n * self.width).reshape(n, -1)
+            pair = ((e2 & 7) << 5) + ((e1 & 7) << 2) + lane + hit1
+            pair += hit2 * 2
+            self.seen[:n] += np.bincount(pair.ravel(), minlength=n * 256).reshape(n, -1)
             # the last id to follow a context is predicted next; its confidence rises if it was predicted before
             for table, i, e, hit in ((self.at2, i2, e2, hit2), (self.at1, i1, e1, hit1)):
                 table[i] = np.where(hit, np.minimum(e + 1, e | 7), (sym << 3) + 1)
@@ -100,19 +103,17 @@ class _Model:
 
 
 def _settle(low: np.ndarray, wide: np.ndarray, move) -> None:
-    """Shift out words while the top 16 bits are fixed, or the range is too narrow; move(lanes, words) takes them."""
-    fixed = (low ^ (low + wide)) < _TOP
-    lanes = np.flatnonzero(fixed | (wide < _BOTTOM))
-    fixed = fixed[lanes]
-    while len(lanes):
+    """Where the range fell below 2**32, shift out a word; move(lanes, words) takes it.
+
+    If the top 32 bits aren't fixed yet, the range is cut at the point where they would change. A range is 1 at least, so
+    one shift brings every lane back to 2**32 or more.
+    """
+    lanes = np.flatnonzero(wide < _BOTTOM)
+    if len(lanes):
         own, w = low[lanes], wide[lanes]
-        w = np.where(fixed, w, (~own + np.uint64(1)) & (_BOTTOM - np.uint64(1)))
-        move(lanes, own >> _WORD)
-        own, w = own << _SHIFT, w << _SHIFT
-        low[lanes], wide[lanes] = own, w
-        fixed = (own ^ (own + w)) < _TOP
-        more = fixed | (w < _BOTTOM)
-        lanes, fixed = lanes[more], fixed[more]
+        move(lanes, own >> _HALF)
+        left = (~own & _MASK) + _ONE  # up to the next change of the top 32 bits
+        low[lanes], wide[lanes] = own << _HALF, np.minimum(w, left) << _HALF
 
 
 def _sorted(sizes: list[int]) -> list[list[int]]:
@@ -121,6 +122,12 @@ def _sorted(sizes: list[int]) -> list[list[int]]:
     return [order[i : i + LANES] for i in range(0, len(order), LANES)]
 
 
+def _alphabet(block: np.ndarray) -> np.ndarray:
+    there = np.zeros(1 << 16, bool)
+    there[block] = True
+    return np.flatnonzero(there)
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Each block (at most BLOCK_TOKENS ids below 65536) as bytes: count, alphabet, length and coded words, CRC-32 of its ids."""
     result: list[bytes] = [b""] * len(blocks)
@@ -131,16 +138,18 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
 
 
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
-    alphabets, local = zip(*(np.unique(b, return_inverse=True) for b in blocks), strict=True)
-    lengths = np.array([len(x) for x in local])
+    lengths = np.array([len(b) for b in blocks])
+    alphabets = [_alphabet(b) for b in blocks]
     k, most = len(blocks), int(lengths.max())
     working = np.searchsorted(-lengths, -np.arange(most), "left")  # lanes longer than each place
     model = _Model(np.array([max(len(a), 1) for a in alphabets]), lengths, False)
-    for lane, x in enumerate(local):
-        model.syms[2 : 2 + len(x), lane] = x
+    number = np.zeros(1 << 16, np.int64)
+    for lane, (block, alphabet) in enumerate(zip(blocks, alphabets, strict=True)):
+        number[alphabet] = np.arange(len(alphabet))
+        model.syms[2 : 2 + len(block), lane] = number[block]
     low, wide = np.zeros(k, np.uint64), np.full(k, 2**64 - 1, np.uint64)
-    room = 2 * most + 8  # fewer than 32 bits an id: 16 of its share and 14 of its frequency at most
-    out, put = np.zeros(k * room, np.uint16), np.arange(k) * room
+    room = most + 8  # a step puts out one word at most
+    out, put = np.zeros(k * room, np.uint32), np.arange(k) * room
 
     def move(lanes: np.ndarray, words: np.ndarray) -> None:
         at = put[lanes]
@@ -174,9 +183,9 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     result = []
     for lane, block in enumerate(blocks):
         a = put[lane]
-        last = [int(low[lane]) >> s & 0xFFFF for s in (48, 32, 16, 0)]
-        coded = np.append(out[lane * room : a], np.array(last, np.uint16)).astype("<u2").tobytes()
-        alphabet = zlib.compress(np.diff(alphabets[lane].astype(np.int64), prepend=0).astype("<u2").tobytes(), 6)
+        last = [int(low[lane]) >> s & 0xFFFFFFFF for s in (32, 0)]
+        coded = np.append(out[lane * room : a], np.array(last, np.uint32)).astype("<u4").tobytes()
+        alphabet = zlib.compress(np.diff(alphabets[lane], prepend=0).astype("<u2").tobytes(), 6)
         raw = np.ascontiguousarray(block, "<u4").tobytes()
         result.append(struct.pack("<IIII", len(block), len(alphabet), len(coded), zlib.crc32(raw)) + alphabet + coded)
     return result
@@ -196,19 +205,19 @@ def _decode(blocks: list[bytes]) -> list[np.ndarray]:
     lengths = np.array([h[0] for h in heads])
     alphabets = [np.cumsum(np.frombuffer(zlib.decompress(b[16 : 16 + h[1]]), "<u2").astype(np.int64)) for b, h in zip(blocks, heads, strict=True)]
     k, most = len(blocks), int(lengths.max())
-    words = [np.frombuffer(b[16 + h[1] :], "<u2", h[2] // 2) for b, h in zip(blocks, heads, strict=True)]
+    words = [np.frombuffer(b[16 + h[1] :], "<u4", h[2] // 4) for b, h in zip(blocks, heads, strict=True)]
     take = np.concatenate([[0], np.cumsum([len(w) for w in words])])[:-1]
-    data = np.concatenate([*words, np.zeros(4, np.uint16)]).astype(np.uint64)
+    data = np.concatenate([*words, np.zeros(4, np.uint32)]).astype(np.uint64)
     model = _Model(np.array([max(len(a), 1) for a in alphabets]), lengths, True)
     low, wide, code = np.zeros(k, np.uint64), np.full(k, 2**64 - 1, np.uint64), np.zeros(k, np.uint64)
-    for _ in range(4):
-        code = (code << _SHIFT) | data[take]
+    for _ in range(2):
+        code = (code << _HALF) | data[take]
         take += 1
     beyond = len(data) - 1
 
     def move(lanes: np.ndarray, _: np.ndarray) -> None:
         at = take[lanes]
-        code[lanes] = (code[lanes] << _SHIFT) | data.take(np.minimum(at, beyond))
+        code[lanes] = (code[lanes] << _HALF) | data.take(np.minimum(at, beyond))
         take[lanes] = at + 1
 
     with np.errstate(over="ignore", divide="ignore"):
@@ -228,7 +237,7 @@ def _decode(blocks: list[bytes]) -> list[np.ndarray]:
                 lo += r * base
                 r *= np.where(hit2, end2, np.where(miss, _FULL, end1)) - base
                 r >>= _FBITS
-                v0 = np.minimum((code[:n] - lo) // r, _WHOLE - np.uint64(1)).astype(np.int64)
+                v0 = np.minimum((code[:n] - lo) // r, _WHOLE - _ONE).astype(np.int64)
                 sym = model.symbol.take(v0 + model.row_freq[:n]).astype(np.int64)
                 found = model.order0.take(sym + model.row0[:n])
                 lo += r * np.where(miss, found >> _HALF, _ZERO)
