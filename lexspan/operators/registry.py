@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .changes import keep_first
 
@@ -93,6 +92,3 @@ def in_box(lat: Column, lng: Column, south: float, west: float, north: float, ea
     """Inside the box, edges included; rows without a position aren't."""
     return lat.between(south, north) & lng.between(west, east)
 
-
-def rank_within(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -51,21 +51,3 @@ def top_per_group(rows: DataFrame, group: str, n: int, limit: int, *order: Colum
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     return rows.withColumn("__n", rank).where(F.col("__n") <= n).drop("__n").orderBy(group, *order).limit(limit)
 
-
-def count_matches(rows: DataFrame, text: str, queries: list[tuple[int, list[str]]], id_column: str, hits: str) -> DataFrame:
-    """Rows that hold all phrases of each query, in one scan: the queries are a literal, the counts a partial aggregate."""
-    words = norm(F.col(text))
-    flags = [F.sum(reduce(Column.__and__, [holds([words], norm(F.lit(p))) for p in own]).cast("long")).alias(f"q{i}") for i, own in queries]
-    one = rows.agg(*flags)
-    pairs = F.array(*[F.struct(F.lit(i).cast("long").alias(id_column), F.coalesce(F.col(f"q{i}"), F.lit(0)).alias(hits)) for i, _ in queries])
-    return one.select(F.explode(pairs).alias("p")).select("p.*")
-
-
-def match_queries(rows: DataFrame, id_column: str, text: str, queries: DataFrame, query_id: str, first: str) -> DataFrame:
-    """Rows for each query whose first token they hold, by an equi join on tokens.
-
-    `first` is the query's rarest or first token; the caller checks whole phrases on the pairs. Any row that matches a query
-    holds the token, so no match is lost, and only rows that share it are paired.
-    """
-    tokens = rows.select(id_column, text, F.explode(F.array_distinct(F.split(norm(F.col(text)), " "))).alias("__token"))
-    return tokens.join(queries.withColumnRenamed(first, "__token"), "__token")
