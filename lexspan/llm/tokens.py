@@ -12,8 +12,8 @@ MEMO_CHUNKS, RECENT_CHUNKS = 600_000, 100_000
 _FIRST = "\ud800"
 _BLANKS = re.compile(r"^ | $| \s|\s ")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-#: Texts whose commas and full stops can't be cut off safely, or that have white space at an end or in runs, or the mark.
-_UNCUT = re.compile(r"(?:[^\w\s]|_)[,.]\s|^\s|\s\s|\s$|^[,.]|\s[,.]|\ud800")
+#: A comma or full stop that ends a word other than after a letter or digit: such marks may belong to a longer piece.
+_ODD_MARK = re.compile(r"[,.](?<![^\W_][,.])(?=[ \n])")
 #: Beyond these letters lower case may depend on what stands around.
 _FAR = re.compile("[^\0-\u024f]")
 #: Byte-level symbols: printable bytes stand for themselves, the others, in order, for the characters from U+0100 on.
@@ -21,6 +21,34 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SYMBOLS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
+def _near(text: str) -> bool:
+    """All characters are Latin letters up to U+024F or what lies between."""
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return not _FAR.search(text)
+
+
+class _Memo(dict):
+    """Ids of chunks as bytes, made when first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.recent = make, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) < MEMO_CHUNKS:
+            found = self[chunk] = self.make(chunk)
+            return found
+        found = self.recent.get(chunk)
+        if found is None:
+            if len(self.recent) >= RECENT_CHUNKS:
+                self.recent.clear()
+            found = self.recent[chunk] = self.make(chunk)
+        return found
+
+
 class Encoder:
     """Ids of whole texts as 16-bit little-endian bytes.
 
@@ -38,39 +66,36 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError("ids must fit 16 bits")
-        self.memo: dict[str, bytes] = {}
-        self.recent: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
         # does the space belong to the piece after it?
         one, other = (e.ids for e in self.tokenizer.encode_batch([" a", "a"], add_special_tokens=False))
         self.glue = " " if one != other else ""
+        self.memo = _Memo(self._ids)
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk. One that is a single run of letters which normalisation leaves alone goes straight to the
-        tokenizer's model, in the symbols that byte-level pre-tokenisation gives bytes."""
-        out: list[bytes] = [b""] * len(chunks)
-        rest = []
-        tokenize = self.tokenizer.model.tokenize
-        for i, chunk in enumerate(chunks):
-            word = chunk[1:] if chunk[:1] == " " else chunk
-            if word.isalpha() and not _FAR.search(word) and (self.glue or chunk == word.lower()):
-                symbols = chunk.encode().decode("latin-1").translate(_SYMBOLS) if self.glue or not word.isascii() else chunk
-                out[i] = array("H", [t.id for t in tokenize(symbols)]).tobytes()
-            else:
-                rest.append(i)
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = array("H", e.ids).tobytes()
-        return out
+    def _ids(self, chunk: str) -> bytes:
+        """Ids of a chunk. A single run of letters that normalisation leaves alone goes straight to the tokenizer's model, in
+        the symbols that byte-level pre-tokenisation gives bytes."""
+        if self.glue:
+            word, space = (chunk[1:], "") if chunk[:1] == _FIRST else (chunk, " ")
+        else:
+            word, space = chunk, ""
+        if word.isalpha() and not _FAR.search(word) and (self.glue or word == word.lower()):
+            symbols = (space + word).encode().decode("latin-1").translate(_SYMBOLS)
+            return array("H", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+        return array("H", self.tokenizer.encode(space + word, add_special_tokens=False).ids).tobytes()
 
     def _chunks(self, text: str) -> list[str]:
         """Chunks whose ids, one after the other, are those of the text."""
-        if _UNCUT.search(text):
+        # true if all white space is single spaces and line feeds between words
+        single = len(text.split()) == text.count(" ") + text.count("\n") + 1
+        if not single or _ODD_MARK.search(text) or _FIRST in text:
             chunks = _BETWEEN.split(text) if _BLANKS.search(text) else text.split(" ")
         elif self.glue:  # a comma or full stop after a letter or digit is a piece of its own, and so is a single line feed
             for mark in ",.":
                 text = text.replace(f"{mark} ", f" {_FIRST}{mark} ").replace(f"{mark}\n", f" {_FIRST}{mark}\n {_FIRST}")
             chunks = text.split(" ")
         else:
-            if not _FAR.search(text):
+            if _near(text):
                 text = text.lower()
             text = text.replace("\n", " ")
             for mark in ",.":
@@ -81,18 +106,8 @@ class Encoder:
         return chunks
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self._chunks(text or "") for text in texts]
-        memo, recent = self.memo, self.recent
-        if len(recent) > RECENT_CHUNKS:
-            recent.clear()
-        new = [c for c in set().union(*split).difference(memo) if c not in recent]
-        if new:
-            plain = [c[1:] if c[:1] == _FIRST else self.glue + c for c in new] if self.glue else new
-            (memo if len(memo) < MEMO_CHUNKS else recent).update(zip(new, self._encode(plain), strict=True))
-        if not recent:
-            get = memo.__getitem__
-            return [b"".join(map(get, chunks)) for chunks in split]
-        return [b"".join([memo[c] if c in memo else recent[c] for c in chunks]) for chunks in split]
+        get = self.memo.__getitem__
+        return [b"".join(map(get, self._chunks(text or ""))) for text in texts]
 
 
 _encoders: dict[str, Encoder] = {}
