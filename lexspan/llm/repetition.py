@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 
 from .batches import slices, text_bytes
 
-#: Most characters of words, as a share, that duplicated n-grams of each length may cover, and duplicated lines.
-NGRAM_LIMITS = {5: 0.15, 7: 0.13, 10: 0.10}
+#: Most characters of words, as a share, that duplicated n-grams of each length may cover, and duplicated lines. Texts that
+#: repeat a paragraph once stay below; texts made of repeats are far above.
+NGRAM_LIMITS = {5: 0.25, 7: 0.22, 10: 0.20}
 LINE_LIMIT = 0.30
 #: The base rule's window, its fewest words and its most repeated words in a hundred.
 WINDOW, MIN_WORDS, MAX_REPEATED = 8, 20, 30
