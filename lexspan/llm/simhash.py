@@ -44,14 +44,18 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """id (null doc_id: LAST_ID) and fp of every document; no shuffle."""
+    """id (null doc_id: LAST_ID), text_hash and fp of every document; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([fingerprint(t.as_py()) for t in batch.column("text")], pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array([fingerprint(t.as_py()) for t in batch.column("text")], pa.int64())], names=["id", "text_hash", "fp"])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), "text").mapInArrow(run, "id long, fp long")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), text_hash().alias("text_hash"), "text").mapInArrow(run, "id long, text_hash long, fp long")
 
 
 def bucket_keys(blocks: int) -> Column:
@@ -205,7 +209,7 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, bucket_part: int = BUCKET_PART) -> DataFrame:
-    """doc_id, fp (64 bits as a signed long) and component_id, the smallest doc_id reachable over links, for every document.
+    """doc_id, text_hash, fp (64 bits as a signed long) and component_id, the smallest doc_id reachable over links, for every document.
 
     Defined cases: null and empty texts have fingerprint 0, which is linked like any other; null doc_ids come after all
     others (component_id is null where a component has no other); repeated rows share a component; texts of fewer words
@@ -222,11 +226,15 @@ def near_groups(docs: DataFrame, bucket_part: int = BUCKET_PART) -> DataFrame:
     heads = ws.stage(rooted.groupBy("root").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("prints")), "heads")
     classes = ws.stage(join_unique(rooted.select("root", "fp", "n"), heads, ["root"], "prints", "inner").select("fp", "head", "n"), "classes")
     given = lambda c: F.when(F.col(c) != LAST_ID, F.col(c)).alias(c)
-    return join_unique(marked, classes, ["fp"], "n", "inner").select(given("id").alias("doc_id"), "fp", given("head").alias("component_id"))
+    return join_unique(marked, classes, ["fp"], "n", "inner").select(given("id").alias("doc_id"), "text_hash", "fp", given("head").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, bucket_part: int = BUCKET_PART) -> DataFrame:
-    """The documents of `docs` that have the smallest doc_id of their component; rows that repeat it all stay."""
+    """The documents of `docs` that have the smallest doc_id of their component.
+
+    Rows are dropped by doc_id and text, so of rows that share a doc_id those with another text stay, and rows that repeat
+    both stay or go together. A component without any doc_id stays whole.
+    """
     groups = near_groups(docs.select("doc_id", "text"), bucket_part)
-    gone = groups.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    gone = groups.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__text")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (text_hash() == F.col("__text")), "left_anti")

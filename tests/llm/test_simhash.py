@@ -106,3 +106,5 @@ def test_odd_rows(docs, odd_rows):
     kept = sorted(r.doc_id for r in keep_one(docs(odd_rows)).collect())
     assert kept == sorted(i for i, _ in odd_rows if i is not None and want[i] == i)
     assert near_groups(docs([])).count() == 0
+    shared = [(1, "alpha beta gamma delta"), (2, "alpha beta gamma delta"), (2, "quite another text here"), (None, "alpha beta gamma delta"), (None, "and one without an id")]
+    assert sorted((r.doc_id or 0, r.text) for r in keep_one(docs(shared)).collect()) == [(0, shared[4][1]), (1, shared[0][1]), (2, shared[2][1])]
