@@ -24,8 +24,8 @@ import numpy as np
 #: Ids of a block; a block can be decoded without any other. So many blocks advance together.
 BLOCK_TOKENS, LANES = 8192, 1024
 _NONE = 0xFFFF  # no prediction; local symbols are smaller, as a block has at most BLOCK_TOKENS of them
-_HASH_BITS, _HASH_STEP = 11, 3
-_SHARE_BITS, _FREQ_BITS = 16, 14
+_HASH_BITS, _HASH_STEP = 10, 3
+_SHARE_BITS, _FREQ_BITS = 16, 13
 _FULL, _WHOLE = np.uint64(1 << _SHARE_BITS), np.uint64(1 << _FREQ_BITS)
 _BOTTOM = np.uint64(1 << 32)
 _HALF, _MASK, _ZERO, _ONE = np.uint64(32), np.uint64(2**32 - 1), np.uint64(0), np.uint64(1)
