@@ -224,10 +224,10 @@ def section_number(spark, sf_dir):
 
 
 CITED = [
-    ("us-code", "us-usc-title-42", "", "1983", "42 U.S.C. § 1983|42 USC § 1983|42 U.S.C. 1983"), ("ecfr", "us-cfr-title-24", "", "100.50", "24 C.F.R. § 100.50|24 CFR § 100.50"),
-    ("ca-leginfo", "ca-gov", "gov", "12965", "Cal. Gov't Code § 12965|California Gov't Code § 12965|Government Code section 12965"), ("ca-leginfo", "ca-com", "COM", "5", "Cal. Com. Code § 5|California Com. Code § 5"),
-    ("ny-openleg", "ny-general-business", "GBS", "349", "N.Y. Gen. Bus. Law § 349"), ("fl-statutes", "fl-statutes", "", "718.111", "Fla. Stat. § 718.111"), ("tx-statutes", "tx-property-code", "", "92.056", "Tex. Prop. Code § 92.056"),
-    ("tx-statutes", "tx-lg", "", "53.001", "Tex. § 53.001"), ("municode", "ca-palm-desert", "", "1", ""), ("us-code", "us-usc-title-42", "", None, ""),
+    ("usc", "us-usc-title-42", "", "1983", "42 U.S.C. § 1983|42 USC § 1983|42 U.S.C. 1983"), ("ecfr", "us-cfr-title-24", "", "100.50", "24 C.F.R. § 100.50|24 CFR § 100.50"),
+    ("ca-leginfo", "ca-gov", "gov", "12965", "Cal. Gov. Code § 12965|California Gov. Code § 12965|Government Code section 12965"), ("ca-leginfo", "ca-com", "COM", "5", "Cal. Com. Code § 5|California Com. Code § 5|Commercial Code section 5"),
+    ("ca-leginfo", "ca-cons", "CONS", "7", "Cal. Const. Code § 7|California Const. Code § 7"), ("ny-openleg", "ny-partnership", "", "10", "N.Y. P'ship Law § 10"), ("ny-openleg", "ny-unknown", "", "10", ""), ("ny-openleg", "ny-general-business", "GBS", "349", "N.Y. Gen. Bus. Law § 349"), ("fl-statutes", "fl-statutes", "", "718.111", "Fla. Stat. § 718.111"), ("tx-statutes", "tx-property-code", "", "92.056", "Tex. Prop. Code § 92.056"),
+    ("tx-statutes", "tx-lg", "", "53.001", "Tex. § 53.001"), ("municode", "ca-palm-desert", "", "1", ""), ("usc", "us-usc-title-42", "", None, ""),
 ]
 
 
