@@ -23,30 +23,59 @@ def match_name(left: DataFrame, right: DataFrame, block: str, name: str, key: st
     return keep_first(left.join(right, [block, name]), [key], best, F.col(order))
 
 
-def match_fuzzy(left: DataFrame, right: DataFrame, block: str, tokens: str, key: str, order: str, least: float = SIMILAR, same: str | None = None) -> DataFrame:
-    """Strategy 3: in one block the largest Jaccard similarity of token sets, at least `least`, ties by `order`.
+def _token_sets(rows: DataFrame, block: str, tokens: str, key: str) -> DataFrame:
+    """One row for each distinct token set of a block: its first key and how many rows have it.
 
-    Prefix filter: sets of n tokens that reach the threshold share one of the first n - ceil(least * n) + 1 tokens when
-    all sets are sorted alike, so pairs come from an equi join on (block, such a token); sizes prune further. Every pair
-    that reaches the threshold is found.
+    Tokens are put in one order, longest first; rows with equal sets become one, so copies never pair with each other.
+    """
+    ordered = F.transform(F.sort_array(F.transform(F.array_distinct(tokens), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
+    return rows.select(F.col(block), F.col(key).alias("__key"), ordered.alias("__set")).groupBy(block, "__set").agg(F.min("__key").alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+def similar_sets(left: DataFrame, right: DataFrame, block: str, least: float = SIMILAR) -> DataFrame:
+    """(block, l_set, r_first, score) for pairs of _token_sets() rows of one block with Jaccard similarity `least` or more.
+
+    Prefix filter: sets of n tokens that reach the threshold share one of the first n - ceil(least * n) + 1 tokens of both,
+    so pairs come from an equi join on (block, such a token); sizes prune further. No pair is lost.
     """
 
     def keyed(df: DataFrame, side: str) -> DataFrame:
-        own = df.withColumn("__set", F.sort_array(F.array_distinct(tokens)))
-        # rare tokens first would prune more; any fixed order is exact, and longest-first needs no counts
-        own = own.withColumn("__set", F.transform(F.sort_array(F.transform("__set", lambda t: F.struct(-F.length(t), t.alias("t")))), lambda s: s["t"]))
         n = F.size("__set")
-        prefix = F.slice("__set", 1, (n - F.ceil(F.lit(least) * n).cast("int") + 1))
-        return own.select(block, F.col(key if side == "l" else order).alias(f"{side}_id"), F.col("__set").alias(f"{side}_set"), F.explode(prefix).alias("__token"))
+        prefix = F.slice("__set", 1, n - F.ceil(F.lit(least) * n).cast("int") + 1)
+        return df.select(block, F.col("first").alias(f"{side}_first"), F.col("__set").alias(f"{side}_set"), F.explode(prefix).alias("__token"))
 
     pairs = keyed(left, "l").join(keyed(right, "r"), [block, "__token"])
     small, large = F.least(F.size("l_set"), F.size("r_set")), F.greatest(F.size("l_set"), F.size("r_set"))
-    pairs = pairs.where(small >= F.lit(least) * large)
-    if same:
-        pairs = pairs.where("l_id != r_id")
-    pairs = pairs.dropDuplicates(["l_id", "r_id"])
-    pairs = pairs.withColumn("score", F.size(F.array_intersect("l_set", "r_set")) / F.size(F.array_union("l_set", "r_set"))).where(F.col("score") >= least)
-    return keep_first(pairs, ["l_id"], F.col("score").desc(), F.col("r_id")).select("l_id", "r_id", "score")
+    pairs = pairs.where(small >= F.lit(least) * large).dropDuplicates([block, "l_first", "r_first"])
+    score = F.size(F.array_intersect("l_set", "r_set")) / F.size(F.array_union("l_set", "r_set"))
+    return pairs.select(block, "l_first", "r_first", score.alias("score")).where(F.col("score") >= least)
+
+
+def match_fuzzy(left: DataFrame, right: DataFrame, block: str, tokens: str, key: str, order: str, least: float = SIMILAR) -> DataFrame:
+    """Strategy 3: (key, match, score), the largest Jaccard similarity of token sets in the block, ties by `order`."""
+    sets, others = _token_sets(left, block, tokens, key), _token_sets(right, block, tokens, order)
+    best = keep_first(similar_sets(sets, others, block, least), [block, "l_first"], F.col("score").desc(), F.col("r_first"))
+    return _to_rows(left, block, tokens, key, sets).join(best, [block, "l_first"]).select(F.col("__key").alias(key), F.col("r_first").alias("match"), "score")
+
+
+def _to_rows(rows: DataFrame, block: str, tokens: str, key: str, sets: DataFrame) -> DataFrame:
+    ordered = F.transform(F.sort_array(F.transform(F.array_distinct(tokens), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
+    own = rows.select(F.col(block), F.col(key).alias("__key"), ordered.alias("__set"))
+    return own.join(sets.withColumnRenamed("first", "l_first"), [block, "__set"]).drop("__set")
+
+
+def match_fuzzy_self(rows: DataFrame, block: str, tokens: str, key: str, least: float = SIMILAR) -> DataFrame:
+    """(key, match, score): each row's most similar other row of its block, ties by key.
+
+    Rows with equal sets match the first of them (the first one the second); only the others are compared by pairs.
+    """
+    sets = _token_sets(rows, block, tokens, key)
+    members = _to_rows(rows, block, tokens, key, sets)
+    second = members.where("n > 1 and __key != l_first").groupBy(block, "l_first").agg(F.min("__key").alias("second"))
+    twins = members.where("n > 1").join(second, [block, "l_first"]).select("__key", F.when(F.col("__key") == F.col("l_first"), F.col("second")).otherwise(F.col("l_first")).alias("match"), F.lit(1.0).alias("score"))
+    pairs = similar_sets(sets.where("n = 1"), sets, block, least).where("l_first != r_first")
+    alone = keep_first(pairs, [block, "l_first"], F.col("score").desc(), F.col("r_first")).select(F.col("l_first").alias("__key"), F.col("r_first").alias("match"), "score")
+    return twins.unionByName(alone).withColumnRenamed("__key", key)
 
 
 def cascade(left: DataFrame, key: str, stages: list[tuple[str, callable]]) -> DataFrame:

@@ -69,8 +69,8 @@ select doc_id, partner, score from (select *, row_number() over (partition by do
 @query(FUZZY)
 def match_fuzzy_jaccard(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.split(norm(F.left("text", F.lit(200))), " ").alias("tokens"))
-    found = registry.match_fuzzy(rows, rows, "lang", "tokens", "doc_id", "doc_id", same="doc_id")
-    return found.select(F.col("l_id").alias("doc_id"), F.col("r_id").alias("partner"), F.round("score", 6).alias("score"))
+    found = registry.match_fuzzy_self(rows, "lang", "tokens", "doc_id")
+    return found.select("doc_id", F.col("match").alias("partner"), F.round("score", 6).alias("score"))
 
 
 @query("select strategy, count(*) n from (select case when s.s_suppkey is not null then 'key' when p.k is not null then 'name' else 'unmatched' end strategy from customer c "
