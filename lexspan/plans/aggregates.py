@@ -90,19 +90,19 @@ def coverage_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("cached"), F.count_if(F.length("text") > 1000).alias("searchable"))
 
 
-@query("select conv_id, turn, role from conversations where conv_id < 40 order by conv_id, turn limit 100")
+@query("select conv_id, turn, role from conversations order by conv_id, turn")
 def ordered_children(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").where("conv_id < 40").select("conv_id", "turn", "role").orderBy("conv_id", "turn").limit(100)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").orderBy("conv_id", "turn")
 
 
-@query("select p_type, p_name, p_partkey from part order by p_type, p_name, p_partkey limit 100")
+@query("select p_type, p_name, p_partkey from part order by p_type, p_name, p_partkey")
 def multi_key_sort(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_type", "p_name", "p_partkey").orderBy("p_type", "p_name", "p_partkey").limit(100)
+    return table(spark, sf_dir, "part").select("p_type", "p_name", "p_partkey").orderBy("p_type", "p_name", "p_partkey")
 
 
-@query("select coalesce(nullif(c_mktsegment, 'BUILDING'), '') state, c_name from customer order by state, c_name limit 60")
+@query("select coalesce(nullif(c_mktsegment, 'BUILDING'), '') state, c_name from customer order by state, c_name")
 def sort_state_name(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.coalesce(F.nullif("c_mktsegment", F.lit("BUILDING")), F.lit("")).alias("state"), "c_name").orderBy("state", "c_name").limit(60)
+    return table(spark, sf_dir, "customer").select(F.coalesce(F.nullif("c_mktsegment", F.lit("BUILDING")), F.lit("")).alias("state"), "c_name").orderBy("state", "c_name")
 
 
 @query("select event_id, user_id from (select * from events order by ts desc, event_id desc limit 50) order by ts, event_id")
@@ -122,18 +122,18 @@ def topn_per_group(spark, sf_dir):
     return search.top_per_group(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", 5, 20, F.col("doc_id"))
 
 
-@query("select n_name, regexp_extract(n_name, '(\\d+)', 1)::bigint k from nation order by k desc limit 12")
+@query("select n_name, regexp_extract(n_name, '(\\d+)', 1)::bigint k from nation order by k desc")
 def sort_extracted_num(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_name", F.regexp_extract("n_name", r"(\d+)", 1).cast("long").alias("k")).orderBy(F.desc("k")).limit(12)
+    return table(spark, sf_dir, "nation").select("n_name", F.regexp_extract("n_name", r"(\d+)", 1).cast("long").alias("k")).orderBy(F.desc("k"))
 
 
 RANKS = {"FURNITURE": 0, "MACHINERY": 1, "BUILDING": 2}
 
 
-@query("select c_mktsegment, c_custkey from customer order by case c_mktsegment when 'FURNITURE' then 0 when 'MACHINERY' then 1 when 'BUILDING' then 2 else 9 end, c_name limit 40")
+@query("select c_mktsegment, c_custkey from customer order by case c_mktsegment when 'FURNITURE' then 0 when 'MACHINERY' then 1 when 'BUILDING' then 2 else 9 end, c_name")
 def enum_rank_sort(spark, sf_dir):
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv]), F.col("c_mktsegment")), F.lit(9))
-    return table(spark, sf_dir, "customer").orderBy(rank, "c_name").limit(40).select("c_mktsegment", "c_custkey")
+    return table(spark, sf_dir, "customer").orderBy(rank, "c_name").select("c_mktsegment", "c_custkey")
 
 
 @query("select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by value desc, event_id) n from events) where n = 1")

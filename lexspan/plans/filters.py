@@ -12,9 +12,9 @@ from ..schema import split_valid
 from .base import events, query, relation, table, values
 
 
-@query("select p_partkey, p_name, p_size from part where p_brand = 'Brand#2' and p_size >= 10 order by p_size, p_partkey limit 50")
+@query("select p_partkey, p_name, p_size from part where p_brand = 'Brand#2' and p_size >= 10 order by p_size, p_partkey")
 def scan_filter(spark, sf_dir):
-    return table(spark, sf_dir, "part").where("p_brand = 'Brand#2' and p_size >= 10").select("p_partkey", "p_name", "p_size").orderBy("p_size", "p_partkey").limit(50)
+    return table(spark, sf_dir, "part").where("p_brand = 'Brand#2' and p_size >= 10").select("p_partkey", "p_name", "p_size").orderBy("p_size", "p_partkey")
 
 
 @query("select event_id, json_extract_string(props, '$.k')::bigint k from events where json_valid(props)")

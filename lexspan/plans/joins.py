@@ -50,16 +50,16 @@ def match_exact_key(spark, sf_dir):
 PARTS = "trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
 
 
-@query(f"select l.p_partkey, r.p_partkey matched from (select p_partkey, {PARTS} k, p_size % 5 b from part where p_partkey % 10 = 0) l join lateral "
-       f"(select p_partkey from (select p_partkey, {PARTS} k, p_size % 5 b, p_type from part where p_partkey % 10 <> 0) r where r.k = l.k and r.b = l.b order by case when p_type in ('ECONOMY') then 0 else 1 end, p_partkey limit 1) r on true")
+@query(f"select l.p_partkey, r.p_partkey matched from (select p_partkey, {PARTS} k, p_size % 5 b from part where p_type = 'PROMO') l join lateral "
+       f"(select p_partkey from (select p_partkey, {PARTS} k, p_size % 5 b, p_type from part where p_type <> 'PROMO') r where r.k = l.k and r.b = l.b order by case when p_type in ('ECONOMY') then 0 else 1 end, p_partkey limit 1) r on true")
 def match_name_pref(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", norm(F.col("p_name")).alias("k"), (F.col("p_size") % 5).alias("b"), "p_type")
-    left, right = rows.where("p_partkey % 10 = 0").select("p_partkey", "k", "b"), rows.where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("matched"), "k", "b", "p_type")
+    left, right = rows.where("p_type = 'PROMO'").select("p_partkey", "k", "b"), rows.where("p_type <> 'PROMO'").select(F.col("p_partkey").alias("matched"), "k", "b", "p_type")
     return registry.match_name(left, right, "b", "k", "p_partkey", "p_type", ["ECONOMY"], "matched").select("p_partkey", "matched")
 
 
 FUZZY = """
-with t as (select doc_id, lang, list_distinct(string_split(trim(regexp_replace(lower(left(text, 200)), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')) s from documents),
+with t as (select doc_id, lang, list_distinct(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')) s from documents),
 p as (select a.doc_id, b.doc_id partner, len(list_intersect(a.s, b.s)) i, len(a.s) na, len(b.s) nb from t a join t b on a.lang = b.lang and a.doc_id <> b.doc_id and least(len(a.s), len(b.s)) >= 0.85 * greatest(len(a.s), len(b.s))),
 q as (select doc_id, partner, round(i::double / (na + nb - i), 6) score from p where i >= 0.85 * (na + nb - i))
 select doc_id, partner, score from (select *, row_number() over (partition by doc_id order by score desc, partner) n from q) where n = 1
@@ -68,7 +68,7 @@ select doc_id, partner, score from (select *, row_number() over (partition by do
 
 @query(FUZZY)
 def match_fuzzy_jaccard(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.split(norm(F.left("text", F.lit(200))), " ").alias("tokens"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.split(norm(F.col("text")), " ").alias("tokens"))
     found = registry.match_fuzzy_self(rows, "lang", "tokens", "doc_id")
     return found.select("doc_id", F.col("match").alias("partner"), F.round("score", 6).alias("score"))
 
@@ -167,14 +167,14 @@ def tiered_match(spark, sf_dir):
 
 
 @query("with n as (select s_suppkey id, s_name name, 'known' publisher, s_acctbal bal from supplier union all select c_custkey, c_name, 'unknown', c_acctbal from customer where c_custkey not in (select s_suppkey from supplier)) "
-       "select id, name, publisher from n where contains(lower(name), '#00000000') order by case when lower(name) = 'supplier#000000003' then 0 else 1 end, case when publisher = 'unknown' then 1 else 0 end, case when publisher = 'unknown' then -bal else 0 end, name, id limit 50")
+       "select id, name, publisher from n where contains(lower(name), '#00000000') order by case when lower(name) = 'supplier#000000003' then 0 else 1 end, case when publisher = 'unknown' then 1 else 0 end, case when publisher = 'unknown' then -bal else 0 end, name, id")
 def relevance_sort(spark, sf_dir):
     first = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("known").alias("publisher"), F.col("s_acctbal").alias("bal"))
     second = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("unknown").alias("publisher"), F.col("c_acctbal").alias("bal")).join(first.select("id"), "id", "left_anti")
     unknown = F.col("publisher") == "unknown"
     rows = first.unionByName(second).where(F.contains(lookup_name(F.col("name")), F.lit("#00000000")))
     exact = F.when(lookup_name(F.col("name")) == "supplier#000000003", 0).otherwise(1)
-    return rows.orderBy(exact, F.when(unknown, 1).otherwise(0), F.when(unknown, -F.col("bal")).otherwise(0.0), "name", "id").limit(50).select("id", "name", "publisher")
+    return rows.orderBy(exact, F.when(unknown, 1).otherwise(0), F.when(unknown, -F.col("bal")).otherwise(0.0), "name", "id").select("id", "name", "publisher")
 
 
 @query("select s_name name, 'registry' origin from supplier union all select c_name, 'census' from customer where c_custkey not in (select s_suppkey from supplier)")

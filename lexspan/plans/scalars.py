@@ -18,9 +18,9 @@ def strip_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("body"))
 
 
-@query(f"select item_id, {SLUG.format('left(text, 80)')} slug from benchmark")
+@query(f"select item_id, {SLUG.format('text')} slug from benchmark")
 def slugify(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", T.slugify(F.left("text", F.lit(80))).alias("slug"))
+    return table(spark, sf_dir, "benchmark").select("item_id", T.slugify(F.col("text")).alias("slug"))
 
 
 LEVEL_WORDS = "title|subtitle|chapter|subchapter|article|subarticle|division|subdivision|part|subpart|section"
@@ -126,9 +126,9 @@ def map_lookup(spark, sf_dir):
 ESCAPE = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
 
-@query(f"select page_id, {ESCAPE.format('left(html, 300)')} escaped from pages")
+@query(f"select page_id, {ESCAPE.format('html')} escaped from pages")
 def xml_escape(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.escape_xml(F.left("html", F.lit(300))).alias("escaped"))
+    return table(spark, sf_dir, "pages").select("page_id", T.escape_xml(F.col("html")).alias("escaped"))
 
 
 @query("with p as (select page_id, html, list_filter(list_transform(regexp_extract_all(html, '(?is)<p(?: [^>]*)?>(.*?)</p>', 1), lambda x: " + ESCAPE.format(STRIP.format("x")) + "), lambda x: x <> '') l from pages) "
@@ -148,9 +148,9 @@ def link_harvest(spark, sf_dir):
     return rows.where(F.length("label") >= 3).groupBy("page_id", "href").agg(F.min_by("label", "n").alias("label"))
 
 
-@query("select p_partkey, concat_ws(' - ', nullif(trim(p_name), ''), nullif(trim(case when p_size % 2 = 0 then '  ' else p_brand end), ''), nullif(trim(p_type), '')) title from part")
+@query("select p_partkey, concat_ws(' - ', nullif(trim(p_name), ''), nullif(trim(case when p_size < 20 then '  ' else p_brand end), ''), nullif(trim(p_type), '')) title from part")
 def compose_title(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", T.compose_title(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, "  ").otherwise(F.col("p_brand")), F.col("p_type")).alias("title"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.compose_title(F.col("p_name"), F.when(F.col("p_size") < 20, "  ").otherwise(F.col("p_brand")), F.col("p_type")).alias("title"))
 
 
 COMPOSITE = [("GOV|division=3.&article=2", "doc1:s-4"), ("PEN|", "a:b:c"), ("CIV", "nocolon")]
@@ -249,8 +249,8 @@ def permalink(spark, sf_dir):
     return relation(spark, "kind, id, name, state, code, path, u", LINKED).select("id", "code", made.alias("url"))
 
 
-@query("select o_orderkey, coalesce(nullif(case when o_orderkey % 4 = 0 then '' else o_orderpriority end, ''), 'Unknown Case') case_name, case when o_orderkey % 3 <> 0 then o_orderstatus end citation from orders")
+@query("select o_orderkey, coalesce(nullif(case when o_totalprice < 50000 then '' else o_orderpriority end, ''), 'Unknown Case') case_name, case when o_orderstatus <> 'P' then o_orderstatus end citation from orders")
 def coalesce_defaults(spark, sf_dir):
-    name = F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.col("o_orderpriority"))
-    cites = F.when(F.col("o_orderkey") % 3 != 0, F.array("o_orderstatus")).otherwise(F.array().cast("array<string>"))
+    name = F.when(F.col("o_totalprice") < 50000, "").otherwise(F.col("o_orderpriority"))
+    cites = F.when(F.col("o_orderstatus") != "P", F.array("o_orderstatus")).otherwise(F.array().cast("array<string>"))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(F.nullif(name, F.lit("")), F.lit("Unknown Case")).alias("case_name"), F.try_element_at(cites, F.lit(1)).alias("citation"))

@@ -66,9 +66,9 @@ def content_leaves(spark, sf_dir):
     return tree.preorder(rows, F.col("root")).select("path", (F.col("sort_order") + 1).cast("long").alias("place"))
 
 
-@query("select 'customer-' || c_custkey id, case when c_nationkey % 3 <> 0 then 'nation-' || c_nationkey end parent from customer")
+@query("select 'customer-' || c_custkey id, case when c_nationkey not in (select n_nationkey from nation where n_regionkey = 2) then 'nation-' || c_nationkey end parent from customer")
 def tree_orphans(spark, sf_dir):
-    rows = nodes(spark, sf_dir, content=False).where("kind != 'region' and not (kind = 'nation' and ord % 3 = 0)")
+    rows = nodes(spark, sf_dir, content=False).where("kind != 'region' and not (kind = 'nation' and parent = 'region-2')")
     return tree.reroot(rows).where("kind = 'customer'").select("id", "parent")
 
 
@@ -81,10 +81,10 @@ def tree_collapse(spark, sf_dir):
     return tree.collapse(relation(spark, "id, parent, slug, has_content", COLLAPSE)).select("id", "parent", "slug", "has_content")
 
 
-@query("select c_custkey, coalesce(nullif(case when c_custkey % 3 = 0 then '' else c_mktsegment end, ''), n_name, c_custkey::varchar) title from customer left join nation on n_nationkey = c_nationkey and n_nationkey % 2 = 0")
+@query("select c_custkey, coalesce(nullif(case when c_mktsegment = 'BUILDING' then '' else c_mktsegment end, ''), n_name, c_custkey::varchar) title from customer left join nation on n_nationkey = c_nationkey and n_regionkey = 1")
 def toc_title(spark, sf_dir):
-    names = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    own = F.nullif(F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_mktsegment")), F.lit(""))
+    names = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    own = F.nullif(F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_mktsegment")), F.lit(""))
     return table(spark, sf_dir, "customer").join(names, "c_nationkey", "left").select("c_custkey", F.coalesce(own, "n_name", F.col("c_custkey").cast("string")).alias("title"))
 
 

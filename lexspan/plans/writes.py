@@ -8,18 +8,18 @@ from ..operators import changes, logs
 from .base import events, query, table
 
 
-@query("select s_suppkey id, s_name name from supplier where s_suppkey not in (select c_custkey from customer where c_custkey % 2 = 0) union all select c_custkey, c_name from customer where c_custkey % 2 = 0")
+@query("select s_suppkey id, s_name name from supplier where s_suppkey not in (select c_custkey from customer where c_mktsegment = 'BUILDING') union all select c_custkey, c_name from customer where c_mktsegment = 'BUILDING'")
 def upsert_merge(spark, sf_dir):
     old = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    new = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    new = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     return changes.upsert(old, new, ["id"])
 
 
 @query("select coalesce(s_suppkey, c_custkey) id, case when s_suppkey is not null then s_name else c_name end name, case when c_custkey is not null then c_acctbal else s_acctbal end bal "
-       "from supplier full join (select * from customer where c_custkey % 2 = 0) on s_suppkey = c_custkey")
+       "from supplier full join (select * from customer where c_mktsegment = 'BUILDING') on s_suppkey = c_custkey")
 def upsert_partial_cols(spark, sf_dir):
     old = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal"))
-    new = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))
+    new = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))
     return changes.upsert_columns(old, new, ["id"], ["bal"])
 
 
@@ -30,13 +30,13 @@ def insert_ignore(spark, sf_dir):
     return changes.insert_ignore(old, new, ["id"], F.col("name"))
 
 
-@query("with o as (select * from orders where o_orderkey % 2 = 0), n as (select * from orders where o_orderkey % 2 = 1 and o_orderstatus in ('F', 'O')) "
+@query("with o as (select * from orders where o_orderdate < timestamp '1998-01-01'), n as (select * from orders where o_orderdate >= timestamp '1998-01-01' and o_orderstatus in ('F', 'O')) "
        "select o_orderkey, row_number() over (partition by o_orderstatus, case when o_orderstatus = 'F' then o_custkey else o_custkey % 100 end, case when o_orderstatus = 'F' then o_orderpriority else '' end order by o_orderkey) = 1 "
        "and not exists (select 1 from o where o.o_orderstatus = n.o_orderstatus and case when n.o_orderstatus = 'F' then o.o_custkey = n.o_custkey and o.o_orderpriority = n.o_orderpriority else o.o_custkey % 100 = n.o_custkey % 100 end) accepted from n")
 def partial_unique(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").withColumn("k", F.col("o_custkey") % 100)
     keys = {"F": ["o_custkey", "o_orderpriority"], "O": ["k"]}
-    return changes.partial_unique(rows.where("o_orderkey % 2 = 0"), rows.where("o_orderkey % 2 = 1 and o_orderstatus in ('F', 'O')"), keys, "o_orderstatus", F.col("o_orderkey")).select("o_orderkey", "accepted")
+    return changes.partial_unique(rows.where("o_orderdate < timestamp_ntz '1998-01-01 00:00:00'"), rows.where("o_orderdate >= timestamp_ntz '1998-01-01 00:00:00' and o_orderstatus in ('F', 'O')"), keys, "o_orderstatus", F.col("o_orderkey")).select("o_orderkey", "accepted")
 
 
 @query("select source, count(*) kept, count(*) filter (where false) dropped from documents where not (source = 'src1' and lang = 'en') group by source")
@@ -45,10 +45,10 @@ def delete_scope(spark, sf_dir):
     return kept.groupBy("source").agg(F.count(F.lit(1)).alias("kept"), F.lit(0).cast("long").alias("dropped"))
 
 
-@query("select o_orderkey, coalesce(case when o_orderkey % 3 = 0 then 'resolved' when o_orderkey % 3 = 1 then 'triaged' end, o_orderstatus) status, case when o_orderkey % 3 = 0 then 1700000000 end stamp from orders")
+@query("select o_orderkey, coalesce(case when o_orderstatus = 'F' then 'resolved' when o_orderstatus = 'O' then 'triaged' end, o_orderstatus) status, case when o_orderstatus = 'F' then 1700000000 end stamp from orders")
 def status_transition(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.lit(None).cast("long").alias("stamp"))
-    new = F.when(F.col("o_orderkey") % 3 == 0, "resolved").when(F.col("o_orderkey") % 3 == 1, "triaged")
+    new = F.when(F.col("status") == "F", "resolved").when(F.col("status") == "O", "triaged")
     return changes.change_status(rows, new, F.lit(1700000000).cast("long"), ("resolved", "dismissed"), "stamp")
 
 
