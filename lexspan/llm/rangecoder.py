@@ -50,8 +50,9 @@ class _Model:
         self.counts = np.zeros((k, self.width), np.int64)
         self.seen = np.zeros((k, 256), np.int64)
         self.syms = np.tile(self.sizes, (most + 2, 1))  # before a block: a symbol beyond its own alphabet
-        self.at1 = np.full(k * self.width, _NONE << 3)
-        self.at2 = np.full(k << _HASH_BITS, _NONE << 3)
+        # predictions: the symbol above six bits; below, the confidence (of order 2 in bits 3 to 5, of order 1 in bits 0 to 2)
+        self.at1 = np.full(k * self.width, _NONE << 6)
+        self.at2 = np.full(k << _HASH_BITS, _NONE << 6)
         lanes = np.arange(k)
         self.row0, self.row2, self.row_share, self.row_seen, self.row_freq = lanes * self.width, lanes << _HASH_BITS, lanes * 64, lanes * 256, lanes << _FREQ_BITS
 
@@ -64,8 +65,8 @@ class _Model:
         """Candidates of order 2 and order 1; where the share of order 2 ends, and that of order 1."""
         i2, i1 = self.contexts(t, n)
         e2, e1 = self.at2.take(i2), self.at1.take(i1)
-        shares = self.shares.take(((e2 & 7) << 3) + (e1 & 7) + self.row_share[:n])
-        return e2 >> 3, e1 >> 3, shares >> _HALF, shares & _MASK
+        shares = self.shares.take(((e2 | e1) & 63) + self.row_share[:n])
+        return e2 >> 6, e1 >> 6, shares >> _HALF, shares & _MASK
 
     def learn(self, a: int, b: int, n: int) -> None:
         """Take in places a to b of the first n lanes, then set shares and frequencies."""
@@ -77,14 +78,15 @@ class _Model:
                 real = t[:, None] < self.lengths[None, :n]
                 sym, i2, i1, where, lane = sym[real], i2[real], i1[real], np.broadcast_to(where, real.shape)[real], np.broadcast_to(lane, real.shape)[real]
             e2, e1 = self.at2.take(i2), self.at1.take(i1)
-            hit2, hit1 = (e2 >> 3) == sym, (e1 >> 3) == sym
+            hit2, hit1 = (e2 >> 6) == sym, (e1 >> 6) == sym
             self.counts[:n] += np.bincount((where + sym).ravel(), minlength=n * self.width).reshape(n, -1)
-            pair = ((e2 & 7) << 5) + ((e1 & 7) << 2) + lane + hit1
+            pair = (((e2 | e1) & 63) << 2) + lane + hit1
             pair += hit2 * 2
             self.seen[:n] += np.bincount(pair.ravel(), minlength=n * 256).reshape(n, -1)
             # the last id to follow a context is predicted next; its confidence rises if it was predicted before
-            for table, i, e, hit in ((self.at2, i2, e2, hit2), (self.at1, i1, e1, hit1)):
-                table[i] = np.where(hit, np.minimum(e + 1, e | 7), (sym << 3) + 1)
+            symbol = sym << 6
+            for table, i, e, hit, unit in ((self.at2, i2, e2, hit2, 8), (self.at1, i1, e1, hit1, 1)):
+                table[i] = np.where(hit, np.minimum(e + unit, e | 7 * unit), symbol + unit)
         counts, sizes = self.counts[:n], self.sizes[:n, None]
         spare = (1 << _FREQ_BITS) - sizes
         freq = (np.arange(self.width)[None] < sizes) + counts * spare // np.maximum(counts.sum(1, keepdims=True), 1)
@@ -108,7 +110,7 @@ def _settle(low: np.ndarray, wide: np.ndarray, move) -> None:
     If the top 32 bits aren't fixed yet, the range is cut at the point where they would change. A range is 1 at least, so
     one shift brings every lane back to 2**32 or more.
     """
-    lanes = np.flatnonzero(wide < _BOTTOM)
+    lanes = (wide < _BOTTOM).nonzero()[0]
     if len(lanes):
         own, w = low[lanes], wide[lanes]
         move(lanes, own >> _HALF)
@@ -237,11 +239,12 @@ def _decode(blocks: list[bytes]) -> list[np.ndarray]:
                 lo += r * base
                 r *= np.where(hit2, end2, np.where(miss, _FULL, end1)) - base
                 r >>= _FBITS
-                v0 = np.minimum((code[:n] - lo) // r, _WHOLE - _ONE).astype(np.int64)
+                v0 = np.minimum((code[:n] - lo) // r, _WHOLE - _ONE).view(np.int64)
                 sym = model.symbol.take(v0 + model.row_freq[:n]).astype(np.int64)
                 found = model.order0.take(sym + model.row0[:n])
-                lo += r * np.where(miss, found >> _HALF, _ZERO)
-                r *= np.where(miss, found & _MASK, _WHOLE)
+                found = np.where(miss, found, _WHOLE)
+                lo += r * (found >> _HALF)
+                r *= found & _MASK
                 _settle(lo, r, move)
                 sym = np.where(miss, sym, np.where(hit2, c2, c1))
                 # damaged data can point anywhere; the checksum tells at the end
