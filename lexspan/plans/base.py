@@ -34,7 +34,9 @@ def literal(value) -> str:
         return "NULL"
     if isinstance(value, bool):
         return str(value).lower()
-    return str(value) if isinstance(value, (int, float)) else "'" + value.replace("'", "''") + "'"
+    if isinstance(value, int):
+        return f"{value}::bigint"
+    return str(value) if isinstance(value, float) else "'" + value.replace("'", "''") + "'"
 
 
 def values(columns: str, rows: list[tuple]) -> str:

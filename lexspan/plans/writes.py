@@ -45,7 +45,7 @@ def delete_scope(spark, sf_dir):
     return kept.groupBy("source").agg(F.count(F.lit(1)).alias("kept"), F.lit(0).cast("long").alias("dropped"))
 
 
-@query("select o_orderkey, coalesce(case when o_orderstatus = 'F' then 'resolved' when o_orderstatus = 'O' then 'triaged' end, o_orderstatus) status, case when o_orderstatus = 'F' then 1700000000 end stamp from orders")
+@query("select o_orderkey, coalesce(case when o_orderstatus = 'F' then 'resolved' when o_orderstatus = 'O' then 'triaged' end, o_orderstatus) status, case when o_orderstatus = 'F' then 1700000000::bigint end stamp from orders")
 def status_transition(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.lit(None).cast("long").alias("stamp"))
     new = F.when(F.col("status") == "F", "resolved").when(F.col("status") == "O", "triaged")
