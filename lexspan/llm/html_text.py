@@ -168,12 +168,11 @@ def main_text(page: list[Block], neighbours: list[list[Block]]) -> tuple[str, in
     """The page's main text, and how many lines the comparison deleted.
 
     Furniture goes. Lines shared with the neighbour go too, except within the page's own article or main element:
-    what is shared there (a passage, a licence) is text of both pages. If there is such an element, nothing outside
-    it is main text.
+    what is shared there (a passage, a licence) is text of both pages. Unshared lines stay wherever they are, so a
+    story beside a teaser's article, or a lead before the article, is main text.
     """
     shared = shared_with(page, neighbours)
-    rooted = any(b.inside and not b.junk for b in page)
-    kept = [b.text for i, b in enumerate(page) if not b.junk and (b.inside if rooted else i not in shared)]
+    kept = [b.text for i, b in enumerate(page) if not b.junk and (b.inside or i not in shared)]
     return "\n".join(kept), len([i for i in shared if not page[i].inside])
 
 

@@ -78,6 +78,16 @@ def test_differencing_without_an_article():
     assert text(one) == "Top bar\nThe first story.\nIt goes on.\nAbout us"
 
 
+def test_differencing_outside_an_article():
+    """The story in a div beside a teaser's article, and a lead and an end around the article, stay; shared lines outside go."""
+    one = "<div>Top bar</div><div>The whole story.</div><article>Teaser one</article><div>About us</div>"
+    two = "<div>Top bar</div><p>A lead.</p><article>Another tale.<p>A licence</article><p>The end.</p><div>About us</div>"
+    three = "<div>Top bar</div><article>A third tale.<p>A licence</article><div>About us</div>"
+    assert text(one, two) == "The whole story.\nTeaser one"
+    assert text(two, three) == "A lead.\nAnother tale.\nA licence\nThe end." and text(three, two) == "A third tale.\nA licence"
+    assert text(two) == "Top bar\nA lead.\nAnother tale.\nA licence\nThe end.\nAbout us"
+
+
 def slow_lcs(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):
