@@ -88,6 +88,39 @@ def test_differencing_outside_an_article():
     assert text(two) == "Top bar\nA lead.\nAnother tale.\nA licence\nThe end.\nAbout us"
 
 
+TEMPLATE = ["Top bar", "All the news of the town and of its people", "Read our terms before you write to us", "About us and how to reach us by post"]
+
+
+def page_of(*story):
+    return "".join(f"<div>{x}</div>" for x in (*TEMPLATE[:2], *story, *TEMPLATE[2:]))
+
+
+STORIES = ["The mayor opened a new bridge over the river on Monday morning.", "Heavy rain closed seven schools in northern villages yesterday.", "Farmers expect their best harvest since records began here.", "A lost dog walked forty miles home across two mountain passes.", "Police found stolen paintings inside an abandoned bakery cellar."]
+
+
+def test_short_stories_in_a_long_template():
+    """The template is over 80 % of each page, so all are copies by characters; their unshared lines are other texts."""
+    assert text(page_of("Rain fell on six small roofs."), page_of("Nobody saw who took that ladder.")) == "Rain fell on six small roofs."
+    # an edited date or word in a long story makes no other text
+    long = [f"{x} {n}" for n in range(4) for x in STORIES]
+    assert text(page_of("Seen on 3 May", *long), page_of("Seen on 4 May", *long)) == "\n".join([*TEMPLATE[:2], "Seen on 3 May", *long, *TEMPLATE[2:]])
+
+
+@pytest.mark.parametrize("run_pages", (1, 2, 3, 5, 1000))
+def test_neighbours_beyond_copies_and_runs(spark, run_pages):
+    """Copies at neighbouring URLs, a template-heavy host and hosts cut by runs: every page loses its template."""
+    long = [[f"{x} {n}" for x in STORIES[n:] + STORIES[:n]] for n in range(3)]
+    texts = {("copies.example", i): long[n] for i, n in enumerate([0, 0, 0, 1, 1, 1, 1, 0, 2, 2, 2, 2, 2])}
+    texts |= {("short.example", i): [STORIES[i % 5]] for i in range(7)}
+    texts |= {("near.example", i): [f"Seen {i} times", *long[i // 4]] for i in range(8)}
+    texts |= {("alone.example", 0): long[0], ("two.example", 0): long[1], ("two.example", 1): long[2]}
+    rows = [(n, f"http://{host}/{i:02}", page_of(*story)) for n, ((host, i), story) in enumerate(texts.items())]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), run_pages).collect()}
+    assert len(got) == len(rows)
+    for n, ((host, _), story) in enumerate(texts.items()):
+        assert got[n] == "\n".join([*TEMPLATE[:2], *story, *TEMPLATE[2:]] if host == "alone.example" else story), (host, n)
+
+
 def slow_lcs(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):
