@@ -51,10 +51,19 @@ def partial_unique(old: DataFrame, new: DataFrame, keys_of: dict[str, list[str]]
     return reduce(DataFrame.unionByName, parts)
 
 
+def _inside(scope: dict) -> Column:
+    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.lit(v)) for k, v in scope.items() if v is not None], F.lit(True))
+
+
 def delete_scope(rows: DataFrame, **scope) -> DataFrame:
     """Rows outside the scope: equality on each given column that isn't None."""
-    inside = reduce(Column.__and__, [F.col(k).eqNullSafe(F.lit(v)) for k, v in scope.items() if v is not None], F.lit(True))
-    return rows.where(~inside)
+    return rows.where(~_inside(scope))
+
+
+def delete_scope_counts(rows: DataFrame, by: str, **scope) -> DataFrame:
+    """For each value of `by` the rows that delete_scope keeps and drops; a value whose rows all go has kept 0."""
+    inside = _inside(scope)
+    return rows.groupBy(by).agg(F.count_if(~inside).alias("kept"), F.count_if(inside).alias("dropped"))
 
 
 def change_status(rows: DataFrame, status: Column, now: Column, terminal: tuple[str, ...], stamp: str, notes: Column | None = None) -> DataFrame:

@@ -45,6 +45,12 @@ def delete_scope(spark, sf_dir):
     return kept.groupBy("source").agg(F.count(F.lit(1)).alias("kept"), F.lit(0).cast("long").alias("dropped"))
 
 
+@query("select source, count(*) filter (where source is distinct from 'src1' or lang is distinct from 'en') kept, count(*) filter (where source = 'src1' and lang = 'en') dropped from documents group by source")
+def delete_scope_counts(spark, sf_dir):
+    """Survivors and deleted rows of every source; delete_scope lists the survivors only and has no count of the others."""
+    return changes.delete_scope_counts(table(spark, sf_dir, "documents").select("source", "lang"), "source", source="src1", lang="en")
+
+
 @query("select o_orderkey, coalesce(case when o_orderstatus = 'F' then 'resolved' when o_orderstatus = 'O' then 'triaged' end, o_orderstatus) status, case when o_orderstatus = 'F' then 1700000000::bigint end stamp from orders")
 def status_transition(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.lit(None).cast("long").alias("stamp"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lexspan import plans
 from lexspan.operators import changes, logs, registry, resolve, search, tree
 from lexspan.schema import TABLES, empty
 
@@ -21,6 +22,16 @@ def test_phrase_search(spark):
     assert snip.s.split() == [f"w{i}" for i in range(30, 50)] and snip.t.split() == [f"w{i}" for i in range(20)]
 
 
+def test_delete_scope_counts(spark, sf_dir):
+    """Deleted rows are counted, and a source that goes as a whole has a row."""
+    old = spark.createDataFrame([("a", "en"), ("a", "de"), ("a", None), ("b", "en"), ("b", "en"), (None, "en")], "source string, lang string")
+    count = lambda **scope: {tuple(r) for r in changes.delete_scope_counts(old, "source", **scope).collect()}
+    assert count(source="a", lang="en") == {("a", 2, 1), ("b", 2, 0), (None, 1, 0)} and count(source="b", lang=None) == {("a", 3, 0), ("b", 0, 2), (None, 1, 0)}
+    got = plans.QUERIES["delete_scope_counts"](spark, sf_dir).agg(F.sum("dropped"), F.sum(F.col("kept") + F.col("dropped"))).first()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert got[0] == docs.where("source = 'src1' and lang = 'en'").count() > 0 and got[1] == docs.count()
+
+
 def test_domain_trust(spark):
     domains = spark.createDataFrame([(1, "lw.com"), (2, "kirkland.com"), (3, "justice.gov")], "id int, domain string")
     hosts = spark.createDataFrame([(h,) for h in ("lw.com", "blog.lw.com", "kirkland.com", "someagency.gov", "justice.gov", "random-blog.xyz", "notlw.com")], "host string")
