@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -15,7 +17,7 @@ from lexspan.llm.common import Workspace
 from lexspan.llm.lines import dedup_lines
 from lexspan.llm.mixing import mix_sources, mixture
 from lexspan.llm.queries import op1_toxicity, op3_repetition, op5_mix, op7_line_dedup, op8_exact_dedup
-from lexspan.llm.repetition import LINE_LIMIT, NGRAM_LIMITS, repetition_rules
+from lexspan.llm.repetition import LINE_LIMIT, NGRAM_LIMITS, measure, repetition_rules
 
 WORD, WHITE = re.compile("[^ \t-\r]+"), " \t\n\x0b\f\r"
 sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
@@ -289,3 +291,16 @@ def test_pipeline_stages(spark, sf_dir):
     before, after = steps["packing"]
     assert sum(p.length for p in after) == sum(p.doc_tokens for p in after if p.start == 0)
     assert Counter(p.doc_id for p in after if p.start == 0) == Counter(r.doc_id for r in before)
+
+
+@pytest.mark.parametrize("share, kept", [(0.08, True), (0.16, True), (0.19, True), (0.24, False), (0.28, False)])
+def test_planted_repeats(share, kept):
+    """Random words whose beginning comes again at the end: all below a fifth in repeats pass, all near a fourth fail."""
+    rng = np.random.default_rng(1)
+    texts = []
+    for size in rng.integers(100, 400, 100):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, size)]
+        n = round(size * share / 2)
+        texts.append(" ".join(words[: size - n] + words[:n]))
+    found = measure(pa.array(range(len(texts))), pa.array(texts))
+    assert not found["base_failed"].any() and (found["kept"] == kept).all()
