@@ -92,6 +92,29 @@ def cascade(left: DataFrame, key: str, stages: list[tuple[str, callable]]) -> Da
     return reduce(DataFrame.unionByName, found)
 
 
+def match_catalog(left: DataFrame, right: DataFrame, key: str, block: str, name: str) -> DataFrame:
+    """(key, match, strategy) by equal keys, then equal whole names in the block, then the most similar token set there.
+
+    Names are normalised, with one space between tokens; `right` has its keys in a column `key` as well. Of several rows
+    with a name the first one is taken. Empty and null names and null blocks match by key only.
+    """
+    named = right.where(F.col(name) != "").select(F.col(key).alias("__match"), block, name)
+
+    def by_key(rest: DataFrame) -> DataFrame:
+        return match_exact(rest, right.select(key).distinct(), [key]).withColumn("match", F.col(key).cast("string"))
+
+    def by_name(rest: DataFrame) -> DataFrame:
+        best = named.groupBy(block, name).agg(F.min("__match").cast("string").alias("match"))
+        return match_exact(rest.where(F.col(name) != ""), best, [block, name])
+
+    def by_tokens(rest: DataFrame) -> DataFrame:
+        tokens = lambda df: df.withColumn("__tokens", F.split(name, " "))
+        found = match_fuzzy(tokens(rest.where(F.col(name) != "")), tokens(named), block, "__tokens", key, "__match")
+        return found.withColumn("match", F.col("match").cast("string"))
+
+    return cascade(left, key, [("key", by_key), ("name", by_name), ("fuzzy", by_tokens)])
+
+
 def stats(rows: DataFrame, dimensions: list[str]) -> DataFrame:
     """(dimension, key, n): one-dimensional counts and the total in one pass over the rows; null keys aren't counted."""
     pairs = [F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("key")) for d in dimensions]

@@ -89,6 +89,20 @@ def match_cascade(spark, sf_dir):
     return registry.cascade(customers, "c_custkey", [("key", by_key), ("name", by_name)]).groupBy("strategy").agg(F.count(F.lit(1)).alias("n"))
 
 
+NAME_OF = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+@query(f"with c as (select c_custkey, c_nationkey b, {NAME_OF.format('c_name')} k, list_distinct(string_split({NAME_OF.format('c_name')}, ' ')) t from customer), "
+       f"s as (select s_suppkey, s_nationkey b, {NAME_OF.format('s_name')} k, list_distinct(string_split({NAME_OF.format('s_name')}, ' ')) t from supplier) "
+       "select strategy, count(*) n from (select case when exists (select 1 from s where s_suppkey = c_custkey) then 'key' when exists (select 1 from s where s.b = c.b and s.k = c.k) then 'name' "
+       "when exists (select 1 from s where s.b = c.b and len(list_intersect(s.t, c.t)) >= 0.85 * (len(s.t) + len(c.t) - len(list_intersect(s.t, c.t)))) then 'fuzzy' else 'unmatched' end strategy from c) group by strategy")
+def match_cascade_full(spark, sf_dir):
+    """All three stages, by whole names within a nation; match_cascade has two and compares the ends of names."""
+    named = lambda t, key, name, nation: table(spark, sf_dir, t).select(F.col(key).alias("c_custkey"), F.col(nation).alias("b"), norm(F.col(name)).alias("k"))
+    found = registry.match_catalog(named("customer", "c_custkey", "c_name", "c_nationkey"), named("supplier", "s_suppkey", "s_name", "s_nationkey"), "c_custkey", "b", "k")
+    return found.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("select c.c_custkey, coalesce(s.s_nationkey, c.c_nationkey) nation, coalesce(s.s_acctbal, c.c_acctbal) bal from customer c left join supplier s on c.c_custkey = s.s_suppkey")
 def merge_keep_geo(spark, sf_dir):
     new = table(spark, sf_dir, "customer").select(F.col("c_custkey"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("bal"))

@@ -32,6 +32,15 @@ def test_delete_scope_counts(spark, sf_dir):
     assert got[0] == docs.where("source = 'src1' and lang = 'en'").count() > 0 and got[1] == docs.count()
 
 
+def test_match_catalog(spark):
+    """Key, whole name, token sets; the same ending alone is no match, nor is another block's name."""
+    have = "id long, block string, name string"
+    left = spark.createDataFrame([(1, "a", "x"), (2, "a", "palm city"), (3, "a", "one two three four five six seven"), (4, "a", "oak city"), (5, "b", "palm city"), (6, "a", ""), (7, "a", None), (8, None, "palm city")], have)
+    right = spark.createDataFrame([(1, "b", "y"), (20, "a", "palm city"), (19, "a", "palm city"), (30, "a", "seven six five four three two one"), (40, "a", "elm city"), (41, "a", ""), (42, None, "palm city")], have)
+    want = {(1, "1", "key"), (2, "19", "name"), (3, "30", "fuzzy")} | {(i, None, "unmatched") for i in (4, 5, 6, 7, 8)}
+    assert {tuple(r) for r in registry.match_catalog(left, right, "id", "block", "name").collect()} == want
+
+
 def test_domain_trust(spark):
     domains = spark.createDataFrame([(1, "lw.com"), (2, "kirkland.com"), (3, "justice.gov")], "id int, domain string")
     hosts = spark.createDataFrame([(h,) for h in ("lw.com", "blog.lw.com", "kirkland.com", "someagency.gov", "justice.gov", "random-blog.xyz", "notlw.com")], "host string")
