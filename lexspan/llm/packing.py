@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,8 +104,9 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 1024, turn
             step = max(1, len(batch) * BATCH_BYTES // max(1, batch.column("text").nbytes))
             for at in range(0, len(batch), step):
                 part = batch.slice(at, step)
-                ids = [x + tail for x in coder.encode(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "n", "ids"])
+                ids = pc.binary_join_element_wise(coder.encode(part.column("text")), tail, b"")
+                size = pc.divide(pc.binary_length(ids), 2).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), size, ids], names=["doc_id", "source", "n", "ids"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
     tokens = read.mapInArrow(run, "doc_id long, source string, n long, ids binary")

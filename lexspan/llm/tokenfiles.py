@@ -30,7 +30,7 @@ MAGIC = b"LXTOK1\n\0"
 #: A task encodes and writes its ids in segments of about so many.
 SEGMENT_TOKENS = 8 << 20
 #: Texts that are tokenised together.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
 
 
 def raw_strings(values: list[bytes]) -> pa.Array:
@@ -90,7 +90,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, parti
             step = max(1, len(batch) * BATCH_BYTES // max(1, batch.column("text").nbytes))
             for at in range(0, len(batch), step):
                 part = batch.slice(at, step)
-                for key, found in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text").to_pylist()), strict=True):
+                for key, found in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text")).to_pylist(), strict=True):
                     keys.append(key)
                     ids.append(found + tail)
                     held += len(ids[-1]) // 2

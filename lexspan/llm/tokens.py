@@ -1,61 +1,49 @@
-"""Texts to token ids by the `tokenizers` library, each distinct chunk of a batch encoded once."""
+"""Texts to token ids by the `tokenizers` library, each distinct chunk of a text encoded once."""
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 from array import array
+from operator import attrgetter
 
-#: Chunks whose ids a worker remembers for good (the frequent ones come first), and further ones it holds until they are as many.
-MEMO_CHUNKS, RECENT_CHUNKS = 600_000, 100_000
-#: Marks a chunk that no space goes before; no text from Arrow has a lone surrogate.
-_FIRST = "\ud800"
-_BLANKS = re.compile(r"^ | $| \s|\s ")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Chunks whose ids a worker remembers; then it starts anew.
+MEMO_CHUNKS = 1_000_000
+#: Marks a chunk that no space goes before. A text that has it is encoded as a whole.
+_FIRST = "\x01"
+_BLANKS = re.compile(r"\A | \Z| \s|\s ")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-#: A comma or full stop that ends a word other than after a letter or digit: such marks may belong to a longer piece.
-_ODD_MARK = re.compile(r"[,.](?<![^\W_][,.])(?=[ \n])")
-#: Beyond these letters lower case may depend on what stands around.
-_FAR = re.compile("[^\0-\u024f]")
+#: Latin letters that normalisation and lower case keep single letters: all but U+0130, whose lower case has a mark.
+_LATIN = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}"
+_NEAR = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ]+")
+#: White space other than space and line feed in Unicode or in Python.
+_OTHER_WHITE = r"\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: What a text must not have to be cut at every space, line feed and final mark (RE2): other white space, two in a row or at an
+#: end; a comma or full stop before white space that doesn't come after a Latin letter or a digit, as it may belong to a longer piece.
+_ODD = rf"[ \n][ \n]|\A[ \n]|[ \n]\z|[\x01{_OTHER_WHITE}]|(?:\A|[^0-9{_LATIN}])[,.][ \n]"
+#: Letters, then marks other than apostrophes: two pieces for both vocabularies.
+_ENDED = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")
 #: Byte-level symbols: printable bytes stand for themselves, the others, in order, for the characters from U+0100 on.
-_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_SYMBOLS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-
-
-def _near(text: str) -> bool:
-    """All characters are Latin letters up to U+024F or what lies between."""
-    try:
-        text.encode("latin-1")
-        return True
-    except UnicodeEncodeError:
-        return not _FAR.search(text)
-
-
-class _Memo(dict):
-    """Ids of chunks as bytes, made when first asked for."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.recent = make, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) < MEMO_CHUNKS:
-            found = self[chunk] = self.make(chunk)
-            return found
-        found = self.recent.get(chunk)
-        if found is None:
-            if len(self.recent) >= RECENT_CHUNKS:
-                self.recent.clear()
-            found = self.recent[chunk] = self.make(chunk)
-        return found
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_HIDDEN = [b for b in range(256) if b not in _PRINTED]
+_ID = attrgetter("id")
+_SYMBOLS = "".join(chr(b) if b in _PRINTED else chr(256 + _HIDDEN.index(b)) for b in range(256))
 
 
 class Encoder:
-    """Ids of whole texts as 16-bit little-endian bytes.
+    """Ids of whole texts as 16-bit little-endian bytes, equal to the library's encode(text, add_special_tokens=False).
 
     A single space between two characters that aren't white space always starts a new piece for the pre-tokenizers
-    of both vocabularies (byte-level: the space opens the next piece; word-level: it is dropped), and no
-    normalisation reaches across it, so the chunks between such spaces can be encoded apart. Most are words seen
-    before. The strings of special tokens in a text are ordinary text.
+    of both vocabularies (byte-level: the space opens the next piece; word-level: it is dropped), no normalisation
+    reaches across it, and no special token's string has one, so the chunks between such spaces can be encoded apart.
+    Plain texts (see _ODD) are also cut at line feeds and before a comma or full stop that ends a word: these are
+    pieces of their own there. Most chunks are words seen before. As the library does by default, the strings of
+    special tokens in a text become those tokens; texts with one aren't plain.
     """
 
     def __init__(self, path: str):
@@ -63,51 +51,101 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError("ids must fit 16 bits")
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(c.isspace() for t in special for c in t):
+            raise ValueError("a special token with white space")
+        self.odd = "|".join([_ODD, *map(re.escape, special)])
         # does the space belong to the piece after it?
-        one, other = (e.ids for e in self.tokenizer.encode_batch([" a", "a"], add_special_tokens=False))
-        self.glue = " " if one != other else ""
-        self.memo = _Memo(self._ids)
+        self.glue = self._whole(" a") != self._whole("a")
+        self.make = self._glued if self.glue else self._apart
+        self.memo: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _model(self, symbols: str) -> bytes:
+        return array("H", list(map(_ID, self.tokenize(symbols)))).tobytes()
+
+    def _glued(self, chunk: str) -> bytes:
+        """Ids of a chunk and the space before it. A run of Latin letters is one piece and goes straight to the tokenizer's model,
+        in the symbols that byte-level pre-tokenisation gives bytes."""
+        if chunk.isalpha() and chunk.isascii():
+            return self._model(f"Ġ{chunk}")
+        word = chunk[1:] if chunk[:1] == _FIRST else f" {chunk}"
+        letters = word.removeprefix(" ")
+        if letters.isascii():
+            if letters.isalpha():
+                return self._model(letters if letters == word else f"Ġ{letters}")
+            if ended := _ENDED.fullmatch(letters):
+                return self._ids(chunk[: len(chunk) - len(ended[2])]) + self._ids(_FIRST + ended[2])
+        elif _NEAR.fullmatch(letters):
+            return self._model(codecs.charmap_decode(word.encode(), "strict", _SYMBOLS)[0])
+        return self._whole(word)
+
+    def _apart(self, chunk: str) -> bytes:
+        """Ids of a chunk where white space is dropped and letters are lowered."""
+        if _NEAR.fullmatch(chunk):
+            low = chunk.lower()
+            if low != chunk:
+                return self._ids(low)
+            return self._model(chunk if chunk.isascii() else codecs.charmap_decode(chunk.encode(), "strict", _SYMBOLS)[0])
+        if ended := _ENDED.fullmatch(chunk):
+            return self._ids(ended[1]) + self._ids(ended[2])
+        return self._whole(chunk)
 
     def _ids(self, chunk: str) -> bytes:
-        """Ids of a chunk. A single run of letters that normalisation leaves alone goes straight to the tokenizer's model, in
-        the symbols that byte-level pre-tokenisation gives bytes."""
+        found = self.memo.get(chunk)
+        if found is None:
+            found = self.memo[chunk] = self.make(chunk)
+        return found
+
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks; those that are new are remembered."""
+        found = list(map(self.memo.get, chunks))
+        new = [i for i, x in enumerate(found) if x is None]
+        if len(self.memo) + len(new) > MEMO_CHUNKS:
+            self.memo.clear()
+        make, memo = self.make, self.memo
+        for i in new:
+            chunk = chunks[i]
+            found[i] = memo[chunk] = make(chunk)
+        return found
+
+    def _plain(self, texts: pa.Array) -> pa.Array:
+        """Ids of plain texts. Arrow cuts them and finds the distinct chunks, so Python sees each of these once a batch. In the
+        glued form _FIRST tells chunks without a space of their own."""
+        first = _FIRST if self.glue else ""
+        texts = pc.replace_substring(texts, "\n", f" {first}\n {first}" if first else " ")
+        for mark in ",.":
+            texts = pc.replace_substring(texts, f"{mark} ", f" {first}{mark} ")
+        if first:
+            texts = pc.binary_join_element_wise(first, texts, "")
+        lists = pc.split_pattern(texts, " ")
+        chunks = lists.flatten().dictionary_encode()
+        found = pa.array(self._known(chunks.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.binary()).take(chunks.indices)
+        ends = np.frombuffer(found.buffers()[1], np.int32)[: len(found) + 1][lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends.tobytes()), found.buffers()[2]])
+
+    def _other(self, text: str) -> bytes:
+        if _FIRST in text:
+            return self._whole(text)
+        chunks = _BETWEEN.split(text) if _BLANKS.search(text) else text.split(" ")
         if self.glue:
-            word, space = (chunk[1:], "") if chunk[:1] == _FIRST else (chunk, " ")
-        else:
-            word, space = chunk, ""
-        if word.isalpha() and not _FAR.search(word) and (self.glue or word == word.lower()):
-            symbols = (space + word).encode().decode("latin-1").translate(_SYMBOLS)
-            return array("H", [t.id for t in self.model.tokenize(symbols)]).tobytes()
-        return array("H", self.tokenizer.encode(space + word, add_special_tokens=False).ids).tobytes()
-
-    def _chunks(self, text: str) -> list[str]:
-        """Chunks whose ids, one after the other, are those of the text."""
-        # true if all white space is single spaces and line feeds between words
-        single = len(text.split()) == text.count(" ") + text.count("\n") + 1
-        if not single or _ODD_MARK.search(text) or _FIRST in text:
-            chunks = _BETWEEN.split(text) if _BLANKS.search(text) else text.split(" ")
-        elif self.glue:  # a comma or full stop after a letter or digit is a piece of its own, and so is a single line feed
-            for mark in ",.":
-                text = text.replace(f"{mark} ", f" {_FIRST}{mark} ").replace(f"{mark}\n", f" {_FIRST}{mark}\n {_FIRST}")
-            chunks = text.split(" ")
-        else:
-            if _near(text):
-                text = text.lower()
-            text = text.replace("\n", " ")
-            for mark in ",.":
-                text = text.replace(f"{mark} ", f" {mark} ")
-            chunks = text.split(" ")
-        if self.glue:  # a first chunk is marked, as it has no space before it
             chunks[0] = _FIRST + chunks[0]
-        return chunks
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        get = self.memo.__getitem__
-        return [b"".join(map(get, self._chunks(text or ""))) for text in texts]
+        return b"".join(self._known(chunks))
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text of a string column (binary); null counts as empty."""
+        texts = texts.fill_null("")
+        other = pc.match_substring_regex(texts, self.odd)
+        if not len(texts) or not pc.any(other).as_py():
+            return self._plain(texts)
+        rest = pa.array([self._other(t) for t in texts.filter(other).to_pylist()], pa.binary())
+        order = np.argsort(other.to_numpy(zero_copy_only=False), kind="stable")  # plain texts come first
+        return pa.concat_arrays([self._plain(texts.filter(pc.invert(other))), rest]).take(pa.array(np.argsort(order)))
 
 
 _encoders: dict[str, Encoder] = {}

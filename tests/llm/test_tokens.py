@@ -3,11 +3,12 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from lexspan.llm import rangecoder
+from lexspan.llm import rangecoder, tokens
 from lexspan.llm.packing import pack
 from lexspan.llm.queries import op2_token_files, op4_pack
 from lexspan.llm.tokenfiles import read_tokens, segment, segments, with_starts, write_tokens
@@ -18,7 +19,6 @@ WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.pa
 
 def plain(path):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -26,14 +26,36 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+MARKS = ["\u0301", "\u0307", "\u0308", "\u0323", "\u200d", "\u180e", "\u200b"]
+CASED = ["İ", "ı", "ß", "Σ", "ς", "ǅ", "ŉ", "ǰ", "\u212a", "\u212b", "ﬁ", "Ǆ", "É", "é", "Ⱥ", "ɐ", "Я", "я", "中", "ª", "º", "²", "½", "Ⅷ", "٣", "ʼ"]
+OTHERS = ["a", "the", "don't", "I'LL", "'s", " '", "\n", "\n\n", ".", ",", ". ", ", ", ".\n", ",\n", "%%", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "\0", "\x01", "12", "3", "x1", "Word", "étE", "wörld,", "end."]
+USUAL = ["Some", "words", "été", "NÃO", ",", " ", ",", ". ", "\n", ".\n", "x", "İ", "%%%", " 5", "é's"]
+
+
 @pytest.mark.parametrize("path", [WORDS, BYTES])
-def test_chunked_encoding_equals_whole_texts(path):
-    rng = random.Random(3)
-    pieces = ["a", "the", "don't", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "é", "É", "é", "́", "12", "3", "%%", "'s", "ΑΣ", "İ", "<|endoftext|>", "\0", "中文", "."]
-    texts = ["", " ", *("".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 20))) for _ in range(400))]
-    coder, whole = Encoder(path), plain(path)
-    for text, got in zip(texts, coder.encode(texts), strict=True):
-        assert np.frombuffer(got, "<u2").tolist() == whole(text), repr(text)
+def test_encoding_equals_the_library(path):
+    """Chunked or not: strings over all white space, marks and letters with odd case, and special tokens' strings."""
+    rng, pieces = random.Random(3), [*OTHERS, *SPACES, *MARKS, *CASED]
+    texts = ["", " ", "end.\n\xa0\xa0Next", "İ, a", "a <|endoftext|> b", " word"]
+    for k in range(100_000):
+        pool = (pieces, rng.sample(pieces, 6) + ["word", " ", " ", "a"], USUAL)[k % 3]
+        texts.append("".join(rng.choice(pool) + (rng.choice(["", " "]) if k % 2 else "") for _ in range(rng.randrange(1, 14))))
+    coder, library = Encoder(path), Tokenizer.from_file(path)
+    for at in range(0, len(texts), 5000):
+        part = texts[at : at + 5000]
+        for text, got, want in zip(part, coder.encode(pa.array(part)).to_pylist(), library.encode_batch(part, add_special_tokens=False), strict=True):
+            assert np.frombuffer(got, "<u2").tolist() == want.ids, repr(text)
+    assert coder.encode(pa.array([None, "", None], pa.string())).to_pylist() == [b"", b"", b""] and len(coder.encode(pa.array([], pa.string()))) == 0
+
+
+def test_memory_of_chunks_starts_anew(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_CHUNKS", 20)
+    texts = [" ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n)) for n in range(1, 40)]
+    coder, whole = Encoder(BYTES), plain(BYTES)
+    for text in texts * 2:
+        assert np.frombuffer(coder.encode(pa.array([text]))[0].as_py(), "<u2").tolist() == whole(text)
+    assert len(coder.memo) <= 60
 
 
 @pytest.mark.parametrize("seed", range(3))
