@@ -7,13 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import Workspace
 from .changes import keep_first
 
 SIMILAR = 0.85
+#: So many frequent tokens are known by their counts when token sets are put in order.
+COMMON_TOKENS = 20_000
 
 
 def match_exact(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Strategy 1: equal keys."""
+    """Strategy 1: equal keys; `right` has one row for each (see keep_last: of duplicates the last wins)."""
     return left.join(right, keys)
 
 
@@ -23,58 +26,104 @@ def match_name(left: DataFrame, right: DataFrame, block: str, name: str, key: st
     return keep_first(left.join(right, [block, name]), [key], best, F.col(order))
 
 
-def _token_sets(rows: DataFrame, block: str, tokens: str, key: str) -> DataFrame:
-    """One row for each distinct token set of a block: its first key and how many rows have it.
+def _members(rows: DataFrame, block: str, tokens: str, key: str) -> DataFrame:
+    """(block, __key, __set, __sid): each row's distinct tokens in order, and their SHA-256, which stands for the set.
 
-    Tokens are put in one order, longest first; rows with equal sets become one, so copies never pair with each other.
+    Rows without a block or tokens match nothing.
     """
-    ordered = F.transform(F.sort_array(F.transform(F.array_distinct(tokens), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
-    return rows.select(F.col(block), F.col(key).alias("__key"), ordered.alias("__set")).groupBy(block, "__set").agg(F.min("__key").alias("first"), F.count(F.lit(1)).alias("n"))
+    own = rows.where(F.col(block).isNotNull() & F.col(tokens).isNotNull())
+    own = own.select(F.col(block), F.col(key).alias("__key"), F.sort_array(F.array_distinct(F.array_compact(tokens))).alias("__set"))
+    return own.withColumn("__sid", F.sha2(F.to_json("__set"), 256))
 
 
-def similar_sets(left: DataFrame, right: DataFrame, block: str, least: float = SIMILAR) -> DataFrame:
-    """(block, l_set, r_first, score) for pairs of _token_sets() rows of one block with Jaccard similarity `least` or more.
+def _token_sets(members: DataFrame, block: str) -> DataFrame:
+    """(block, __sid, first, n): one row for each distinct token set of a block, its first key and how many rows have it, so
+    copies never pair with each other."""
+    return members.groupBy(block, "__sid").agg(F.min("__key").alias("first"), F.count(F.lit(1)).alias("n"))
 
-    Prefix filter: sets of n tokens that reach the threshold share one of the first n - ceil(least * n) + 1 tokens of both,
-    so pairs come from an equi join on (block, such a token); sizes prune further. No pair is lost.
-    """
 
-    def keyed(df: DataFrame, side: str) -> DataFrame:
-        n = F.size("__set")
-        prefix = F.slice("__set", 1, n - F.ceil(F.lit(least) * n).cast("int") + 1)
-        return df.select(block, F.col("first").alias(f"{side}_first"), F.col("__set").alias(f"{side}_set"), F.explode(prefix).alias("__token"))
+def _ordered(ws: Workspace, sets: list[DataFrame], block: str) -> list[DataFrame]:
+    """The sets (block, id, __set) with `__tokens`: their tokens by one global order, rare ones first.
 
-    pairs = keyed(left, "l").join(keyed(right, "r"), [block, "__token"])
-    small, large = F.least(F.size("l_set"), F.size("r_set")), F.greatest(F.size("l_set"), F.size("r_set"))
-    pairs = pairs.where(small >= F.lit(least) * large).dropDuplicates([block, "l_first", "r_first"])
-    score = F.size(F.array_intersect("l_set", "r_set")) / F.size(F.array_union("l_set", "r_set"))
-    return pairs.select(block, "l_first", "r_first", score.alias("score")).where(F.col("score") >= least)
+    Only the COMMON_TOKENS most frequent tokens of all blocks have a place by frequency (that list is broadcast); all others
+    come before them, by hash. Any one order gives the right result; this one keeps common tokens out of prefixes.
+    """
+    tokens = [s.select(block, "id", F.explode("__set").alias("token")) for s in sets]
+    counts = reduce(DataFrame.unionByName, tokens).groupBy(block, "token").agg(F.count(F.lit(1)).alias("held"))
+    common = ws.stage(counts.where("held > 1").orderBy(F.desc("held"), block, "token").limit(COMMON_TOKENS), "common")
+    out = []
+    for number, each in enumerate(tokens):
+        placed = each.join(F.broadcast(common), [block, "token"], "left")
+        order = F.sort_array(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), F.xxhash64("token").alias("h"), F.col("token"))))
+        out.append(ws.stage(placed.groupBy(block, "id").agg(F.transform(order, lambda x: x["token"]).alias("__tokens")), f"ordered-{number}"))
+    return out
+
+
+def similar_sets(ws: Workspace, left: DataFrame, right: DataFrame | None, block: str, least: float = SIMILAR) -> DataFrame:
+    """(block, l_id, r_id, score) for pairs of sets (block, id, __set) of one block with Jaccard similarity `least` or more.
+    Without `right`, pairs within `left`, each both ways.
+
+    Sets of n tokens that reach the threshold share one of the first n - ceil(least * n) + 1 tokens of both in any common
+    order, so pairs come from an equi join on (block, such a token) of narrow rows: an id, a size and a place. Sizes prune,
+    and so does the place of a pair's first common token (what is left behind it must suffice). No pair is lost. Tokens are
+    shuffled once in all; the tokens of candidates meet at the end.
+    """
+    ordered = _ordered(ws, [left] if right is None else [left, right], block)
+
+    def prefix(df: DataFrame, side: str) -> DataFrame:
+        n = F.size("__tokens")
+        first = F.slice("__tokens", 1, n - F.ceil(F.lit(least) * n - 1e-9).cast("int") + 1)
+        return df.select(block, F.col("id").alias(f"{side}_id"), n.alias(f"{side}_n"), F.posexplode(first).alias(f"{side}_at", "token"))
+
+    pairs = prefix(ordered[0], "l").join(prefix(ordered[-1], "r"), [block, "token"])
+    if right is None:
+        pairs = pairs.where("l_id < r_id")
+    small, large = F.least("l_n", "r_n"), F.greatest("l_n", "r_n")
+    behind = F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at"))
+    enough = F.lit(least / (1 + least)) * (F.col("l_n") + F.col("r_n")) - 1e-6  # common tokens of a pair that reaches the threshold
+    pairs = pairs.where((small >= F.lit(least) * large - 1e-6) & (behind >= enough)).select(block, "l_id", "r_id").distinct()
+    pairs = ws.stage(pairs, "candidates")
+    for side, df in (("l", ordered[0]), ("r", ordered[-1])):
+        pairs = pairs.join(df.select(block, F.col("id").alias(f"{side}_id"), F.col("__tokens").alias(f"{side}_set")), [block, f"{side}_id"])
+    common = F.size(F.array_intersect("l_set", "r_set"))
+    score = common / (F.size("l_set") + F.size("r_set") - common)
+    found = ws.stage(pairs.select(block, "l_id", "r_id", score.alias("score")).where(F.col("score") >= least), "similar")
+    if right is None:
+        found = found.unionByName(found.select(block, F.col("r_id").alias("l_id"), F.col("l_id").alias("r_id"), "score"))
+    return found
+
+
+def _firsts(members: DataFrame, sets: DataFrame, block: str) -> DataFrame:
+    """(block, id, __set) of each distinct set; its id is its first row's key."""
+    return members.join(sets.select(block, "__sid", F.col("first").alias("__key")).distinct(), [block, "__sid", "__key"], "left_semi").select(block, F.col("__key").alias("id"), "__set").dropDuplicates([block, "id"])
 
 
 def match_fuzzy(left: DataFrame, right: DataFrame, block: str, tokens: str, key: str, order: str, least: float = SIMILAR) -> DataFrame:
     """Strategy 3: (key, match, score), the largest Jaccard similarity of token sets in the block, ties by `order`."""
-    sets, others = _token_sets(left, block, tokens, key), _token_sets(right, block, tokens, order)
-    best = keep_first(similar_sets(sets, others, block, least), [block, "l_first"], F.col("score").desc(), F.col("r_first"))
-    return _to_rows(left, block, tokens, key, sets).join(best, [block, "l_first"]).select(F.col("__key").alias(key), F.col("r_first").alias("match"), "score")
-
-
-def _to_rows(rows: DataFrame, block: str, tokens: str, key: str, sets: DataFrame) -> DataFrame:
-    ordered = F.transform(F.sort_array(F.transform(F.array_distinct(tokens), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
-    own = rows.select(F.col(block), F.col(key).alias("__key"), ordered.alias("__set"))
-    return own.join(sets.withColumnRenamed("first", "l_first"), [block, "__set"]).drop("__set")
+    ws = Workspace(left.sparkSession, "fuzzy")
+    members, others = ws.stage(_members(left, block, tokens, key), "left"), ws.stage(_members(right, block, tokens, order), "right")
+    sets, other_sets = _token_sets(members, block), _token_sets(others, block)
+    pairs = similar_sets(ws, _firsts(members, sets, block), _firsts(others, other_sets, block), block, least)
+    best = keep_first(pairs, [block, "l_id"], F.col("score").desc(), F.col("r_id"))
+    owners = members.select(block, "__key", "__sid").join(sets.withColumnRenamed("first", "l_id"), [block, "__sid"])
+    return owners.join(best, [block, "l_id"]).select(F.col("__key").alias(key), F.col("r_id").alias("match"), "score")
 
 
 def match_fuzzy_self(rows: DataFrame, block: str, tokens: str, key: str, least: float = SIMILAR) -> DataFrame:
     """(key, match, score): each row's most similar other row of its block, ties by key.
 
-    Rows with equal sets match the first of them (the first one the second); only the others are compared by pairs.
+    Rows with equal sets match the first of them (the first one the second); only the others are compared by pairs. Keys
+    must be unique.
     """
-    sets = _token_sets(rows, block, tokens, key)
-    members = _to_rows(rows, block, tokens, key, sets)
-    second = members.where("n > 1 and __key != l_first").groupBy(block, "l_first").agg(F.min("__key").alias("second"))
-    twins = members.where("n > 1").join(second, [block, "l_first"]).select("__key", F.when(F.col("__key") == F.col("l_first"), F.col("second")).otherwise(F.col("l_first")).alias("match"), F.lit(1.0).alias("score"))
-    pairs = similar_sets(sets.where("n = 1"), sets, block, least).where("l_first != r_first")
-    alone = keep_first(pairs, [block, "l_first"], F.col("score").desc(), F.col("r_first")).select(F.col("l_first").alias("__key"), F.col("r_first").alias("match"), "score")
+    ws = Workspace(rows.sparkSession, "fuzzy")
+    members = ws.stage(_members(rows, block, tokens, key), "members")
+    sets = ws.stage(_token_sets(members, block), "sets")
+    copies = members.select(block, "__key", "__sid").join(sets.where("n > 1"), [block, "__sid"])
+    second = copies.where("__key != first").groupBy(block, "__sid").agg(F.min("__key").alias("second"))
+    twins = copies.join(second, [block, "__sid"]).select("__key", F.when(F.col("__key") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("match"), F.lit(1.0).alias("score"))
+    pairs = similar_sets(ws, _firsts(members, sets, block), None, block, least)
+    lone = sets.where("n = 1").select(block, F.col("first").alias("l_id"))
+    alone = keep_first(pairs.join(lone, [block, "l_id"], "left_semi"), [block, "l_id"], F.col("score").desc(), F.col("r_id")).select(F.col("l_id").alias("__key"), F.col("r_id").alias("match"), "score")
     return twins.unionByName(alone).withColumnRenamed("__key", key)
 
 

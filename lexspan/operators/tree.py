@@ -2,36 +2,54 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-MAX_DEPTH = 10
+from ..staging import Workspace, join_unique, ranked
 
 
-def levels(nodes: DataFrame, depth: int = MAX_DEPTH) -> list[DataFrame]:
-    """Nodes by depth, from the roots (null parent) on, with path (slugs joined by /), sort_path and depth.
+def paths(nodes: DataFrame, depth: int | None = None) -> DataFrame:
+    """Nodes below the roots (null parent), with path (slugs joined by /), parent_path, sort_path and depth (1 for roots).
 
-    nodes: id, parent, slug, ord (place among siblings). One equi join of the level before with its children for each level;
-    `depth` bounds malformed trees.
+    nodes: id (unique), parent, slug, ord (place among siblings). The nodes are staged once; each level is one equi join of
+    the level before with its children, staged in turn, until a level is empty or `depth` levels are made. Nodes whose
+    parent is missing, and all below them, are left out; a cycle raises ValueError (unless `depth` ends the walk before).
     """
-    root = nodes.where("parent is null").select("id", "parent", "slug", F.col("slug").alias("path"), F.lit(None).cast("string").alias("parent_path"), F.lpad(F.col("ord").cast("string"), 10, "0").alias("sort_path"), F.lit(1).alias("depth"))
-    out = [root]
-    for d in range(2, depth + 1):
-        up = out[-1].select(F.col("id").alias("parent"), F.col("path").alias("parent_path"), F.col("sort_path").alias("__sort"))
-        out.append(nodes.join(up, "parent").select("id", "parent", "slug", F.concat_ws("/", "parent_path", "slug").alias("path"), "parent_path", F.concat_ws(".", "__sort", F.lpad(F.col("ord").cast("string"), 10, "0")).alias("sort_path"), F.lit(d).alias("depth")))
-    return out
-
-
-def paths(nodes: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    return reduce(DataFrame.unionByName, levels(nodes, depth))
+    ws = Workspace(nodes.sparkSession, "tree")
+    place = F.lpad(F.col("ord").cast("string"), 10, "0")
+    given = ws.stage(nodes.select("id", "parent", "slug", place.alias("place")), "nodes")
+    known = given.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
+    # orphans are walked too, so that what no walk reaches must hang on a cycle
+    top = given.join(known, "parent", "left").where("known is null")
+    level = top.select("id", "parent", "slug", F.col("slug").alias("path"), F.lit(None).cast("string").alias("parent_path"), F.col("place").alias("sort_path"), F.lit(1).alias("depth"), F.col("parent").isNull().alias("rooted"))
+    total, reached, number, levels = given.count(), 0, 1, []
+    while True:
+        made = ws.stage(level, f"level-{number}")
+        found = made.count()
+        reached += found
+        if reached > total:
+            raise ValueError("the same id has several rows or parents")
+        if not found:
+            break
+        levels.append(f"{ws.path}/level-{number}")
+        if depth is not None and number >= depth:
+            break
+        number += 1
+        up = made.select(F.col("id").alias("parent"), F.col("path").alias("parent_path"), F.col("sort_path").alias("up"), "rooted")
+        level = given.join(up, "parent").select("id", "parent", "slug", F.concat_ws("/", "parent_path", "slug").alias("path"), "parent_path", F.concat_ws(".", "up", "place").alias("sort_path"), F.lit(number).alias("depth"), "rooted")
+    if not found and reached < total:
+        raise ValueError(f"{total - reached} nodes hang on a cycle")
+    read = nodes.sparkSession.read.schema(made.schema)
+    return (read.parquet(*levels) if levels else made).where("rooted").drop("rooted")
 
 
 def preorder(tree: DataFrame, group: Column) -> DataFrame:
-    """sort_order of each node in a walk of its group's tree, from 0; a group is one code, so a walk is one task's rows."""
-    return tree.withColumn("sort_order", F.row_number().over(Window.partitionBy(group).orderBy("sort_path")) - 1)
+    """sort_order of each node in a walk of its group's tree, from 0: a range sort by (group, sort_path) with prefix sums over
+    partitions, less the group's first rank; no group is gathered in one task."""
+    ws = Workspace(tree.sparkSession, "preorder")
+    placed = ws.stage(ranked(ws, tree.withColumn("__group", group), [F.col("__group"), F.col("sort_path")], "__rank"), "placed")
+    firsts = ws.stage(placed.groupBy("__group").agg(F.min("__rank").alias("__first"), F.count(F.lit(1)).alias("__n")), "firsts")
+    return join_unique(placed, firsts, ["__group"], "__n", "inner").withColumn("sort_order", F.col("__rank") - F.col("__first")).drop("__group", "__rank", "__first", "__n")
 
 
 def subtree(tree: DataFrame, path: str) -> DataFrame:

@@ -29,12 +29,12 @@ t as (select id, parent, id path, null::varchar parent_path, lpad(ord::varchar,
 
 @query(f"with recursive {ALL} select id, path, parent_path, depth::bigint depth from t")
 def tree_paths(spark, sf_dir):
-    return tree.paths(nodes(spark, sf_dir), 4).select("id", "path", "parent_path", F.col("depth").cast("long").alias("depth"))
+    return tree.paths(nodes(spark, sf_dir)).select("id", "path", "parent_path", F.col("depth").cast("long").alias("depth"))
 
 
 @query(f"with recursive {ALL} select id, split_part(path, '/', 1) root, row_number() over (partition by split_part(path, '/', 1) order by s) - 1 sort_order from t")
 def tree_preorder(spark, sf_dir):
-    rows = tree.paths(nodes(spark, sf_dir), 4).withColumn("root", F.substring_index("path", "/", 1))
+    rows = tree.paths(nodes(spark, sf_dir)).withColumn("root", F.substring_index("path", "/", 1))
     return tree.preorder(rows, F.col("root")).select("id", "root", F.col("sort_order").cast("long").alias("sort_order"))
 
 
@@ -50,7 +50,7 @@ def depth_limit(spark, sf_dir):
 
 @query(f"with recursive {ALL} select path from t where path = 'region-1/nation-1' or starts_with(path, 'region-1/nation-1/')")
 def subtree(spark, sf_dir):
-    return tree.subtree(tree.paths(nodes(spark, sf_dir), 4), "region-1/nation-1").select("path")
+    return tree.subtree(tree.paths(nodes(spark, sf_dir)), "region-1/nation-1").select("path")
 
 
 @query("select 'nation-' || n_nationkey id, n_name heading from nation where n_regionkey = 1 union all select 'region-' || r_regionkey, r_name from region where r_regionkey = 1")
@@ -62,7 +62,7 @@ def node_children(spark, sf_dir):
 
 @query(f"with recursive {ALL} select path, row_number() over (partition by split_part(path, '/', 1) order by s) place from t where id like 'order-%'")
 def content_leaves(spark, sf_dir):
-    rows = tree.paths(nodes(spark, sf_dir), 4).where(F.startswith("id", F.lit("order-"))).withColumn("root", F.substring_index("path", "/", 1))
+    rows = tree.paths(nodes(spark, sf_dir)).where(F.startswith("id", F.lit("order-"))).withColumn("root", F.substring_index("path", "/", 1))
     return tree.preorder(rows, F.col("root")).select("path", (F.col("sort_order") + 1).cast("long").alias("place"))
 
 

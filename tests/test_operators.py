@@ -1,5 +1,6 @@
 """Literal expectations for operators that the registered queries don't pin down."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexspan import plans
@@ -96,6 +97,23 @@ def test_trees(spark):
     assert {r.path for r in tree.subtree(found, "chapter-1").collect()} == set(walk[:3]) and tree.limit_depth(found, 1).count() == 2 and tree.limit_depth(found, 0).count() == 4
 
 
+def test_deep_trees_and_cycles(spark):
+    have = "id string, parent string, slug string, ord int"
+    chain = [(f"n{i}", f"n{i - 1}" if i else None, f"s{i}", 0) for i in range(50)]
+    got = tree.paths(spark.createDataFrame(chain, have)).collect()
+    assert len(got) == 50 and {r.depth for r in got} == set(range(1, 51)) and max(got, key=lambda r: r.depth).path == "/".join(f"s{i}" for i in range(50))
+    assert tree.paths(spark.createDataFrame([], have)).count() == 0
+    assert tree.paths(spark.createDataFrame([*chain[:3], ("x", "gone", "x", 0), ("y", "x", "y", 0)], have)).count() == 3
+    for loop in ([("a", "b", "a", 0), ("b", "a", "b", 0)], [("n0", "n2", "s", 0)]):
+        with pytest.raises(ValueError):
+            tree.paths(spark.createDataFrame([*chain[:3], *loop], have))
+    wide = spark.createDataFrame([*[(f"r{i}", None, f"r{i}", i) for i in range(3)], *[(f"c{i}", f"r{i % 2}", f"c{i}", i) for i in range(2000)]], have)
+    walk = tree.preorder(tree.paths(wide).withColumn("root", F.substring_index("path", "/", 1)), F.col("root")).collect()
+    for root in ("r0", "r1", "r2"):
+        own = [r for r in walk if r.root == root]
+        assert [r.sort_path for r in sorted(own, key=lambda r: r.sort_order)] == sorted(r.sort_path for r in own) and {r.sort_order for r in own} == set(range(len(own)))
+
+
 def test_rate_limit_counts(spark):
     rows = spark.createDataFrame([("10.0.0.99", 0), ("10.0.0.99", 60), ("10.0.0.99", 120), ("10.0.0.1", 90), ("10.0.0.99", 3700)], "ip string, s long")
     got = {(r.ip, r.s): r.recent for r in logs.recent_count(rows, "ip", F.col("s") * 1_000_000, 60).collect()}
