@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,9 @@ RUN_SCHEMA = "digest binary, id long, n long"
 MEMTABLE_ROWS = 200_000
 #: Copies that one task compares with their keeper's text.
 COPIES_A_TASK = 2_000
+#: Bits of the filter of repeated digests for each of them, and at most: 8 MB go to every task, whatever the data. Beyond
+#: some 7 million repeated digests more unique ones pass the filter, which costs time and no result.
+FILTER_RATE, FILTER_BITS, PROBES = 10, 1 << 26, 5
 
 
 def normalised(text: Column) -> Column:
@@ -23,14 +29,23 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
 
+def probes(digest: Column) -> tuple[Column, Column]:
+    """Two hashes of 31 bits, from which a filter's places come."""
+    return F.xxhash64(digest).bitwiseAND(0x7FFFFFFF), F.xxhash64(F.lit("probe"), digest).bitwiseAND(0x7FFFFFFF)
+
+
 class DigestIndex:
     """Digest -> (smallest id, number of rows), as sorted Parquet runs below one folder.
 
     insert() adds a level-0 batch: each task keeps a memtable (one entry for each digest, smallest id, count) and
-    flushes it as a sorted run whenever it is full, so copies shrink before anything is shuffled. compact() merges all
-    runs into level 1, keeping smallest identifiers. Each run carries a Parquet bloom filter and min/max of digests,
-    which readers use to skip it. manifest.json names the live runs; it is written under a temporary name and renamed,
-    so a reader sees the old state or the new one, and a batch that failed leaves nothing that counts.
+    flushes it whenever it is full, so copies shrink before anything is shuffled; a file is one memtable, sorted.
+    compact() deals the entries of all runs to ranges of digests, merges equal digests there, keeping smallest
+    identifiers, and writes a sorted run for each range (level 1), with a filter of the digests of several rows. Runs
+    carry Parquet bloom filters and min/max of digests, which point lookups use to skip them.
+
+    manifest-<number>.json names the live runs. A new one is written under a temporary name and renamed to a name that
+    didn't exist, and runs have names of their own, so whenever a commit fails, the state before it stands; readers take
+    the largest number. What a new state replaced is deleted after it stands.
     """
 
     def __init__(self, spark: SparkSession, path: str, memtable_rows: int = MEMTABLE_ROWS):
@@ -39,21 +54,30 @@ class DigestIndex:
         self._at = lambda name: jvm.Path(f"{path}/{name}")
         self._fs = jvm.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
+    def _manifests(self) -> list[str]:
+        here = self._fs.listStatus(self._at("")) if self._fs.exists(self._at("")) else []
+        return sorted(n for n in (s.getPath().getName() for s in here) if n.startswith("manifest-"))
+
     def manifest(self) -> dict:
-        if not self._fs.exists(self._at("manifest.json")):
-            return {"next": 0, "level0": [], "level1": []}
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/manifest.json").collect()))
+        found = self._manifests()
+        if not found:
+            return {"number": 0, "level0": [], "level1": [], "filter": None, "filter_bits": 64}
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/{found[-1]}").collect()))
 
     def _commit(self, state: dict) -> None:
-        out = self._fs.create(self._at("manifest.json.tmp"), True)
-        out.write(bytearray(json.dumps(state).encode()))
+        number = state["number"] + 1
+        temporary = f"_manifest-{uuid.uuid4().hex}"
+        out = self._fs.create(self._at(temporary), True)
+        out.write(bytearray(json.dumps(state | {"number": number}).encode()))
         out.close()
-        self._fs.delete(self._at("manifest.json"), False)
-        if not self._fs.rename(self._at("manifest.json.tmp"), self._at("manifest.json")):
-            raise OSError(f"cannot commit {self.path}/manifest.json")
+        if not self._fs.rename(self._at(temporary), self._at(f"manifest-{number:08d}.json")):
+            raise OSError(f"another writer committed state {number} of {self.path}")
+        for old in self._manifests():
+            if old < f"manifest-{number:08d}.json":
+                self._fs.delete(self._at(old), False)
 
-    def _write(self, runs: DataFrame, name: str) -> None:
-        runs.write.mode("overwrite").option("parquet.bloom.filter.enabled#digest", "true").parquet(f"{self.path}/{name}")
+    def _write(self, runs: DataFrame, name: str, **options) -> None:
+        runs.write.options(**options).option("parquet.bloom.filter.enabled#digest", "true").parquet(f"{self.path}/{name}")
 
     def insert(self, rows: DataFrame) -> None:
         """Add rows (digest binary, id long)."""
@@ -76,9 +100,10 @@ class DigestIndex:
                 yield flush(table)
 
         state = self.manifest()
-        name = f"level0/{state['next']:06d}"
-        self._write(rows.select("digest", "id").mapInArrow(memtables, RUN_SCHEMA), name)
-        self._commit(state | {"next": state["next"] + 1, "level0": [*state["level0"], name]})
+        name = f"level0-{uuid.uuid4().hex}"
+        # a full memtable has just so many entries, so each is a file of its own
+        self._write(rows.select("digest", "id").mapInArrow(memtables, RUN_SCHEMA), name, maxRecordsPerFile=limit)
+        self._commit(state | {"level0": [*state["level0"], name]})
 
     def _read(self, names: list[str]) -> DataFrame:
         if not names:
@@ -86,16 +111,43 @@ class DigestIndex:
         return self.spark.read.schema(RUN_SCHEMA).parquet(*[f"{self.path}/{n}" for n in names])
 
     def compact(self) -> None:
-        """Merge every run into level 1; the runs it replaces are deleted after the new manifest stands."""
+        """Merge every run into level 1 and make its filter; what they replace is deleted after the new manifest stands."""
         state = self.manifest()
         old = [*state["level0"], *state["level1"]]
-        merged = self._read(old).groupBy("digest").agg(F.min("id").alias("id"), F.sum("n").alias("n"))
-        name = f"level1/{state['next']:06d}"
+        name, mark = f"level1-{uuid.uuid4().hex}", f"filter-{uuid.uuid4().hex}"
+        # ranges of digests are clusters of digests too: the merge needs no other shuffle
+        merged = self._read(old).repartitionByRange("digest").groupBy("digest").agg(F.min("id").alias("id"), F.sum("n").alias("n"))
         self._write(merged.sortWithinPartitions("digest"), name)
-        self._commit({"next": state["next"] + 1, "level0": [], "level1": [name]})
-        for n in old:
+        repeated = self._read([name]).where("n > 1")
+        bits = min(FILTER_BITS, max(64, FILTER_RATE * repeated.count()))
+        one, two = probes(F.col("digest"))
+        places = repeated.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda i: F.pmod(one + i * two, F.lit(bits)))).alias("at"))
+        words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+        words.write.parquet(f"{self.path}/{mark}")
+        self._commit(state | {"level0": [], "level1": [name], "filter": mark, "filter_bits": bits})
+        for n in [*old, *([state["filter"]] if state["filter"] else [])]:
             self._fs.delete(self._at(n), True)
 
+    def maybe_repeated(self, digest: Column) -> Column:
+        """Whether the digest may have several rows, by the filter of the last compaction: never false for one that has."""
+        state = self.manifest()
+        bits = state["filter_bits"]
+        words = np.zeros(-(-bits // 64), np.int64)
+        if state["filter"]:
+            found = self.spark.read.schema("word long, bits long").parquet(f"{self.path}/{state['filter']}").toPandas()
+            words[found["word"].to_numpy()] = found["bits"].to_numpy()
+
+        @F.pandas_udf("boolean")
+        def held(one: pd.Series, two: pd.Series) -> pd.Series:
+            a, b = one.to_numpy(np.int64), two.to_numpy(np.int64)
+            hit = np.ones(len(a), bool)
+            for i in range(PROBES):
+                at = (a + i * b) % bits
+                hit &= (words[at >> 6] >> (at & 63)) & 1 == 1
+            return pd.Series(hit)
+
+        return held(*probes(digest))
+
     def table(self) -> DataFrame:
         """digest, id, n: one row for each digest once compacted."""
         state = self.manifest()
@@ -115,8 +167,8 @@ def exact_groups(docs: DataFrame, digest_bits: int = 256, memtable_rows: int = M
 
     Texts are equal when identical once each run of white space is one space; a null text counts as empty. The
     smallest doc_id of equal texts stays. Digests (the first `digest_bits` of SHA-256) find the groups in a
-    DigestIndex; then every hit's text is compared byte by byte with its keeper's, and digests under which texts
-    differ are regrouped by the texts themselves.
+    DigestIndex; its filter of repeated digests picks the texts to look at (hits), and every hit's text is compared byte
+    by byte with its keeper's; digests under which texts differ are regrouped by the texts themselves.
 
     Defined cases: null doc_ids come after all others (keep_id is null where no row of the group has an id); rows that
     repeat a doc_id and text count in group_size, and as the same document they are all kept or all dropped; an empty
@@ -134,12 +186,14 @@ def exact_groups(docs: DataFrame, digest_bits: int = 256, memtable_rows: int = M
     index.compact()
     groups = index.table().select("digest", F.col("id").alias("keep"), F.col("n").alias("size"))
 
-    copies = groups.where("size > 1")
-    hits = ws.stage(join_unique(norm.select("id", "digest", "norm"), copies, ["digest"], "size", "inner"), "hits")
+    # only texts that the filter lets through are shuffled
+    maybe = norm.select("id", "digest", "norm").where(index.maybe_repeated(F.col("digest")))
+    hits = ws.stage(join_unique(maybe, groups.where("size > 1"), ["digest"], "size", "inner"), "hits")
     tasks = F.ceil(F.col("size") / COPIES_A_TASK).cast("int")
     keepers = hits.where("id = keep").groupBy("digest", "size").agg(F.min("norm").alias("kept_norm"))
     keepers = keepers.select("digest", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("__task"), "kept_norm")
-    compared = hits.withColumn("__task", F.pmod(F.xxhash64("id"), tasks).cast("int")).join(keepers, ["digest", "__task"])
+    # any task has its keeper's text, so rows may go anywhere: those of a group without ids are spread as well
+    compared = hits.withColumn("__task", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), tasks).cast("int")).join(keepers, ["digest", "__task"])
     differ = ws.stage(compared.where("norm != kept_norm").select("digest").distinct(), "differ")
 
     result = join_unique(seen, groups, ["digest"], "size").select("id", "digest", "sha", "keep", "size")

@@ -11,8 +11,8 @@ from .common import Workspace, join_unique, ranked, word_count
 #: Sources in code-point order weigh 1, 2, 3, 1, 2, 3 ...; no source is taken more than MAX_EPOCHS times.
 WEIGHTS = 3
 MAX_EPOCHS = 3
-#: Documents of a source that one task puts in order.
-BUCKET_ROWS = 1_000
+#: Ranges of the random key for each shuffle partition (hashing spreads them evenly), and the fewest documents of one.
+RANGES, RANGE_ROWS = 8, 64
 
 
 def water_level(sources: DataFrame) -> float:
@@ -42,17 +42,18 @@ def mix_sources(docs: DataFrame, seed: str = "mix", with_text: bool = False) ->
     copy) and taken.
 
     Defined cases: empty tables give no rows; texts without words have size 0 and taken 0; a null source is a source of
-    its own; a null doc_id has a key of its own and comes by size; repeated rows are each a document; ties in the order
+    its own; rows without a doc_id are ordered by their texts' md5; repeated rows are each a document; ties in the order
     go by doc_id, then size. The same rows give the same result in any partitioning.
 
-    The order is range-sorted by equal-width ranges of the uniform key, BUCKET_ROWS documents each, so a hot source is
-    spread over as many tasks as it needs; prefix sums add the sums of the ranges before.
+    The order is range-sorted by equal-width ranges of the uniform key, RANGES times as many as there are shuffle partitions
+    (their number changes no result), so a hot source is spread over as many tasks as it needs; prefix sums add the sums
+    of the ranges before.
     """
     ws = Workspace(docs.sparkSession, "mix")
     kept = [c for c in docs.columns if with_text or c != "text"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("text").alias("__text"))
     size = word_count(F.col("__text"))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null"))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("row.doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("__text", F.lit("")))))))
     sized = ws.stage(rows.select("row", size.alias("size"), key.alias("__key"), F.coalesce(F.concat(F.lit("s"), "row.source"), F.lit("t")).alias("__source")), "sized")
     return _cut(ws, sized, ws.stage(sized.groupBy("__source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__docs")), "sources"))
 
@@ -61,8 +62,10 @@ def _cut(ws: Workspace, sized: DataFrame, sources: DataFrame) -> DataFrame:
     sources = ranked(ws, sources, [F.col("__source")], "__rank").withColumn("weight", F.col("__rank") % WEIGHTS + 1).drop("__rank")
     sources = ws.stage(sources, "weighted")
     level = water_level(sources)
+    total = sources.agg(F.sum("__docs")).first()[0] or 0
+    per = max(RANGE_ROWS, -(-total // (RANGES * int(ws.spark.conf.get("spark.sql.shuffle.partitions")))))
     share = F.least((MAX_EPOCHS * F.col("source_size")).cast("double"), F.lit(level) * F.col("weight"))
-    sources = sources.withColumn("target", share).withColumn("__ranges", F.ceil(F.col("__docs") / BUCKET_ROWS))
+    sources = sources.withColumn("target", share).withColumn("__ranges", F.ceil(F.col("__docs") / per))
     rows = join_unique(sized, sources, ["__source"], "__docs", "inner")
     place = F.conv(F.substring("__key", 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("__range", F.floor(place * F.col("__ranges") / F.lit(2**32)))
@@ -81,7 +84,8 @@ def mixture(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mixed corpus itself, with the columns of `docs`: each document as many times as it is taken.
 
     A document at its source's cut comes with its first words only, those the budget still holds; n_chars, where the
-    table has it, follows. Documents of which nothing is taken are left out.
+    table has it, follows. Documents of which nothing is taken are left out, and so are null texts and texts without words;
+    null ids and sources, repeated rows and clashing column names are as in mix_sources; an empty table gives no rows.
     """
     mixed = mix_sources(docs, seed, with_text=True)
     text = F.col("row.text")

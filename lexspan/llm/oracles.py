@@ -30,7 +30,7 @@ from n
 ORACLES["op5_mix"] = f"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint size,
-         md5('mix:' || coalesce(doc_id::varchar, 'null')) key from documents
+         md5('mix:' || coalesce(doc_id::varchar, 'null:' || md5(coalesce(text, '')))) key from documents
 ), s as (
   select source, sum(size)::bigint source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 weight from d group by source
 ), o as (

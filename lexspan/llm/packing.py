@@ -116,11 +116,12 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 1024, turn
     sources = ws.stage(rows.groupBy("key").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("docs")), "sources")
     whole, kinds = sources.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.lit(1))).first()
     parts = max(1, math.ceil(whole / part_tokens))
-    placed = join_unique(rows, sources, ["key"], "docs", "inner").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("docs") / BUCKET_ROWS)))
+    spread = F.coalesce("doc_id", "row")  # rows without an id are spread as well
+    placed = join_unique(rows, sources, ["key"], "docs", "inner").withColumn("bucket", F.pmod(F.xxhash64(spread), F.ceil(F.col("docs") / BUCKET_ROWS)))
     sums = placed.groupBy("key", "bucket").agg(F.sum("n").alias("sum"))
     upto = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.select("key", "bucket", (F.sum("sum").over(upto) - F.col("sum")).alias("base"))
-    inside = Window.partitionBy("key", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("key", "bucket").orderBy(F.xxhash64(spread), "doc_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("run", F.sum("n").over(inside) - F.col("n")).join(sums, ["key", "bucket"]).withColumn("at", F.col("base") + F.col("run"))
     # part p has the ids from floor(T p / P): an id at place x is in part ceil((x + 1) P / T) - 1
     exact = lambda x: f"cast({x} as decimal(18, 0))"  # noqa: E731  products exceed 64 bits on large corpora

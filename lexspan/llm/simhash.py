@@ -44,8 +44,8 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 
 
-def text_hash() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+def text_hash(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -233,8 +233,10 @@ def keep_one(docs: DataFrame, bucket_part: int = BUCKET_PART) -> DataFrame:
     """The documents of `docs` that have the smallest doc_id of their component.
 
     Rows are dropped by doc_id and text, so of rows that share a doc_id those with another text stay, and rows that repeat
-    both stay or go together. A component without any doc_id stays whole.
+    both stay or go together. A component without any doc_id stays whole. Null texts count as empty; other columns pass
+    through, whatever their names.
     """
     groups = near_groups(docs.select("doc_id", "text"), bucket_part)
-    gone = groups.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__text")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (text_hash() == F.col("__text")), "left_anti")
+    gone = groups.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (text_hash("row.text") == F.col("gone_hash")), "left_anti").select("row.*")

@@ -1,8 +1,9 @@
 """WARC archives: range-sorted records in files rolled by compressed size, committed by manifest, and read back.
 
-Each record is a gzip member of its own. Spark's text writer ends every value with a separator; here that is one zero
-byte, the last byte of the member itself (the top byte of its uncompressed size), so the files are plain .warc.gz files on
-any file system Spark writes to, under Spark's own commit protocol.
+Each record is a gzip member of its own, so the files are plain .warc.gz files. The writing tasks put them in place: a file
+is written under a temporary name and moved to its own name when it is whole. Names and contents depend on the pages
+alone, so a task that runs again (or twice) puts the same bytes in the same place. The tasks report their files as rows of
+a Parquet table, the list; manifest.json, moved into place last, names the list that counts.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -18,14 +20,16 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, Workspace, join_unique, ranked
-from .tokenfiles import raw_strings
 
 #: A file ends with the record that brings it to this many compressed bytes; a shard holds payloads of about so many.
 ROLL_BYTES, SHARD_BYTES = 8 << 20, 32 << 20
+#: Compressed bytes that a reading task takes, where there are more than tasks to run at once.
+READ_BYTES = 64 << 20
 #: Shards get larger beyond so many, as the first record of each goes to every task.
 MAX_SHARDS = 10_000
 #: Payloads from this size on are stored once.
@@ -60,18 +64,40 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, le
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _gzip(data: bytes, level: int = 6) -> bytes:
+def member(data: bytes, level: int = 6) -> bytes:
+    """The data as one gzip member without name or time."""
     deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = deflate.compress(data) + deflate.flush()
     return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
-def member(data: bytes) -> bytes:
-    """A gzip member without its last byte, which is zero; records of 16 MB or more are followed by an empty member for that."""
-    whole = _gzip(data)
-    if whole[-1]:
-        whole += _gzip(b"")
-    return whole[:-1]
+def store_of(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a Hadoop-style path as pyarrow opens it (local, HDFS, S3, GCS, ABFS), and the path in it."""
+    if re.match("file:|/", path):
+        return pa.fs.LocalFileSystem(), re.sub("^file:/+", "/", path)
+    return pa.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+
+
+class _Archive:
+    """One file in the making: temporary until close() moves it to its name."""
+
+    def __init__(self, path: str, name: str):
+        self.store, root = store_of(path)
+        self.name, self.bytes, self.records = name, 0, 0
+        self.temporary, self.final = f"{root}/_temporary/{uuid.uuid4().hex}", f"{root}/{name}"
+        self.out = self.store.open_output_stream(self.temporary, compression=None)
+
+    def add(self, data: bytes) -> None:
+        self.out.write(data)
+        self.bytes, self.records = self.bytes + len(data), self.records + 1
+
+    def close(self) -> tuple[str, int, int]:
+        self.out.close()
+        self.store.move(self.temporary, self.final)
+        return self.name, self.bytes, self.records
+
+
+LIST = "name string, bytes long, records long"
 
 
 def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> dict:
@@ -80,14 +106,15 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_
     Of pages with equal payloads of MIN_REVISIT bytes or more the one with the largest page_id is a response, the others
     are revisits of it; smaller payloads are all responses. Pages are ranked by page_id with running payload bytes; every
     shard_bytes of them make a shard, written by one task that starts a new file once the open one has roll_bytes, so
-    files and their content depend on the pages alone. Files are written under a temporary name, moved into place, and
-    count once manifest.json (also moved into place) names them.
+    files and their content depend on the pages alone. An archive counts once its manifest.json (format, sizes, list,
+    number of files and bytes) is in place; the list has a row (name, bytes, records) for each file. The driver handles
+    no single file.
 
-    The first records of all shards tell each page its shard.
+    The first records of all shards (MAX_SHARDS at most) tell each page its shard; there are as many tasks as shards.
 
     Defined cases: a null html is an empty payload; null page_ids come last and are always responses; rows that repeat a
     page_id and payload are the same page: all responses, or all revisits; url is optional; an empty table gives a
-    manifest without files; other columns are not read.
+    manifest without files; other columns are not read. `path` may hold an earlier run of the same pages.
     """
     spark = pages.sparkSession
     ws = Workspace(spark, "warc")
@@ -111,66 +138,55 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_
     # what a revisit refers to comes right before its record, so the pages themselves are shuffled once
     empty = {c: F.lit(None).cast(t) for c, t in (("url", "string"), ("payload", "binary"), ("length", "long"))}
     both = rows.withColumn("keep", F.lit(None).cast("long")).unionByName(again.withColumns(empty))
-    dealt = both.withColumn("shard", shard_of("id", "sha1")).repartition("shard").sortWithinPartitions("shard", "id", "sha1", F.col("keep").asc_nulls_last(), "url")
+    dealt = both.withColumn("shard", shard_of("id", "sha1")).repartition(max(1, len(firsts)), "shard").sortWithinPartitions("shard", "id", "sha1", F.col("keep").asc_nulls_last(), "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, number, size = None, 0, 0
+        shard, number = None, 0
+        out: _Archive | None = None
+        done: list[tuple] = []
         known: tuple = (None, None, None)
         for batch in batches:
-            names, values = [], []
             for i, url, payload, sha1, length, s, refers_to in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "payload", "sha1", "length", "shard", "keep")), strict=True):
                 if refers_to is not None:
                     known = (i, sha1, refers_to)
                     continue
                 keep = known[2] if known[:2] == (i, sha1) else None
+                if out and (s != shard or out.bytes >= roll_bytes):
+                    done.append(out.close())
+                    out, number = None, number + 1
                 if s != shard:
-                    shard, number, size = s, 0, 0
-                elif size >= roll_bytes:
-                    number, size = number + 1, 0
-                values.append(member(record(None if i == LAST_ID else i, url, b"" if keep is not None else payload or b"", sha1, length, keep)))
-                names.append(f"{shard:08d}-{number:05d}")
-                size += len(values[-1]) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(names), raw_strings(values), pa.array(range(len(values)), pa.int32())], names=["file", "value", "place"])
-
-    made = dealt.select("id", "url", "payload", "sha1", "length", "shard", "keep").mapInArrow(run, "file string, value string, place int")
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    temporary = f"{path}/_temporary-{uuid.uuid4().hex}"
-    # tasks give their files in order, so the writer doesn't sort again and records stay as they are
-    made.select("file", "value").write.partitionBy("file").option("lineSep", "\0").text(temporary)
-    files = []
-    for status in fs.listStatus(fs_path(temporary)) if fs.exists(fs_path(temporary)) else []:
-        name = status.getPath().getName()
-        if not name.startswith("file="):
-            continue
-        inside = [s.getPath() for s in fs.listStatus(status.getPath()) if s.getPath().getName().startswith("part-")]
-        if len(inside) != 1:
-            raise OSError(f"{name} was written in {len(inside)} parts")
-        target = f"{name.removeprefix('file=')}.warc.gz"
-        if not fs.rename(inside[0], fs_path(f"{path}/{target}")):
-            raise OSError(f"cannot move {target} into place")
-        files.append({"name": target, "bytes": fs.getFileStatus(fs_path(f"{path}/{target}")).getLen()})
-    manifest = {"format": "WARC/1.1", "roll_bytes": roll_bytes, "shard_bytes": shard_bytes, "files": sorted(files, key=lambda f: f["name"])}
-    out = fs.create(fs_path(f"{path}/manifest.json.tmp"), True)
-    out.write(bytearray(json.dumps(manifest).encode()))
-    out.close()
-    if not fs.rename(fs_path(f"{path}/manifest.json.tmp"), fs_path(f"{path}/manifest.json")):
-        raise OSError("cannot commit the manifest")
-    fs.delete(fs_path(temporary), True)
+                    shard, number = s, 0
+                out = out or _Archive(path, f"{shard:08d}-{number:05d}.warc.gz")
+                out.add(member(record(None if i == LAST_ID else i, url, b"" if keep is not None else payload or b"", sha1, length, keep)))
+        if out:
+            done.append(out.close())
+        yield pa.RecordBatch.from_pylist([dict(zip(("name", "bytes", "records"), d, strict=True)) for d in done], pa.schema({"name": pa.string(), "bytes": pa.int64(), "records": pa.int64()}))
+
+    store, root = store_of(path)
+    store.create_dir(f"{root}/_temporary")
+    listed = f"list-{uuid.uuid4().hex}"
+    dealt.select("id", "url", "payload", "sha1", "length", "shard", "keep").mapInArrow(run, LIST).write.parquet(f"{path}/{listed}")
+    files, size = spark.read.schema(LIST).parquet(f"{path}/{listed}").agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    manifest = {"format": "WARC/1.1", "roll_bytes": roll_bytes, "shard_bytes": shard_bytes, "list": listed, "files": files, "bytes": size}
+    with store.open_output_stream(f"{root}/_temporary/manifest") as out:
+        out.write(json.dumps(manifest).encode())
+    store.move(f"{root}/_temporary/manifest", f"{root}/manifest.json")
+    store.delete_dir(f"{root}/_temporary")
+    ws.drop()
     return manifest
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """Content of each gzip member of a file's bytes, read in windows so that nothing is copied twice."""
-    at, view = 0, memoryview(data)
-    while at < len(view):
+def members(stream) -> Iterator[bytes]:
+    """Content of each gzip member of a file or stream, read in windows."""
+    window = b""
+    while window := window or stream.read(1 << 18):
         inflate, parts = zlib.decompressobj(31), []
         while not inflate.eof:
-            window = view[at : at + 65_536]
-            if not len(window):
+            window = window or stream.read(1 << 18)
+            if not window:
                 raise ValueError("a gzip member is cut off")
             parts.append(inflate.decompress(window))
-            at += len(window) - len(inflate.unused_data)
+            window = inflate.unused_data
         yield b"".join(parts)
 
 
@@ -194,30 +210,38 @@ def parse(data: bytes) -> dict:
     return {"page_id": number("warc-page-id"), "url": headers.get("warc-target-uri"), "record_type": headers["warc-type"], "payload": payload, "payload_bytes": length, "payload_digest": digest, "refers_to": number("warc-refers-to-page-id")}
 
 
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """name, bytes and records of the files that the archive's manifest counts."""
+    store, root = store_of(path)
+    with store.open_input_stream(f"{root}/manifest.json") as manifest:
+        found = json.loads(manifest.read())
+    return spark.read.schema(LIST).parquet(f"{path}/{found['list']}")
+
+
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """Records of the files that the manifest names: page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload)."""
-    manifest = json.loads("".join(r[0] for r in spark.read.text(f"{path}/manifest.json").collect()))
+    """Records of the files that the manifest counts: page_id, url, payload_bytes, payload_digest, record_type, refers_to (and
+    payload). Tasks open the files that their rows of the list name, some READ_BYTES each; a file of another size raises."""
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    if not manifest["files"]:
-        return spark.createDataFrame([], schema)
     types = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()} | ({"payload": pa.binary()} if with_payload else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = store_of(path)
         for batch in batches:
-            for content in batch.column("content"):
+            for name, size in zip(batch.column("name").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+                if store.get_file_info(f"{root}/{name}").size != size:
+                    raise ValueError(f"{name} hasn't the size that the list gives")
                 found = []
-                for data in members(content.as_py()):
-                    if data:
+                with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
+                    for data in members(stream):
                         found.append(parse(data))
                         if not with_payload:
                             del found[-1]["payload"]
-                    if len(found) >= 1000:
-                        yield pa.RecordBatch.from_pylist(found, pa.schema(types))
-                        found = []
+                        if len(found) >= 1000:
+                            yield pa.RecordBatch.from_pylist(found, pa.schema(types))
+                            found = []
                 yield pa.RecordBatch.from_pylist(found, pa.schema(types))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
-    named = spark.createDataFrame([(f["name"],) for f in manifest["files"]], "name string")
-    # one short name for each file of roll_bytes
-    files = files.withColumn("name", F.substring_index("path", "/", -1)).join(F.broadcast(named), "name", "left_semi")
-    return files.select("content").mapInArrow(run, schema)
+    files = listed_files(spark, path)
+    size, number = files.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    tasks = max(1, min(number, max(spark.sparkContext.defaultParallelism, -(-size // READ_BYTES))))
+    return files.select("name", "bytes").repartition(tasks).mapInArrow(run, schema)

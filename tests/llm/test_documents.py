@@ -8,7 +8,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexspan.llm import toxicity
@@ -109,6 +111,53 @@ def test_index_grows_by_batches(spark):
     assert index.manifest()["level0"] == [] and index.get(digest(3)) == (4, 5) and index.table().count() == 6
     index.insert(batch([(3, 1)]))
     assert index.get(digest(3)) == (1, 6)
+    # a second batch's rows that earlier ones repeat are found through the filter
+    index.insert(batch([(100 + i, 100 + i) for i in range(200)] + [(9, 10)]))
+    index.compact()
+    asked = batch([(i, 0) for i in range(300)]).where(index.maybe_repeated(F.col("digest")))
+    let = {bytes(r.digest) for r in asked.collect()}
+    assert {digest(i) for i in (0, 1, 2, 3, 4, 9)} <= let and len(let) < 60
+
+
+def test_index_files_are_sorted_runs(spark, tmp_path):
+    index = DigestIndex(spark, f"file://{tmp_path}", memtable_rows=30)
+    rows = [(bytearray(hashlib.sha256(b"%d" % (i % 150)).digest()), i) for i in range(400)]
+    index.insert(spark.createDataFrame(rows, "digest binary, id long").repartition(2))
+    runs = [pq.read_table(f).column("digest").to_pylist() for f in tmp_path.glob("level0-*/*.parquet")]
+    assert len(runs) > 8 and all(r == sorted(set(r)) and len(r) <= 30 for r in runs)
+    index.compact()
+    runs = sorted(r for f in tmp_path.glob("level1-*/*.parquet") if (r := pq.read_table(f).column("digest").to_pylist()))
+    assert sum(runs, []) == sorted({bytes(d) for d, _ in rows})  # ranges don't overlap
+
+
+@pytest.mark.parametrize("step", ["create", "rename", "delete"])
+def test_index_survives_a_crash_at_each_step(spark, tmp_path, step):
+    """A commit that dies while writing, renaming or deleting leaves the state before it, or the whole new one."""
+    path = f"file://{tmp_path}"
+    batch = lambda *ids: spark.createDataFrame([(bytearray(b"%032d" % i), i) for i in ids], "digest binary, id long")
+    index = DigestIndex(spark, path)
+    index.insert(batch(1, 2))
+    have = lambda: {r.id for r in DigestIndex(spark, path).table().collect()}
+
+    class Dying:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            if name == step:
+                raise RuntimeError("killed")
+            return getattr(self.fs, name)
+
+    for work in (lambda i: i.insert(batch(3)), lambda i: i.compact()):
+        dying = DigestIndex(spark, path)
+        dying._fs = Dying(dying._fs)
+        before = have()
+        with pytest.raises(RuntimeError):
+            work(dying)
+        assert have() in (before, before | {3})
+    index.insert(batch(3, 4))
+    index.compact()
+    assert have() == {1, 2, 3, 4} and index.manifest()["level0"] == []
 
 
 # repetition

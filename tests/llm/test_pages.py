@@ -7,7 +7,7 @@ import pytest
 
 from lexspan.llm.html_text import blocks_of, common_lines, extract, main_text
 from lexspan.llm.queries import op9_html, op10_warc
-from lexspan.llm.warc import members, parse, read_warc, write_warc
+from lexspan.llm.warc import listed_files, members, parse, read_warc, write_warc
 
 
 class Plain(HTMLParser):
@@ -182,25 +182,44 @@ def test_archive_odd_rows(spark, pages, tmp_path):
         assert Counter(tuple(r[c] for c in COLUMNS) for r in got) == slow_archive(rows)
         payloads = {(r[0], r[2] or "") for r in rows}
         assert all((r.page_id, bytes(r.payload).decode()) in payloads for r in got if r.record_type == "response")
-        names = [f["name"] for f in manifest["files"]]
+        listed = listed_files(spark, f"file://{at}").orderBy("name").collect()
+        names = [f.name for f in listed]
+        assert manifest["files"] == len(names) and sum(f.records for f in listed) == len(rows) and not (tmp_path / str(n) / "_temporary").exists()
         assert len(names) > 3 and sorted(p.name for p in (tmp_path / str(n)).glob("*.warc.gz")) == names
-        assert all((tmp_path / str(n) / f["name"]).stat().st_size == f["bytes"] for f in manifest["files"])
+        assert all((tmp_path / str(n) / f.name).stat().st_size == f.bytes for f in listed)
         # any gzip reader opens the files; ids ascend over files in order
         whole = b"".join(gzip.open(tmp_path / str(n) / name).read() for name in names)
-        ids = [parse(m)["page_id"] for name in names for m in members((tmp_path / str(n) / name).read_bytes()) if m]
+        ids = [parse(m)["page_id"] for name in names for m in members((tmp_path / str(n) / name).open("rb"))]
         assert ids == sorted(i for i in ids if i is not None) + [None]
         texts.append((names, whole))
     assert texts[0] == texts[1]  # any partitioning gives the same files
     empty = f"file://{tmp_path}/empty"
-    assert write_warc(table(1).limit(0), empty)["files"] == [] and read_warc(spark, empty).count() == 0
+    assert write_warc(table(1).limit(0), empty)["files"] == 0 and read_warc(spark, empty).count() == 0
 
 
 def test_damaged_records_are_found(spark, tmp_path):
     write_warc(spark.createDataFrame([(1, "u", "payload")], "page_id long, url string, html string"), f"file://{tmp_path}/w")
-    (data,) = members(next((tmp_path / "w").glob("*.warc.gz")).read_bytes())
+    (file,) = (tmp_path / "w").glob("*.warc.gz")
+    (data,) = members(file.open("rb"))
     assert parse(data)["payload"] == b"payload"
     with pytest.raises(ValueError):
         parse(data.replace(b"payload\r\n", b"pay1oad\r\n"))
+    whole = file.read_bytes()
+    file.write_bytes(whole[:-1])
+    with pytest.raises(ValueError):
+        list(members(file.open("rb")))
+    with pytest.raises(Exception, match="hasn't the size"):
+        read_warc(spark, f"file://{tmp_path}/w").collect()
+
+
+def test_a_writing_task_may_run_again(spark, tmp_path):
+    """The second run of the same archive puts the same bytes under the same names, as a retried task does."""
+    table = spark.createDataFrame([(i, "u", f"<p>{i}" * 300) for i in range(60)], "page_id long, url string, html string")
+    write_warc(table, f"file://{tmp_path}/w", roll_bytes=500, shard_bytes=9_000)
+    before = {f.name: f.read_bytes() for f in (tmp_path / "w").glob("*.warc.gz")}
+    write_warc(table.repartition(7), f"file://{tmp_path}/w", roll_bytes=500, shard_bytes=9_000)
+    assert len(before) > 5 and before == {f.name: f.read_bytes() for f in (tmp_path / "w").glob("*.warc.gz")}
+    assert read_warc(spark, f"file://{tmp_path}/w").count() == 60
 
 
 def test_op10_against_brute_force(spark, sf_dir):

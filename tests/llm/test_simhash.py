@@ -108,3 +108,11 @@ def test_odd_rows(docs, odd_rows):
     assert near_groups(docs([])).count() == 0
     shared = [(1, "alpha beta gamma delta"), (2, "alpha beta gamma delta"), (2, "quite another text here"), (None, "alpha beta gamma delta"), (None, "and one without an id")]
     assert sorted((r.doc_id or 0, r.text) for r in keep_one(docs(shared)).collect()) == [(0, shared[4][1]), (1, shared[0][1]), (2, shared[2][1])]
+
+
+def test_keep_one_with_clashing_columns(spark):
+    names = "__gone long, __text string, gone_id long, gone_hash long, text_hash long, fp long, component_id long, row int"
+    rows = [(i, "one two three four five six", "s", *[i, "t", *range(6)]) for i in (4, 2, 3)] + [(None, None, None, *[0, "t", *range(6)])]
+    table = spark.createDataFrame(rows, f"doc_id long, text string, source string, {names}")
+    kept = keep_one(table)
+    assert kept.columns == table.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2]
