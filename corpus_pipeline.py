@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.llm import toxicity
-from lexspan.llm.common import Workspace
+from lexspan.llm.common import Workspace, scratch
 from lexspan.llm.lines import dedup_lines
 from lexspan.llm.mixing import mixture
 from lexspan.llm.packing import pack
@@ -19,7 +19,8 @@ from lexspan.llm.simhash import keep_one
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on this corpus's labels, doesn't reject."""
+    """Documents that the classifier, fitted on this corpus's labels, doesn't reject. Null and empty texts have the score of
+    a text without words; repeated rows go or stay together; all columns pass through, whatever their names."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).where("predicted = 0").select("row.*")
 
@@ -43,7 +44,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixture's documents in sequences of 1024 ids; a repeated document is packed as often as it is there."""
+    """Pieces of the mixture's documents in sequences of 1024 ids; a repeated document is packed as often as it is there.
+    Null and empty texts are their end id alone; null ids and sources stay null; other columns are not read."""
     return pack(docs, vocabulary("byte_bpe_50k.json"), end_id=0, window=1024)
 
 
@@ -60,8 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage staged for itself goes once its result is written, and so does the result before."""
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
-        docs = ws.stage(stage(spark, docs, sf_dir), f"stage-{number}")
+        with scratch():
+            docs = ws.stage(stage(spark, docs, sf_dir), f"stage-{number}")
+        if number:
+            ws.drop(f"stage-{number - 1}")
     return docs
