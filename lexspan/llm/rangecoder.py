@@ -8,10 +8,10 @@ mixture of three predictors that learn as they go:
 * order 0: frequencies over the alphabet.
 
 For each pair of confidences the mixture gives the order-2 prediction a share, the order-1 prediction a share of the
-rest, and what remains to the order-0 frequencies. At fixed places everything is learnt anew from the ids before; in
-between the model stands still, so an encoder finds the probabilities of a whole stretch in a few numpy operations. A
-64-bit carry-less range coder codes the ids with 32-bit output words. All blocks of a call advance together, one numpy
-operation for all of them.
+rest, and what remains to the order-0 frequencies. Predictions, confidences and shares learn every STEP ids, frequencies
+at places that double up to every FREQ_STEP ids; in between the model stands still, so an encoder finds the
+probabilities of a whole stretch in a few numpy operations. A 64-bit carry-less range coder codes each id in one step,
+with 32-bit output words. All blocks of a call advance together, one numpy operation for all of them.
 """
 
 from __future__ import annotations
@@ -21,21 +21,25 @@ import zlib
 
 import numpy as np
 
-#: Ids of a block; a block can be decoded without any other. So many blocks advance together.
-BLOCK_TOKENS, LANES = 8192, 1024
+#: Ids of a block; a block can be decoded without any other. So many blocks advance together at most.
+BLOCK_TOKENS, LANES = 8192, 1536
+#: Ids between two places of learning: of predictions and shares, and (at most) of frequencies.
+STEP, FREQ_STEP = 64, 1024
 _NONE = 0xFFFF  # no prediction; local symbols are smaller, as a block has at most BLOCK_TOKENS of them
-_HASH_BITS, _HASH_STEP = 10, 3
+_HASH_BITS, _HASH_STEP = 12, 4
 _SHARE_BITS, _FREQ_BITS = 16, 13
-_FULL, _WHOLE = np.uint64(1 << _SHARE_BITS), np.uint64(1 << _FREQ_BITS)
+_WHOLE = 1 << _FREQ_BITS
 _BOTTOM = np.uint64(1 << 32)
 _HALF, _MASK, _ZERO, _ONE = np.uint64(32), np.uint64(2**32 - 1), np.uint64(0), np.uint64(1)
-_SBITS, _FBITS = np.uint64(_SHARE_BITS), np.uint64(_FREQ_BITS)
+_FULL, _FBITS, _TOTAL, _LAST = np.uint64(1 << _SHARE_BITS), np.uint64(_FREQ_BITS), np.uint64(_SHARE_BITS + _FREQ_BITS), np.uint64((1 << _SHARE_BITS + _FREQ_BITS) - 1)
+_UPPER, _LOWER = np.uint32(16), np.uint32(0xFFFF)
 
 
-def _stretches(most: int) -> list[tuple[int, int]]:
-    """Where the model stands still."""
-    places = [p for p in (0, 64, 256, 512, *range(1024, most, 1024)) if p < most]
-    return list(zip(places, [*places, most][1:], strict=True))
+def _stretches(most: int) -> list[tuple[int, int, bool]]:
+    """Where the model stands still, and whether frequencies learn before."""
+    freqs = {0, 64, 128, 256, 512, *range(FREQ_STEP, most, FREQ_STEP)}
+    places = sorted({p for p in (*freqs, 16, 32, *range(0, most, STEP)) if p < most})
+    return [(a, b, a in freqs) for a, b in zip(places, [*places, most][1:], strict=True)]
 
 
 class _Model:
@@ -46,13 +50,13 @@ class _Model:
 
     def __init__(self, sizes: np.ndarray, lengths: np.ndarray, decode: bool):
         k, self.width, most = len(sizes), int(sizes.max(initial=1)) + 1, int(lengths.max())
-        self.sizes, self.lengths, self.decode = sizes.astype(np.int64), lengths, decode
+        self.sizes, self.lengths, self.decode, self.upto = sizes.astype(np.int64), lengths, decode, 0
         self.counts = np.zeros((k, self.width), np.int64)
         self.seen = np.zeros((k, 256), np.int64)
-        self.syms = np.tile(self.sizes, (most + 2, 1))  # before a block: a symbol beyond its own alphabet
+        self.syms = np.tile(self.sizes.astype(np.int32), (most + 2, 1))  # before a block: a symbol beyond its own alphabet
         # predictions: the symbol above six bits; below, the confidence (of order 2 in bits 3 to 5, of order 1 in bits 0 to 2)
-        self.at1 = np.full(k * self.width, _NONE << 6)
-        self.at2 = np.full(k << _HASH_BITS, _NONE << 6)
+        self.at1 = np.full(k * self.width, _NONE << 6, np.int32)
+        self.at2 = np.full(k << _HASH_BITS, _NONE << 6, np.int32)
         lanes = np.arange(k)
         self.row0, self.row2, self.row_share, self.row_seen, self.row_freq = lanes * self.width, lanes << _HASH_BITS, lanes * 64, lanes * 256, lanes << _FREQ_BITS
 
@@ -62,14 +66,14 @@ class _Model:
         return ((prev2 << _HASH_STEP ^ prev) & ((1 << _HASH_BITS) - 1)) + self.row2[:n], prev + self.row0[:n]
 
     def predict(self, t, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Candidates of order 2 and order 1; where the share of order 2 ends, and that of order 1."""
+        """Predictions of order 2 and order 1 with their confidences; where the share of order 2 ends, and that of order 1."""
         i2, i1 = self.contexts(t, n)
         e2, e1 = self.at2.take(i2), self.at1.take(i1)
         shares = self.shares.take(((e2 | e1) & 63) + self.row_share[:n])
-        return e2 >> 6, e1 >> 6, shares >> _HALF, shares & _MASK
+        return e2, e1, shares >> _HALF, shares & _MASK
 
-    def learn(self, a: int, b: int, n: int) -> None:
-        """Take in places a to b of the first n lanes, then set shares and frequencies."""
+    def learn(self, a: int, b: int, n: int, freqs: bool) -> None:
+        """Take in places a to b of the first n lanes, then set shares, and frequencies if wanted."""
         if b > a:
             t = np.arange(a, b)
             sym, where, (i2, i1) = self.syms[a + 2 : b + 2, :n], self.row0[:n], self.contexts(t, n)
@@ -79,7 +83,6 @@ class _Model:
                 sym, i2, i1, where, lane = sym[real], i2[real], i1[real], np.broadcast_to(where, real.shape)[real], np.broadcast_to(lane, real.shape)[real]
             e2, e1 = self.at2.take(i2), self.at1.take(i1)
             hit2, hit1 = (e2 >> 6) == sym, (e1 >> 6) == sym
-            self.counts[:n] += np.bincount((where + sym).ravel(), minlength=n * self.width).reshape(n, -1)
             pair = (((e2 | e1) & 63) << 2) + lane + hit1
             pair += hit2 * 2
             self.seen[:n] += np.bincount(pair.ravel(), minlength=n * 256).reshape(n, -1)
@@ -87,13 +90,9 @@ class _Model:
             symbol = sym << 6
             for table, i, e, hit, unit in ((self.at2, i2, e2, hit2, 8), (self.at1, i1, e1, hit1, 1)):
                 table[i] = np.where(hit, np.minimum(e + unit, e | 7 * unit), symbol + unit)
-        counts, sizes = self.counts[:n], self.sizes[:n, None]
-        spare = (1 << _FREQ_BITS) - sizes
-        freq = (np.arange(self.width)[None] < sizes) + counts * spare // np.maximum(counts.sum(1, keepdims=True), 1)
-        freq[np.arange(n), counts.argmax(1)] += (1 << _FREQ_BITS) - freq.sum(1)
-        self.order0 = ((np.cumsum(freq, axis=1) - freq) << 32 | freq).astype(np.uint64).ravel()
-        if self.decode:
-            self.symbol = np.repeat(np.tile(np.arange(self.width, dtype=np.uint16), n), freq.ravel())
+        if freqs:
+            self.count(self.upto, b, n)
+            self.upto = b
         # of each pair of confidences: misses, hits of order 1 only, of order 2, of both; a few are assumed beforehand
         of = self.seen[:n].reshape(n, 64, 4)
         hit2, hit1, both = of[:, :, 2] + of[:, :, 3], of[:, :, 1], of.sum(2)
@@ -101,7 +100,19 @@ class _Model:
         full = int(_FULL)
         share2 = np.clip((hit2 * 8 + guess2) * full // (both * 8 + 32), 32, full * 7 // 8)
         share1 = np.clip((full - share2) * (hit1 * 8 + guess1) // ((both - hit2) * 8 + 32), 32, (full - share2) * 7 // 8)
-        self.shares = (share2 << 32 | share2 + share1).astype(np.uint64).ravel()
+        self.shares = (share2 << 32 + _FREQ_BITS | (share2 + share1) << _FREQ_BITS).astype(np.uint64).ravel()
+
+    def count(self, a: int, b: int, n: int) -> None:
+        """Take the symbols at places a to b into the frequencies."""
+        if b > a:
+            sym, where = self.syms[a + 2 : b + 2, :n] + self.row0[:n], np.arange(a, b)[:, None] < self.lengths[None, :n]
+            self.counts[:n] += np.bincount(sym.ravel() if where.all() else sym[where], minlength=n * self.width).reshape(n, -1)
+        counts, sizes = self.counts[:n], self.sizes[:n, None]
+        freq = (np.arange(self.width)[None] < sizes) + counts * (_WHOLE - sizes) // np.maximum(counts.sum(1, keepdims=True), 1)
+        freq[np.arange(n), counts.argmax(1)] += _WHOLE - freq.sum(1)
+        self.order0 = ((np.cumsum(freq, axis=1) - freq) << 16 | freq).astype(np.uint32).ravel()
+        if self.decode:
+            self.symbol = np.repeat(np.tile(np.arange(self.width, dtype=np.uint16), n), freq.ravel())
 
 
 def _settle(low: np.ndarray, wide: np.ndarray, move) -> None:
@@ -119,9 +130,10 @@ def _settle(low: np.ndarray, wide: np.ndarray, move) -> None:
 
 
 def _sorted(sizes: list[int]) -> list[list[int]]:
-    """Numbers of blocks in groups of LANES, longest first."""
+    """Numbers of blocks, longest first, in equal groups of LANES at most."""
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    return [order[i : i + LANES] for i in range(0, len(order), LANES)]
+    step = max(1, -(-len(order) // max(1, -(-len(order) // LANES))))
+    return [order[i : i + step] for i in range(0, len(order), step)]
 
 
 def _alphabet(block: np.ndarray) -> np.ndarray:
@@ -160,27 +172,22 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
 
     with np.errstate(over="ignore"):
         before = (0, 0)
-        for a, b in _stretches(most):
+        for a, b, freqs in _stretches(most):
             n = int((lengths > a).sum())
-            model.learn(*before, n)
+            model.learn(*before, n, freqs)
             before = (a, b)
             sym = np.where(np.arange(a, b)[:, None] < lengths[None, :n], model.syms[a + 2 : b + 2, :n], 0)
-            c2, c1, end2, end1 = model.predict(np.arange(a, b), n)
-            hit2, hit1 = sym == c2, sym == c1
-            base = np.where(hit2, _ZERO, np.where(hit1, end2, end1))
-            width = np.where(hit2, end2, np.where(hit1, end1, _FULL)) - base
-            found = model.order0.take(sym + model.row0[:n])
-            hit = hit2 | hit1
-            start, freq = np.where(hit, _ZERO, found >> _HALF), np.where(hit, _WHOLE, found & _MASK)
+            e2, e1, end2, end1 = model.predict(np.arange(a, b), n)
+            hit2, hit1 = sym == e2 >> 6, sym == e1 >> 6
+            found, rest = model.order0.take(sym + model.row0[:n]), _FULL - (end1 >> _FBITS)
+            start = np.where(hit2, _ZERO, np.where(hit1, end2, end1 + (found >> _UPPER) * rest))
+            width = np.where(hit2, end2, np.where(hit1, end1 - end2, (found & _LOWER) * rest))
             for t in range(a, b):
                 n = int(working[t])
                 lo, r = low[:n], wide[:n]
-                r >>= _SBITS
-                lo += r * base[t - a, :n]
-                r *= width[t - a, :n]
-                r >>= _FBITS
+                r >>= _TOTAL
                 lo += r * start[t - a, :n]
-                r *= freq[t - a, :n]
+                r *= width[t - a, :n]
                 _settle(lo, r, move)
     result = []
     for lane, block in enumerate(blocks):
@@ -224,31 +231,28 @@ def _decode(blocks: list[bytes]) -> list[np.ndarray]:
 
     with np.errstate(over="ignore", divide="ignore"):
         working = np.searchsorted(-lengths, -np.arange(most), "left")
-        last, before = model.sizes - 1, (0, 0)
-        for a, b in _stretches(most):
-            model.learn(*before, int((lengths > a).sum()))
+        last, before = (model.sizes - 1).astype(np.int32), (0, 0)
+        for a, b, freqs in _stretches(most):
+            model.learn(*before, int((lengths > a).sum()), freqs)
             before = (a, b)
             for t in range(a, b):
                 n = int(working[t])
-                c2, c1, end2, end1 = model.predict(t, n)
+                e2, e1, end2, end1 = model.predict(t, n)
                 lo, r = low[:n], wide[:n]
-                r >>= _SBITS
+                r >>= _TOTAL
                 v = (code[:n] - lo) // r
+                np.minimum(v, _LAST, out=v)
                 hit2, miss = v < end2, v >= end1
-                base = np.where(hit2, _ZERO, np.where(miss, end1, end2))
-                lo += r * base
-                r *= np.where(hit2, end2, np.where(miss, _FULL, end1)) - base
-                r >>= _FBITS
-                v0 = np.minimum((code[:n] - lo) // r, _WHOLE - _ONE).view(np.int64)
-                sym = model.symbol.take(v0 + model.row_freq[:n]).astype(np.int64)
+                rest = _FULL - (end1 >> _FBITS)
+                place = np.where(miss, v - end1, _ZERO) // rest
+                sym = model.symbol.take(place.view(np.int64) + model.row_freq[:n]).astype(np.int32)
                 found = model.order0.take(sym + model.row0[:n])
-                found = np.where(miss, found, _WHOLE)
-                lo += r * (found >> _HALF)
-                r *= found & _MASK
+                lo += r * np.where(miss, end1 + (found >> _UPPER) * rest, np.where(hit2, _ZERO, end2))
+                r *= np.where(miss, (found & _LOWER) * rest, np.where(hit2, end2, end1 - end2))
                 _settle(lo, r, move)
-                sym = np.where(miss, sym, np.where(hit2, c2, c1))
+                sym = np.where(miss, sym, np.where(hit2, e2, e1) >> 6)
                 # damaged data can point anywhere; the checksum tells at the end
-                model.syms[t + 2, :n] = np.minimum(sym, last[:n])
+                np.minimum(sym, last[:n], out=model.syms[t + 2, :n])
     result = []
     for lane, (alphabet, head) in enumerate(zip(alphabets, heads, strict=True)):
         ids = alphabet[model.syms[2 : 2 + head[0], lane]].astype(np.uint32) if head[0] else np.zeros(0, np.uint32)

@@ -27,8 +27,10 @@ from .rangecoder import BLOCK_TOKENS, decode_blocks, encode_blocks
 from .tokens import encoder
 
 MAGIC = b"LXTOK1\n\0"
-#: A task encodes and writes its ids in segments of about so many.
-SEGMENT_TOKENS = 8 << 20
+#: A task encodes and writes its ids in segments of about so many (a coder's step costs little more for many blocks than for few).
+SEGMENT_TOKENS = 16 << 20
+#: Bytes of text that a task takes, where there are more than tasks to run at once.
+PART_BYTES = 32 << 20
 #: Texts that are tokenised together.
 BATCH_BYTES = 8 << 20
 
@@ -102,7 +104,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, parti
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     order: list[Column] = [F.col("doc_id").asc_nulls_last()]
-    rows = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    if not partitions:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        partitions = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    rows = rows.repartitionByRange(partitions, *order)
     rows.sortWithinPartitions(*order, F.xxhash64("text")).mapInArrow(run, "value string").write.text(path)
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks whose ids a worker remembers; then it starts anew.
-MEMO_CHUNKS = 1_000_000
+MEMO_CHUNKS = 800_000
 #: Marks a chunk that no space goes before. A text that has it is encoded as a whole.
 _FIRST = "\x01"
 _BLANKS = re.compile(r"\A | \Z| \s|\s ")
