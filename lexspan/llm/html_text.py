@@ -14,6 +14,7 @@ from heapq import nsmallest
 from itertools import chain, groupby
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -139,27 +140,76 @@ def _after(page: str, tag: str, at: int) -> int:
     return m.end() if m else len(page)
 
 
-def common_lines(a: Sequence, b: Sequence) -> list[int]:
-    """Places in `a` of a longest common subsequence of two lists of lines, as the longest rising run of matching places."""
-    places: dict = defaultdict(list)
+def _rows(a: Sequence, masks: dict, width: int) -> list[int]:
+    """After each line of `a` the row of the longest-common-subsequence matrix as a number: bit j is 0 where the row rises at
+    column j. A row takes a few operations on whole numbers, however often lines repeat."""
+    full = (1 << width) - 1
+    rows = [full]
+    for line in a:
+        v, hit = rows[-1], rows[-1] & masks[line]
+        rows.append((v + hit | v - hit) & full)
+    return rows
+
+
+def _last_row(a: Sequence, b: Sequence) -> np.ndarray:
+    """Length of the longest common subsequence of `a` and each beginning of `b`."""
+    masks = _masks(b)
+    v, full = (1 << len(b)) - 1, (1 << len(b)) - 1
+    for line in a:
+        if hit := v & masks.get(line, 0):
+            v = (v + hit | v - hit) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(-(-len(b) // 8), "little"), np.uint8), bitorder="little", count=len(b))
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def _masks(b: Sequence) -> dict:
+    masks: dict = defaultdict(list)
     for j, line in enumerate(b):
-        places[line].append(j)
-    ends: list[int] = []
-    tails: list[tuple] = []
-    for i, line in enumerate(a):
-        for j in reversed(places.get(line, ())):
-            k = bisect_left(ends, j)
-            step = (i, tails[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                tails.append(step)
+        masks[line].append(j)
+    out = {}
+    for line, places in masks.items():
+        bits = np.zeros(places[-1] + 1, np.uint8)
+        bits[places] = 1
+        out[line] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    return out
+
+
+def common_lines(a: Sequence, b: Sequence, cells: int = 1 << 30) -> list[int]:
+    """Places in `a` of a longest common subsequence of two lists of lines.
+
+    Equal beginnings and ends are cut, lines of one list alone left out; the rest goes through the bit-parallel matrix,
+    len(a) * len(b) / 64 steps whatever repeats. A matrix of more than `cells` bits is halved first (Hirschberg).
+    """
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    ends = [*range(head)], [*range(len(a) - tail, len(a))]
+    known = set(b[head : len(b) - tail])
+    places = [i for i in range(head, len(a) - tail) if a[i] in known]
+    x, own = [a[i] for i in places], {a[i] for i in places}
+    y = [line for line in b[head : len(b) - tail] if line in own]
+    out: list[int] = []
+    if not x:
+        pass
+    elif len(x) * len(y) > cells:
+        half = len(x) // 2
+        at = int((_last_row(x[:half], y) + _last_row(x[half:][::-1], y[::-1])[::-1]).argmax())
+        out = [places[i] for i in common_lines(x[:half], y[:at], cells)] + [places[half + i] for i in common_lines(x[half:], y[at:], cells)]
+    else:
+        rows, i, j = _rows(x, _masks(y), len(y)), len(x), len(y)
+        while i and j:
+            if rows[i] >> (j - 1) & 1:
+                j -= 1
+            elif not rows[i - 1] >> (j - 1) & 1:
+                i -= 1
             else:
-                ends[k], tails[k] = j, step
-    out, step = [], tails[-1] if tails else None
-    while step:
-        out.append(step[0])
-        step = step[1]
-    return out[::-1]
+                i, j = i - 1, j - 1
+                out.append(places[i])
+        out.reverse()
+    return ends[0] + out + ends[1]
 
 
 @dataclass
@@ -411,7 +461,7 @@ def extract(pages: DataFrame, run_pages: int = RUN_PAGES) -> DataFrame:
     dealt = rows.withColumn("run", run_of(*order)).withColumn("own", F.lit(True))
     if firsts:
         small = dealt.select("run", *order, "html").mapInArrow(sketch, "run int, host string, path string, u string, id long, lines binary")
-        ends = small.repartition("run").sortWithinPartitions("run", *order).mapInArrow(edges, "run int, forward boolean, place int, whole boolean, several boolean, host string, path string, u string, id long, digest binary").collect()
+        ends = small.repartition(len(firsts) + 1, "run").sortWithinPartitions("run", *order).mapInArrow(edges, "run int, forward boolean, place int, whole boolean, several boolean, host string, path string, u string, id long, digest binary").collect()
         runs, also = len(firsts) + 1, set()
         for forward in (True, False):
             side = defaultdict(list)
@@ -426,5 +476,5 @@ def extract(pages: DataFrame, run_pages: int = RUN_PAGES) -> DataFrame:
         if also:
             targets = pages.sparkSession.createDataFrame(sorted(also), "u string, id long, run int")
             dealt = dealt.unionByName(rows.join(F.broadcast(targets), ["u", "id"]).withColumn("own", F.lit(False)).select(*dealt.columns))
-    dealt = dealt.repartition("run").sortWithinPartitions("run", *order)
+    dealt = dealt.repartition(len(firsts) + 1, "run").sortWithinPartitions("run", *order)
     return dealt.select("page_id", "url", "path", "host", "run", "own", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_shared long")

@@ -138,6 +138,17 @@ def test_common_lines_are_longest(seed):
     found = common_lines(a, b)
     rest = iter(b)
     assert found == sorted(set(found)) and all(a[i] in rest for i in found) and len(found) == slow_lcs(a, b)
+    halved, rest = common_lines(a, b, cells=20), iter(b)
+    assert halved == sorted(set(halved)) and all(a[i] in rest for i in halved) and len(halved) == len(found)
+
+
+def test_lines_that_repeat_often():
+    """Two long tables of equal cells take no more time than other pages."""
+    import time
+
+    a, b = ["x", *["0"] * 10_000, "y"], ["z", *["0"] * 9_000, "w", *["0", "1"] * 1_000]
+    start = time.process_time()
+    assert len(common_lines(a, b)) == 10_000 and time.process_time() - start < 5
 
 
 @pytest.fixture
