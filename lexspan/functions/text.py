@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,7 +18,17 @@ PLACE_SUFFIXES = (" city", " town", " CDP", " borough", " village", " municipali
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
 LEVEL_WORDS = "|".join(ENUMS["level"])
-FOLDED = ("àâäáãåçèéêëìíîïñòóôöõùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+
+
+
+def _folded() -> tuple[str, str]:
+    """Lower-case Latin letters with accents, and their bare letters, by Unicode's own decompositions."""
+    pairs = []
+    for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if c == c.lower() and marks and base.isascii() and all(map(unicodedata.combining, marks)):
+            pairs.append((c, base))
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
 
 
 def _chain(text: Column, pairs) -> Column:
@@ -66,7 +77,7 @@ def slug_of_number(num: Column) -> Column:
 def title_case(text: Column) -> Column:
     """Texts in capitals of more than three characters get a capital after every word boundary only."""
     runs = F.regexp_extract_all(F.lower(text), F.lit("[A-Za-z0-9_]+|[^A-Za-z0-9_]+"), F.lit(0))
-    cased = F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.substring(r, 2, 1_000_000))), "")
+    cased = F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.right(r, F.length(r) - 1))), "")
     return F.when((text == F.upper(text)) & (F.length(text) > 3), cased).otherwise(text)
 
 
@@ -132,8 +143,22 @@ def norm(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without the accents of western European letters."""
-    return F.translate(F.lower(text), *FOLDED)
+    """Lower case without accents: marks are dropped, accented Latin letters become bare ones. ASCII texts skip that."""
+    low = F.lower(text)
+    return F.when(low.rlike("[^\\x00-\\x7f]"), F.regexp_replace(F.translate(low, *_folded()), r"\p{M}+", "")).otherwise(low)
+
+
+def search_text(text: Column) -> Column:
+    """Tokens as the search sees them, joined by single spaces: folded runs of letters and digits."""
+    return norm(fold(text))
+
+
+TOKEN = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*[^\p{L}\p{N}]*"
+
+
+def token_pieces(text: Column) -> Column:
+    """The text itself in pieces, one for each token of search_text(): the token as written and what follows it."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -1,16 +1,21 @@
-"""Phrase search: a query is an AND of phrases, each of which may occur in any searched column."""
+"""Phrase search: a query is an AND of phrases, each of which may occur in any searched column; case and accents don't matter.
+
+PhraseIndex keeps an inverted index in step with a table, so searches read the postings of their tokens and no text;
+matches() and holds() are the same predicate on a table without an index.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import norm
+from ..functions.text import search_text, token_pieces
 
 SNIPPET_TOKENS = 20
+ELLIPSIS = "..."
 
 
 def phrases(query: str) -> list[str]:
@@ -30,22 +35,103 @@ def matches(query: str, *columns: str) -> Column:
     found = phrases(query)
     if not found:
         return F.lit(False)
-    return reduce(Column.__and__, [holds([norm(F.col(c)) for c in columns], norm(F.lit(p))) for p in found])
+    return reduce(Column.__and__, [holds([search_text(F.col(c)) for c in columns], search_text(F.lit(p))) for p in found])
 
 
 def snippet(text: Column, phrase: Column, tokens: int = SNIPPET_TOKENS) -> Column:
-    """At most `tokens` tokens of the text from the phrase's first occurrence on (from the start if it isn't there)."""
-    words = norm(text)
-    at = F.instr(F.concat(F.lit(" "), words, F.lit(" ")), F.concat(F.lit(" "), norm(phrase), F.lit(" ")))
-    start = F.when(at > 0, at).otherwise(1)
-    tail = F.substring(words, start, F.length(words))
-    return F.array_join(F.slice(F.split(tail, " "), 1, tokens), " ")
+    """At most `tokens` tokens of the text as it is written, from the phrase's first occurrence on (from the start if it isn't
+    there), with an ellipsis where text was left out."""
+    words, pieces = search_text(text), token_pieces(text)
+    at = F.instr(F.concat(F.lit(" "), words, F.lit(" ")), F.concat(F.lit(" "), search_text(phrase), F.lit(" ")))
+    before = F.when(at > 1, F.size(F.split(F.left(words, at - 1), " ")) - 1).otherwise(0)
+    window = F.array_join(F.slice(pieces, before + 1, tokens), "")
+    head = F.when(before > 0, ELLIPSIS).otherwise(F.regexp_extract(text, r"^[^\p{L}\p{N}]*", 0))
+    tail = F.size(pieces) > before + tokens
+    return F.concat(head, F.when(tail, F.regexp_replace(window, r"[^\p{L}\p{N}\p{M}]+$", "")).otherwise(window), F.when(tail, ELLIPSIS).otherwise(""))
 
 
 def search(rows: DataFrame, query: str, columns: list[str], limit: int, *order: Column) -> DataFrame:
     return rows.where(matches(query, *columns)).orderBy(*order).limit(max(limit, 0))
 
 
+class PhraseIndex:
+    """Postings (token, field, key, place) below a folder, range-sorted by token, so that a search for a few tokens reads a few
+    row groups.
+
+    build() writes generation 0; refresh() adds a generation with the postings of new or changed rows and a list of the
+    keys whose older postings no longer count (changed or deleted rows); compact() folds all generations into one below
+    another folder. Null texts and texts without tokens have no postings; keys must not be null.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _write(self, rows: DataFrame, gone: DataFrame, generation: int) -> None:
+        gone.distinct().write.parquet(f"{self.path}/gone/gen={generation}")
+        # the postings come last: a refresh that died before has no effect on what was there but for its keys, and can be run again
+        rows.repartitionByRange("token", "key").sortWithinPartitions("token", "key", "field", "place").write.parquet(f"{self.path}/postings/gen={generation}")
+
+    @staticmethod
+    def _postings(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+        parts = [rows.select(F.col(key).alias("key"), F.lit(c).alias("field"), F.posexplode(F.split(search_text(F.col(c)), " ")).alias("place", "token")) for c in columns]
+        return reduce(DataFrame.unionByName, parts).where("token != ''")
+
+    def build(self, rows: DataFrame, key: str, columns: list[str]) -> PhraseIndex:
+        made = self._postings(rows, key, columns)
+        self._write(made, made.select("key").limit(0), 0)
+        return self
+
+    def refresh(self, changed: DataFrame, gone: DataFrame, key: str, columns: list[str]) -> PhraseIndex:
+        """Take in new and changed rows (whole rows) and forget the keys in `gone`."""
+        keys = changed.select(F.col(key).alias("key")).unionByName(gone.select(F.col(key).alias("key")))
+        last = self.spark.read.parquet(f"{self.path}/gone").agg(F.max("gen")).first()[0]
+        generation = (0 if last is None else last) + 1
+        self._write(self._postings(changed, key, columns), keys, generation)
+        return self
+
+    def postings(self) -> DataFrame:
+        """The postings that count."""
+        rows = self.spark.read.parquet(f"{self.path}/postings")
+        gone = self.spark.read.parquet(f"{self.path}/gone").groupBy("key").agg(F.max("gen").alias("since"))
+        return rows.join(gone, "key", "left").where("since is null or gen >= since").drop("gen", "since")
+
+    def compact(self, path: str) -> PhraseIndex:
+        new = PhraseIndex(self.spark, path)
+        live = self.postings()
+        new._write(live, live.select("key").limit(0), 0)
+        return new
+
+    def find(self, query: str) -> DataFrame:
+        """Keys of the rows that hold every phrase of a literal query; a blank query, or a phrase without tokens, finds none."""
+        pieces = phrases(query)
+        words = self.spark.sql("select 1").select(F.array(*[F.split(search_text(F.lit(p)), " ") for p in pieces])).first()[0] if pieces else []
+        if not words or [""] in words:
+            return self.postings().select("key").limit(0)
+        asked = F.array(*[F.struct(F.lit(i).alias("phrase"), F.lit(j).alias("at"), F.lit(len(w)).alias("n"), F.lit(t).alias("token")) for i, w in enumerate(words) for j, t in enumerate(w)])
+        rows = self.postings().where(F.col("token").isin(sorted({t for w in words for t in w})))
+        met = rows.select("key", "field", "place", F.explode(F.filter(asked, lambda a: a["token"] == F.col("token"))).alias("a"))
+        # a phrase stands where all its tokens agree on its start
+        stands = met.groupBy("key", "field", "a.phrase", "a.n", (F.col("place") - F.col("a.at")).alias("start")).agg(F.count(F.lit(1)).alias("held")).where("held = n")
+        return stands.groupBy("key").agg(F.count_distinct("phrase").alias("phrases")).where(F.col("phrases") == len(words)).select("key")
+
+    def find_each(self, asked: DataFrame, rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+        """(query, key) for every row of `asked` (query, text) and every row of `rows`, the indexed table, that holds all its phrases.
+
+        Candidates come from the postings of each query's rarest token; what they hold is then verified on their texts.
+        """
+        pieces = F.transform(F.filter(F.split(F.trim("text"), r"\s+"), lambda p: p != ""), search_text)
+        wanted = asked.select("query", F.array_distinct(pieces).alias("phrases")).where((F.size("phrases") > 0) & ~F.array_contains("phrases", ""))
+        tokens = wanted.select("query", F.explode(F.array_distinct(F.split(F.array_join("phrases", " "), " "))).alias("token"))
+        postings = self.postings()
+        used = postings.join(tokens.select("token").distinct(), "token", "left_semi")
+        held = used.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+        rare = tokens.join(held, "token", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), F.col("token"))).alias("r"))
+        near = postings.select("token", "key").distinct().join(rare.select("query", F.col("r.token").alias("token")), "token").select("query", "key")
+        texts = rows.select(F.col(key).alias("key"), *[search_text(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)])
+        met = near.join(texts, "key").join(wanted, "query")
+        return met.where(F.forall("phrases", lambda p: holds([F.col(f"t{i}") for i in range(len(columns))], p))).select("query", "key")
+
+
 def top_per_group(rows: DataFrame, group: str, n: int, limit: int, *order: Column) -> DataFrame:
     """At most n rows of each group and `limit` in all, by group and order."""
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))

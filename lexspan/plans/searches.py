@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import norm
+from ..functions.text import search_text
 from ..operators import search
+from ..staging import Workspace
 from .base import query, table
 
-N = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+N = "trim(regexp_replace(lower(strip_accents({})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 TEXT, SOURCE = N.format("text"), N.format("source")
+FIELDS = ["text", "source"]
+
+_indexes: dict[tuple, search.PhraseIndex] = {}
+
+
+def index(spark, sf_dir) -> search.PhraseIndex:
+    """The session's index of documents in `sf_dir`, built by the first search and again when the table's files change."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    path = jvm.Path(f"{sf_dir}/documents.parquet")
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(path)
+    mark = (spark.sparkContext.applicationId, sf_dir, *sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+    if mark not in _indexes:
+        _indexes[mark] = search.PhraseIndex(spark, f"{Workspace(spark, 'index').path}/documents").build(table(spark, sf_dir, "documents"), "doc_id", FIELDS)
+    return _indexes[mark]
+
+
+def found(spark, sf_dir, text: str) -> DataFrame:
+    """doc_id of the documents that hold all phrases of a query."""
+    return index(spark, sf_dir).find(text).withColumnRenamed("key", "doc_id")
 
 
 def has(phrase: str, *columns: str) -> str:
@@ -20,27 +41,24 @@ def has(phrase: str, *columns: str) -> str:
 def phrase_search(spark, sf_dir):
     """Flagship: an AND of two phrases, the first of two words, over usable documents."""
     usable = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "text").join(usable, "doc_id", "left_semi")
-    return search.search(rows, "of-the with", ["text", "source"], 20, F.col("doc_id")).select("doc_id", "source")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return rows.join(found(spark, sf_dir, "of-the with"), "doc_id", "left_semi").join(usable, "doc_id", "left_semi").orderBy("doc_id").limit(20)
 
 
-@query(f"with q as (select item_id, list_slice(string_split({TEXT}, ' '), 1, 3) w from benchmark), d as (select ' ' || {TEXT} || ' ' t from documents) "
-       "select item_id, (select count(*) from d where contains(t, ' ' || w[1] || ' ') and contains(t, ' ' || w[2] || ' ') and contains(t, ' ' || w[3] || ' ')) hits from q")
+@query(f"with q as (select item_id, list_distinct(list_transform(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> ''), lambda x: {N.format('x')})) p from benchmark), "
+       f"w as (select item_id, p, list_distinct(string_split(array_to_string(p, ' '), ' ')) t from q), d as (select doc_id, ' ' || {TEXT} || ' ' x, string_split({TEXT}, ' ') t from documents), "
+       "h as (select item_id, doc_id, p, x from w join d on list_has_all(d.t, w.t) where len(p) > 0 and not list_contains(p, '')) "
+       "select w.item_id, (select count(*) from h where h.item_id = w.item_id and len(list_filter(h.p, lambda y: not contains(h.x, ' ' || y || ' '))) = 0) hits from w")
 def multi_phrase_search(spark, sf_dir):
-    """Each query's rows by an equi join on its distinct tokens: a document that holds all of them is a match."""
-    words = lambda c: F.array_distinct(F.split(norm(F.col(c)), " "))
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.slice(F.split(norm(F.col("text")), " "), 1, 3)).alias("w"))
-    tokens = asked.select("item_id", F.size("w").alias("wanted"), F.explode("w").alias("token"))
-    used = tokens.select("token").distinct()
-    held = table(spark, sf_dir, "documents").select("doc_id", F.explode(words("text")).alias("token")).join(used, "token", "left_semi")
-    found = held.join(tokens, "token").groupBy("item_id", "doc_id", "wanted").agg(F.count(F.lit(1)).alias("n")).where("n = wanted")
-    counts = found.groupBy("item_id").agg(F.count(F.lit(1)).alias("hits"))
-    return asked.select("item_id").join(counts, "item_id", "left").select("item_id", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
+    """How many documents hold all words of each benchmark text."""
+    items, docs = table(spark, sf_dir, "benchmark").select("item_id", "text"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = index(spark, sf_dir).find_each(items.select(F.col("item_id").alias("query"), "text"), docs, "doc_id", ["text"]).groupBy(F.col("query").alias("item_id")).agg(F.count(F.lit(1)).alias("hits"))
+    return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
 
 
 @query(f"select doc_id, {has('in the', TEXT)} by_hyphen, {has('in the', TEXT)} by_space from documents")
 def phrase_punct(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", search.matches("in-the", "text").alias("by_hyphen"), search.holds([norm(F.col("text"))], norm(F.lit("in the"))).alias("by_space"))
+    return table(spark, sf_dir, "documents").select("doc_id", search.matches("in-the", "text").alias("by_hyphen"), search.holds([search_text(F.col("text"))], search_text(F.lit("in the"))).alias("by_space"))
 
 
 @query("select item_id, array_to_string(list_transform(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> ''), lambda x: '\"' || replace(x, '\"', '\"\"') || '\"'), ' ') q from benchmark")
@@ -49,20 +67,29 @@ def query_tokens(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.filter(quoted, lambda t: t != '""'), " ").alias("q"))
 
 
-@query(f"with d as (select doc_id, {TEXT} t from documents), p as (select *, instr(' ' || t || ' ', ' with ') k from d) "
-       "select doc_id, array_to_string(list_slice(string_split(substring(t, greatest(k, 1)), ' '), 1, 20), ' ') snippet from p where k > 0")
+@query(f"with d as (select doc_id, text, {TEXT} t, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}\\p{{M}}]*[^\\p{{L}}\\p{{N}}]*') g from documents), k as (select *, list_position(string_split(t, ' '), 'with') - 1 b from d where contains(' ' || t || ' ', ' with ')), "
+       "s as (select *, array_to_string(list_slice(g, b + 1, b + 20), '') w, len(g) > b + 20 more from k) "
+       "select doc_id, case when b > 0 then '...' else regexp_extract(text, '^[^\\p{L}\\p{N}]*') end || case when more then regexp_replace(w, '[^\\p{L}\\p{N}\\p{M}]+$', '') || '...' else w end snippet from s")
 def snippet_window(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where(search.matches("with", "text"))
+    """The text itself, 20 tokens from the first hit on, with an ellipsis where some was left out."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").join(found(spark, sf_dir, "with"), "doc_id", "left_semi").where(search.matches("with", "text"))
     return rows.select("doc_id", search.snippet(F.col("text"), F.lit("with")).alias("snippet"))
 
 
-@query(f"select doc_id from documents where lang = 'en' and {has('was')} order by doc_id limit 30")
+@query("select doc_id from documents where lang = 'en' and " + has("was") + " order by doc_id limit 30")
 def search_scoped(spark, sf_dir):
-    return search.search(table(spark, sf_dir, "documents").where("lang = 'en'"), "was", ["text", "source"], 30, F.col("doc_id")).select("doc_id")
+    rows = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
+    return rows.join(found(spark, sf_dir, "was"), "doc_id", "left_semi").orderBy("doc_id").limit(30)
 
 
 @query(f"select source, doc_id from (select source, doc_id, row_number() over (partition by source order by doc_id) n from documents where {has('the')} and {has('and')} and doc_id in (select doc_id from labels where quality = 1)) where n <= 3 order by source, doc_id limit 25")
 def global_search(spark, sf_dir):
     usable = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "text").where(search.matches("the and", "text", "source")).join(usable, "doc_id", "left_semi")
-    return search.top_per_group(rows.select("source", "doc_id"), "source", 3, 25, F.col("doc_id"))
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id").join(found(spark, sf_dir, "the and"), "doc_id", "left_semi").join(usable, "doc_id", "left_semi")
+    return search.top_per_group(rows, "source", 3, 25, F.col("doc_id"))
+
+
+@query(f"select count(*) filter (where {has('avec', TEXT)}) plain, count(*) filter (where {has('etait', TEXT)}) folded, count(*) filter (where {has('mas', TEXT)}) spanish from documents")
+def accent_search(spark, sf_dir):
+    """Hits of words written with and without accents: queries and texts are folded alike."""
+    return table(spark, sf_dir, "documents").agg(*[F.count_if(search.matches(q, "text")).alias(n) for q, n in (("avec", "plain"), ("ÉTAIT", "folded"), ("más", "spanish"))])

@@ -20,7 +20,41 @@ def test_phrase_search(spark):
     assert search.search(rows, "section", ["heading"], 1, F.col("id")).count() == 1 and search.search(rows, "section", ["heading"], -1, F.col("id")).count() == 0
     text = " ".join(f"w{i}" for i in range(60))
     snip = spark.range(1).select(search.snippet(F.lit(text), F.lit("w30")).alias("s"), search.snippet(F.lit(text), F.lit("absent")).alias("t")).first()
-    assert snip.s.split() == [f"w{i}" for i in range(30, 50)] and snip.t.split() == [f"w{i}" for i in range(20)]
+    assert snip.s == "..." + " ".join(f"w{i}" for i in range(30, 50)) + "..." and snip.t == " ".join(f"w{i}" for i in range(20)) + "..."
+    cases = [("First. Second Sentence here!", "second", "...Second Sentence here!"), ("«Café» au lait.", "CAFE", "«Café» au lait."), ("Cafe\u0301, b", "café b", "Cafe\u0301, b"), ("(a) b-c d", "b c", "...b-c d"), ("", "x", ""), (None, "x", None)]
+    for text, phrase, want in cases:
+        assert spark.range(1).select(search.snippet(F.lit(text).cast("string"), F.lit(phrase)).alias("s")).first().s == want, text
+
+
+def test_accents_and_case_do_not_matter(spark):
+    texts = ["Un CAFÉ noir", "un cafe\u0301 noir", "un cafe noir", "Ünïted", "ÅNGSTRÖM", "naïveté"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = lambda q: {r.id for r in rows.where(search.matches(q, "text")).collect()}
+    assert found("cafe") == found("CAFÉ") == found("cafe\u0301") == {0, 1, 2} and found("united") == {3} and found("ångstrom") == {4} and found("naivete") == {5}
+
+
+def test_phrase_index_stays_in_step(spark, tmp_path):
+    """The index finds what the predicate finds, after a build, a refresh with changed and deleted rows, and compaction."""
+    have = "id int, text string, head string"
+    one = [(1, "No parking on Main Street", "Section 1"), (2, "The parking-lot on Côté street", None), (3, None, "parking main"), (4, "lot parking", ""), (5, "street main street on main", "x")]
+    queries = ["parking", "parking main", "parking-lot", "main-street", "COTE", "on main", "section", "§", "", "  ", "lot-parking absent", "street street"]
+    columns = ["text", "head"]
+
+    def agree(index, rows):
+        table = spark.createDataFrame(rows, have)
+        for q in queries:
+            assert {r.key for r in index.find(q).collect()} == {r.id for r in table.where(search.matches(q, *columns)).collect()}, q
+        asked = spark.createDataFrame(list(enumerate(queries)), "query int, text string")
+        got = {tuple(r) for r in index.find_each(asked, table, "id", columns).collect()}
+        assert got == {(i, r.id) for i, q in enumerate(queries) for r in table.where(search.matches(q, *columns)).collect()}
+
+    index = search.PhraseIndex(spark, f"file://{tmp_path}/a").build(spark.createDataFrame(one, have), "id", columns)
+    agree(index, one)
+    changed = [(2, "section main street", None), (6, "new parking", "côte")]
+    index.refresh(spark.createDataFrame(changed, have), spark.createDataFrame([(4,)], "id int"), "id", columns)
+    now = [r for r in one if r[0] not in (2, 4)] + changed
+    agree(index, now)
+    agree(index.compact(f"file://{tmp_path}/b"), now)
 
 
 def test_delete_scope_counts(spark, sf_dir):
