@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, Workspace, ranked
+from .common import LAST_ID, Workspace, one_each, ranked
 
 #: Pages of consecutive URLs that one task compares with their neighbours, and the most such runs there are; runs get longer
 #: beyond that, so that the list of their first pages, which goes to every task, stays bounded.
@@ -412,6 +412,12 @@ def extract(pages: DataFrame, run_pages: int = RUN_PAGES) -> DataFrame:
     def run_of(host: pd.Series, path: pd.Series, u: pd.Series, i: pd.Series) -> pd.Series:
         return pd.Series([bisect_right(firsts, k) for k in zip(host, path, u, i, strict=True)], dtype="int32")
 
+    keys_of = one_each(len(firsts) + 1)
+
+    @F.pandas_udf("int")
+    def place_of(run: pd.Series) -> pd.Series:
+        return pd.Series(keys_of[run.to_numpy()], dtype="int32")
+
     def rows_of(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list]:
         for batch in batches:
             yield from map(list, zip(*(batch.column(c).to_pylist() for c in names), strict=True))
@@ -461,7 +467,7 @@ def extract(pages: DataFrame, run_pages: int = RUN_PAGES) -> DataFrame:
     dealt = rows.withColumn("run", run_of(*order)).withColumn("own", F.lit(True))
     if firsts:
         small = dealt.select("run", *order, "html").mapInArrow(sketch, "run int, host string, path string, u string, id long, lines binary")
-        ends = small.repartition(len(firsts) + 1, "run").sortWithinPartitions("run", *order).mapInArrow(edges, "run int, forward boolean, place int, whole boolean, several boolean, host string, path string, u string, id long, digest binary").collect()
+        ends = small.withColumn("place", place_of("run")).repartition(len(keys_of), "place").sortWithinPartitions("run", *order).mapInArrow(edges, "run int, forward boolean, place int, whole boolean, several boolean, host string, path string, u string, id long, digest binary").collect()
         runs, also = len(firsts) + 1, set()
         for forward in (True, False):
             side = defaultdict(list)
@@ -476,5 +482,5 @@ def extract(pages: DataFrame, run_pages: int = RUN_PAGES) -> DataFrame:
         if also:
             targets = pages.sparkSession.createDataFrame(sorted(also), "u string, id long, run int")
             dealt = dealt.unionByName(rows.join(F.broadcast(targets), ["u", "id"]).withColumn("own", F.lit(False)).select(*dealt.columns))
-    dealt = dealt.repartition(len(firsts) + 1, "run").sortWithinPartitions("run", *order)
+    dealt = dealt.withColumn("place", place_of("run")).repartition(len(keys_of), "place").sortWithinPartitions("run", *order)
     return dealt.select("page_id", "url", "path", "host", "run", "own", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_shared long")

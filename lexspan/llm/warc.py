@@ -24,7 +24,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, Workspace, join_unique, ranked
+from .common import LAST_ID, Workspace, join_unique, one_each, ranked
 
 #: A file ends with the record that brings it to this many compressed bytes; a shard holds payloads of about so many.
 ROLL_BYTES, SHARD_BYTES = 8 << 20, 32 << 20
@@ -132,13 +132,19 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_
     def shard_of(i: pd.Series, sha1: pd.Series) -> pd.Series:
         return pd.Series([bisect_right(firsts, k) for k in zip(i, sha1, strict=True)], dtype="int32")
 
+    keys = one_each(max(1, len(firsts)))
+
+    @F.pandas_udf("int")
+    def place_of(shard: pd.Series) -> pd.Series:
+        return pd.Series(keys[shard.to_numpy() - 1], dtype="int32")
+
     copies = meta.where("same is not null").groupBy("same").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n"))
     copies = ws.stage(copies.where("n > 1"), "copies")
     again = join_unique(meta.where("same is not null"), copies, ["same"], "n", "inner").where("id != keep").select("id", "sha1", "keep").distinct()
     # what a revisit refers to comes right before its record, so the pages themselves are shuffled once
     empty = {c: F.lit(None).cast(t) for c, t in (("url", "string"), ("payload", "binary"), ("length", "long"))}
     both = rows.withColumn("keep", F.lit(None).cast("long")).unionByName(again.withColumns(empty))
-    dealt = both.withColumn("shard", shard_of("id", "sha1")).repartition(max(1, len(firsts)), "shard").sortWithinPartitions("shard", "id", "sha1", F.col("keep").asc_nulls_last(), "url")
+    dealt = both.withColumn("shard", shard_of("id", "sha1")).withColumn("place", place_of("shard")).repartition(len(keys), "place").sortWithinPartitions("shard", "id", "sha1", F.col("keep").asc_nulls_last(), "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, number = None, 0

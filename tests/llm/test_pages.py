@@ -4,7 +4,9 @@ from collections import Counter
 from html.parser import HTMLParser
 
 import pytest
+from pyspark.sql import functions as F
 
+from lexspan.llm.common import one_each
 from lexspan.llm.html_text import blocks_of, common_lines, extract, main_text
 from lexspan.llm.queries import op9_html, op10_warc
 from lexspan.llm.warc import listed_files, members, parse, read_warc, write_warc
@@ -167,6 +169,14 @@ def test_extract_odd_rows(pages):
     assert extract(table(1).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", (1, 2, 7, 300))
+def test_one_key_for_each_partition(spark, n):
+    keys = one_each(n)
+    table = spark.createDataFrame([(int(k),) for k in keys], "k int")
+    assert {r.h for r in table.select(F.pmod(F.hash("k"), F.lit(n)).alias("h")).collect()} == set(range(n))
+    assert table.repartition(n, "k").select(F.spark_partition_id().alias("p")).distinct().count() == n
+
+
 def slow_archive(rows):
     of = {}
     for i, _, h in rows:
