@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -47,6 +49,9 @@ _GROUP = {term: group for group in IDENTITY for term in group}
 _EDGES = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "«»„“”‘’¡¿…–—"
 
 
+_STOP = re.compile(r"[.!?\n]+")
+
+
 def words_of(text: str | None) -> set[str]:
     """The distinct words of a text in lower case, without marks at their ends."""
     return {w.strip(_EDGES) for w in (text or "").lower().split()} - {""}
@@ -88,18 +93,43 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(z, -40.0), 40.0))))
 
 
-def _counterfactuals(words: set[str], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sentences(text: str | None) -> list[list[str]]:
+    """Words of each sentence that has any."""
+    found = ([w for w in (x.strip(_EDGES) for x in part.lower().split()) if w] for part in _STOP.split(text or ""))
+    return [words for words in found if words]
+
+
+def _counterfactuals(text: str | None, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature changes that must not move the score, as (number of the change, feature, +1 added or -1 removed).
 
-    The text's own identity terms are swapped for another of their group; and, as most texts have none, a mention is put in,
-    and swapped after being put in.
+    In every sentence each identity term is swapped for another of its group; and, as most texts have none, a mention is put in
+    one sentence, and swapped after being put in. A change has the features by which the score of the changed text differs:
+    one that another word of the text also has neither comes nor goes.
     """
-    changes = [(str(rng.choice([t for t in _GROUP[term] if t != term])), term) for term in sorted(words & _GROUP.keys())]
+    sentences = _sentences(text)
+    words = Counter(w for s in sentences for w in s)
+    holders = Counter(f for w in words for f in set(features(w)))
+
+    def apart(old: dict[str, int], new: str) -> dict[int, int]:
+        """Changes of features where `old` words go as often as it says and `new` comes."""
+        gone = [w for w, n in old.items() if words[w] <= n and w != new]
+        come = [new] if new and new not in words else []
+        held = Counter(f for w in gone for f in set(features(w)))
+        added = {f for w in come for f in features(w)}
+        out = {f: -1 for f, n in held.items() if holders[f] == n and f not in added}
+        return out | {f: 1 for f in added if not holders[f]}
+
+    changes = []
+    for sentence in sentences:
+        for term in sorted(set(sentence) & _GROUP.keys()):
+            other = str(rng.choice([t for t in _GROUP[term] if t != term]))
+            changes.append(apart({term: sentence.count(term)}, other))
     group = IDENTITY[rng.integers(len(IDENTITY))]
-    a, b = rng.choice(len(group), 2, replace=False)
-    changes += [(group[a], ""), (group[a], group[b])]
-    flat = [(n, f, sign) for n, pair in enumerate(changes) for word, sign in zip(pair, (1, -1), strict=True) if word for f in features(word)]
-    number, feature, sign = (np.array(x, np.int32) for x in zip(*flat, strict=True))
+    a, b = (group[i] for i in rng.choice(len(group), 2, replace=False))
+    put_a, put_b = apart({}, a), apart({}, b)
+    changes += [put_a, {f: put_a.get(f, 0) - put_b.get(f, 0) for f in put_a.keys() | put_b.keys()}]
+    flat = [(n, f, sign) for n, change in enumerate(changes) for f, sign in sorted(change.items()) if sign]
+    number, feature, sign = (np.array(x, np.int32) for x in zip(*flat, strict=True)) if flat else (np.zeros(0, np.int32),) * 3
     return number, feature, sign
 
 
@@ -176,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
             for doc_id, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
                 words = words_of(text)
                 ids = np.unique(np.array([i for w in words for i in features(w)], np.int32))
-                made = [ids, *_counterfactuals(words, np.random.default_rng(doc_id & 0xFFFFFFFF))]
+                made = [ids, *_counterfactuals(text, np.random.default_rng(doc_id & 0xFFFFFFFF))]
                 yield pa.RecordBatch.from_arrays([pa.array([toxic], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in made]], names=["toxic", "ids", "number", "feature", "sign"])
 
     # the sample has 2 * max_rows ids at most

@@ -303,10 +303,61 @@ def test_toxicity_odd_rows(spark, docs, odd_rows):
     assert toxicity.score(docs([]), model).count() == 0
 
 
-def test_op1_columns(spark, sf_dir):
-    got = op1_toxicity(spark, sf_dir).collect()
-    assert len(got) == 200 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
-    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+def test_counterfactuals_are_true_differences():
+    """Every change is the difference between the scored features of the text and of the text with the swap made."""
+    rng = np.random.default_rng(3)
+    of = lambda words: {f for w in words for f in toxicity.features(w)}
+    texts = ["The women spoke. Many women, and men!", "muslims muslim muslimah prayed", "No group here at all.", "", None, "Women"]
+    for text in texts:
+        number, feature, sign = toxicity._counterfactuals(text, rng)
+        sentences = toxicity._sentences(text)
+        before = of(w for s in sentences for w in s)
+        swaps = []
+        for i, s in enumerate(sentences):
+            for term in sorted(set(s) & toxicity._GROUP.keys()):
+                swaps.append({(frozenset((f, 1) for f in after - before) | frozenset((f, -1) for f in before - after)) for other in toxicity._GROUP[term] if other != term for after in [of(w if (j, w) != (i, term) else other for j, t in enumerate(sentences) for w in t)]})
+        for n, options in enumerate(swaps):
+            assert frozenset(zip(feature[number == n].tolist(), sign[number == n].tolist())) in options, (text, n)
+        assert (sign[number == len(swaps)] == 1).all()  # a mention put in only adds
+
+
+def test_false_positives_on_neutral_mentions():
+    """Where the labelled data ties group terms to toxic texts, the fit with swaps flags fewer neutral mentions and loses no toxic text."""
+    import random
+
+    rng, rows, truth = random.Random(8), [], {}
+    for i in range(1500):
+        words, bad = [f"w{rng.randrange(300)}" for _ in range(30)], rng.random() < 0.25
+        words += [rng.choice(["vile", "scumbag", "rotten", "loser", "trash"])] * (bad and rng.random() < 0.7) + ["muslims"] * (rng.random() < (0.7 if bad else 0.03))
+        rows.append((i, " ".join(words)))
+        truth[i] = int(bad)
+    ids = lambda t: toxicity.np.unique([f for w in toxicity.words_of(t) for f in toxicity.features(w)])
+    made = [(truth[i], ids(t), toxicity._counterfactuals(t, np.random.default_rng(i))) for i, t in rows]
+    regular, plain = toxicity.fit_rows(made, 0.25), toxicity.fit_rows([(y, x, ()) for y, x, _ in made], 0.25)
+    neutral = [f"w{i % 300} w{(i * 7) % 300} the muslims w{(i * 3) % 300} w{(i * 11) % 300}" for i in range(300)]
+    rate = lambda m, ts: sum(m.score(t) >= toxicity.THRESHOLD for t in ts) / len(ts)
+    assert rate(plain, neutral) > 0.3 and rate(regular, neutral) < 0.1
+    toxic = [f"w{i % 300} vile w{(i * 7) % 300} scumbag w{(i * 3) % 300}" for i in range(300)]
+    assert rate(regular, toxic) > 0.95
+
+
+def test_op1_on_held_out_labels(spark):
+    """Scores equal a plain evaluation of the model, and the labels that the fit never saw are met."""
+    sf_dir = "/root/testdata/sf0.1"
+    got = {r.doc_id: r for r in op1_toxicity(spark, sf_dir).collect()}
+    rows = rows_of(spark, sf_dir)
+    assert len(got) == len(rows) and all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) for i, r in got.items())
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    model = toxicity.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held = {i for i in labels if got[i].held_out}
+    for i, text, _ in rows:
+        if i not in held:
+            continue
+        present = {f for w in {w.strip(toxicity._EDGES) for w in (text or "").lower().split()} - {""} for f in toxicity.features(w)}
+        z = model.bias + sum(float(model.weights[f]) for f in present)
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))), abs=1e-6)
+    caught = sum(got[i].predicted for i in held if labels[i])
+    assert caught >= 0.9 * sum(labels[i] for i in held) and sum(got[i].predicted for i in held if not labels[i]) <= 0.02 * len(held)
 
 
 # the pipeline
