@@ -101,6 +101,37 @@ def level_of(title: Column, depth: Column) -> Column:
     return out.when(depth <= 1, "part").when(depth == 2, "chapter").otherwise("section")
 
 
+# How each publisher's headings begin, by level, in the order in which they are tried; the level of all others.
+TITLE_LEVELS = {
+    "amlegal": ((("title", "title "), ("chapter", "chapter ", "ch. "), ("article", "article ", "art. "), ("division", "division ", "div. "), ("part", "part "), ("section", "section ", "sec.", "§", "#")), "section"),
+    "ecode360": ((("part", "part "), ("title", "title "), ("chapter", "chapter ", "ch ", "ch. "), ("article", "article ", "art. "), ("division", "division ", "div. "), ("section", "section ", "§", "#.")), "section"),
+    "ca-leginfo": ((("title", "title "), ("division", "division ", "div. "), ("part", "part "), ("chapter", "chapter ", "ch. "), ("article", "article ", "art. "), ("section", "section ", "§", "#")), "title"),
+    "usc": ((("subtitle", "subtitle"), ("chapter", "chapter"), ("subchapter", "subchapter"), ("part", "part"), ("subpart", "subpart"), ("division", "division"), ("article", "article")), "chapter"),
+}
+#: Levels of publishers' own type names.
+TYPE_LEVELS = {
+    "ecode360": {"code": "title", "division": "division", "chapter": "chapter", "article": "article", "section": "section", "part": "part", "subpart": "subpart", "appendix": "part"},
+    "ecfr": {"title": "title", "subtitle": "subtitle", "chapter": "chapter", "subchapter": "subchapter", "part": "part", "subpart": "subpart", "subject_group": "division", "section": "section", "appendix": "part"},
+}
+
+
+def publisher_level(publisher: str, title: Column) -> Column:
+    """Level of a heading as one publisher writes them: by its beginning ('#': a digit, '#.': a number and a mark), else its usual one."""
+    rules, usual = TITLE_LEVELS[publisher]
+    low = F.trim(F.lower(title)) if publisher == "ca-leginfo" else F.lower(title)
+    begins = lambda form: low.rlike(r"^\d+[.-]") if form == "#." else low.rlike(r"^\d") if form == "#" else F.startswith(low, F.lit(form))
+    out = F.when(F.lit(False), F.lit(""))
+    for level, *forms in rules:
+        out = out.when(reduce(Column.__or__, map(begins, forms)), level)
+    return out.otherwise(usual)
+
+
+def type_level(publisher: str, kind: Column) -> Column:
+    """Level of a publisher's type name; of an unknown one by its beginning, or 'section'."""
+    known = F.try_element_at(F.create_map(*[F.lit(x) for pair in TYPE_LEVELS[publisher].items() for x in pair]), F.lower(kind) if publisher == "ecode360" else kind)
+    return F.coalesce(known, publisher_level(publisher, kind) if publisher in TITLE_LEVELS else F.lit("section"))
+
+
 def known_level(level: Column) -> Column:
     return F.when(F.lower(level).isin(*ENUMS["level"]), F.lower(level)).otherwise("section")
 
@@ -203,6 +234,29 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(blocks, lambda b: F.trim(F.regexp_replace(b, r"\s+", " "))), lambda b: b != "")
 
 
+def numbered_html(text: Column) -> Column:
+    """Paragraph elements of plain text: a blank line ends one, a line that begins with a number and a full stop begins one."""
+    apart = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"(?m)^[^\S\n]*(\d+\.[^\S\n]+\S)", "\n\n$1")
+    return F.array_join(F.transform(paragraphs(apart), lambda p: F.concat(F.lit("<p>"), escape_xml(p), F.lit("</p>"))), "\n")
+
+
+def node_id(level: Column, title: Column) -> Column:
+    """level|slug of a contents title, at most 80 characters of slug."""
+    return F.concat(level, F.lit("|"), F.left(slugify(title), F.lit(80)))
+
+
+def chapter_of_link(href: Column) -> Column:
+    """chapter|file of a statute link's URL parameter; null without one."""
+    return F.concat(F.lit("chapter|"), F.nullif(F.regexp_extract(href, r"URL=([^&\s]+)", 1), F.lit("")))
+
+
+def statute_link(base: str, section: Column) -> Column:
+    """Public address by the section number in an id, else by its chapter file's number; null if it has neither."""
+    number = F.nullif(F.regexp_extract(section, r"(\d+\.\d+)", 1), F.lit(""))
+    chapter = F.nullif(F.regexp_extract(section, r"/(\d{4})/\d{4}\.html", 1), F.lit("")).cast("int").cast("string")
+    return F.concat(F.lit(f"{base}/"), F.coalesce(number, chapter))
+
+
 def paragraphs_of_html(html: Column) -> Column:
     """Texts of well-formed p elements, escaped for XML; the whole text where there is none."""
     inner = F.regexp_extract_all(html, F.lit("(?is)<p(?: [^>]*)?>(.*?)</p>"), F.lit(1))

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -80,3 +81,56 @@ def where_given(rows: DataFrame, **equal) -> DataFrame:
 def page(rows: DataFrame, limit: int, offset: int, *order: Column) -> DataFrame:
     """A page of an ordered result; negative limits and offsets count as 0."""
     return rows.orderBy(*order).offset(max(offset, 0)).limit(max(limit, 0))
+
+
+def insert_rows(old: DataFrame, new: DataFrame, **defaults) -> DataFrame:
+    """Append rows; a column that is null or absent in `new` gets its default."""
+    for name, value in defaults.items():
+        new = new.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in new.columns else F.lit(value))
+    return old.unionByName(new, allowMissingColumns=True)
+
+
+def replace_scope(old: DataFrame, new: DataFrame, **scope) -> DataFrame:
+    """All rows of the scope anew: what `old` has outside it, and those of `new` (which must lie inside; others are left out)."""
+    return delete_scope(old, **scope).unionByName(new.where(_inside(scope)))
+
+
+def migrate(old: DataFrame, column: str, value, parents: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of an older layout with a new column of one value; rows whose parent is gone are left behind."""
+    return old.join(parents.select(*keys), keys, "left_semi").withColumn(column, F.lit(value))
+
+
+#: Default and most rows of each kind of list.
+LIMITS = {"search": (20, 100), "list": (100, 1000), "feedback": (50, 200), "annotations": (50, 200)}
+
+
+def clamp(kind: str, limit: int | None = None) -> int:
+    """Rows that a list of this kind gives: its default where none is asked for, its most where more are; never below 0."""
+    default, most = LIMITS[kind]
+    return max(0, min(default if limit is None else limit, most))
+
+
+def outcome(rows: DataFrame, failed: Column) -> DataFrame:
+    """completed, errors and succeeded of a run's items."""
+    return rows.agg(F.count(F.lit(1)).alias("completed"), F.count_if(failed).alias("errors")).select("completed", "errors", (F.col("completed") - F.col("errors")).alias("succeeded"))
+
+
+def require_resolved(rows: DataFrame, unresolved: Column, most: float = 0.2) -> DataFrame:
+    """The rows, if at most this part of them is unresolved; otherwise ValueError."""
+    n, bad = rows.agg(F.count(F.lit(1)), F.count_if(unresolved)).first()
+    if n and bad / n > most:
+        raise ValueError(f"{bad} of {n} rows are unresolved")
+    return rows
+
+
+def without_fields(rows: DataFrame, *names: str) -> DataFrame:
+    """The rows without the named fields, in nested structures as well."""
+
+    def bare(value: Column, kind) -> Column:
+        if isinstance(kind, T.StructType):
+            return F.struct(*[bare(value[f.name], f.dataType).alias(f.name) for f in kind if f.name not in names])
+        if isinstance(kind, T.ArrayType):
+            return F.transform(value, lambda x: bare(x, kind.elementType))
+        return value
+
+    return rows.select(*[bare(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema if f.name not in names])

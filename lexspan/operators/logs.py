@@ -36,3 +36,8 @@ def recent_count(rows: DataFrame, who: str, micros: Column, minutes: int) -> Dat
 def percentage(part: Column, whole: Column) -> Column:
     """Rounded per cent; 0 where the whole is 0."""
     return F.coalesce(F.round(F.try_divide(part * 100, whole), 0), F.lit(0)).cast("long")
+
+
+def histogram(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of each status."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

@@ -8,16 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import Workspace
-from .changes import keep_first
+from .changes import clamp, keep_first, page, where_given
 
 SIMILAR = 0.85
 #: So many frequent tokens are known by their counts when token sets are put in order.
 COMMON_TOKENS = 20_000
 
 
-def match_exact(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Strategy 1: equal keys; `right` has one row for each (see keep_last: of duplicates the last wins)."""
-    return left.join(right, keys)
+def match_exact(left: DataFrame, right: DataFrame, keys: list[str], *order: Column, how: str = "inner") -> DataFrame:
+    """Strategy 1: equal keys; of several right rows with a key the last one in `order` counts (without an order, all do). The last
+    rows are partially aggregated, so a key of any size is no single task's."""
+    if order:
+        rest = F.struct(*[F.col(c) for c in right.columns if c not in keys])
+        right = right.groupBy(*keys).agg(F.max_by(rest, F.struct(*order)).alias("__last")).select(*keys, "__last.*")
+    return left.join(right, keys, how)
 
 
 def match_name(left: DataFrame, right: DataFrame, block: str, name: str, key: str, kind: str, preferred: list[str], order: str) -> DataFrame:
@@ -171,6 +175,23 @@ def stats(rows: DataFrame, dimensions: list[str]) -> DataFrame:
     return rows.select(F.explode(F.array(*pairs, total)).alias("p")).where("p.key is not null").groupBy("p.dimension", "p.key").agg(F.count(F.lit(1)).alias("n"))
 
 
+def listing(rows: DataFrame, cached: DataFrame, key: str, only_cached: bool = False, name: str | None = None, limit: int | None = None, offset: int = 0, **equal) -> DataFrame:
+    """A page of the catalog: all cached rows, or those whose name contains a text, or those that meet the given filters.
+
+    status becomes 'cached' where a usable cached artifact exists; a row that only claims so is 'available'. Cached listings
+    aren't paged.
+    """
+    found = where_given(rows, **equal)
+    if name:
+        found = found.where(F.contains(F.lower("name"), F.lit(name.lower())))
+    marked = found.join(cached.select(key).distinct().withColumn("__cached", F.lit(True)), key, "left")
+    status = F.when(F.col("__cached"), "cached").when(F.col("status") == "cached", "available").otherwise(F.col("status"))
+    marked = marked.withColumn("status", status)
+    if only_cached:
+        return marked.where("__cached").drop("__cached")
+    return page(marked.drop("__cached"), clamp("list", limit), offset, F.col(key))
+
+
 def by_precedence(sources: list[DataFrame], key: str, order: str) -> DataFrame:
     """Union in which an earlier source's row wins over later ones with its key."""
     ranked = [s.withColumn("source_rank", F.lit(i)) for i, s in enumerate(sources)]

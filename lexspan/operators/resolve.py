@@ -17,7 +17,10 @@ STATES = {
     "south dakota": "SD", "tennessee": "TN", "texas": "TX", "utah": "UT", "vermont": "VT", "virginia": "VA", "washington": "WA", "west virginia": "WV", "wisconsin": "WI", "wyoming": "WY",
     "district of columbia": "DC",
 }
-STREET = "st street ave avenue blvd boulevard dr drive ln lane rd road ct court pl place way cir circle pkwy parkway hwy highway tr trail east west north south e w n s".split()
+STREET = (
+    "st", "street", "ave", "avenue", "blvd", "boulevard", "dr", "drive", "ln", "lane", "rd", "road", "ct", "court", "pl", "place", "way", "cir", "circle", "pkwy", "parkway", "hwy", "highway", "tr", "trail",
+    "east", "west", "north", "south", "e", "w", "n", "s",
+)
 
 
 def score_name(name: Column, kind: Column, query: str, preferred: str | None) -> Column:
@@ -84,7 +87,7 @@ def parse_address(address: Column) -> Column:
     n = F.size(words)
 
     def city(given: Column) -> Column:
-        ends = F.transform(given, lambda w, i: F.when((i > 0) & F.lower(w).isin(STREET), i + 1))
+        ends = F.transform(given, lambda w, i: F.when((i > 0) & F.lower(w).isin(*STREET), i + 1))
         first = F.array_min(F.array_compact(ends))
         cut = F.coalesce(first, F.when(F.size(given) > 2, F.lit(2)).otherwise(F.lit(1)))
         rest = F.slice(given, cut + 1, F.size(given))
@@ -99,3 +102,19 @@ def parse_address(address: Column) -> Column:
     as_one = F.when((n >= 2) & F.try_element_at(table, F.lower(last)).isNotNull(), F.struct(city(upto(1)).alias("city"), F.try_element_at(table, F.lower(last)).alias("state")))
     whole = lambda s: F.when(s["city"].isNotNull(), s)
     return F.coalesce(by_comma, whole(as_code), whole(as_two), whole(as_one))
+
+
+def probes(name: Column, state: Column) -> Column:
+    """Where a place may be published, in the order to try: (publisher, id), the second publisher with both of its spellings."""
+    slug = slugify(name)
+    at = lambda publisher, key: F.struct(F.lit(publisher).alias("publisher"), key.alias("id"))
+    return F.array(at("municode", F.concat_ws("-", F.lower(state), slug)), at("amlegal", F.replace(slug, F.lit("-"), F.lit("_"))), at("amlegal", slug))
+
+
+def codes_known(rows: DataFrame, code: str, catalog: DataFrame, key: str) -> DataFrame:
+    """The rows with the publisher's own key of their code; a code that the catalog lacks raises ValueError."""
+    found = rows.join(catalog.select(code, key).dropDuplicates([code]), code, "left")
+    missing = found.where(F.col(key).isNull()).select(code).first()
+    if missing:
+        raise ValueError(f"no {key} for {missing[0]!r}")
+    return found

@@ -84,3 +84,12 @@ def outline(tree: DataFrame, group: str, label: str, depth: int) -> DataFrame:
     lines = limit_depth(tree, depth).withColumn("line", F.concat(F.repeat(F.lit("  "), F.col("depth") - 1), F.col(label)))
     ordered = F.sort_array(F.collect_list(F.struct("sort_path", "line")))
     return lines.groupBy(group).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("outline"))
+
+
+def expand(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """One level more below contents that have no content of their own: `links` (parent, id, title, ord) under their nodes, without
+    a node's link to itself, each once. If any node has content, nothing is expanded."""
+    if nodes.where("has_content").first() is not None:
+        return nodes
+    below = links.join(nodes.select(F.col("id").alias("parent")), "parent", "left_semi").where("id != parent").groupBy("parent", "id").agg(F.min_by("title", "ord").alias("title"), F.min("ord").alias("ord"))
+    return nodes.unionByName(below.withColumn("has_content", F.lit(False)).select(*nodes.columns))

@@ -19,10 +19,19 @@ def count_by_key(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select 'c_mktsegment' dimension, c_mktsegment key, count(*) n from customer where c_mktsegment is not null group by 2 union all "
-       "select 'c_nationkey', c_nationkey::varchar, count(*) from customer where c_nationkey is not null group by 2 union all select 'total', '', count(*) from customer")
+DIMENSIONS = ["publisher", "status", "kind", "state"]
+REGISTRY = ("(select c_mktsegment publisher, case when c_acctbal < 0 then 'cached' else 'known' end status, case when c_custkey % 4 = 0 then 'county' else 'city' end kind, case when c_nationkey <> 3 then c_nationkey::varchar end state from customer "
+            "union all select 'none', 'unknown', 'city', s_nationkey::varchar from supplier where s_suppkey not in (select c_custkey from customer where c_custkey % 2 = 0))")
+
+
+@query(" union all ".join(f"select '{d}' dimension, {d} as key, count(*) n from {REGISTRY} where {d} is not null group by 2" for d in DIMENSIONS) + f" union all select 'total', '', count(*) from {REGISTRY}")
 def registry_stats(spark, sf_dir):
-    return registry.stats(table(spark, sf_dir, "customer").select("c_mktsegment", "c_nationkey"), ["c_mktsegment", "c_nationkey"])
+    """Four dimensions over the catalog and the gazetteer's places that it lacks."""
+    known = table(spark, sf_dir, "customer")
+    own = known.select(F.col("c_mktsegment").alias("publisher"), F.when(F.col("c_acctbal") < 0, "cached").otherwise("known").alias("status"), F.when(F.col("c_custkey") % 4 == 0, "county").otherwise("city").alias("kind"), F.when(F.col("c_nationkey") != 3, F.col("c_nationkey").cast("string")).alias("state"))
+    lacked = table(spark, sf_dir, "supplier").join(known.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("s_suppkey")), "s_suppkey", "left_anti")
+    places = lacked.select(F.lit("none").alias("publisher"), F.lit("unknown").alias("status"), F.lit("city").alias("kind"), F.col("s_nationkey").cast("string").alias("state"))
+    return registry.stats(own.unionByName(places), DIMENSIONS)
 
 
 @query("select count(*) total, count(*) filter (where event_type = 'error') errors, round(avg(value))::bigint avg_duration from events")
@@ -102,7 +111,7 @@ def multi_key_sort(spark, sf_dir):
 
 @query("select coalesce(nullif(c_mktsegment, 'BUILDING'), '') state, c_name from customer order by state, c_name")
 def sort_state_name(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.coalesce(F.nullif("c_mktsegment", F.lit("BUILDING")), F.lit("")).alias("state"), "c_name").orderBy("state", "c_name")
+    return table(spark, sf_dir, "customer").select(F.coalesce(F.nullif("c_mktsegment", F.lit("BUILDING")), F.lit("")).alias("state"), "c_name").orderBy(F.collate("state", "UNICODE"), F.collate("c_name", "UNICODE"))
 
 
 @query("select event_id, user_id from (select * from events order by ts desc, event_id desc limit 50) order by ts, event_id")

@@ -50,3 +50,12 @@ def relation(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
     names = [c.strip() for c in columns.split(",")]
     schema = ", ".join(f"{n} {kinds[type(next(r[i] for r in rows if r[i] is not None))]}" for i, n in enumerate(names))
     return spark.createDataFrame(rows, schema)
+
+
+def pick(choices: list, number):
+    """The choice that a number's remainder names: forms of text for the rows of a table."""
+    return F.element_at(F.array(*[F.lit(c) for c in choices]), (F.pmod(number, F.lit(len(choices))) + 1).cast("int"))
+
+
+def pick_sql(choices: list, number: str) -> str:
+    return "[" + ", ".join(map(literal, choices)) + f"][(({number}) % {len(choices)} + 1)::int]"

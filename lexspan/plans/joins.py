@@ -41,10 +41,11 @@ def join_topk_page(spark, sf_dir):
     return changes.page(refs.join(dates, "o_orderkey"), 20, 5, F.desc("filed"), F.col("o_orderkey"))
 
 
-@query("select s_suppkey, n_name, n_regionkey from supplier left join nation on s_nationkey = n_nationkey")
+@query("select p_partkey, l_orderkey, l_linenumber from part left join (select *, row_number() over (partition by l_partkey order by l_orderkey desc, l_linenumber desc) n from lineitem) on l_partkey = p_partkey and n = 1")
 def match_exact_key(spark, sf_dir):
-    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name", "n_regionkey")
-    return table(spark, sf_dir, "supplier").join(nations, "s_nationkey", "left").select("s_suppkey", "n_name", "n_regionkey")
+    """Rows with the last of the rows that have their key; a key's other rows don't fan out."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_linenumber")
+    return registry.match_exact(table(spark, sf_dir, "part").select("p_partkey"), lines, ["p_partkey"], F.col("l_orderkey"), F.col("l_linenumber"), how="left")
 
 
 PARTS = "trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', ' ', 'g'))"

@@ -39,21 +39,15 @@ def partial_unique(spark, sf_dir):
     return changes.partial_unique(rows.where("o_orderdate < timestamp_ntz '1998-01-01 00:00:00'"), rows.where("o_orderdate >= timestamp_ntz '1998-01-01 00:00:00' and o_orderstatus in ('F', 'O')"), keys, "o_orderstatus", F.col("o_orderkey")).select("o_orderkey", "accepted")
 
 
-@query("select source, count(*) kept, count(*) filter (where false) dropped from documents where not (source = 'src1' and lang = 'en') group by source")
-def delete_scope(spark, sf_dir):
-    kept = changes.delete_scope(table(spark, sf_dir, "documents").select("source", "lang"), source="src1", lang="en")
-    return kept.groupBy("source").agg(F.count(F.lit(1)).alias("kept"), F.lit(0).cast("long").alias("dropped"))
-
-
 @query("select source, count(*) filter (where source is distinct from 'src1' or lang is distinct from 'en') kept, count(*) filter (where source = 'src1' and lang = 'en') dropped from documents group by source")
-def delete_scope_counts(spark, sf_dir):
-    """Survivors and deleted rows of every source; delete_scope lists the survivors only and has no count of the others."""
+def delete_scope(spark, sf_dir):
+    """Survivors and deleted rows of every source."""
     return changes.delete_scope_counts(table(spark, sf_dir, "documents").select("source", "lang"), "source", source="src1", lang="en")
 
 
-@query("select o_orderkey, coalesce(case when o_orderstatus = 'F' then 'resolved' when o_orderstatus = 'O' then 'triaged' end, o_orderstatus) status, case when o_orderstatus = 'F' then 1700000000::bigint end stamp from orders")
+@query("select o_orderkey, coalesce(case when o_orderstatus = 'F' then 'resolved' when o_orderstatus = 'O' then 'triaged' end, o_orderstatus) status, case when o_orderstatus = 'F' then 1700000000::bigint when o_orderkey % 2 = 0 then o_orderkey::bigint end stamp from orders")
 def status_transition(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.lit(None).cast("long").alias("stamp"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")).cast("long").alias("stamp"))
     new = F.when(F.col("status") == "F", "resolved").when(F.col("status") == "O", "triaged")
     return changes.change_status(rows, new, F.lit(1700000000).cast("long"), ("resolved", "dismissed"), "stamp")
 

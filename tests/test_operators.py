@@ -62,7 +62,7 @@ def test_delete_scope_counts(spark, sf_dir):
     old = spark.createDataFrame([("a", "en"), ("a", "de"), ("a", None), ("b", "en"), ("b", "en"), (None, "en")], "source string, lang string")
     count = lambda **scope: {tuple(r) for r in changes.delete_scope_counts(old, "source", **scope).collect()}
     assert count(source="a", lang="en") == {("a", 2, 1), ("b", 2, 0), (None, 1, 0)} and count(source="b", lang=None) == {("a", 3, 0), ("b", 0, 2), (None, 1, 0)}
-    got = plans.QUERIES["delete_scope_counts"](spark, sf_dir).agg(F.sum("dropped"), F.sum(F.col("kept") + F.col("dropped"))).first()
+    got = plans.QUERIES["delete_scope"](spark, sf_dir).agg(F.sum("dropped"), F.sum(F.col("kept") + F.col("dropped"))).first()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert got[0] == docs.where("source = 'src1' and lang = 'en'").count() > 0 and got[1] == docs.count()
 
