@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import citations as C
 from ..functions import text as T
-from .base import query, relation, table, values
+from ..sources.files import STATE_OF_FIPS
+from .base import pick, pick_sql, query, table
 
 WS = "'\\s+', ' ', 'g'"
 STRIP = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), chr(160), ' '), " + WS + "))"
@@ -24,57 +25,80 @@ def slugify(spark, sf_dir):
 
 
 LEVEL_WORDS = "title|subtitle|chapter|subchapter|article|subarticle|division|subdivision|part|subpart|section"
-SLUGS = [("chapter", "Chapter 5.10"), ("part", "PART I"), ("section", "Section "), ("section", "Sec. 5.1"), ("Title", "title 5"), ("article", "Art_I & II"), ("chapter", "")]
+LEVELS, NUMS = ["chapter", "part", "section", "Title", "article"], ["Chapter ", "PART ", "Section ", "Sec. ", "title ", "Art_I & ", ""]
+ENDS = ["", ".1", " ", "*"]
 
 
-@query(f"select level, num, lower(level) || '-' || coalesce(nullif(regexp_replace(regexp_replace(lower(regexp_replace(num, '(?i)^({LEVEL_WORDS})\\s*', '')), '[^a-z0-9._-]+', '-', 'g'), '^-|-$', '', 'g'), ''), 'untitled') slug from {values('level, num', SLUGS)}")
+@query(f"with n as (select p_partkey, {pick_sql(LEVELS, 'p_partkey')} lev, {pick_sql(NUMS, 'p_partkey')} || case when p_size % 5 = 0 then '' else p_size::varchar end || {pick_sql(ENDS, 'p_size')} num from part) "
+       f"select p_partkey, lower(lev) || '-' || coalesce(nullif(regexp_replace(regexp_replace(lower(regexp_replace(num, '(?i)^({LEVEL_WORDS})\\s*', '')), '[^a-z0-9._-]+', '-', 'g'), '^-|-$', '', 'g'), ''), 'untitled') slug from n")
 def make_slug(spark, sf_dir):
-    return relation(spark, "level, num", SLUGS).withColumn("slug", T.make_slug(F.col("level"), F.col("num")))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    num = F.concat(pick(NUMS, key), F.when(size % 5 == 0, "").otherwise(size.cast("string")), pick(ENDS, size))
+    return table(spark, sf_dir, "part").select("p_partkey", T.make_slug(pick(LEVELS, key), num).alias("slug"))
 
 
-IDS = [("ca-palm-desert", "title-5/section-5.10.010", "5.10.010"), ("us-usc-title-42", "chapter-21/section-1983", "Section 1983"), ("x", "y", "12 A.")]
+MARKS, STOPS = ["", "Section ", "SECTION  ", "12 "], ["", ".", " A."]
 
 
-@query(f"select jur, '/' || jur || '/' || path ident, 's' || replace(num, '.', '_') temporal, case when regexp_matches(lower(trim(regexp_replace(num, '\\.$', ''))), '^section\\s') then '' else 'section-' end || regexp_replace(lower(trim(regexp_replace(num, '\\.$', ''))), '\\s+', '-', 'g') slug from {values('jur, path, num', IDS)}")
+@query(f"with i as (select o_orderkey, 'ca-' || o_custkey jur, 'title-' || o_custkey % 9 || '/section-' || o_orderkey as path, {pick_sql(MARKS, 'o_orderkey')} || o_orderkey || '.' || o_custkey || {pick_sql(STOPS, 'o_custkey')} num from orders) "
+       "select o_orderkey, '/' || jur || '/' || path ident, 's' || replace(num, '.', '_') temporal, case when regexp_matches(lower(trim(regexp_replace(num, '\\.$', ''))), '^section\\s') then '' else 'section-' end || regexp_replace(lower(trim(regexp_replace(num, '\\.$', ''))), '\\s+', '-', 'g') slug from i")
 def identifiers(spark, sf_dir):
-    return relation(spark, "jur, path, num", IDS).select("jur", T.identifier(F.col("jur"), F.col("path")).alias("ident"), T.temporal_id(F.col("num")).alias("temporal"), T.slug_of_number(F.col("num")).alias("slug"))
+    order, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    num = F.concat(pick(MARKS, F.col("o_orderkey")), order, F.lit("."), customer, pick(STOPS, F.col("o_custkey")))
+    path = F.concat(F.lit("title-"), (F.col("o_custkey") % 9).cast("string"), F.lit("/section-"), order)
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.identifier(F.concat(F.lit("ca-"), customer), path).alias("ident"), T.temporal_id(num).alias("temporal"), T.slug_of_number(num).alias("slug"))
 
 
-TITLES = ["CHAPTER 1 - GENERAL PROVISIONS", "Section 1.1. - Definitions.", "SUPPLEMENT HISTORY TABLE", "1100. - Short title; reference to Code.", "ARTICLE I. - GENERALLY.", "PART I – THE SELF-GOVERNING CHARTER", "  plain  ", "A - ABC", "CHAPTER 2-15 - X"]
-PARTS = [("CHAPTER 1", "General Provisions"), ("Section 1.1", "Definitions"), ("SUPPLEMENT HISTORY TABLE", ""), ("1100", "Short title; reference to Code"), ("ARTICLE I", "Generally"), ("PART I", "The Self-Governing Charter"), ("plain", ""), ("A", "ABC"), ("CHAPTER 2-15", "X")]
+HEADINGS, DASHES, FULL = ["CHAPTER ", "Section ", "ARTICLE I", "  ", ""], [" - ", ". - ", " \u2013 ", "  \u2014 ", " "], ["", ".", ". "]
+CASED = "case when {0} = upper({0}) and length({0}) > 3 then array_to_string(list_transform(regexp_extract_all(lower({0}), '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), lambda r: upper(left(r, 1)) || substr(r, 2)), '') else {0} end"
+PARTED = "'^(.+?)\\.?\\s+[-\u2013\u2014]\\s+(.+)$'"
 
 
-@query(f"select title, num, heading from {values('title, num, heading', [(t, *p) for t, p in zip(TITLES, PARTS, strict=True)])}")
+@query(f"with t as (select p_partkey, {pick_sql(HEADINGS, 'p_partkey')} || p_size || {pick_sql(DASHES, 'p_size')} || case when p_partkey % 2 = 0 then upper(p_name) else p_name end || {pick_sql(FULL, 'p_partkey')} title from part), "
+       f"s as (select p_partkey, title, regexp_matches(title, {PARTED}) cut, regexp_replace(trim(regexp_extract(title, {PARTED}, 2)), '\\.\\s*$', '') h from t) "
+       f"select p_partkey, case when cut then trim(regexp_extract(title, {PARTED}, 1)) else trim(title) end num, case when cut then {CASED.format('h')} else '' end heading from s")
 def parse_title(spark, sf_dir):
-    num, heading = T.title_parts(F.col("title"))
-    return relation(spark, "title", [(t,) for t in TITLES]).select("title", num.alias("num"), heading.alias("heading"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    title = F.concat(pick(HEADINGS, key), size.cast("string"), pick(DASHES, size), F.when(key % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")), pick(FULL, key))
+    num, heading = T.title_parts(title)
+    return table(spark, sf_dir, "part").select("p_partkey", num.alias("num"), heading.alias("heading"))
 
 
-CASED = [("GENERAL PROVISIONS", "General Provisions"), ("SELF-HELP", "Self-Help"), ("ABC", "ABC"), ("Mixed Case", "Mixed Case"), ("O'BRIEN'S RULE", "O'Brien'S Rule"), ("1ST STREET", "1st Street")]
+SHAPES = ["{} {}", "{}-{}", "{}'S {}", "1ST {}_{}"]
 
 
-@query(f"select s, cased from {values('s, cased', CASED)}")
+@query(f"with t as (select p_partkey, replace({pick_sql(SHAPES, 'p_partkey')}, '{{}}', case when p_size % 3 = 0 then p_name when p_size % 3 = 1 then upper(p_name) else upper(left(p_type, 1)) end) s from part) select p_partkey, s, {CASED.format('s')} cased from t")
 def title_case(spark, sf_dir):
-    return relation(spark, "s", [(a,) for a, _ in CASED]).select("s", T.title_case(F.col("s")).alias("cased"))
+    size, name = F.col("p_size"), F.col("p_name")
+    text = F.replace(pick(SHAPES, F.col("p_partkey")), F.lit("{}"), F.when(size % 3 == 0, name).when(size % 3 == 1, F.upper(name)).otherwise(F.upper(F.left("p_type", F.lit(1)))))
+    return table(spark, sf_dir, "part").select("p_partkey", text.alias("s"), T.title_case(text).alias("cased"))
 
 
-HEADS = [("Part I", 5), ("TITLE 5", 1), ("Article 2", 3), ("Division 1", 3), ("Chapter 9", 1), ("Subchapter A", 1), ("Section 4", 1), ("12.3 Things", 1), ("Preamble", 1), ("Notes", 2), ("Other", 3)]
+HEADS = ["Part I", "TITLE ", "Article ", "Division ", "Chapter ", "Subchapter A", "Section ", "12.", "7-", "Preamble", "Notes "]
 
 
-@query("select h, case when lower(h) like 'part %' then 'part' when lower(h) like 'title %' then 'title' when lower(h) like 'article %' then 'article' when lower(h) like 'division %' then 'division' when lower(h) like 'chapter %' then 'chapter' "
-       f"when lower(h) like 'subchapter %' then 'subchapter' when lower(h) like 'section %' or regexp_matches(h, '^\\d+[.-]') then 'section' when d <= 1 then 'part' when d = 2 then 'chapter' else 'section' end level from {values('h, d', HEADS)}")
+@query(f"with t as (select p_partkey, {pick_sql(HEADS, 'p_partkey')} || p_size h, p_size % 5 d from part) select p_partkey, h, case when lower(h) like 'part %' then 'part' when lower(h) like 'title %' then 'title' when lower(h) like 'article %' then 'article' when lower(h) like 'division %' then 'division' when lower(h) like 'chapter %' then 'chapter' "
+       "when lower(h) like 'subchapter %' then 'subchapter' when lower(h) like 'section %' or regexp_matches(h, '^\\d+[.-]') then 'section' when d <= 1 then 'part' when d = 2 then 'chapter' else 'section' end as level from t")
 def level_case(spark, sf_dir):
-    return relation(spark, "h, d", HEADS).select("h", T.known_level(T.level_of(F.col("h"), F.col("d"))).alias("level"))
+    head = F.concat(pick(HEADS, F.col("p_partkey")), F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", head.alias("h"), T.known_level(T.level_of(head, F.col("p_size") % 5)).alias("level"))
 
 
-PLACES = ["City of Palm Desert", "Town of Los Altos, CA", "palm springs, ca", "County of  Kern", "Village of Oak Park City", "San Jose city", "Anchorage municipality", "Lynn village town", "Carmel-by-the-Sea", "township of X, NJ", "City and County of San Francisco", "Autauga County"]
-AFFIX = "regexp_replace(regexp_replace({}, '(?i)^(City of|Town of|Village of|County of|Borough of)\\s+', ''), ',\\s*[A-Z]{{2}}$', '')"
-PLACE_VALUES = values("name", [(p,) for p in PLACES])
+BEFORE = ["City of ", "Town of ", "", "County of  ", "Village of ", "township of ", "City and County of ", "BOROUGH OF "]
+AFTER = ["", ", CA", ", ca", " city", " CDP", " County", " village town", "  x", " Municipality", ", NJ "]
+NAMED = f"(select c_custkey, {pick_sql(BEFORE, 'c_custkey')} || c_name || {pick_sql(AFTER, 'c_custkey // 8')} as name from customer)"
+
 
+def places(spark, sf_dir):
+    """Customers' names in the forms in which places are named."""
+    name = F.concat(pick(BEFORE, F.col("c_custkey")), F.col("c_name"), pick(AFTER, F.floor(F.col("c_custkey") / 8)))
+    return table(spark, sf_dir, "customer").select("c_custkey", name.alias("name"))
 
-@query(f"select name, {AFFIX.format('name')} bare from {PLACE_VALUES}")
+
+AFFIX = "regexp_replace(regexp_replace({}, '(?i)^(City of|Town of|Village of|County of|Borough of)\\s+', ''), ',\\s*[A-Z]{{2}}$', '')"
+@query(f"select c_custkey, {AFFIX.format('name')} bare from {NAMED}")
 def strip_affixes(spark, sf_dir):
-    return relation(spark, "name", [(p,) for p in PLACES]).select("name", T.strip_affixes(F.col("name")).alias("bare"))
+    return places(spark, sf_dir).select("c_custkey", T.strip_affixes(F.col("name")).alias("bare"))
 
 
 DISPLAY = "regexp_replace(name, ',\\s*[A-Z]{2}$', '')"
@@ -82,11 +106,11 @@ for _p in T.DISPLAY_PREFIXES:
     DISPLAY = f"regexp_replace({DISPLAY}, '(?i)^{_p}', '')"
 
 
-@query(f"select name, trim(regexp_replace(lower({AFFIX.format('name')}), {WS})) lookup, trim(regexp_replace(regexp_replace(lower(trim({DISPLAY})), '[^a-z0-9\\s]', '', 'g'), {WS})) matched, "
-       f"trim(regexp_replace(regexp_replace(lower(name), '^(city|town|village|county)\\s+of\\s+', ''), '[^a-z0-9]+', ' ', 'g')) client from {PLACE_VALUES}")
+@query(f"select c_custkey, trim(regexp_replace(lower({AFFIX.format('name')}), {WS})) lookup, trim(regexp_replace(regexp_replace(lower(trim({DISPLAY})), '[^a-z0-9\\s]', '', 'g'), {WS})) matched, "
+       f"trim(regexp_replace(regexp_replace(lower(name), '^(city|town|village|county)\\s+of\\s+', ''), '[^a-z0-9]+', ' ', 'g')) client from {NAMED}")
 def normalize_name(spark, sf_dir):
     n = F.col("name")
-    return relation(spark, "name", [(p,) for p in PLACES]).select("name", T.lookup_name(n).alias("lookup"), T.match_name(n).alias("matched"), T.client_name(n).alias("client"))
+    return places(spark, sf_dir).select("c_custkey", T.lookup_name(n).alias("lookup"), T.match_name(n).alias("matched"), T.client_name(n).alias("client"))
 
 
 CLEAN = "name"
@@ -94,14 +118,14 @@ for _s in T.PLACE_SUFFIXES:
     CLEAN = f"regexp_replace({CLEAN}, '(?i){_s}$', '')"
 
 
-@query(f"select name, trim({CLEAN}) clean from {PLACE_VALUES}")
+@query(f"select c_custkey, trim({CLEAN}) clean from {NAMED}")
 def clean_suffixes(spark, sf_dir):
-    return relation(spark, "name", [(p,) for p in PLACES]).select("name", T.clean_place(F.col("name")).alias("clean"))
+    return places(spark, sf_dir).select("c_custkey", T.clean_place(F.col("name")).alias("clean"))
 
 
-@query(f"select name, case when contains(lower(name), 'city and county') or contains(lower(name), 'city & county') then 'city' when contains(lower(name), 'county') then 'county' else 'city' end kind from {PLACE_VALUES}")
+@query(f"select c_custkey, case when contains(lower(name), 'city and county') or contains(lower(name), 'city & county') then 'city' when contains(lower(name), 'county') then 'county' else 'city' end kind from {NAMED}")
 def infer_type(spark, sf_dir):
-    return relation(spark, "name", [(p,) for p in PLACES]).select("name", T.kind_of(F.col("name")).alias("kind"))
+    return places(spark, sf_dir).select("c_custkey", T.kind_of(F.col("name")).alias("kind"))
 
 
 @query("select a.item_id, round(coalesce(len(list_intersect(a.s, b.s))::double / nullif(len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)), 0), 0), 6) similarity from "
@@ -113,14 +137,15 @@ def jaccard(spark, sf_dir):
     return a.join(b, "item_id").select("item_id", F.round(T.jaccard(F.col("a"), F.col("b")).cast("double"), 6).alias("similarity"))
 
 
-FIPS = [("0612345", "CA"), ("3600000", "NY"), ("48", "TX"), ("9900", None), ("", None)]
-FIPS_STATES = {"04": "AZ", "06": "CA", "12": "FL", "36": "NY", "48": "TX", "53": "WA"}
+CODED = "lpad((c_custkey % 100)::varchar, 2, '0') || case when c_custkey % 7 = 0 then '' else lpad(c_custkey::varchar, 5, '0') end"
 
 
-@query(f"select fips, case left(fips, 2) when '04' then 'AZ' when '06' then 'CA' when '12' then 'FL' when '36' then 'NY' when '48' then 'TX' when '53' then 'WA' end state from {values('fips, s', FIPS)}")
+@query(f"with f as (select c_custkey, {CODED} fips from customer) select c_custkey, fips, case left(fips, 2) " + " ".join(f"when '{k}' then '{v}'" for k, v in STATE_OF_FIPS.items()) + " end state from f")
 def map_lookup(spark, sf_dir):
-    states = F.create_map(*[F.lit(x) for kv in FIPS_STATES.items() for x in kv])
-    return relation(spark, "fips, s", FIPS).select("fips", F.try_element_at(states, F.left("fips", F.lit(2))).alias("state"))
+    states = F.create_map(*[F.lit(x) for kv in STATE_OF_FIPS.items() for x in kv])
+    key = F.col("c_custkey")
+    fips = F.concat(F.lpad((key % 100).cast("string"), 2, "0"), F.when(key % 7 == 0, "").otherwise(F.lpad(key.cast("string"), 5, "0")))
+    return table(spark, sf_dir, "customer").select("c_custkey", fips.alias("fips"), F.try_element_at(states, F.left(fips, F.lit(2))).alias("state"))
 
 
 ESCAPE = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
@@ -153,12 +178,17 @@ def compose_title(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.compose_title(F.col("p_name"), F.when(F.col("p_size") < 20, "  ").otherwise(F.col("p_brand")), F.col("p_type")).alias("title"))
 
 
-COMPOSITE = [("GOV|division=3.&article=2", "doc1:s-4"), ("PEN|", "a:b:c"), ("CIV", "nocolon")]
+COMPOSITE = ["doc{}:s-{}", "{}:b:{}", "no{}"]
 
 
-@query(f"select a, split_part(a, '|', 1) code, split_part(a, '|', 2) q, split_part(b, ':', 1) doc, split_part(b, ':', 2) section from {values('a, b', COMPOSITE)}")
+@query(f"with c as (select o_orderkey, o_orderstatus || '|' || case when o_orderkey % 3 = 0 then '' else 'division=' || o_custkey || '.' end a, replace({pick_sql(COMPOSITE, 'o_orderkey')}, '{{}}', o_custkey::varchar) b from orders) "
+       "select o_orderkey, split_part(a, '|', 1) code, split_part(a, '|', 2) q, split_part(b, ':', 1) doc, split_part(b, ':', 2) section from c")
 def split_ids(spark, sf_dir):
-    return relation(spark, "a, b", COMPOSITE).select("a", F.split_part("a", F.lit("|"), F.lit(1)).alias("code"), F.split_part("a", F.lit("|"), F.lit(2)).alias("q"), F.split_part("b", F.lit(":"), F.lit(1)).alias("doc"), F.split_part("b", F.lit(":"), F.lit(2)).alias("section"))
+    customer = F.col("o_custkey").cast("string")
+    a = F.concat("o_orderstatus", F.lit("|"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.concat(F.lit("division="), customer, F.lit("."))))
+    b = F.replace(pick(COMPOSITE, F.col("o_orderkey")), F.lit("{}"), customer)
+    part = lambda c, sep, n: F.split_part(c, F.lit(sep), F.lit(n))
+    return table(spark, sf_dir, "orders").select("o_orderkey", part(a, "|", 1).alias("code"), part(a, "|", 2).alias("q"), part(b, ":", 1).alias("doc"), part(b, ":", 2).alias("section"))
 
 
 @query("select doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n\\s*\\n'), lambda b: trim(regexp_replace(b, '\\s+', ' ', 'g'))), lambda b: b <> ''), '|') blocks from documents")
@@ -171,13 +201,14 @@ def strip_script_style(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.strip_script_style(F.col("html")).alias("clean"))
 
 
-STATES_JSON = [(1, '<script>window._redux_state = {"a": {"b": 3}}; </script>'), (2, '<script>window.__PRELOADED_STATE__ = {"a": {"b": 4}};</script>'), (3, "<p>none</p>"), (4, '<script>window._redux_state = {"a": 1};</script>')]
+SCRIPTS = ['<script>window._redux_state = {"a": {"b": #}}; </script>', '<script>window.__PRELOADED_STATE__ = {"a": {"b": #}, "c": "};"};</script><script>x</script>', "<p>none #</p>", '<script>window._redux_state = {"a": #};</script>']
+STATE = "(?s)window\\.(?:_redux_state|__PRELOADED_STATE__)\\s*=\\s*(\\{.*?\\});\\s*</script>"
 
 
-@query("select id, json_extract_string(case when js <> '' then js end, '$.a.b')::bigint b from (select id, regexp_extract(page, '(?s)window\\.(?:_redux_state|__PRELOADED_STATE__)\\s*=\\s*(\\{.*?\\});\\s*</script>', 1) js from " + values("id, page", STATES_JSON) + ")")
+@query(f"select p_partkey, json_extract_string(case when js <> '' then js end, '$.a.b')::bigint b from (select p_partkey, regexp_extract(replace({pick_sql(SCRIPTS, 'p_partkey')}, '#', p_size::varchar), '{STATE}', 1) js from part)")
 def json_extract(spark, sf_dir):
-    found = F.regexp_extract("page", r"(?s)window\.(?:_redux_state|__PRELOADED_STATE__)\s*=\s*(\{.*?\});\s*</script>", 1)
-    return relation(spark, "id, page", STATES_JSON).select("id", F.get_json_object(found, "$.a.b").cast("long").alias("b"))
+    page = F.replace(pick(SCRIPTS, F.col("p_partkey")), F.lit("#"), F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.get_json_object(F.regexp_extract(page, STATE, 1), "$.a.b").cast("long").alias("b"))
 
 
 @query("select page_id, array_to_string(list_transform(regexp_extract_all(html, '<[^>]*>|[^<]+'), lambda p: case when not starts_with(p, '<') then p when lower(regexp_extract(p, '^<(/?[A-Za-z0-9]+)', 1)) in ('p', 'b', '/p', '/b') then '<' || lower(regexp_extract(p, '^<(/?[A-Za-z0-9]+)', 1)) || '>' else '' end), '') clean from pages")
@@ -196,12 +227,13 @@ def query_map(spark, sf_dir):
     return rows.select("page_id", F.nullif(F.try_element_at("m", F.lit("page")), F.lit("")).alias("page"), F.nullif(F.try_element_at("m", F.lit("ref")), F.lit("")).alias("ref"))
 
 
-IPS = [("10.0.0.1, 10.0.0.2",), (" 10.0.0.3 ",), ("",), (None,)]
+IPS = ["10.0.0.#, 10.0.0.2", " 10.0.1.# ", "", "#,,x"]
 
 
-@query(f"select ips, trim(split_part(ips, ',', 1)) ip from {values('ips', IPS)}")
+@query(f"with i as (select event_id, replace({pick_sql(IPS, 'event_id')}, '#', user_id::varchar) ips from events) select event_id, trim(split_part(ips, ',', 1)) ip from i")
 def first_csv(spark, sf_dir):
-    return relation(spark, "ips", IPS).select("ips", F.trim(F.element_at(F.split("ips", ","), 1)).alias("ip"))
+    ips = F.replace(pick(IPS, F.col("event_id")), F.lit("#"), F.col("user_id").cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", F.trim(F.element_at(F.split(ips, ","), 1)).alias("ip"))
 
 
 @query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') iso from orders")
@@ -215,38 +247,59 @@ def bucketize(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.when(bal > 7500, 8).when(bal > 5000, 6).when(bal > 1000, 4).otherwise(3).alias("radius"))
 
 
-SECTIONS = [("title-42/section-1983", None, "1983"), ("title-24/section-100.50", "x", "100.50"), ("part-1", "Section 12965", "12965"), ("part-1", "§ 349", "349"), ("part-1", "Sec. 12-3", "12-3"), ("part-1", " 718.111 ", "718.111"), ("part-1", "Notes", None), ("part-1", None, None)]
+SEGMENTS, SIGNS = ["title-42/section-", "part-1/x-", "part-", "section-1/part-"], ["Section ", "\u00a7 ", "Sec. ", " ", "Notes ", "sec", ""]
 
 
-@query(f"select path, num, section from {values('path, num, section', SECTIONS)}")
+@query(f"with s as (select o_orderkey, {pick_sql(SEGMENTS, 'o_orderkey')} || o_orderkey || '.' || o_custkey as path, case when o_custkey % 11 <> 0 then {pick_sql(SIGNS, 'o_custkey')} || o_orderkey || '.' || o_custkey || ' ' end num from orders) "
+       "select o_orderkey, path, num, coalesce(nullif(regexp_extract(split_part(path, '/', -1), '^section-(.+)$', 1), ''), nullif(trim(regexp_extract(num, '(?i)(?:Section|\u00a7|Sec\\.?)\\s*(.+)', 1)), ''), case when regexp_matches(trim(num), '^[\\d.]+$') then trim(num) end) section from s")
 def section_number(spark, sf_dir):
-    return relation(spark, "path, num, s", SECTIONS).select("path", "num", C.section_number(F.col("path"), F.col("num")).alias("section"))
+    order, customer = F.col("o_orderkey"), F.col("o_custkey")
+    number = F.concat(order.cast("string"), F.lit("."), customer.cast("string"))
+    path, num = F.concat(pick(SEGMENTS, order), number), F.when(customer % 11 != 0, F.concat(pick(SIGNS, customer), number, F.lit(" ")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", path.alias("path"), num.alias("num"), C.section_number(path, num).alias("section"))
+
+
+CITING = ["usc", "ecfr", "ca-leginfo", "ny-openleg", "tx-statutes", "fl-statutes", "municode", "oh-statutes"]
+CODES, LAWS, TEXAN = [*C.CALIFORNIA, "XYZ"], [*C.NEW_YORK, "ny-none"], [*C.TEXAS, "none"]
+
+
+def case(table: dict[str, str], key: str) -> str:
+    return f"case {key} " + " ".join(f"when '{k}' then '" + v.replace("'", "''") + "'" for k, v in table.items()) + " end"
 
 
-CITED = [
-    ("usc", "us-usc-title-42", "", "1983", "42 U.S.C. § 1983|42 USC § 1983|42 U.S.C. 1983"), ("ecfr", "us-cfr-title-24", "", "100.50", "24 C.F.R. § 100.50|24 CFR § 100.50"),
-    ("ca-leginfo", "ca-gov", "gov", "12965", "Cal. Gov. Code § 12965|California Gov. Code § 12965|Government Code section 12965"), ("ca-leginfo", "ca-com", "COM", "5", "Cal. Com. Code § 5|California Com. Code § 5|Commercial Code section 5"),
-    ("ca-leginfo", "ca-cons", "CONS", "7", "Cal. Const. Code § 7|California Const. Code § 7"), ("ny-openleg", "ny-partnership", "", "10", "N.Y. P'ship Law § 10"), ("ny-openleg", "ny-unknown", "", "10", ""), ("ny-openleg", "ny-general-business", "GBS", "349", "N.Y. Gen. Bus. Law § 349"), ("fl-statutes", "fl-statutes", "", "718.111", "Fla. Stat. § 718.111"), ("tx-statutes", "tx-property-code", "", "92.056", "Tex. Prop. Code § 92.056"),
-    ("tx-statutes", "tx-lg", "", "53.001", "Tex. § 53.001"), ("municode", "ca-palm-desert", "", "1", ""), ("usc", "us-usc-title-42", "", None, ""),
-]
+JURISDICTION = f"case publisher when 'ny-openleg' then {pick_sql(LAWS, 'k // 8')} when 'tx-statutes' then 'tx-' || {pick_sql(TEXAN, 'k // 8')} || '-code' when 'municode' then 'ca-x' else 'us-x-title-' || k % 54 end"
+FORMS = " ".join([
+    "when section is null then []", "when publisher = 'usc' then [t || ' U.S.C. \u00a7 ' || section, t || ' USC \u00a7 ' || section, t || ' U.S.C. ' || section]", "when publisher = 'ecfr' then [t || ' C.F.R. \u00a7 ' || section, t || ' CFR \u00a7 ' || section]",
+    f"when publisher = 'ca-leginfo' then ['Cal. ' || {case(C.CALIFORNIA, 'code')} || ' Code \u00a7 ' || section, 'California ' || {case(C.CALIFORNIA, 'code')} || ' Code \u00a7 ' || section, {case(C.CALIFORNIA_LONG, 'code')} || ' Code section ' || section]",
+    f"when publisher = 'ny-openleg' then ['N.Y. ' || {case(C.NEW_YORK, 'jur')} || ' Law \u00a7 ' || section]", f"when publisher = 'tx-statutes' then ['Tex. ' || coalesce({case(C.TEXAS, 'law')} || ' Code \u00a7 ', '\u00a7 ') || section]",
+    f"else [{case(C.STATES, 'publisher')} || ' \u00a7 ' || section]",
+])
 
 
-@query(f"select publisher, jur, variants from {values('publisher, jur, source, section, variants', CITED)}")
+@query(f"with p as (select o_orderkey, o_custkey k, {pick_sql(CITING, 'o_custkey')} publisher, {pick_sql(CODES, 'o_custkey // 8')} code, case when o_custkey % 13 <> 0 then o_orderkey || '.5' end section from orders), "
+       f"j as (select *, {JURISDICTION} jur from p), t as (select *, nullif(regexp_extract(jur, 'title-(\\d+)', 1), '') t, regexp_extract(jur, '^[a-z]{{2}}-(.+)-code$', 1) law from j) "
+       f"select o_orderkey, publisher, jur, array_to_string(list_filter(case {FORMS} end, lambda x: x is not null), '|') variants from t")
 def citation_variants(spark, sf_dir):
-    made = C.citation_variants(F.col("publisher"), F.col("jur"), F.col("source"), F.col("section"))
-    return relation(spark, "publisher, jur, source, section, v", CITED).select("publisher", "jur", F.array_join(made, "|").alias("variants"))
+    k = F.col("o_custkey")
+    publisher, eighth = pick(CITING, k), F.floor(k / 8)
+    jur = F.when(publisher == "ny-openleg", pick(LAWS, eighth)).when(publisher == "tx-statutes", F.concat(F.lit("tx-"), pick(TEXAN, eighth), F.lit("-code"))).when(publisher == "municode", "ca-x").otherwise(F.concat(F.lit("us-x-title-"), (k % 54).cast("string")))
+    section = F.when(k % 13 != 0, F.concat(F.col("o_orderkey").cast("string"), F.lit(".5")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", publisher.alias("publisher"), jur.alias("jur"), F.lower(pick(CODES, eighth)).alias("code"), section.alias("section"))
+    made = C.citation_variants(F.col("publisher"), F.col("jur"), F.col("code"), F.col("section"))
+    return rows.select("o_orderkey", "publisher", "jur", F.array_join(made, "|").alias("variants"))
 
 
-LINKED = [
-    ("federal", "us-usc-title-42", "US Code", None, "_default", "section-1", "https://x.test/federal/usc-title-42/section-1"), ("city", "ca-pd", "City of Palm Desert, CA", "CA", "_default", None, "https://x.test/ca/palm-desert"),
-    ("city", "ca-pd", "Palm Desert", "CA", "zoning", "a/b", "https://x.test/ca/palm-desert/zoning/a/b"), ("hoa", "oak-hoa", "Oak HOA", None, "_default", "r", "https://x.test/oak-hoa/r"),
-]
+KINDS, CODE_IDS = ["federal", "city", "hoa", "county"], ["_default", "zoning", "gov"]
+BARE = "regexp_replace(regexp_replace(name, '(?i)^(City of|Town of|Village of|County of|Borough of)\\s+', ''), ',\\s*[A-Z]{2}$', '')"
 
 
-@query(f"select id, code, url from {values('kind, id, name, state, code, path, url', LINKED)}")
+@query(f"with n as (select c_custkey, name, {pick_sql(KINDS, 'c_custkey')} kind, case when c_custkey % 3 <> 0 then 'CA' end state, {pick_sql(CODE_IDS, 'c_custkey')} code, case when c_custkey % 5 <> 0 then 'a/b-' || c_custkey else '' end as path from {NAMED}) "
+       f"select c_custkey, concat_ws('/', 'https://x.test', case when kind = 'federal' then 'federal/' || 'usc-' || c_custkey when state is not null then lower(state) || '/' || {SLUG.format(BARE)} else 'us-usc-' || c_custkey end, case when code <> '_default' then code end, nullif(path, '')) url from n")
 def permalink(spark, sf_dir):
-    made = C.permalink("https://x.test", *[F.col(c) for c in ("kind", "id", "name", "state", "code", "path")])
-    return relation(spark, "kind, id, name, state, code, path, u", LINKED).select("id", "code", made.alias("url"))
+    key = F.col("c_custkey")
+    path = F.when(key % 5 != 0, F.concat(F.lit("a/b-"), key.cast("string"))).otherwise("")
+    made = C.permalink("https://x.test", pick(KINDS, key), F.concat(F.lit("us-usc-"), key.cast("string")), F.col("name"), F.when(key % 3 != 0, "CA"), pick(CODE_IDS, key), path)
+    return places(spark, sf_dir).select("c_custkey", made.alias("url"))
 
 
 @query("select o_orderkey, coalesce(nullif(case when o_totalprice < 50000 then '' else o_orderpriority end, ''), 'Unknown Case') case_name, case when o_orderstatus <> 'P' then o_orderstatus end citation from orders")
