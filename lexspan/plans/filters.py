@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import changes
 from ..operators.registry import in_box
 from ..schema import split_valid
-from .base import events, query, relation, table, values
+from .base import events, pick, pick_sql, query, table
 
 
 @query("select p_partkey, p_name, p_size from part where p_brand = 'Brand#2' and p_size >= 10 order by p_size, p_partkey")
@@ -114,16 +114,17 @@ def reject_rows(spark, sf_dir):
     return coalesce_cast(spark, sf_dir).join(table(spark, sf_dir, "events").where("value is not null").select("event_id"), "event_id").where("pop > 10")
 
 
-BOXES = [(1, "1,2,3,4"), (2, "a,b"), (3, "1,2,3"), (4, " -1.5,2, 3e1,4"), (5, ""), (6, "1,2,3,4,5"), (7, None)]
+BOXES = ["1,2,#,4", "a,#", "1,#,3", " -1.#,2, 3e1,#", "", "1,2,3,4,#", "#,#,#,#"]
 
 
-@query(f"select id, case when ok then try_cast(p[1] as double) end south, case when ok then try_cast(p[2] as double) end west, case when ok then try_cast(p[3] as double) end north, case when ok then try_cast(p[4] as double) end east from "
-       f"(select *, coalesce(len(p) = 4 and len(list_filter(p, lambda x: try_cast(x as double) is not null)) = 4, false) ok from (select id, list_transform(string_split(box, ','), lambda x: trim(x)) p from {values('id, box', BOXES)}))")
+@query(f"select event_id, case when ok then try_cast(p[1] as double) end south, case when ok then try_cast(p[2] as double) end west, case when ok then try_cast(p[3] as double) end north, case when ok then try_cast(p[4] as double) end east from "
+       f"(select *, coalesce(len(p) = 4 and len(list_filter(p, lambda x: try_cast(x as double) is not null)) = 4, false) ok from (select event_id, list_transform(string_split(case when event_id % 50 <> 0 then replace({pick_sql(BOXES, 'event_id')}, '#', user_id::varchar) end, ','), lambda x: trim(x)) p from events))")
 def parse_bbox(spark, sf_dir):
-    numbers = F.transform(F.split("box", ","), lambda x: F.trim(x).try_cast("double"))
+    box = F.when(F.col("event_id") % 50 != 0, F.replace(pick(BOXES, F.col("event_id")), F.lit("#"), F.col("user_id").cast("string")))
+    numbers = F.transform(F.split(box, ","), lambda x: F.trim(x).try_cast("double"))
     good = (F.size(numbers) == 4) & F.forall(numbers, lambda x: x.isNotNull())
-    rows = relation(spark, "id, box", BOXES).withColumn("p", F.when(good, numbers))
-    return rows.select("id", *[F.col("p")[i].alias(n) for i, n in enumerate(("south", "west", "north", "east"))])
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(good, numbers).alias("p"))
+    return rows.select("event_id", *[F.col("p")[i].alias(n) for i, n in enumerate(("south", "west", "north", "east"))])
 
 
 @query("select s_suppkey, s_name from supplier where contains(lower(s_name), '07') or contains(s_suppkey::varchar, '42')")

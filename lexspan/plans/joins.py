@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import client_name, lookup_name, norm, url_host
 from ..operators import changes, registry, resolve
-from .base import query, relation, table, values
+from .base import pick, pick_sql, query, relation, table, values
 
 
 @query("select doc_id from documents where exists (select 1 from labels l where l.doc_id = documents.doc_id)")
@@ -161,24 +161,30 @@ def resolve_status(spark, sf_dir):
     return rows.select("doc_id", state.alias("state"))
 
 
-NAMES = [("Nashville", "city"), ("Nashville-Davidson County Metro", "county"), ("City of Nashville, TN", "city"), ("East Nashville", "city"), ("Memphis", "city")]
+NAMES, NAME_ENDS, NAME_KINDS = ["Nashville", "Nashville-Davidson County Metro", "City of Nashville, TN", "East Nashville", "Memphis", "nashville "], ["", " #", ""], ["city", "county"]
+NAMED = f"(select c_custkey, replace({pick_sql(NAMES, 'c_custkey')} || {pick_sql(NAME_ENDS, 'c_custkey // 6')}, '#', c_custkey::varchar) as name, {pick_sql(NAME_KINDS, 'c_custkey // 3')} kind from customer)"
 LOOKUP = "trim(regexp_replace(lower(regexp_replace(regexp_replace(name, '(?i)^(City of|Town of|Village of|County of|Borough of)\\s+', ''), ',\\s*[A-Z]{2}$', '')), '\\s+', ' ', 'g'))"
 
 
-@query(f"with n as (select *, {LOOKUP} own from {values('name, kind', NAMES)}), s as (select name, kind, round((case when trim(regexp_replace(own, '[^a-z0-9]+', '-', 'g'), '-') = 'nashville' then 8 else 0 end + case when own = 'nashville' then 6 else 0 end "
-       "+ case when kind = 'city' then 4 else 0 end + case when own like 'nashville%' then 2 else 0 end - abs(length(own) - 9) / 100.0)::double, 4) score from n where contains(own, 'nashville')) select * from s order by score desc, name limit 1")
+@query(f"with n as (select *, {LOOKUP} own from {NAMED}), s as (select c_custkey, name, kind, round((case when trim(regexp_replace(own, '[^a-z0-9]+', '-', 'g'), '-') = 'nashville' then 8 else 0 end + case when own = 'nashville' then 6 else 0 end "
+       "+ case when kind = 'city' then 4 else 0 end + case when own like 'nashville%' then 2 else 0 end - abs(length(own) - 9) / 100.0)::double, 4) score from n where contains(own, 'nashville')) select * from s order by score desc, name, c_custkey limit 20")
 def best_match(spark, sf_dir):
+    key = F.col("c_custkey")
+    name = F.replace(F.concat(pick(NAMES, key), pick(NAME_ENDS, F.floor(key / 6))), F.lit("#"), key.cast("string"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", name.alias("name"), pick(NAME_KINDS, F.floor(key / 3)).alias("kind"))
     score = F.round(resolve.score_name(F.col("name"), F.col("kind"), "Nashville", "city").cast("double"), 4)
-    return relation(spark, "name, kind", NAMES).withColumn("score", score).where("score is not null").orderBy(F.desc("score"), "name").limit(1)
+    return rows.withColumn("score", score).where("score is not null").orderBy(F.desc("score"), "name", "c_custkey").limit(20)
 
 
-CLIENTS = [(1, "City of Palm"), (2, "Palm Desert"), (3, "Desert Palm"), (4, "Oak"), (5, "Palm Springs")]
+CLIENTS = ["City of Palm", "Palm Desert", "Desert Palm", "Oak", "Palm Springs", "Town of Oak", "PALM"]
 
 
-@query(f"select id, client, tier from (select id, client, case when k = 'palm' then 0 when k like 'palm%' then 1 when contains(k, 'palm') then 2 end tier from (select *, trim(regexp_replace(regexp_replace(lower(client), '^(city|town|village|county)\\s+of\\s+', ''), '[^a-z0-9]+', ' ', 'g')) k from {values('id, client', CLIENTS)})) where tier is not null order by tier, id limit 1")
+@query(f"select c_custkey, client, tier from (select c_custkey, client, case when k = 'palm' then 0 when k like 'palm%' then 1 when contains(k, 'palm') then 2 end tier from (select *, trim(regexp_replace(regexp_replace(lower(client), '^(city|town|village|county)\\s+of\\s+', ''), '[^a-z0-9]+', ' ', 'g')) k "
+       f"from (select c_custkey, {pick_sql(CLIENTS, 'c_custkey')} || case when c_custkey % 2 = 0 then '' else ' ' || c_custkey end client from customer))) where tier is not null order by tier, c_custkey limit 300")
 def tiered_match(spark, sf_dir):
-    rows = relation(spark, "id, client", CLIENTS).withColumn("tier", resolve.tier(client_name(F.col("client")), client_name(F.lit("Palm"))))
-    return rows.where("tier is not null").orderBy("tier", "id").limit(1)
+    client = F.concat(pick(CLIENTS, F.col("c_custkey")), F.when(F.col("c_custkey") % 2 == 0, "").otherwise(F.concat(F.lit(" "), F.col("c_custkey").cast("string"))))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", client.alias("client")).withColumn("tier", resolve.tier(client_name(F.col("client")), client_name(F.lit("Palm"))))
+    return rows.where("tier is not null").orderBy("tier", "c_custkey").limit(300)
 
 
 @query("with n as (select s_suppkey id, s_name name, 'known' publisher, s_acctbal bal from supplier union all select c_custkey, c_name, 'unknown', c_acctbal from customer where c_custkey not in (select s_suppkey from supplier)) "
@@ -213,14 +219,17 @@ def merge_unscanned(spark, sf_dir):
     return registry.merge_unscanned(new, old, "id", scanned)
 
 
-ADDRESSES = [
-    (1, "306 Desert Falls East, Palm Desert, CA"), (2, "306 desert falls east palm desert ca 92260"), (3, "2584 Fairway Dr, Costa Mesa, CA"), (4, "Palm Desert, California"), (5, "12 Main Street Albany New York"),
-    (6, "Springfield"), (7, "99 Elm Portland oregon 97201-1234"), (8, ", CA"), (9, "12 Oak tx"), (10, "Columbus, Ohio 43004"), (11, "somewhere, nowhere"),
-]
-PARSED = [(1, "Palm Desert", "CA"), (2, "palm desert", "CA"), (3, "Costa Mesa", "CA"), (4, "Palm Desert", "CA"), (5, "Albany", "NY"), (6, None, None), (7, "Portland", "OR"), (8, ",", "CA"), (9, "Oak", "TX"), (10, "Columbus", "OH"), (11, None, None)]
+FORMS = ["#n Desert Falls East, #c, #a", "#n desert falls east #c #a 92260", "#n Fairway Dr, #c, #s", "#c, #s", "#n Main Street #c #s", "#c", "#n Elm St #c #s 97201-1234", "#c, #a 43004", "#c, nowhere"]
+CITIES, PLACES = ["Palm Desert", "Albany", "Costa Mesa", "Portland"], [("CA", "California"), ("NY", "new york"), ("OR", "Oregon"), ("TX", "Texas"), ("NC", "North Carolina")]
+CITY, SHORT, LONG = pick_sql(CITIES, "c_custkey // 9"), pick_sql([a for a, _ in PLACES], "c_custkey // 4"), pick_sql([s for _, s in PLACES], "c_custkey // 4")
 
 
-@query(f"select id, city, state from {values('id, city, state', PARSED)}")
+@query(f"select c_custkey, case when c_custkey % 9 not in (5, 8) then {CITY} end city, case when c_custkey % 9 not in (5, 8) then {SHORT} end state from customer")
 def parse_address(spark, sf_dir):
-    return relation(spark, "id, address", ADDRESSES).withColumn("p", resolve.parse_address(F.col("address"))).select("id", "p.city", "p.state")
-
+    """City and state of addresses put together from a city and a state in nine forms; two of them name no state."""
+    key = F.col("c_custkey")
+    fourth = F.floor(key / 4)
+    text = pick(FORMS, key)
+    for mark, value in (("#n", key.cast("string")), ("#c", pick(CITIES, F.floor(key / 9))), ("#a", pick([a for a, _ in PLACES], fourth)), ("#s", pick([s for _, s in PLACES], fourth))):
+        text = F.replace(text, F.lit(mark), value)
+    return table(spark, sf_dir, "customer").select("c_custkey", resolve.parse_address(text).alias("p")).select("c_custkey", "p.city", "p.state")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import tree
-from .base import query, relation, table, values
+from .base import query, table
 
 
 def nodes(spark, sf_dir, content: bool = True):
@@ -72,13 +72,26 @@ def tree_orphans(spark, sf_dir):
     return tree.reroot(rows).where("kind = 'customer'").select("id", "parent")
 
 
-COLLAPSE = [("a", None, "chapter-2-15", False), ("b", "a", "chapter-2-15", True), ("c", "b", "section-2-15-1", True), ("d", None, "chapter-3", False), ("e", "d", "section-1", True), ("f", "d", "chapter-3", True)]
-COLLAPSED = [("a", None, "chapter-2-15", True), ("c", "a", "section-2-15-1", True), ("d", None, "chapter-3", False), ("e", "d", "section-1", True), ("f", "d", "chapter-3", True)]
+CODES = """
+n as (select 'a-' || c_custkey id, null::varchar parent, 'chapter-' || c_custkey slug, false has_content from customer
+      union all select 'b-' || c_custkey, 'a-' || c_custkey, case when c_custkey % 3 = 2 then 'article-' else 'chapter-' end || c_custkey, c_custkey % 2 = 0 from customer
+      union all select 'c-' || c_custkey, 'a-' || c_custkey, 'section-x', true from customer where c_custkey % 5 = 0
+      union all select 'o-' || o_orderkey, 'b-' || o_custkey, 'section-' || o_orderkey, true from orders)
+"""
 
 
-@query(f"select * from {values('id, parent, slug, has_content', COLLAPSED)}")
+@query(f"with {CODES}, lone as (select parent id, min(id) child from n where parent is not null group by parent having count(*) = 1), gone as (select lone.id, lone.child, c.has_content from lone join n p on p.id = lone.id join n c on c.id = lone.child where p.slug = c.slug) "
+       "select n.id, coalesce(u.id, n.parent) parent, n.slug, n.has_content or coalesce(g.has_content, false) has_content from n left join gone g on g.id = n.id left join gone u on u.child = n.parent where n.id not in (select child from gone)")
 def tree_collapse(spark, sf_dir):
-    return tree.collapse(relation(spark, "id, parent, slug, has_content", COLLAPSE)).select("id", "parent", "slug", "has_content")
+    """Chapters of customers, a division below each (with its slug, mostly), at times a section beside it, and orders as sections."""
+    name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    row = lambda id, parent, slug, content: [id.alias("id"), parent.cast("string").alias("parent"), slug.alias("slug"), content.alias("has_content")]
+    customers, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    rows = customers.select(*row(name("a-", "c_custkey"), F.lit(None), name("chapter-", "c_custkey"), F.lit(False)))
+    rows = rows.unionByName(customers.select(*row(name("b-", "c_custkey"), name("a-", "c_custkey"), F.when(key % 3 == 2, name("article-", "c_custkey")).otherwise(name("chapter-", "c_custkey")), key % 2 == 0)))
+    rows = rows.unionByName(customers.where("c_custkey % 5 = 0").select(*row(name("c-", "c_custkey"), name("a-", "c_custkey"), F.lit("section-x"), F.lit(True))))
+    rows = rows.unionByName(table(spark, sf_dir, "orders").select(*row(name("o-", "o_orderkey"), name("b-", "o_custkey"), name("section-", "o_orderkey"), F.lit(True))))
+    return tree.collapse(rows).select("id", "parent", "slug", "has_content")
 
 
 @query("select c_custkey, coalesce(nullif(case when c_mktsegment = 'BUILDING' then '' else c_mktsegment end, ''), n_name, c_custkey::varchar) title from customer left join nation on n_nationkey = c_nationkey and n_regionkey = 1")
