@@ -1,0 +1,137 @@
+"""A small tree of a saved page, with the few selectors that publisher adapters need."""
+
+from __future__ import annotations
+
+import html
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that end when a like one (or one of the others) begins.
+ENDS = dict.fromkeys("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split(), ("p",)) | {"li": ("li",), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
+_STEP = re.compile(r"\s*([>,]?)\s*([a-z][\w-]*)?((?:[#.][\w-]+|\[[^\]]+\])*)", re.I)
+_TEST = re.compile(r"([#.])([\w-]+)|\[([\w-]+)(?:([*^$]?)=\"?([^\]\"]*)\"?)?\]")
+
+
+class Node:
+    def __init__(self, tag: str, attributes: dict[str, str], raw: str, parent: Node | None):
+        self.tag, self.attributes, self.raw, self.parent = tag, attributes, raw, parent
+        self.children: list[Node | str] = []
+
+    def elements(self) -> Iterator[Node]:
+        """All elements below, in page order."""
+        stack = [c for c in reversed(self.children) if isinstance(c, Node)]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
+
+    def _pieces(self, markup: bool) -> Iterator[str]:
+        stack: list[Node | str] = list(reversed(self.children))
+        while stack:
+            at = stack.pop()
+            if isinstance(at, str):
+                yield at
+                continue
+            if markup:
+                yield at.raw
+                if at.tag not in VOID:
+                    stack.append(f"</{at.tag}>")
+            stack += reversed(at.children)
+
+    def text(self) -> str:
+        """Its text with single spaces."""
+        return " ".join(html.unescape("".join(self._pieces(False))).split())
+
+    def inner(self) -> str:
+        return "".join(self._pieces(True))
+
+    def outer(self) -> str:
+        return f"{self.raw}{self.inner()}</{self.tag}>"
+
+    def get(self, name: str) -> str:
+        return self.attributes.get(name, "")
+
+    def meets(self, tag: str | None, tests: list[tuple]) -> bool:
+        if tag and self.tag != tag.lower():
+            return False
+        for mark, name, attribute, how, value in tests:
+            if mark == "#" and self.get("id") != name or mark == "." and name not in self.get("class").split():
+                return False
+            if attribute:
+                own = self.attributes.get(attribute)
+                if own is None or (how == "*" and value not in own) or (how == "^" and not own.startswith(value)) or (how == "$" and not own.endswith(value)) or (how == "" and value and own != value):
+                    return False
+        return True
+
+    def select(self, selector: str) -> list[Node]:
+        """Elements below that meet any of the comma-separated selectors: tag, #id, .class, [name], [name*=x], descendants and '>'."""
+        paths: list[list[tuple]] = [[]]
+        for link, tag, tests in _STEP.findall(selector.strip()):
+            if not (tag or tests):
+                continue
+            if link == ",":
+                paths.append([])
+            paths[-1].append((link == ">", tag or None, _TEST.findall(tests)))
+
+        def fits(node: Node, path: list[tuple]) -> bool:
+            child, tag, tests = path[-1]
+            if not node.meets(tag, tests):
+                return False
+            if len(path) == 1:
+                return not child or node.parent is self
+            up = node.parent
+            while up is not None:
+                if fits(up, path[:-1]):
+                    return True
+                if child:
+                    return False
+                up = up.parent
+            return False
+
+        return [n for n in self.elements() if any(fits(n, p) for p in paths)]
+
+    def first(self, selector: str) -> Node | None:
+        return next(iter(self.select(selector)), None)
+
+    def remove(self, selector: str) -> None:
+        for node in self.select(selector):
+            node.parent.children.remove(node)
+
+
+class _Builder(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.root = self.at = Node("#page", {}, "", None)
+
+    def handle_starttag(self, tag, attrs):
+        if self.at.tag in ENDS.get(tag, ()):
+            self.at = self.at.parent
+        node = Node(tag, {k: html.unescape(v or "") for k, v in attrs}, self.get_starttag_text() or f"<{tag}>", self.at)
+        self.at.children.append(node)
+        if tag not in VOID and not node.raw.endswith("/>"):
+            self.at = node
+
+    def handle_endtag(self, tag):
+        up = self.at
+        while up is not None and up.tag != tag:
+            up = up.parent
+        if up is not None and up.parent is not None:
+            self.at = up.parent
+
+    def handle_data(self, data):
+        self.at.children.append(data)
+
+    def handle_entityref(self, name):
+        self.at.children.append(f"&{name};")
+
+    def handle_charref(self, name):
+        self.at.children.append(f"&#{name};")
+
+
+def parse(page: str) -> Node:
+    builder = _Builder()
+    builder.feed(page)
+    builder.close()
+    return builder.root

@@ -44,7 +44,7 @@ def test_adapters(spark, tmp_path):
     ma = tmp_path / "ma-statutes" / "ma"
     (ma / "sections").mkdir(parents=True)
     (ma / "toc.html").write_text('<a href="/Laws/GeneralLaws/PartI">Part <b>I</b></a><a href="/Laws/GeneralLaws/PartI">again</a><a href="/about">About</a><a href="/Laws/GeneralLaws/PartII">x</a><a href="/Laws/GeneralLaws/PartIV/">Part IV &amp; more</a>')
-    (ma / "sections" / "1.html").write_text("<body><nav>n</nav><main><p>" + "words " * 20 + "</p></main></body>")
+    (ma / "sections" / "1.html").write_text("<body><nav>n</nav><main><p>" + "words " * 60 + "</p></main></body>")
     read = lambda name, **o: spark.read.format("statutes").options(publisher=name, **o).load(str(tmp_path))
     assert [(r.id, r.title) for r in read("ma-statutes").orderBy("ord").collect()] == [("PartI", "Part I"), ("PartIV", "Part IV & more")]
     assert read("ma-statutes", what="sections").first().html.startswith("<p>words")
