@@ -77,17 +77,20 @@ def deal(queues: dict[str, deque], shares: dict[str, float], carried: dict[str,
         number += 1
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 1024, turn: int = TURN, part_tokens: int = PART_TOKENS) -> DataFrame:
-    """Pieces of all documents in sequences of at most `window` ids, every sequence near the corpus's token proportions.
+def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 1024, turn: int = TURN, part_tokens: int = PART_TOKENS, targets: dict[str | None, float] | None = None) -> DataFrame:
+    """Pieces of all documents in sequences of at most `window` ids, every sequence near target token proportions: `targets`
+    (a weight for each source, 0 where none is given), or the corpus's own.
 
     A document is its ids of `vocabulary` and then `end_id` (a null or empty text: `end_id` alone). Returns doc_id,
     source, start (the document's ids before the piece), length, ids_crc32, doc_tokens, sequence_id, offset (place in
     the sequence, from 0 without gaps).
 
     The ids of each source form one stream, ordered by a hash of doc_id. Part p of P takes of each source the ids from
-    floor(T p / P) to floor(T (p + 1) / P), T being the source's total, and starts with the deficits that rounding
-    left it, so parts need not wait for each other; within a part deal() carries deficits from window to window. What
-    is left of a part under a window goes into windows of 2**k ids, so no sequence needs padding.
+    floor(T p / P) to floor(T (p + 1) / P), T being the source's total, so every part has the corpus's proportions. These exact
+    cuts take the place of deficits handed from part to part: a part starts with what rounding kept from each source in the
+    parts before it (under one id), so parts need not wait for each other; within a part deal() carries deficits from window
+    to window. With other targets than the corpus's, a part's sources run dry at different times and its last windows hold
+    what is left. What is left of a part under a window goes into windows of 2**k ids, so no sequence needs padding.
 
     Defined cases: an empty table gives no rows; a null source is a source of its own; null doc_ids stay null; repeated
     rows are documents of their own; other columns are not read.
@@ -131,6 +134,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 1024, turn
     cut = cut.withColumn("from", F.greatest(F.col("at"), first)).withColumn("to", F.least(F.col("at") + F.col("n"), last))
     cut = cut.select("part", "key", "row", (F.col("from") - F.col("at")).alias("start"), (F.col("to") - F.col("from")).alias("length"), "from", "total", "docs")
     room = (part_tokens + kinds) // window + 16  # sequence numbers of a part
+    wanted = {"t" if s is None else f"s{s}": float(w) for s, w in (targets or {}).items()}
 
     def windows(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         p = int(key[0])
@@ -142,6 +146,9 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 1024, turn
         carried = {s: totals[s] * p % parts / parts for s in queues}
         amount = sum(x[2] for q in queues.values() for x in q)
         shares = {s: sum(x[2] for x in q) / amount for s, q in queues.items()}
+        if wanted:
+            whole = sum(wanted.get(s, 0.0) for s in queues)
+            shares = {s: wanted.get(s, 0.0) / whole for s in queues} if whole else shares
         dealt = np.array(list(deal(queues, shares, carried, window, turn)), np.int64).reshape(-1, 4)
         out = pd.DataFrame(dealt, columns=["row", "start", "length", "sequence_id"])
         out["offset"] = (out["length"].cumsum() - out["length"]) - (out.groupby("sequence_id")["length"].sum().cumsum().shift(fill_value=0).reindex(out["sequence_id"]).to_numpy() if len(out) else 0)

@@ -146,6 +146,19 @@ def test_packing_odd_rows_and_proportions(docs, odd_rows):
     assert pack(docs([]), BYTES, 0).count() == 0
 
 
+def test_packing_to_targets(docs):
+    """While both sources last, every window holds them 3 to 1, whatever the corpus's proportions; nothing is lost."""
+    rows = [(i, "word " * 300, "ab"[i % 2]) for i in range(80)]
+    pieces = pack(docs(rows), BYTES, 0, window=256, turn=16, targets={"a": 3, "b": 1}).collect()
+    assert sum(p.length for p in pieces) == sum(p.doc_tokens for p in pieces if p.start == 0)
+    of = {}
+    for p in pieces:
+        of.setdefault(p.sequence_id, {"a": 0, "b": 0})[p.source] += p.length
+    full = [of[k] for k in sorted(of) if sum(of[k].values()) == 256]
+    both = full[: int(0.6 * len(full))]  # source a lasts for two thirds of all ids
+    assert all(abs(x["a"] - 192) <= 32 for x in both) and sum(x["a"] for x in both) / (256 * len(both)) == pytest.approx(0.75, abs=0.01)
+
+
 def test_repeated_rows_are_packed_each(docs):
     pieces = pack(docs([(1, "same text"), (1, "same text"), (None, None)]), BYTES, 0).collect()
     assert sum(p.length for p in pieces) == sum(p.doc_tokens for p in pieces if p.start == 0)
