@@ -107,9 +107,11 @@ class _Model:
         if b > a:
             sym, where = self.syms[a + 2 : b + 2, :n] + self.row0[:n], np.arange(a, b)[:, None] < self.lengths[None, :n]
             self.counts[:n] += np.bincount(sym.ravel() if where.all() else sym[where], minlength=n * self.width).reshape(n, -1)
-        counts, sizes = self.counts[:n], self.sizes[:n, None]
-        freq = (np.arange(self.width)[None] < sizes) + counts * (_WHOLE - sizes) // np.maximum(counts.sum(1, keepdims=True), 1)
-        freq[np.arange(n), counts.argmax(1)] += _WHOLE - freq.sum(1)
+        sizes = self.sizes[:n, None]
+        known = np.arange(self.width)[None] < sizes
+        weight = (2 * self.counts[:n] + 1) * known  # each symbol counts for a half beforehand
+        freq = known + weight * (_WHOLE - sizes) // weight.sum(1, keepdims=True)
+        freq[np.arange(n), weight.argmax(1)] += _WHOLE - freq.sum(1)
         self.order0 = ((np.cumsum(freq, axis=1) - freq) << 16 | freq).astype(np.uint32).ravel()
         if self.decode:
             self.symbol = np.repeat(np.tile(np.arange(self.width, dtype=np.uint16), n), freq.ravel())
@@ -194,7 +196,8 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         a = put[lane]
         last = [int(low[lane]) >> s & 0xFFFFFFFF for s in (32, 0)]
         coded = np.append(out[lane * room : a], np.array(last, np.uint32)).astype("<u4").tobytes()
-        alphabet = zlib.compress(np.diff(alphabets[lane], prepend=0).astype("<u2").tobytes(), 6)
+        gaps = np.diff(alphabets[lane], prepend=0).astype("<u2")
+        alphabet = zlib.compress(gaps.view(np.uint8).reshape(-1, 2).T.tobytes(), 9)  # lower bytes, then the upper ones, which are few
         raw = np.ascontiguousarray(block, "<u4").tobytes()
         result.append(struct.pack("<IIII", len(block), len(alphabet), len(coded), zlib.crc32(raw)) + alphabet + coded)
     return result
@@ -212,7 +215,8 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
 def _decode(blocks: list[bytes]) -> list[np.ndarray]:
     heads = [struct.unpack_from("<IIII", b) for b in blocks]
     lengths = np.array([h[0] for h in heads])
-    alphabets = [np.cumsum(np.frombuffer(zlib.decompress(b[16 : 16 + h[1]]), "<u2").astype(np.int64)) for b, h in zip(blocks, heads, strict=True)]
+    planes = [np.frombuffer(zlib.decompress(b[16 : 16 + h[1]]), np.uint8).reshape(2, -1).astype(np.int64) for b, h in zip(blocks, heads, strict=True)]
+    alphabets = [np.cumsum(p[0] + (p[1] << 8)) for p in planes]
     k, most = len(blocks), int(lengths.max())
     words = [np.frombuffer(b[16 + h[1] :], "<u4", h[2] // 4) for b, h in zip(blocks, heads, strict=True)]
     take = np.concatenate([[0], np.cumsum([len(w) for w in words])])[:-1]
