@@ -31,8 +31,8 @@ _SHARE_BITS, _FREQ_BITS = 16, 13
 _WHOLE = 1 << _FREQ_BITS
 _BOTTOM = np.uint64(1 << 32)
 _HALF, _MASK, _ZERO, _ONE = np.uint64(32), np.uint64(2**32 - 1), np.uint64(0), np.uint64(1)
-_FULL, _FBITS, _TOTAL, _LAST = np.uint64(1 << _SHARE_BITS), np.uint64(_FREQ_BITS), np.uint64(_SHARE_BITS + _FREQ_BITS), np.uint64((1 << _SHARE_BITS + _FREQ_BITS) - 1)
-_UPPER, _LOWER = np.uint32(16), np.uint32(0xFFFF)
+_FULL, _TOTAL, _LAST = np.uint64(1 << _SHARE_BITS), np.uint64(_SHARE_BITS + _FREQ_BITS), np.uint64((1 << _SHARE_BITS + _FREQ_BITS) - 1)
+_UPPER, _LOWER, _LAST_PLACE = np.uint32(16), np.uint32(0xFFFF), np.uint64(_WHOLE - 1)
 
 
 def _stretches(most: int) -> list[tuple[int, int, bool]]:
@@ -65,12 +65,14 @@ class _Model:
         prev, prev2 = self.syms[t + 1, :n], self.syms[t, :n]
         return ((prev2 << _HASH_STEP ^ prev) & ((1 << _HASH_BITS) - 1)) + self.row2[:n], prev + self.row0[:n]
 
-    def predict(self, t, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Predictions of order 2 and order 1 with their confidences; where the share of order 2 ends, and that of order 1."""
+    def predict(self, t, n: int) -> tuple[np.ndarray, ...]:
+        """Predictions of order 2 and order 1 with their confidences; where the share of order 2 ends, and that of order 1; what is
+        left to the frequencies."""
         i2, i1 = self.contexts(t, n)
         e2, e1 = self.at2.take(i2), self.at1.take(i1)
-        shares = self.shares.take(((e2 | e1) & 63) + self.row_share[:n])
-        return e2, e1, shares >> _HALF, shares & _MASK
+        pair = ((e2 | e1) & 63) + self.row_share[:n]
+        shares = self.shares.take(pair)
+        return e2, e1, shares >> _HALF, shares & _MASK, self.rests.take(pair)
 
     def learn(self, a: int, b: int, n: int, freqs: bool) -> None:
         """Take in places a to b of the first n lanes, then set shares, and frequencies if wanted."""
@@ -101,6 +103,7 @@ class _Model:
         share2 = np.clip((hit2 * 8 + guess2) * full // (both * 8 + 32), 32, full * 7 // 8)
         share1 = np.clip((full - share2) * (hit1 * 8 + guess1) // ((both - hit2) * 8 + 32), 32, (full - share2) * 7 // 8)
         self.shares = (share2 << 32 + _FREQ_BITS | (share2 + share1) << _FREQ_BITS).astype(np.uint64).ravel()
+        self.rests = (full - share2 - share1).astype(np.uint64).ravel()
 
     def count(self, a: int, b: int, n: int) -> None:
         """Take the symbols at places a to b into the frequencies."""
@@ -179,9 +182,9 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
             model.learn(*before, n, freqs)
             before = (a, b)
             sym = np.where(np.arange(a, b)[:, None] < lengths[None, :n], model.syms[a + 2 : b + 2, :n], 0)
-            e2, e1, end2, end1 = model.predict(np.arange(a, b), n)
+            e2, e1, end2, end1, rest = model.predict(np.arange(a, b), n)
             hit2, hit1 = sym == e2 >> 6, sym == e1 >> 6
-            found, rest = model.order0.take(sym + model.row0[:n]), _FULL - (end1 >> _FBITS)
+            found = model.order0.take(sym + model.row0[:n])
             start = np.where(hit2, _ZERO, np.where(hit1, end2, end1 + (found >> _UPPER) * rest))
             width = np.where(hit2, end2, np.where(hit1, end1 - end2, (found & _LOWER) * rest))
             for t in range(a, b):
@@ -197,7 +200,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         last = [int(low[lane]) >> s & 0xFFFFFFFF for s in (32, 0)]
         coded = np.append(out[lane * room : a], np.array(last, np.uint32)).astype("<u4").tobytes()
         gaps = np.diff(alphabets[lane], prepend=0).astype("<u2")
-        alphabet = zlib.compress(gaps.view(np.uint8).reshape(-1, 2).T.tobytes(), 9)  # lower bytes, then the upper ones, which are few
+        alphabet = zlib.compress(gaps.view(np.uint8).reshape(-1, 2).T.tobytes(), 6)  # lower bytes, then the upper ones, which are few
         raw = np.ascontiguousarray(block, "<u4").tobytes()
         result.append(struct.pack("<IIII", len(block), len(alphabet), len(coded), zlib.crc32(raw)) + alphabet + coded)
     return result
@@ -241,20 +244,20 @@ def _decode(blocks: list[bytes]) -> list[np.ndarray]:
             before = (a, b)
             for t in range(a, b):
                 n = int(working[t])
-                e2, e1, end2, end1 = model.predict(t, n)
+                e2, e1, end2, end1, rest = model.predict(t, n)
                 lo, r = low[:n], wide[:n]
                 r >>= _TOTAL
                 v = (code[:n] - lo) // r
                 np.minimum(v, _LAST, out=v)
-                hit2, miss = v < end2, v >= end1
-                rest = _FULL - (end1 >> _FBITS)
-                place = np.where(miss, v - end1, _ZERO) // rest
+                past2, miss = v >= end2, v >= end1
+                place = (v - end1) // rest  # of use where both miss
+                np.minimum(place, _LAST_PLACE, out=place)
                 sym = model.symbol.take(place.view(np.int64) + model.row_freq[:n]).astype(np.int32)
                 found = model.order0.take(sym + model.row0[:n])
-                lo += r * np.where(miss, end1 + (found >> _UPPER) * rest, np.where(hit2, _ZERO, end2))
-                r *= np.where(miss, (found & _LOWER) * rest, np.where(hit2, end2, end1 - end2))
+                lo += r * np.where(miss, end1 + (found >> _UPPER) * rest, end2 * past2)
+                r *= np.where(miss, (found & _LOWER) * rest, np.where(past2, end1 - end2, end2))
                 _settle(lo, r, move)
-                sym = np.where(miss, sym, np.where(hit2, e2, e1) >> 6)
+                sym = np.where(miss, sym, np.where(past2, e1, e2) >> 6)
                 # damaged data can point anywhere; the checksum tells at the end
                 np.minimum(sym, last[:n], out=model.syms[t + 2, :n])
     result = []
