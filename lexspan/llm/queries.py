@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .packing import pack
 from .repetition import repetition_rules
 from .simhash import near_groups
+from .tokencounts import count_tokens
 from .tokenfiles import read_tokens, with_starts, write_tokens
 from .toxicity import fit, held_out, score
 from .warc import read_warc, write_warc
@@ -73,4 +74,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, at).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_repetition, op4_pack, op5_mix, op6_simhash, op7_line_dedup, op8_exact_dedup, op9_html, op10_warc)}
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(documents(spark, sf_dir).select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), limit=512)
+    return counted.select("row.doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_repetition, op4_pack, op5_mix, op6_simhash, op7_line_dedup, op8_exact_dedup, op9_html, op10_warc, op13_token_counts)}
