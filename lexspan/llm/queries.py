@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, documents
+from .conversations import repair_damaged
 from .exact import exact_groups
 from .html_text import extract
 from .lines import dedup_lines
@@ -74,9 +75,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, at).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(documents(spark, sf_dir).select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), limit=512)
     return counted.select("row.doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_repetition, op4_pack, op5_mix, op6_simhash, op7_line_dedup, op8_exact_dedup, op9_html, op10_warc, op13_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_repetition, op4_pack, op5_mix, op6_simhash, op7_line_dedup, op8_exact_dedup, op9_html, op10_warc, op12_conversation_repair, op13_token_counts)}
