@@ -59,3 +59,38 @@ select page_id, n::bigint payload_bytes, sha1(h) payload_digest,
        case when n >= 1000 and page_id <> keep then keep end refers_to
 from q
 """
+
+ORACLES["op11_divergence"] = """
+with d as (
+  select row_number() over () row, coalesce(lang, '') lang, coalesce(source, '') source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') ts from documents
+), t as (
+  select row, lang, source, unnest(ts) term from d
+), k as (
+  select lang, term from t group by lang, term having count(distinct row) >= 10
+), v as (
+  select lang, count(*)::hugeint v from k group by lang
+), c as (
+  select lang, source, term, count(*)::hugeint n from t join k using (lang, term) group by lang, source, term
+), g as (
+  select lang, source, coalesce((select sum(n) from c where c.lang = x.lang and c.source = x.source), 0)::hugeint total
+  from (select distinct lang, source from d) x
+), p as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) n, 1 + 1000000000::hugeint * (coalesce(c.n, 0) + 2) // (g.total + 2 * v.v) p
+  from g join k on g.lang = k.lang join v on g.lang = v.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term
+), l as (
+  select c.lang, c.term, 1 + 1000000000::hugeint * (sum(c.n)::hugeint + 2) // (any_value(s.total) + 2 * any_value(v.v)) q
+  from c join v using (lang) join (select lang, sum(total)::hugeint total from g group by lang) s using (lang) group by c.lang, c.term
+), pairs as (
+  select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) f
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source
+), every as (
+  select a.lang, a.source, 'pair' part, b.source item, coalesce(f, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+  union all
+  select p.lang, p.source, 'term', p.term, ((p - q) * (p - q) // (p + q))::bigint from p join l on p.lang = l.lang and p.term = l.term where p.n > 0 and p > q
+), ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item)::int rank from every
+)
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 10
+"""

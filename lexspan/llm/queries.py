@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, documents
 from .conversations import repair_damaged
+from .divergence import audit_sources
 from .exact import exact_groups
 from .html_text import extract
 from .lines import dedup_lines
@@ -75,6 +76,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, at).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(documents(spark, sf_dir))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -84,4 +89,4 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("row.doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_repetition, op4_pack, op5_mix, op6_simhash, op7_line_dedup, op8_exact_dedup, op9_html, op10_warc, op12_conversation_repair, op13_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_repetition, op4_pack, op5_mix, op6_simhash, op7_line_dedup, op8_exact_dedup, op9_html, op10_warc, op11_divergence, op12_conversation_repair, op13_token_counts)}
