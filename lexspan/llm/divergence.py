@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,7 +18,9 @@ from pyspark.sql.window import Window
 from .common import Workspace
 
 #: Distinct (group, term) counts that a task gathers before they go into its tries, and leaves of tries before these are written out.
-GATHERED, LEAVES = 200_000, 250_000
+GATHERED, LEAVES = 500_000, 400_000
+#: Bytes of the tries' first step.
+HEAD = 3
 #: Cells of the tables (terms x sources, pairs of sources) that a task holds at once.
 CELLS = 2_000_000
 #: Bytes of terms as they are (A-Z lowered); all others part terms. UTF-8 bytes of characters from U+0080 on are all of them terms'.
@@ -31,31 +36,33 @@ class Node:
     def __init__(self, label: bytes):
         self.label = label
         self.kids: dict[int, Node] | None = None
-        self.counts: dict[str, int] | None = None
+        self.counts: dict | None = None
         self.df = 0
 
 
 class Trie:
     """Byte strings in a radix trie: a node's label is what all strings below it share after its parent's. Where a string ends
     there are its counters, one for each source, and the number of documents; counters of equal strings add up, so tries of
-    parts of a corpus merge to the trie of all of it."""
+    parts of a corpus merge to the trie of all of it. The first HEAD bytes are one step, taken by a table."""
 
     def __init__(self):
-        self.root, self.leaves = Node(b""), 0
+        self.top: dict[bytes, Node] = {}
+        self.leaves = 0
 
     def node(self, term: bytes) -> Node:
         """The leaf of a string, made where there is none."""
-        node, at, end = self.root, 0, len(term)
+        head = term[:HEAD]
+        node = self.top.get(head)
+        if node is None:
+            node = self.top[head] = Node(head)
+        at, end = HEAD, len(term)
         while at < end:
-            kids = node.kids
-            kid = None if kids is None else kids.get(term[at])
+            kids, first = node.kids, term[at]
+            if kids is None:
+                kids = node.kids = {}
+            kid = kids.get(first)
             if kid is None:
-                kid = Node(term[at:])
-                if kids is None:
-                    node.kids = {term[at]: kid}
-                else:
-                    kids[term[at]] = kid
-                node = kid
+                node = kids[first] = Node(term[at:])
                 break
             label = kid.label
             if not term.startswith(label, at):
@@ -65,15 +72,16 @@ class Trie:
                 fork = Node(label[:shared])
                 fork.kids = {label[shared]: kid}
                 kid.label = label[shared:]
-                kids[term[at]] = kid = fork
-            at += len(kid.label)
+                kids[first] = kid = fork
+                label = fork.label
+            at += len(label)
             node = kid
         if node.counts is None:
             node.counts = {}
             self.leaves += 1
         return node
 
-    def add(self, term: bytes, df: int, counts: dict[str, int]) -> None:
+    def add(self, term: bytes, df: int, counts: dict) -> None:
         node = self.node(term)
         node.df += df
         for source, n in counts.items():
@@ -85,7 +93,8 @@ class Trie:
 
     def walk(self) -> Iterator[tuple[bytes, Node]]:
         """All strings with their leaves, in the order of their bytes."""
-        open_ = [(b"", self.root)]
+        # a head shorter than HEAD is a whole string, so heads come in the order of what is below them
+        open_ = [(b"", self.top[head]) for head in sorted(self.top, reverse=True)]
         while open_:
             before, node = open_.pop()
             term = before + node.label
@@ -100,49 +109,56 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_TERM).split()
 
 
-def _leaves(lang: str, found: Iterator[tuple[bytes, Node]], least: int = 0) -> Iterator[pa.RecordBatch]:
-    columns: list[list] = [[], [], [], []]
-    size = 0
-    make = lambda: pa.RecordBatch.from_arrays([pa.array([lang] * len(columns[0]), pa.string()), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())), strict=True))], names=["lang", "term", "df", "sources", "counts"])
-    for term, node in found:
-        if node.df >= least:
-            for column, value in zip(columns, (term.decode(), node.df, list(node.counts), list(node.counts.values())), strict=True):
-                column.append(value)
-            size += 1 + len(node.counts) // 8 + len(term) // 256
-            if size >= 20_000:
-                yield make()
-                columns, size = [[], [], [], []], 0
-    if columns[0]:
-        yield make()
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+
+
+def _leaves(lang: str, found: Iterator[tuple[bytes, Node]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Leaves whose counters are by places in `names`."""
+    strings = pa.array(names, pa.string())
+    while some := list(islice(found, 20_000)):
+        held = [node.counts for _, node in some]
+        sources = strings.take(pa.array(np.fromiter(chain.from_iterable(held), np.int64)))
+        counts = pa.array(np.fromiter(chain.from_iterable(c.values() for c in held), np.int64))
+        sizes = np.fromiter(map(len, held), np.int64, len(held))
+        df = pa.array(np.fromiter((node.df for _, node in some), np.int64, len(some)))
+        term = pa.array([t for t, _ in some], pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), term, df, _lists(sizes, sources), _lists(sizes, counts)], names=["lang", "term", "df", "sources", "counts"])
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tries of a task's documents, one for each language, written out in the order of their terms."""
     tries: dict[str, Trie] = defaultdict(Trie)
-    counts: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
+    counts: dict[str, dict[int, Counter]] = defaultdict(lambda: defaultdict(Counter))
     held: dict[str, Counter] = defaultdict(Counter)
+    places: dict[str, int] = {}
 
     def settle() -> None:
         for lang, by_source in counts.items():
-            trie, df = tries[lang], held[lang]
+            trie = tries[lang]
+            nodes = {}
+            df = held[lang]
+            for term in sorted(df):  # neighbours share their way down
+                node = nodes[term] = trie.node(term)
+                node.df += df[term]
             for source, found in by_source.items():
                 for term, n in found.items():
-                    node = trie.node(term)
-                    node.counts[source] = node.counts.get(source, 0) + n
-                    node.df += df.pop(term, 0)
+                    counters = nodes[term].counts
+                    counters[source] = counters.get(source, 0) + n
         counts.clear()
         held.clear()
 
     def write() -> Iterator[pa.RecordBatch]:
         for lang, trie in tries.items():
-            yield from _leaves(lang, trie.walk())
+            yield from _leaves(lang, trie.walk(), list(places))
         tries.clear()
 
+    gc.disable()  # nodes are many and in no cycles; the collector would walk them all again and again
     for batch in batches:
         rows = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text").cast(pa.large_binary()), strict=True)
         for k, (lang, source, text) in enumerate(rows):
             found = terms(text.as_py())
-            counts[lang][source].update(found)
+            counts[lang][places.setdefault(source, len(places))].update(found)
             held[lang].update(set(found))
             if k % 64 == 63 and sum(len(c) for by_source in counts.values() for c in by_source.values()) >= GATHERED:
                 settle()
@@ -150,24 +166,48 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield from write()
     settle()
     yield from write()
+    gc.enable()
 
 
 def _merge(least: int):
-    """One range of terms: tries of equal terms are merged, and what at least `least` documents have is given out. Rows come in
-    order, so all strings before the row at hand are done and the trie never has to hold more than some of them."""
+    """One range of terms: the traversals of all tries come in order, so leaves of the same term are neighbours, whose counters are
+    added up; terms that at least `least` documents have are given out."""
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, now, last = Trie(), None, None
-        for batch in batches:
-            for lang, term, df, sources, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "term", "df", "sources", "counts")), strict=True):
-                if lang != now or trie.leaves >= LEAVES and term != last:
-                    if trie.leaves:
-                        yield from _leaves(now, trie.walk(), least)
-                    trie, now = Trie(), lang
-                trie.add(term.encode(), df, dict(zip(sources, counts, strict=True)))
-                last = term
-        if trie.leaves:
-            yield from _leaves(now, trie.walk(), least)
+        rest: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            rows = pa.Table.from_batches(rest + [batch] if batch else rest).combine_chunks().to_batches()[:1] if rest or batch else []
+            if not rows or not len(rows[0]):
+                continue
+            (rows,) = rows
+            begins = np.ones(len(rows), bool)
+            lang, term = rows.column("lang"), rows.column("term")
+            begins[1:] = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1])).to_numpy(zero_copy_only=False)
+            rest = []
+            if batch:  # the last term may go on in the next batch
+                last = int(np.flatnonzero(begins)[-1])
+                rest, rows, begins = [rows.slice(last)], rows.slice(0, last), begins[:last]
+                if not last:
+                    continue
+            starts, group = np.flatnonzero(begins), np.cumsum(begins) - 1
+            df = np.add.reduceat(rows.column("df").to_numpy(), starts)
+            kept = df >= least
+            if not kept.any():
+                continue
+            some = rows.filter(pa.array(kept[group]))
+            number = (np.cumsum(kept) - 1)[group[kept[group]]]
+            sources = some.column("sources").flatten().dictionary_encode()
+            width = max(1, len(sources.dictionary))
+            cells = np.repeat(number, np.diff(some.column("sources").offsets.to_numpy())) * width + sources.indices.to_numpy()
+            order = np.argsort(cells, kind="stable")
+            cells = cells[order]
+            firsts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+            counts = np.add.reduceat(some.column("counts").flatten().to_numpy()[order], firsts)
+            sizes = np.bincount(cells[firsts] // width, minlength=int(kept.sum()))
+            heads = rows.take(pa.array(starts[kept]))
+            yield pa.RecordBatch.from_arrays(
+                [heads.column("lang"), heads.column("term"), pa.array(df[kept]), _lists(sizes, sources.dictionary.take(pa.array(cells[firsts] % width))), _lists(sizes, pa.array(counts))], names=["lang", "term", "df", "sources", "counts"]
+            )
 
     return merged
 
