@@ -41,3 +41,9 @@ def percentage(part: Column, whole: Column) -> Column:
 def histogram(rows: DataFrame, key: str) -> DataFrame:
     """Rows of each status."""
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def fold_users(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Counts and last event by user, from rows of the same form (user_id, n, last_at, last_type, last_id) of before and of a batch."""
+    latest = F.max_by("last_type", F.struct("last_at", "last_id"))
+    return old.unionByName(new).groupBy("user_id").agg(F.sum("n").alias("n"), F.max("last_at").alias("last_at"), latest.alias("last_type"), F.max_by("last_id", F.struct("last_at", "last_id")).alias("last_id"))

@@ -2,41 +2,57 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import search_text
 from ..operators import search
-from ..staging import Workspace
+from ..staging import shared_root
 from .base import query, table
 
 N = "trim(regexp_replace(lower(strip_accents({})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 TEXT, SOURCE = N.format("text"), N.format("source")
 FIELDS = ["text", "source"]
 
-_indexes: dict[tuple, search.PhraseIndex] = {}
-
-
-def index(spark, sf_dir) -> search.PhraseIndex:
-    """The session's index of documents in `sf_dir`, built by the first search and again when the table's files change."""
+def index_of(spark, sf_dir) -> search.PhraseIndex:
+    """The index of documents in `sf_dir` as their files are now, in the shared folder: any session that has this folder uses it."""
     jvm = spark._jvm.org.apache.hadoop.fs
     path = jvm.Path(f"{sf_dir}/documents.parquet")
     files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(path)
-    mark = (spark.sparkContext.applicationId, sf_dir, *sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
-    if mark not in _indexes:
-        _indexes[mark] = search.PhraseIndex(spark, f"{Workspace(spark, 'index').path}/documents").build(table(spark, sf_dir, "documents"), "doc_id", FIELDS)
-    return _indexes[mark]
+    mark = repr((sf_dir, sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)))
+    return search.PhraseIndex(spark, f"{shared_root(spark)}/lexspan/search-{hashlib.sha256(mark.encode()).hexdigest()[:32]}")
+
+
+def index(spark, sf_dir) -> search.PhraseIndex | None:
+    """The index, if index_build has made it: queries without one scan the table, which costs less than a build."""
+    found = index_of(spark, sf_dir)
+    return found if found.exists() else None
 
 
 def found(spark, sf_dir, text: str) -> DataFrame:
     """doc_id of the documents that hold all phrases of a query."""
-    return index(spark, sf_dir).find(text).withColumnRenamed("key", "doc_id")
+    have = index(spark, sf_dir)
+    if have:
+        return have.find(text).select(F.col("key").alias("doc_id"))
+    return table(spark, sf_dir, "documents").where(search.matches(text, *FIELDS)).select("doc_id")
 
 
 def has(phrase: str, *columns: str) -> str:
     return "(" + " or ".join(f"contains(' ' || coalesce({c}, '') || ' ', ' {phrase} ')" for c in columns or (TEXT, SOURCE)) + ")"
 
 
+@query("select f field, count(*) filter (where n > 0) docs, sum(n)::bigint places from (select 'text' f, case when t = '' then 0 else len(string_split(t, ' ')) end n from (select " + f"coalesce({TEXT}, '') t from documents) " +
+       "union all select 'source' f, case when t = '' then 0 else len(string_split(t, ' ')) end n from (select " + f"coalesce({SOURCE}, '') t from documents)) group by f")
+def index_build(spark, sf_dir):
+    """The index of documents, built if it isn't there; how many documents and places of tokens each field has in it."""
+    have = index_of(spark, sf_dir)
+    if not have.exists():
+        have.build(table(spark, sf_dir, "documents"), "doc_id", FIELDS)
+    return have.sizes()
+
+
 @query(f"select doc_id, source from documents where {has('of the')} and {has('with')} and doc_id in (select doc_id from labels where quality = 1) order by doc_id limit 20")
 def phrase_search(spark, sf_dir):
     """Flagship: an AND of two phrases, the first of two words, over usable documents."""
@@ -52,7 +68,9 @@ def phrase_search(spark, sf_dir):
 def multi_phrase_search(spark, sf_dir):
     """How many documents hold all words of each benchmark text."""
     items, docs = table(spark, sf_dir, "benchmark").select("item_id", "text"), table(spark, sf_dir, "documents").select("doc_id", "text")
-    hits = index(spark, sf_dir).find_each(items.select(F.col("item_id").alias("query"), "text"), docs, "doc_id", ["text"]).groupBy(F.col("query").alias("item_id")).agg(F.count(F.lit(1)).alias("hits"))
+    asked, have = items.select(F.col("item_id").alias("query"), "text"), index(spark, sf_dir)
+    hits = have.find_each(asked, docs, "doc_id", ["text"]) if have else search.scan_each(asked, docs, "doc_id", ["text"])
+    hits = hits.groupBy(F.col("query").alias("item_id")).agg(F.count(F.lit(1)).alias("hits"))
     return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
 
 
@@ -72,8 +90,10 @@ def query_tokens(spark, sf_dir):
        "select doc_id, case when b > 0 then '...' else regexp_extract(text, '^[^\\p{L}\\p{N}]*') end || case when more then regexp_replace(w, '[^\\p{L}\\p{N}\\p{M}]+$', '') || '...' else w end snippet from s")
 def snippet_window(spark, sf_dir):
     """The text itself, 20 tokens from the first hit on, with an ellipsis where some was left out."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text").join(found(spark, sf_dir, "with"), "doc_id", "left_semi").where(search.matches("with", "text"))
-    return rows.select("doc_id", search.snippet(F.col("text"), F.lit("with")).alias("snippet"))
+    rows, have = table(spark, sf_dir, "documents").select("doc_id", "text"), index(spark, sf_dir)
+    if have:
+        return have.snippets(have.find("with", ["text"]), rows, "doc_id", "text").withColumnRenamed("key", "doc_id")
+    return rows.where(search.matches("with", "text")).select("doc_id", search.snippet(F.col("text"), F.lit("with")).alias("snippet"))
 
 
 @query("select doc_id from documents where lang = 'en' and " + has("was") + " order by doc_id limit 30")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import tree
+from ..staging import Workspace
 from .base import query, table
 
 
@@ -34,8 +35,23 @@ def tree_paths(spark, sf_dir):
 
 @query(f"with recursive {ALL} select id, split_part(path, '/', 1) root, row_number() over (partition by split_part(path, '/', 1) order by s) - 1 sort_order from t")
 def tree_preorder(spark, sf_dir):
-    rows = tree.paths(nodes(spark, sf_dir)).withColumn("root", F.substring_index("path", "/", 1))
-    return tree.preorder(rows, F.col("root")).select("id", "root", F.col("sort_order").cast("long").alias("sort_order"))
+    return tree.intervals(nodes(spark, sf_dir)).select("id", "root", F.col("enter").alias("sort_order"))
+
+
+@query(f"with recursive {ALL}, w as (select id, path, split_part(path, '/', 1) root, depth, row_number() over (partition by split_part(path, '/', 1) order by s) - 1 enter from t), "
+       "up as (select id, unnest(list_transform(range(1, depth + 1), lambda k: array_to_string(list_slice(string_split(path, '/'), 1, k), '/'))) path from w), n_below as (select path, count(*) n from up group by path) "
+       "select w.id, w.root, w.depth::bigint depth, w.enter, w.enter + n - 1 leave from w join n_below using (path)")
+def tree_intervals(spark, sf_dir):
+    """Where a walk of its root's tree enters and leaves each node."""
+    return tree.intervals(nodes(spark, sf_dir)).select("id", "root", F.col("depth").cast("long").alias("depth"), "enter", "leave")
+
+
+@query(f"with recursive {ALL} select id, depth::bigint depth from t where path = 'region-2/nation-8' or starts_with(path, 'region-2/nation-8/')")
+def subtree_range(spark, sf_dir):
+    """A subtree as a range of a written table of intervals."""
+    ws = Workspace(spark, "subtrees")
+    numbered = ws.stage(tree.intervals(nodes(spark, sf_dir)).repartitionByRange("root", "enter").sortWithinPartitions("root", "enter"), "intervals")
+    return tree.below(numbered, "nation-8").select("id", F.col("depth").cast("long").alias("depth"))
 
 
 @query(f"with recursive {ALL} select id, depth::bigint depth from t where depth <= 3")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import changes, logs
+from ..snapshots import ScopedTable, once
+from ..staging import Workspace
 from .base import events, query, table
 
 
@@ -84,3 +86,41 @@ def sliding_counts(spark, sf_dir):
        "select user_id, epoch_us(min(ts)) as at, count(*) n from s group by user_id, k")
 def session_gaps(spark, sf_dir):
     return events(spark, sf_dir).groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.unix_micros("w.start").alias("at"), "n")
+
+
+@query("select o_orderstatus status, o_orderpriority priority, count(*) n, sum(case when o_orderpriority = '1-URGENT' and o_orderstatus = 'F' then o_orderkey + 1 else o_orderkey end)::bigint keys from orders where not (o_orderpriority = '2-HIGH' and o_orderstatus = 'O') group by 1, 2 "
+       "union all select 'P', 'new', count(*), sum(o_orderkey)::bigint from orders where o_orderstatus = 'P'")
+def scope_replace_on_disk(spark, sf_dir):
+    """Scopes (status, priority) of a table on disk, one changed, one deleted and one added by commits, read back."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_orderkey").cast("long").alias("key"))
+    ws = Workspace(spark, "scopes")
+    stored = ScopedTable(spark, f"{ws.path}/orders", "status string, priority string, key long", ["status", "priority"])
+    stored.replace(rows)
+    stored.replace(rows.where("status = 'F' and priority = '1-URGENT'").withColumn("key", F.col("key") + 1))
+    stored.replace(rows.where("status = 'P'").withColumn("priority", F.lit("new")))
+    stored.delete([stored.name("O", "2-HIGH")])
+    return stored.read().groupBy("status", "priority").agg(F.count(F.lit(1)).alias("n"), F.sum("key").alias("keys"))
+
+
+@query("select user_id, count(*) n, max(epoch_us(ts)) last_at, arg_max(event_type, (epoch_us(ts), event_id)) last_type from events where user_id is not null group by user_id")
+def stream_upsert(spark, sf_dir):
+    """A stream of events taken into a table of users exactly once: counts add up, the last event stays; read back."""
+    ws = Workspace(spark, "stream")
+    users = ScopedTable(spark, f"{ws.path}/users", "user_id long, n long, last_at long, last_type string, last_id long", ["user_id"], buckets=16)
+    feed = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    each = feed.where("user_id is not null").select(F.col("user_id").cast("long").alias("user_id"), F.lit(1).cast("long").alias("n"), F.unix_micros("ts").alias("last_at"), F.col("event_type").alias("last_type"), F.col("event_id").cast("long").alias("last_id"))
+    query_ = each.writeStream.foreachBatch(once(users, "events", logs.fold_users)).trigger(availableNow=True).option("checkpointLocation", f"{ws.path}/checkpoint").start()
+    query_.awaitTermination()
+    return users.read().select("user_id", "n", "last_at", "last_type")
+
+
+@query("select event_type kind, user_id % 7 bucket, count(distinct event_id) n from events where user_id is not null group by 1, 2")
+def search_log(spark, sf_dir):
+    """Log entries upserted by their id: entries that come again replace themselves."""
+    ws = Workspace(spark, "log")
+    log = ScopedTable(spark, f"{ws.path}/log", "id long, kind string, who long", ["id"], buckets=8)
+    rows = table(spark, sf_dir, "events").where("user_id is not null").select(F.col("event_id").cast("long").alias("id"), F.col("event_type").alias("kind"), F.col("user_id").cast("long").alias("who"))
+    merged = lambda old, new: changes.upsert(old, new, ["id"])
+    log.change(rows.where("id % 3 != 0"), merged)
+    log.change(rows.where("id % 3 != 1"), merged)
+    return log.read().groupBy("kind", (F.col("who") % 7).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))

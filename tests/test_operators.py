@@ -1,11 +1,16 @@
 """Literal expectations for operators that the registered queries don't pin down."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from lexspan import plans
 from lexspan.operators import changes, logs, registry, resolve, search, tree
+from lexspan.plans import searches
 from lexspan.schema import TABLES, empty
+from lexspan.snapshots import Conflict, Snapshots
+from lexspan.staging import Workspace
 
 
 def test_every_table_has_a_schema(spark):
@@ -148,7 +153,126 @@ def test_deep_trees_and_cycles(spark):
         assert [r.sort_path for r in sorted(own, key=lambda r: r.sort_order)] == sorted(r.sort_path for r in own) and {r.sort_order for r in own} == set(range(len(own)))
 
 
+def test_walks_of_odd_trees(spark):
+    """Null, negative, equal and 11-digit ordinals; orphans; intervals and sort paths against a recursive walk."""
+    rng = random.Random(3)
+    ords = [None, -5, 0, 7, 7, 12345678900, 12345678901, -12345678901]
+    rows = [(f"n{i}", None if i % 40 == 0 else f"n{rng.randrange(max(0, i - 30), i)}" if i % 17 else "gone", f"s{i}", rng.choice(ords)) for i in range(400)]
+    children = {}
+    for r in rows:
+        children.setdefault(r[1], []).append(r)
+    want = {}
+
+    def walk(node, root, depth, at):
+        here = at
+        for child in sorted(children.get(node[0], []), key=lambda r: (r[3] is not None, r[3] or 0, r[0])):
+            at = walk(child, root, depth + 1, at + 1)
+        want[node[0]] = (node[1], root, depth, here, at)
+        return at
+
+    for top in children[None]:
+        walk(top, top[0], 1, 0)
+    nodes = spark.createDataFrame(rows, "id string, parent string, slug string, ord long")
+    tree_rows = tree.intervals(nodes)
+    assert {r.id: (r.parent, r.root, r.depth, r.enter, r.leave) for r in tree_rows.collect()} == want
+    walked = tree.preorder(tree.paths(nodes).withColumn("root", F.substring_index("path", "/", 1)), F.col("root")).collect()
+    assert {r.id: (r.depth, r.sort_order) for r in walked} == {k: (v[2], v[3]) for k, v in want.items()}
+    for k in ("n0", "n1", "n40", "absent"):
+        assert {r.id for r in tree.below(tree_rows, k).collect()} == {i for i, v in want.items() if k in want and v[1] == want[k][1] and want[k][3] <= v[3] <= want[k][4]}
+
+
+def test_a_chain_takes_few_rounds(spark, tmp_path):
+    rows = [(i, i - 1 if i else None, None) for i in range(10_000)]
+    nodes = spark.createDataFrame(rows, "id long, parent long, ord long")
+    assert {(r.id, r.depth, r.enter, r.leave) for r in tree.intervals(nodes).collect()} == {(i, i + 1, i, 9999) for i in range(10_000)}
+    assert tree._Doubling(Workspace(spark, "test"), nodes.drop("ord"), {}).rounds < 20
+    with pytest.raises(ValueError):
+        tree.intervals(nodes.unionByName(spark.createDataFrame([(20_000, 20_001, None), (20_001, 20_000, None)], nodes.schema)))
+
+
 def test_rate_limit_counts(spark):
     rows = spark.createDataFrame([("10.0.0.99", 0), ("10.0.0.99", 60), ("10.0.0.99", 120), ("10.0.0.1", 90), ("10.0.0.99", 3700)], "ip string, s long")
     got = {(r.ip, r.s): r.recent for r in logs.recent_count(rows, "ip", F.col("s") * 1_000_000, 60).collect()}
     assert got == {("10.0.0.99", 0): 0, ("10.0.0.99", 60): 1, ("10.0.0.99", 120): 2, ("10.0.0.1", 90): 0, ("10.0.0.99", 3700): 1}
+
+
+def test_index_at_every_stop(spark, tmp_path, monkeypatch):
+    """Whatever step of a refresh, build or compaction fails, the state before stands as a whole; a second writer is refused."""
+    have = "id int, text string"
+    old, new = [(1, "alpha beta"), (2, "beta gamma"), (3, "alpha")], [(1, "alpha delta"), (4, "delta")]
+    index = search.PhraseIndex(spark, f"file://{tmp_path}/i").build(spark.createDataFrame(old, have), "id", ["text"])
+    ids = lambda i, q: sorted(r.key for r in i.find(q).collect())
+    before = {q: ids(index, q) for q in ("alpha", "beta", "delta")}
+    changed, gone = spark.createDataFrame(new, have), spark.createDataFrame([(3,)], "id int")
+    write, commit = Snapshots.write, Snapshots.commit
+    for stop in range(4):
+        left = [stop]
+
+        def failing(f):
+            def run(self, *args, **options):
+                if not left[0]:
+                    raise OSError("stopped")
+                left[0] -= 1
+                return f(self, *args, **options)
+
+            return run
+
+        with monkeypatch.context() as m:
+            m.setattr(Snapshots, "write", failing(write))
+            m.setattr(Snapshots, "commit", failing(commit))
+            with pytest.raises(OSError):
+                index.refresh(changed, gone, "id", ["text"])
+        other = search.PhraseIndex(spark, f"file://{tmp_path}/i")
+        assert {q: ids(other, q) for q in before} == before and other.snapshots.numbers() == [1]
+    pinned = index.snapshots.state()
+    index.refresh(changed, gone, "id", ["text"])
+    assert {q: ids(index, q) for q in before} == {"alpha": [1], "beta": [2], "delta": [1, 4]}
+    with pytest.raises(Conflict):
+        index.snapshots.commit(pinned, facts={"gen": 9})
+    assert index.snapshots.state(1)["facts"]["gen"] == 0 and len(index.snapshots.state()["tables"]["postings"]) == 2
+    index.compact()
+    assert {q: ids(index, q) for q in before} == {"alpha": [1], "beta": [2], "delta": [1, 4]} and len(index.snapshots.state()["tables"]["postings"]) == 1
+    assert index.snapshots.vacuum(older_than=3600) == [] and index.snapshots.numbers() == [3]
+    assert len(index.snapshots.vacuum(older_than=-1)) == 11 and ids(index, "delta") == [1, 4]
+
+
+def test_index_of_many_blocks(spark, tmp_path, monkeypatch):
+    """Blocks of few documents and tokens, odd texts, repeated words: finds, many queries and snippets are those of the scan."""
+    monkeypatch.setattr(search, "BLOCK_DOCS", 3)
+    monkeypatch.setattr(search, "BLOCK_TOKENS", 40)
+    rng = random.Random(9)
+    words = ["alpha", "Beta", "café", "café", "x-y", "(z)", "½", "12", "", "\n", "the", "the", "ŉ", "ﬁ"]
+    rows = [(i, rng.choice([None, "", " ".join(rng.choice(words) for _ in range(rng.randrange(60)))]), rng.choice([None, "the beta", "«X» y"])) for i in range(120)]
+    table = spark.createDataFrame(rows, "id int, text string, head string").repartition(2)
+    index = search.PhraseIndex(spark, f"file://{tmp_path}/i").build(table, "id", ["text", "head"])
+    queries = ["the", "the the", "the-the", "alpha-beta", "cafe", "x-y 12", "the-the-the alpha", "beta x", "½", "absent the"]
+    for q in queries:
+        for fields in (["text", "head"], ["text"], ["head"]):
+            assert sorted(r.key for r in index.find(q, fields).collect()) == sorted(r.id for r in table.where(search.matches(q, *fields)).collect()), (q, fields)
+        if len(q.split()) == 1:
+            want = {tuple(r) for r in table.where(search.matches(q, "text")).select("id", search.snippet(F.col("text"), F.lit(q), 5)).collect()}
+            assert {tuple(r) for r in index.snippets(index.find(q, ["text"]), table, "id", "text", 5).collect()} == want, q
+    asked = spark.createDataFrame(list(enumerate([*queries, "", "§"])), "query int, text string")
+    want = {(i, r.id) for i, q in enumerate(queries) for r in table.where(search.matches(q, "text", "head")).collect()}
+    assert {tuple(r) for r in index.find_each(asked, table, "id", ["text", "head"]).collect()} == want
+    assert {tuple(r) for r in search.scan_each(asked, table, "id", ["text", "head"]).collect()} == want
+
+
+def test_searches_with_and_without_an_index(spark, sf_dir):
+    """Queries give the same rows whether the index is there or not."""
+    names = ["phrase_search", "multi_phrase_search", "snippet_window", "search_scoped", "global_search"]
+    run = lambda: {n: sorted(map(str, plans.QUERIES[n](spark, sf_dir).collect())) for n in names}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(searches, "index", lambda *_: None)
+        scanned = run()
+    plans.QUERIES["index_build"](spark, sf_dir).collect()
+    assert searches.index(spark, sf_dir) is not None and run() == scanned
+    plan = plans.QUERIES["phrase_search"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(token" in plan
+
+
+def test_index_is_smaller_than_the_texts(spark, tmp_path):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    search.PhraseIndex(spark, f"file://{tmp_path}/i").build(table, "doc_id", ["text"])
+    size = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert size < table.agg(F.sum(F.octet_length("text"))).first()[0]
