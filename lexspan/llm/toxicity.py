@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows of each class that the fit uses at most (those with the smallest md5 of their doc_id).
 MAX_ROWS = 3_000
+#: Features, and changes of features, of a text that the fit takes at most. Scores see all of them.
+MAX_FEATURES = 20_000
 BITS = 18
 #: Leading characters of a word that are features beside the word itself.
 PREFIXES = (3, 4, 5)
@@ -193,8 +195,11 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fit on labelled rows that aren't held out: at most `max_rows` of each class, chosen by md5(doc_id).
 
-    Features are made on the executors; so many rows of feature ids come to the driver. A doc_id with several labels is
-    toxic if one says so; null labels and ids are ignored. The class shares come from all labelled rows.
+    Features are made on the executors; a row of feature ids for each chosen id comes to the driver, however often the
+    table repeats the id: of several rows the text that sorts first is taken. Of a text with more than MAX_FEATURES features
+    (or changes of features) those with the smallest hashes (or from its first sentences) count, so the driver gets
+    2 * max_rows * 4 * MAX_FEATURES numbers at the very most. A doc_id with several labels is toxic if one says so; null
+    labels and ids are ignored. The class shares come from all labelled rows.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     total, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -206,11 +211,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
             for doc_id, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
                 words = words_of(text)
                 ids = np.unique(np.array([i for w in words for i in features(w)], np.int32))
-                made = [ids, *_counterfactuals(text, np.random.default_rng(doc_id & 0xFFFFFFFF))]
+                made = [x[:MAX_FEATURES] for x in (ids, *_counterfactuals(text, np.random.default_rng(doc_id & 0xFFFFFFFF)))]
                 yield pa.RecordBatch.from_arrays([pa.array([toxic], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in made]], names=["toxic", "ids", "number", "feature", "sign"])
 
     # the sample has 2 * max_rows ids at most
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample.select("doc_id", F.col("toxic").cast("int").alias("toxic"))), "doc_id")
+    chosen = chosen.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     made = chosen.mapInArrow(run, "toxic int, ids binary, number binary, feature binary, sign binary").toArrow()
     columns = [made[c].to_pylist() for c in ("toxic", "ids", "number", "feature", "sign")]
     rows = [(t, *(np.frombuffer(x, np.int32) for x in rest)) for t, *rest in sorted(zip(*columns, strict=True))]

@@ -404,3 +404,19 @@ def test_planted_repeats(share, kept):
         texts.append(" ".join(words[: size - n] + words[:n]))
     found = measure(pa.array(range(len(texts))), pa.array(texts))
     assert not found["base_failed"].any() and (found["kept"] == kept).all()
+
+
+def test_a_repeated_labelled_id_comes_to_the_driver_once(spark, monkeypatch):
+    """20,000 rows of one labelled doc_id are one row of the fit, whichever order they come in, and long texts are bounded."""
+
+    docs = spark.range(20_000).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("awful words "), F.lpad(F.col("id").cast("string"), 6, "0")).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(i, f"kind words {i} " + "many different words " * (5000 if i == 5 else 1)) for i in range(4, 12)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, int(i == 3)) for i in range(3, 12)], "doc_id long, toxic int")
+    seen, plain = [], toxicity.fit_rows
+    monkeypatch.setattr(toxicity, "fit_rows", lambda rows, *a: seen.append(rows) or plain(rows, *a))
+    monkeypatch.setattr(toxicity, "MAX_FEATURES", 40)
+    toxicity.fit(docs, labels)
+    toxicity.fit(docs.repartition(7), labels)
+    known = [i for i in range(3, 12) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(seen[0]) == len(known) and all(len(r[1]) <= 40 for r in seen[0])
+    assert [(t, i.tolist()) for t, i, _ in seen[0]] == [(t, i.tolist()) for t, i, _ in seen[1]]
