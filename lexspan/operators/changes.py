@@ -110,6 +110,12 @@ def clamp(kind: str, limit: int | None = None) -> int:
     return max(0, min(default if limit is None else limit, most))
 
 
+def clamped(kind: str, limit: Column) -> Column:
+    """clamp() for limits in a column; null asks for the default."""
+    default, most = LIMITS[kind]
+    return F.greatest(F.lit(0), F.least(F.coalesce(limit, F.lit(default)), F.lit(most)))
+
+
 def outcome(rows: DataFrame, failed: Column) -> DataFrame:
     """completed, errors and succeeded of a run's items."""
     return rows.agg(F.count(F.lit(1)).alias("completed"), F.count_if(failed).alias("errors")).select("completed", "errors", (F.col("completed") - F.col("errors")).alias("succeeded"))

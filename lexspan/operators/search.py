@@ -19,6 +19,8 @@ from ..functions.text import search_text, token_pieces
 from ..snapshots import Snapshots
 from ..staging import Workspace
 
+#: Changes with the layout of an index's files.
+LAYOUT = 1
 SNIPPET_TOKENS = 20
 ELLIPSIS = "..."
 
@@ -167,6 +169,9 @@ class PhraseIndex:
         try:
             pieces = {f: token_pieces(F.col(c)) for f, c in enumerate(fields)}
             given = [x for f, c in enumerate(fields) for x in (search_text(F.col(c)).alias(f"t{f}"), F.transform(pieces[f], F.length).alias(f"l{f}"), F.length(F.regexp_extract(F.col(c), r"^[^\p{L}\p{N}]*", 0)).alias(f"o{f}"))]
+            # a table of a few row groups is dealt out first, else few tasks would do all the work
+            few = rows.rdd.getNumPartitions() < self.spark.sparkContext.defaultParallelism
+            rows = rows.repartition(self.spark.sparkContext.defaultParallelism) if few else rows
             numbered = ws.stage(rows.select(F.monotonically_increasing_id().alias("num"), F.col(key).alias("key"), *[F.col(c) for c in fields]), "rows")
             kind = f"{_POSTINGS}, num long, f tinyint, starts array<int>"
             made = ws.stage(numbered.select("num", *given).mapInArrow(_post(len(fields)), kind), "made")

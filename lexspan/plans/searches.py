@@ -21,10 +21,15 @@ def index_of(spark, sf_dir) -> search.PhraseIndex:
     jvm = spark._jvm.org.apache.hadoop.fs
     path = jvm.Path(f"{sf_dir}/documents.parquet")
     files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(path)
-    mark = repr((sf_dir, sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)))
+    mark = repr((search.LAYOUT, sf_dir, sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)))
     return search.PhraseIndex(spark, f"{shared_root(spark)}/lexspan/search-{hashlib.sha256(mark.encode()).hexdigest()[:32]}")
 
 
+def build_index(spark, sf_dir) -> search.PhraseIndex:
+    """The index anew."""
+    return index_of(spark, sf_dir).build(table(spark, sf_dir, "documents"), "doc_id", FIELDS)
+
+
 def index(spark, sf_dir) -> search.PhraseIndex | None:
     """The index, if index_build has made it: queries without one scan the table, which costs less than a build."""
     found = index_of(spark, sf_dir)
@@ -48,9 +53,7 @@ def has(phrase: str, *columns: str) -> str:
 def index_build(spark, sf_dir):
     """The index of documents, built if it isn't there; how many documents and places of tokens each field has in it."""
     have = index_of(spark, sf_dir)
-    if not have.exists():
-        have.build(table(spark, sf_dir, "documents"), "doc_id", FIELDS)
-    return have.sizes()
+    return (have if have.exists() else build_index(spark, sf_dir)).sizes()
 
 
 @query(f"select doc_id, source from documents where {has('of the')} and {has('with')} and doc_id in (select doc_id from labels where quality = 1) order by doc_id limit 20")

@@ -178,8 +178,9 @@ def opinions_citing(spark, sf_dir):
 @query("select kind, asked, least(greatest(coalesce(asked, given), 0), most) n from (values ('search', 20, 100), ('list', 100, 1000), ('feedback', 50, 200), ('annotations', 50, 200)) v(kind, given, most), (select distinct case when c_nationkey % 5 = 0 then null else (c_nationkey - 3) * 60 end::bigint asked from customer)")
 def limit_clamps(spark, sf_dir):
     """What clamp() gives for every kind of list and each of the limits asked for in a table."""
-    asked = [r.asked for r in table(spark, sf_dir, "customer").select(F.when(F.col("c_nationkey") % 5 != 0, (F.col("c_nationkey") - 3) * 60).cast("long").alias("asked")).distinct().collect()]  # 25 nations
-    return spark.createDataFrame([(kind, a, changes.clamp(kind, a)) for kind in changes.LIMITS for a in asked], "kind string, asked long, n int")
+    asked = table(spark, sf_dir, "customer").select(F.when(F.col("c_nationkey") % 5 != 0, (F.col("c_nationkey") - 3) * 60).cast("long").alias("asked")).distinct()
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), changes.clamped(k, F.col("asked")).alias("n")) for k in changes.LIMITS])
+    return asked.select("asked", F.explode(kinds).alias("x")).select("x.kind", "asked", F.col("x.n").cast("int").alias("n"))
 
 
 @query("select c_custkey id, lower(c_mktsegment) parent, c_name name, null::timestamp last_crawled from customer")

@@ -1,9 +1,8 @@
-"""Streaming forms: crawl state by jurisdiction, log statistics, rate limits; and the bounded work queue's model."""
+"""Streaming forms: crawl state by jurisdiction, log statistics, rate limits."""
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -70,34 +69,3 @@ def rate_limited(events: DataFrame, who: str, limit: int = 10, minutes: int = 60
     """Keys that reach `limit` rows in a sliding window; rows without a key are exempt."""
     known = events.where(F.col(who).isNotNull()).withWatermark("ts", f"{minutes} minutes")
     return known.groupBy(F.window("ts", f"{minutes} minutes", f"{slide} minutes").alias("w"), who).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit).select(who, F.col("w.start").alias("at"), "n")
-
-
-class WorkQueue:
-    """Model of the bounded queue: `running` at a time, `waiting` more in order, the rest refused; a failed job frees its place."""
-
-    def __init__(self, running: int = 5, waiting: int = 10):
-        self.limit, self.room = running, waiting
-        self.running: dict[str, Callable] = {}
-        self.waiting: deque[tuple[str, Callable]] = deque()
-        self.done: list[tuple[str, bool]] = []
-
-    def add(self, key: str, job: Callable[[], None]) -> str:
-        if len(self.running) < self.limit:
-            self.running[key] = job
-            return "running"
-        if len(self.waiting) < self.room:
-            self.waiting.append((key, job))
-            return "waiting"
-        return "rejected"
-
-    def finish(self, key: str) -> None:
-        """Run the job's work to its end and start the next one."""
-        job = self.running.pop(key)
-        try:
-            job()
-            self.done.append((key, True))
-        except Exception:  # noqa: BLE001  the queue goes on after any failure
-            self.done.append((key, False))
-        if self.waiting:
-            following, work = self.waiting.popleft()
-            self.running[following] = work

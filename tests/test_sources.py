@@ -1,8 +1,6 @@
 import json
 
-import pytest
-
-from lexspan.sources import adapters, files
+from lexspan.sources import files
 from lexspan.streaming import state
 
 
@@ -39,27 +37,6 @@ def test_html_tree_and_sections(spark, tmp_path):
     assert spark.sql("select s.* from texts, lateral lettered_sections(t) s").count() == 3
 
 
-def test_adapters(spark, tmp_path):
-    adapters.register(spark)
-    ma = tmp_path / "ma-statutes" / "ma"
-    (ma / "sections").mkdir(parents=True)
-    (ma / "toc.html").write_text('<a href="/Laws/GeneralLaws/PartI">Part <b>I</b></a><a href="/Laws/GeneralLaws/PartI">again</a><a href="/about">About</a><a href="/Laws/GeneralLaws/PartII">x</a><a href="/Laws/GeneralLaws/PartIV/">Part IV &amp; more</a>')
-    (ma / "sections" / "1.html").write_text("<body><nav>n</nav><main><p>" + "words " * 60 + "</p></main></body>")
-    read = lambda name, **o: spark.read.format("statutes").options(publisher=name, **o).load(str(tmp_path))
-    assert [(r.id, r.title) for r in read("ma-statutes").orderBy("ord").collect()] == [("PartI", "Part I"), ("PartIV", "Part IV & more")]
-    assert read("ma-statutes", what="sections").first().html.startswith("<p>words")
-    tx = tmp_path / "ecfr" / "us-cfr-title-24"
-    tx.mkdir(parents=True)
-    (tx / "toc.json").write_text(json.dumps([{"id": "t", "title": "Title 24", "level": "title", "children": [{"id": "p1", "title": "Part 1", "level": "part", "children": [{"id": "s1", "title": "§ 1.1", "level": "section"}]}, {"id": "p2", "title": "[Reserved]", "children": [{"id": "s2", "title": "x"}]}]}]))
-    assert [(r.id, r.level, r.has_content, r.parent_id) for r in read("ecfr").orderBy("ord").collect()] == [("t", "title", False, None), ("p1", "part", False, "t"), ("s1", "section", True, "p1")]
-    assert len(adapters.PUBLISHERS) == 24
-    for name in ("ga-statutes", "nj-statutes"):
-        with pytest.raises(NotImplementedError):
-            adapters.publisher(name)
-    with pytest.raises(ValueError):
-        adapters.publisher("nobody")
-
-
 def test_crawl_state_machine():
     kind, since = state.next_state(None, None, "start", 0)
     assert not state.may_start(kind, since, 34 * 60) and state.may_start(kind, since, 36 * 60)
@@ -68,18 +45,6 @@ def test_crawl_state_machine():
     assert state.next_state("active", 5, "done", 9) == (None, None)
 
 
-def test_queue_model():
-    queue = state.WorkQueue()
-    assert [queue.add(str(i), lambda: None) for i in range(16)] == ["running"] * 5 + ["waiting"] * 10 + ["rejected"]
-
-    def bad():
-        raise RuntimeError
-
-    queue.running["0"] = bad
-    queue.finish("0")
-    assert queue.done == [("0", False)] and "5" in queue.running and len(queue.running) == 5
-
-
 def test_streams(spark, tmp_path, sf_dir):
     from pyspark.sql import functions as F
 
