@@ -26,7 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the lines that stay; a null text that lost nothing stays null, n_chars follows the text."""
+    """Every document with the lines that stay; a null text that lost nothing stays null, n_chars follows the text. Rows that
+    repeat a doc_id are one document; a null doc_id comes after all others; all columns pass through, whatever their names."""
     lines = dedup_lines(docs)
     text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
     replaced = {"text": text, "n_chars": F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": text}
@@ -34,12 +35,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id."""
+    """One document of each near-duplicate group: the one with the smallest doc_id. Null, empty and wordless texts are one group;
+    a null doc_id comes after all others, and a group without any stays whole; rows that repeat doc_id and text stay or go
+    together; no rows give no rows; all columns pass through, whatever their names."""
     return keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: documents as often as their source's target takes them, the last one cut at the budget's last word."""
+    """The mixture: documents as often as their source's target takes them, the last one cut at the budget's last word. Texts
+    without words (null ones too) are taken no time; a null source is a source of its own; repeated rows are documents of
+    their own; no rows give no rows; all columns pass through, whatever their names, and n_chars follows the text."""
     return mixture(docs)
 
 
