@@ -7,4 +7,4 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-from . import aggregates, filters, joins, lookups, scalars, searches, services, trees, writes  # noqa: E402, F401
+from . import aggregates, documents, filters, joins, lookups, scalars, searches, services, trees, writes  # noqa: E402, F401
