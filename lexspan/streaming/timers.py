@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -85,32 +84,29 @@ def crawl_timers(events: DataFrame, late: str = "10 seconds") -> DataFrame:
     return watched.applyInPandasWithState(step, "jurisdiction string, kind string, at double", "kind string, since double, beat double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def cached_answers(rows: DataFrame, seconds: int) -> DataFrame:
-    """(key, answer) for each question in a stream of (key, answer; null: a question): the last answer that is younger than `seconds`
-    of processing time, else null. Older ones leave the state store when their time is up."""
+def cached_answers(rows: DataFrame, seconds: int, late: str = "10 seconds") -> DataFrame:
+    """(key, answer) for each question in a stream of (key, answer; null: a question; ts): the last answer less than `seconds` older
+    than the question, else null. An answer leaves the state store when stream time has passed its end."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             yield pd.DataFrame({"key": [], "answer": []}, dtype=object)
             return
-        now = time.time()
-        answer, at = state.get if state.exists else (None, 0.0)
+        answer, since = state.get if state.exists else (None, 0.0)
         out = []
-        for rows_ in batches:
-            for given in rows_["answer"]:
-                if given is None or pd.isna(given):
-                    out.append(answer if answer is not None and now - at < seconds else None)
-                else:
-                    answer, at = given, now
-        if answer is not None and now - at < seconds:
-            state.update((answer, at))
-            state.setTimeoutDuration(max(1, int((at + seconds - now) * 1000)))
-        elif state.exists:
-            state.remove()
+        for at, given in sorted(((at.timestamp(), given) for rows_ in batches for given, at in zip(rows_["answer"], rows_["ts"], strict=True)), key=lambda x: x[0]):
+            if given is None or pd.isna(given):
+                out.append(answer if answer is not None and at - since < seconds else None)
+            else:
+                answer, since = given, at
+        if answer is not None:
+            state.update((answer, since))
+            state.setTimeoutTimestamp(max(int((since + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [key[0]] * len(out), "answer": out}, dtype=object)
 
-    return rows.select("key", "answer").groupBy("key").applyInPandasWithState(step, "key string, answer string", "answer string, at double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    watched = rows.select("key", "answer", "ts").withWatermark("ts", late).groupBy("key")
+    return watched.applyInPandasWithState(step, "key string, answer string", "answer string, since double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def minutes_running(found: DataFrame) -> DataFrame:

@@ -38,21 +38,20 @@ def test_crawls_with_timers_and_a_restart(spark, tmp_path):
 
 
 def test_answers_age(spark, tmp_path):
-    import time
-
+    """Over two starts: an answer counts for 30 days of stream time, then its key has none."""
     (tmp_path / "in").mkdir()
-    feed = spark.readStream.schema("key string, answer string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    feed, day = spark.readStream.schema("key string, answer string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), 86_400
 
     def step(*rows):
-        spark.createDataFrame(list(rows), "key string, answer string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        made = spark.createDataFrame(list(rows), "key string, answer string, s long").select("key", "answer", F.timestamp_seconds("s").alias("ts"))
+        made.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         out = str(tmp_path / "out")
-        timers.cached_answers(feed, 25).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
+        timers.cached_answers(feed, 30 * day).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
         return sorted((tuple(r) for r in spark.read.parquet(out).collect()), key=str)
 
-    assert step(("q", "old"), ("r", None)) == [("r", None)]
-    assert step(("q", None)) == [("q", "old"), ("r", None)]
-    time.sleep(26)
-    assert step(("q", None)) == [("q", None), ("q", "old"), ("r", None)]
+    assert step(("q", "old", day), ("r", None, day), ("q", None, 2 * day)) == [("q", "old"), ("r", None)]
+    assert step(("q", None, 31 * day - 1), ("q", None, 31 * day), ("r", "late", 40 * day)) == [("q", "old"), ("q", "old"), ("q", None), ("r", None)]
+    assert step(("q", None, 41 * day), ("q", "new", 42 * day), ("q", None, 43 * day), ("r", None, 69 * day)) == [("q", "new"), ("q", "old"), ("q", "old"), ("q", None), ("q", None), ("r", "late"), ("r", None)]
 
 
 def test_rows_do_not_depend_on_batches():
