@@ -118,3 +118,38 @@ def codes_known(rows: DataFrame, code: str, catalog: DataFrame, key: str) -> Dat
     if missing:
         raise ValueError(f"no {key} for {missing[0]!r}")
     return found
+
+
+def look_up(asked: DataFrame, cached: DataFrame, catalog: DataFrame, gazetteer: DataFrame, published: DataFrame) -> DataFrame:
+    """Where each request leads: query, status (bad_request, ready, known, discovered or not_found), step (cached, catalog or gazetteer),
+    id and, if it was found by probing, publisher and source_id.
+
+    asked: query, slug, city, county, state, address; an address gives city and state where these are absent. What is given
+    first of slug, city and county is looked up, counties among counties only (with or without that word), by slug or
+    normalised name, within the state: first what is cached (id, name, type, state), then the catalog (with publisher), then the gazetteer. Of several rows
+    the first id counts. A catalog or gazetteer row without a publisher is probed: the first of probes() that is
+    `published` (publisher, id) counts; without one the place isn't found. No state, or nothing to look up, is a bad request.
+    """
+    parsed = F.when(F.col("slug").isNull() & F.col("city").isNull(), parse_address(F.col("address")))
+    given = asked.withColumn("__p", parsed).select("query", F.coalesce("state", "__p.state").alias("state"), "slug", F.coalesce("city", "__p.city").alias("city"), "county")
+    kind = F.when(F.col("slug").isNotNull(), "slug").when(F.col("city").isNotNull(), "city").when(F.col("county").isNotNull(), "county")
+    county = lambda name: F.regexp_replace(lookup_name(name), r"\s+(county|parish|borough)$", "")
+    key = F.when(kind == "slug", F.lower("slug")).when(kind == "city", lookup_name(F.col("city"))).otherwise(county(F.col("county")))
+    wanted = given.select("query", F.lower("state").alias("state"), kind.alias("kind"), key.alias("key"))
+
+    def step(rows: DataFrame, n: int, publisher: Column) -> DataFrame:
+        keyed = rows.select(F.explode(F.array(F.struct(F.lit("slug").alias("kind"), slugify(F.col("name")).alias("key")), F.struct(F.lit("city").alias("kind"), lookup_name(F.col("name")).alias("key")), F.struct(F.when(F.col("type") == "county", "county").alias("kind"), county(F.col("name")).alias("key")))).alias("k"),
+                            F.lower("state").alias("state"), F.struct(F.lit(n).alias("n"), F.col("id").cast("string").alias("id"), "name", publisher.cast("string").alias("publisher")).alias("hit"))
+        return keyed.where("k.kind is not null and k.key != ''").groupBy("k.kind", "k.key", "state").agg(F.min("hit").alias("hit"))
+
+    known = step(cached, 0, F.lit(None)).unionByName(step(catalog, 1, F.col("publisher"))).unionByName(step(gazetteer, 2, F.lit(None)))
+    found = wanted.join(known.groupBy("kind", "key", "state").agg(F.min("hit").alias("hit")), ["kind", "key", "state"], "left")
+    tried = found.where("hit.n > 0 and hit.publisher is null").select("query", F.posexplode(probes(F.col("hit.name"), F.col("state"))).alias("pos", "p"))
+    met = tried.join(published.select(F.col("publisher").alias("__publisher"), F.col("id").alias("__id")).distinct(), (F.col("p.publisher") == F.col("__publisher")) & (F.col("p.id") == F.col("__id")))
+    first = met.groupBy("query").agg(F.min_by("p", "pos").alias("probe"))
+    status = (
+        F.when(F.col("state").isNull() | F.col("kind").isNull(), "bad_request").when(F.col("hit.n") == 0, "ready").when(F.col("hit.publisher").isNotNull(), "known")
+        .when(F.col("probe").isNotNull(), "discovered").otherwise("not_found")
+    )
+    steps = F.when(F.col("hit.n") == 0, "cached").when(F.col("hit.n") == 1, "catalog").when(F.col("hit.n") == 2, "gazetteer")
+    return found.join(first, "query", "left").select("query", status.alias("status"), steps.alias("step"), F.col("hit.id").alias("id"), F.coalesce("probe.publisher", "hit.publisher").alias("publisher"), F.col("probe.id").alias("source_id"))

@@ -344,3 +344,24 @@ def top_per_group(rows: DataFrame, group: str, n: int, limit: int, *order: Colum
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     return rows.withColumn("__n", rank).where(F.col("__n") <= n).drop("__n").orderBy(group, *order).limit(limit)
 
+
+
+#: Rows that search_code() gives where no limit is asked for.
+DEFAULT_RESULTS = 10
+
+
+def search_code(hits: DataFrame, sections: DataFrame, jurisdictions: DataFrame, jurisdiction: str | None = None, code: str | None = None, state: str | None = None, limit: int | None = None) -> DataFrame:
+    """The sections that a query found, in one jurisdiction (and code) if it is named, else in all usable ones (of a state): jurisdiction_id,
+    name, code_id and key, by jurisdiction and key, `limit` rows at most (10 by default) in all.
+
+    hits: key of the sections found (find(), or a scan). sections: key, jurisdiction_id, code_id. jurisdictions: id, name, state and
+    usable. An unknown jurisdiction finds nothing; a code counts within a jurisdiction only.
+    """
+    rows = jurisdictions.select(F.col("id").alias("jurisdiction_id"), "name", "state", "usable")
+    if jurisdiction is not None:
+        rows, inside = rows.where(F.col("jurisdiction_id") == jurisdiction), sections.where(F.col("jurisdiction_id") == jurisdiction)
+        inside = inside if code is None else inside.where(F.col("code_id") == code)
+    else:
+        rows, inside = rows.where("usable") if state is None else rows.where(F.col("usable") & (F.lower("state") == state.lower())), sections
+    found = inside.join(hits.select("key"), "key", "left_semi").join(rows, "jurisdiction_id")
+    return found.select("jurisdiction_id", "name", "code_id", "key").orderBy("jurisdiction_id", "key").limit(max(0, DEFAULT_RESULTS if limit is None else limit))

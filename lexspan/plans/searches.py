@@ -116,3 +116,16 @@ def global_search(spark, sf_dir):
 def accent_search(spark, sf_dir):
     """Hits of words written with and without accents: queries and texts are folded alike."""
     return table(spark, sf_dir, "documents").agg(*[F.count_if(search.matches(q, "text")).alias(n) for q, n in (("avec", "plain"), ("ÉTAIT", "folded"), ("más", "spanish"))])
+
+
+@query(f"(select 'one' scope, source jurisdiction_id, lang code_id, doc_id as key from documents where {has('the')} and source = 'src1' and lang = 'en' order by doc_id limit 10) union all "
+       f"(select 'all', source, lang, doc_id from documents where {has('the')} and source in ('src2', 'src3') order by source, doc_id limit 25)")
+def search_dispatch(spark, sf_dir):
+    """Search within one jurisdiction and code, or over the usable ones of a state."""
+    docs = table(spark, sf_dir, "documents")
+    sections = docs.select(F.col("doc_id").alias("key"), F.col("source").alias("jurisdiction_id"), F.col("lang").alias("code_id"))
+    places = docs.select("source").distinct().select(F.col("source").alias("id"), F.upper("source").alias("name"), F.when(F.col("source").isin("src2", "src3", "src4"), "CA").otherwise("NY").alias("state"), (F.col("source") != "src4").alias("usable"))
+    hits = found(spark, sf_dir, "the").withColumnRenamed("doc_id", "key")
+    one = search.search_code(hits, sections, places, "src1", "en")
+    every = search.search_code(hits, sections, places, state="ca", limit=25)
+    return one.withColumn("scope", F.lit("one")).unionByName(every.withColumn("scope", F.lit("all"))).select("scope", "jurisdiction_id", "code_id", "key")

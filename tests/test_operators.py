@@ -276,3 +276,37 @@ def test_index_is_smaller_than_the_texts(spark, tmp_path):
     search.PhraseIndex(spark, f"file://{tmp_path}/i").build(table, "doc_id", ["text"])
     size = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
     assert size < table.agg(F.sum(F.octet_length("text"))).first()[0]
+
+
+def test_look_up(spark):
+    have = "id string, name string, type string, state string"
+    cached = spark.createDataFrame([("ca-palm", "Palm Desert", "city", "CA")], have)
+    catalog = spark.createDataFrame([("r1", "Oakville", "city", "CA", "municode"), ("r2", "Elm Town", "town", "CA", None), ("r3", "Kern County", "county", "CA", "ecode360"), ("r0", "Oakville", "city", "NV", None), ("r9", "Palm Desert", "city", "CA", "x")], have + ", publisher string")
+    gazetteer = spark.createDataFrame([("g1", "Bigfork", "city", "MT"), ("g2", "Nowhere", "city", "MT"), ("g3", "Oakville", "city", "CA")], have)
+    published = spark.createDataFrame([("amlegal", "bigfork"), ("municode", "ca-elm-town"), ("amlegal", "elm_town")], "publisher string, id string")
+    rows = [
+        (1, "palm-desert", None, None, "ca", None), (2, None, "Palm Desert", None, "CA", None), (3, None, "OAKVILLE", None, "CA", None), (4, None, None, "Kern", "CA", None), (5, None, None, "Oakville", "CA", None), (6, None, "Elm Town", None, "CA", None),
+        (7, None, None, None, None, "12 Main Street Bigfork, MT 59911"), (8, None, "Nowhere", None, "MT", None), (9, None, "Atlantis", None, "CA", None), (10, None, "Oakville", None, None, None), (11, None, None, None, "CA", None), (12, None, "Oakville", None, "NV", None),
+    ]
+    asked = spark.createDataFrame(rows, "query int, slug string, city string, county string, state string, address string")
+    got = {r.query: (r.status, r.step, r.id, r.publisher, r.source_id) for r in resolve.look_up(asked, cached, catalog, gazetteer, published).collect()}
+    assert got[1] == got[2] == ("ready", "cached", "ca-palm", None, None)
+    assert got[3] == ("known", "catalog", "r1", "municode", None) and got[4][:3] == ("known", "catalog", "r3") and got[5][0] == "not_found"
+    assert got[6] == ("discovered", "catalog", "r2", "municode", "ca-elm-town") and got[8][:3] == ("not_found", "gazetteer", "g2")
+    assert got[9][:3] == ("not_found", None, None) and got[10][0] == got[11][0] == "bad_request" and got[12][:3] == ("not_found", "catalog", "r0") and got[7][0] in ("discovered", "not_found")
+
+
+def test_search_code(spark):
+    hits = spark.range(40).select(F.col("id").alias("key"))
+    sections = spark.range(60).select(F.col("id").alias("key"), F.concat(F.lit("j"), (F.col("id") % 3).cast("string")).alias("jurisdiction_id"), (F.col("id") % 2).cast("string").alias("code_id"))
+    places = spark.createDataFrame([("j0", "Zero", "CA", True), ("j1", "One", "ca", True), ("j2", "Two", "CA", False)], "id string, name string, state string, usable boolean")
+    keys = lambda *a, **k: [r.key for r in search.search_code(hits, sections, places, *a, **k).collect()]
+    assert keys("j2") == list(range(2, 32, 3)) and keys("j2", "1") == [5, 11, 17, 23, 29, 35] and keys("absent") == [] and keys("j0", limit=-1) == []
+    assert keys() == list(range(0, 30, 3)) and keys(state="CA", limit=16) == [*range(0, 40, 3), 1, 4] and keys(state="NY") == []
+
+
+def test_the_gate_stops_a_bad_run(spark):
+    rows = spark.range(10).select("id", (F.col("id") < 3).alias("bad"))
+    with pytest.raises(ValueError, match="3 of 10"):
+        changes.require_resolved(rows, F.col("bad"))
+    assert changes.require_resolved(rows.where("id > 0"), F.col("bad"), 0.25).count() == 9 and changes.require_resolved(rows.where("id > 99"), F.col("bad")).count() == 0
