@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import lookup
+from ..operators import lookup, resolve
 from ..staging import Workspace
 from .base import query, table
 
@@ -48,3 +48,22 @@ def box_cells(spark, sf_dir):
 @query(f"select c_custkey from (select c_custkey, {LAT} lat, {LNG} lng from customer) where 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(lat - 61.5) / 2), 2) + cos(radians(lat)) * cos(radians(61.5)) * pow(sin(radians(lng - -179.2) / 2), 2)))) <= 1500.5")
 def radius_cells(spark, sf_dir):
     return lookup.in_radius(cells(spark, sf_dir), 61.5, -179.2, 1500.5).select("c_custkey")
+
+
+@query("select c_custkey query, case when c_custkey % 11 = 0 then 'bad_request' when c_custkey % 7 = 0 then 'ready' when c_acctbal >= 0 then 'known' when c_custkey % 3 < 2 then 'discovered' else 'not_found' end status, "
+       "case when c_custkey % 11 <> 0 and c_custkey % 7 <> 0 then case when c_acctbal >= 0 then 'pub' when c_custkey % 3 = 0 then 'municode' when c_custkey % 3 = 1 then 'amlegal' end end publisher, "
+       "case when c_custkey % 11 <> 0 and c_custkey % 7 <> 0 and c_acctbal < 0 then case when c_custkey % 3 = 0 then 's' || c_nationkey || '-' || replace(lower(c_name), '#', '-') when c_custkey % 3 = 1 then replace(lower(c_name), '#', '_') end end source_id from customer")
+def lookup_discovery(spark, sf_dir):
+    """Customers as places asked for by name: some cached, some listed with a publisher, some found by probing, some not at all."""
+    key, name = F.col("c_custkey"), F.col("c_name")
+    state = F.concat(F.lit("S"), F.col("c_nationkey").cast("string"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", state.alias("state"))
+    none = F.lit(None).cast("string")
+    asked = rows.select(key.alias("query"), none.alias("slug"), name.alias("city"), none.alias("county"), F.when(key % 11 != 0, F.col("state")).alias("state"), none.alias("address"))
+    places = rows.select(key.cast("string").alias("id"), name.alias("name"), F.lit("city").alias("type"), "state", F.when(F.col("c_acctbal") >= 0, "pub").alias("publisher"), key.alias("k"))
+    slug = F.replace(F.lower(name), F.lit("#"), F.lit("-"))
+    published = rows.where(key % 3 < 2).select(F.when(key % 3 == 0, "municode").otherwise("amlegal").alias("publisher"), F.when(key % 3 == 0, F.concat_ws("-", F.lower("state"), slug)).otherwise(F.replace(slug, F.lit("-"), F.lit("_"))).alias("id"))
+    cached = places.where("k % 7 = 0").withColumn("id", F.concat(F.lit("c"), F.col("id")))
+    # the gazetteer has the places that the catalog lacks
+    found = resolve.look_up(asked, cached, places.where("k % 2 = 0 or publisher is not null"), places.where("k % 2 = 1 and publisher is null"), published)
+    return found.select("query", "status", "publisher", "source_id")
