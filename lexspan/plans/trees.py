@@ -46,7 +46,7 @@ def tree_intervals(spark, sf_dir):
     return tree.intervals(nodes(spark, sf_dir)).select("id", "root", F.col("depth").cast("long").alias("depth"), "enter", "leave")
 
 
-@query(f"with recursive {ALL} select id, depth::bigint depth from t where path = 'region-2/nation-8' or starts_with(path, 'region-2/nation-8/')")
+@query(f"with recursive {ALL} select id, depth::bigint depth from t where id = 'nation-8' or contains(path, '/nation-8/')")
 def subtree_range(spark, sf_dir):
     """A subtree as a range of a written table of intervals."""
     ws = Workspace(spark, "subtrees")
