@@ -25,9 +25,12 @@ def match_exact(left: DataFrame, right: DataFrame, keys: list[str], *order: Colu
 
 
 def match_name(left: DataFrame, right: DataFrame, block: str, name: str, key: str, kind: str, preferred: list[str], order: str) -> DataFrame:
-    """Strategy 2: equal normalised names in one block; of several, a preferred kind, then the first."""
-    best = F.when(F.col(kind).isin(preferred), 0).otherwise(1)
-    return keep_first(left.join(right, [block, name]), [key], best, F.col(order))
+    """Strategy 2: equal normalised names in one block; of several, a preferred kind, then the first. The best right row of each name
+    is taken before the join, so a name that many rows of both sides have doesn't pair them all."""
+    best = F.struct(F.when(F.col(kind).isin(preferred), 0).otherwise(1), F.col(order))
+    rest = F.struct(*[F.col(c) for c in right.columns if c not in (block, name)])
+    firsts = right.groupBy(block, name).agg(F.min_by(rest, best).alias("__first")).select(block, name, "__first.*")
+    return keep_first(left.join(firsts, [block, name]), [key], F.when(F.col(kind).isin(preferred), 0).otherwise(1), F.col(order))
 
 
 def _members(rows: DataFrame, block: str, tokens: str, key: str) -> DataFrame:

@@ -81,6 +81,16 @@ def test_match_catalog(spark):
     assert {tuple(r) for r in registry.match_catalog(left, right, "id", "block", "name").collect()} == want
 
 
+def test_equal_names_do_not_pair_all_rows(spark):
+    """One name on many rows of both sides: the best right row is taken before the join."""
+    left = spark.range(300).select(F.col("id").alias("key"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("block"), F.lit("palm city").alias("name"))
+    right = spark.createDataFrame([(i, "a" if i % 2 else "c", "palm city", "town" if i == 5 else None) for i in range(200)] + [(900, "b", "palm city", "x"), (901, "b", "palm city", "town"), (902, "b", "palm city", "town"), (903, None, None, "town")], "ord int, block string, name string, kind string")
+    found = registry.match_name(left, right, "block", "name", "key", "kind", ["town"], "ord")
+    assert {(r.key, r.ord, r.kind) for r in found.collect()} == {(i, 5 if i % 3 == 0 else 901, "town") for i in range(300) if i % 3 < 2}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and plan.index("Join") < plan.index("Aggregate")
+
+
 def test_domain_trust(spark):
     domains = spark.createDataFrame([(1, "lw.com"), (2, "kirkland.com"), (3, "justice.gov")], "id int, domain string")
     hosts = spark.createDataFrame([(h,) for h in ("lw.com", "blog.lw.com", "kirkland.com", "someagency.gov", "justice.gov", "random-blog.xyz", "notlw.com")], "host string")
