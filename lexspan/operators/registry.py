@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..staging import Workspace
 from .changes import clamp, keep_first, page, where_given
 
 SIMILAR = 0.85
-#: So many frequent tokens are known by their counts when token sets are put in order.
-COMMON_TOKENS = 20_000
+#: Tokens are counted by so many buckets of their hashes when token sets are put in order.
+BUCKETS = 1 << 21
 
 
 def match_exact(left: DataFrame, right: DataFrame, keys: list[str], *order: Column, how: str = "inner") -> DataFrame:
@@ -49,49 +54,77 @@ def _token_sets(members: DataFrame, block: str) -> DataFrame:
     return members.groupBy(block, "__sid").agg(F.min("__key").alias("first"), F.count(F.lit(1)).alias("n"))
 
 
-def _ordered(ws: Workspace, sets: list[DataFrame], block: str) -> list[DataFrame]:
-    """The sets (block, id, __set) with `__tokens`: their tokens by one global order, rare ones first.
+def _levels(members: list[DataFrame]) -> np.ndarray:
+    """Of each bucket of token hashes about the logarithm of how many tokens of all sets fall into it: BUCKETS bytes, whatever the
+    tables hold. Tokens are counted by bucket, so that a rare one seldom counts for more than a few others."""
+    tokens = reduce(DataFrame.unionByName, [m.select(F.explode("__set").alias("token")) for m in members])
+    counts = tokens.groupBy(F.xxhash64("token").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("held"))
+    found = counts.select("bucket", F.least(F.floor(F.log2(F.col("held") + 1.0) * 3), F.lit(127)).cast("tinyint").alias("level")).toArrow()
+    levels = np.zeros(BUCKETS, np.int64)
+    levels[found.column("bucket").to_numpy()] = found.column("level").to_numpy()
+    return levels.astype(np.uint8)
 
-    Only the COMMON_TOKENS most frequent tokens of all blocks have a place by frequency (that list is broadcast); all others
-    come before them, by hash. Any one order gives the right result; this one keeps common tokens out of prefixes.
+
+def _prefixes(members: DataFrame, levels: Broadcast, block: str, least: float) -> DataFrame:
+    """(block, id, n, prefix) of each distinct set of a block; its id is its first row's key.
+
+    A token stands as one number, its bucket's level above bits of its hash; these numbers put tokens in one global order,
+    with common ones last. Tokens with equal numbers count as equal here, which can add candidates but lose none.
     """
-    tokens = [s.select(block, "id", F.explode("__set").alias("token")) for s in sets]
-    counts = reduce(DataFrame.unionByName, tokens).groupBy(block, "token").agg(F.count(F.lit(1)).alias("held"))
-    common = ws.stage(counts.where("held > 1").orderBy(F.desc("held"), block, "token").limit(COMMON_TOKENS), "common")
-    out = []
-    for number, each in enumerate(tokens):
-        placed = each.join(F.broadcast(common), [block, "token"], "left")
-        order = F.sort_array(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), F.xxhash64("token").alias("h"), F.col("token"))))
-        out.append(ws.stage(placed.groupBy(block, "id").agg(F.transform(order, lambda x: x["token"]).alias("__tokens")), f"ordered-{number}"))
-    return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("hashes")
+            offsets = column.offsets.to_numpy()
+            hashes = column.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
+            n = np.diff(offsets)
+            numbers = levels.value[hashes & np.uint64(BUCKETS - 1)].astype(np.uint64) << np.uint64(56) | hashes >> np.uint64(8)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((numbers, row))
+            first = n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
+            at = np.arange(len(row)) - np.repeat(offsets[:-1] - offsets[0], n)
+            ends = np.concatenate([[0], np.cumsum(np.minimum(first, n))]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(numbers[order[at < np.repeat(first, n)]].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n.astype(np.int32)), prefix], names=[*batch.schema.names[:3], "n", "prefix"])
+
+    rows = members.select(block, "__sid", "__key", F.transform("__set", lambda t: F.xxhash64(t)).alias("hashes"))
+    own = rows.mapInArrow(run, T.StructType([*rows.schema[:3], T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]))
+    return own.groupBy(block, "__sid").agg(F.min_by(F.struct(F.col("__key").alias("id"), "n", "prefix"), "__key").alias("s")).select(block, "s.*")
 
 
 def similar_sets(ws: Workspace, left: DataFrame, right: DataFrame | None, block: str, least: float = SIMILAR) -> DataFrame:
-    """(block, l_id, r_id, score) for pairs of sets (block, id, __set) of one block with Jaccard similarity `least` or more.
-    Without `right`, pairs within `left`, each both ways.
+    """(block, l_id, r_id, score) for pairs of different sets of one block with Jaccard similarity `least` or more; an id is the
+    key of the set's first row. `left` and `right` are staged _members(). Without `right`, pairs within `left`, each both ways.
 
     Sets of n tokens that reach the threshold share one of the first n - ceil(least * n) + 1 tokens of both in any common
-    order, so pairs come from an equi join on (block, such a token) of narrow rows: an id, a size and a place. Sizes prune,
-    and so does the place of a pair's first common token (what is left behind it must suffice). No pair is lost. Tokens are
-    shuffled once in all; the tokens of candidates meet at the end.
+    order, so pairs come from an equi join on (block, such a token) of narrow rows: an id, a size and a place. Sizes prune;
+    places do, as sets that have a common token at places apart must differ before or behind it; and so does the number of
+    tokens that a pair's beginnings share, as the longer end is all that can be common besides. No pair is lost. Whole
+    sets meet at the end, those of candidates only.
     """
-    ordered = _ordered(ws, [left] if right is None else [left, right], block)
+    sides = [left] if right is None else [left, right]
+    levels = left.sparkSession.sparkContext.broadcast(_levels(sides))
+    begun = [ws.stage(_prefixes(side, levels, block, least), f"prefixes-{i}") for i, side in enumerate(sides)]
 
     def prefix(df: DataFrame, side: str) -> DataFrame:
-        n = F.size("__tokens")
-        first = F.slice("__tokens", 1, n - F.ceil(F.lit(least) * n - 1e-9).cast("int") + 1)
-        return df.select(block, F.col("id").alias(f"{side}_id"), n.alias(f"{side}_n"), F.posexplode(first).alias(f"{side}_at", "token"))
+        return df.select(block, F.col("id").alias(f"{side}_id"), F.col("n").alias(f"{side}_n"), F.posexplode("prefix").alias(f"{side}_at", "token"))
 
-    pairs = prefix(ordered[0], "l").join(prefix(ordered[-1], "r"), [block, "token"])
+    pairs = prefix(begun[0], "l").join(prefix(begun[-1], "r"), [block, "token"])
     if right is None:
         pairs = pairs.where("l_id < r_id")
-    small, large = F.least("l_n", "r_n"), F.greatest("l_n", "r_n")
-    behind = F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at"))
-    enough = F.lit(least / (1 + least)) * (F.col("l_n") + F.col("r_n")) - 1e-6  # common tokens of a pair that reaches the threshold
-    pairs = pairs.where((small >= F.lit(least) * large - 1e-6) & (behind >= enough)).select(block, "l_id", "r_id").distinct()
-    pairs = ws.stage(pairs, "candidates")
-    for side, df in (("l", ordered[0]), ("r", ordered[-1])):
-        pairs = pairs.join(df.select(block, F.col("id").alias(f"{side}_id"), F.col("__tokens").alias(f"{side}_set")), [block, f"{side}_id"])
+    small, large, both = F.least("l_n", "r_n"), F.greatest("l_n", "r_n"), F.col("l_n") + F.col("r_n")
+    apart = F.abs(F.col("l_at") - F.col("r_at")) + F.abs(F.col("l_n") - F.col("l_at") - F.col("r_n") + F.col("r_at"))
+    pairs = pairs.where((small >= F.lit(least) * large - 1e-6) & (apart <= F.lit((1 - least) / (1 + least)) * both + 1e-6))
+    # the sizes as one number, since all these rows are shuffled
+    pairs = pairs.groupBy(block, "l_id", "r_id").agg(F.count(F.lit(1)).alias("shared"), F.min(F.shiftleft(F.col("l_n").cast("long"), 32) + F.col("r_n")).alias("sizes"))
+    pairs = pairs.withColumn("l_n", F.shiftright("sizes", 32)).withColumn("r_n", F.col("sizes").bitwiseAND(F.lit((1 << 32) - 1)))
+    enough = F.lit(least / (1 + least)) * both - 1e-6  # common tokens of a pair that reaches the threshold
+    pairs = ws.stage(pairs.where(F.col("shared") + F.ceil(F.lit(least) * large - 1e-9) - 1 >= enough).select(block, "l_id", "r_id"), "candidates")
+    ids = [pairs.select(block, F.col(f"{side}_id").alias("__key")) for side in "lr"]
+    ids = [ids[0].unionByName(ids[1])] if right is None else ids
+    sets = [ws.stage(df.join(ws.stage(found.distinct(), f"ids-{i}"), [block, "__key"], "left_semi").select(block, "__key", "__set"), f"sets-{i}") for i, (df, found) in enumerate(zip(sides, ids, strict=True))]
+    for side, df in (("l", sets[0]), ("r", sets[-1])):
+        pairs = pairs.join(df.select(block, F.col("__key").alias(f"{side}_id"), F.col("__set").alias(f"{side}_set")), [block, f"{side}_id"])
     common = F.size(F.array_intersect("l_set", "r_set"))
     score = common / (F.size("l_set") + F.size("r_set") - common)
     found = ws.stage(pairs.select(block, "l_id", "r_id", score.alias("score")).where(F.col("score") >= least), "similar")
@@ -100,17 +133,12 @@ def similar_sets(ws: Workspace, left: DataFrame, right: DataFrame | None, block:
     return found
 
 
-def _firsts(members: DataFrame, sets: DataFrame, block: str) -> DataFrame:
-    """(block, id, __set) of each distinct set; its id is its first row's key."""
-    return members.join(sets.select(block, "__sid", F.col("first").alias("__key")).distinct(), [block, "__sid", "__key"], "left_semi").select(block, F.col("__key").alias("id"), "__set").dropDuplicates([block, "id"])
-
-
 def match_fuzzy(left: DataFrame, right: DataFrame, block: str, tokens: str, key: str, order: str, least: float = SIMILAR) -> DataFrame:
     """Strategy 3: (key, match, score), the largest Jaccard similarity of token sets in the block, ties by `order`."""
     ws = Workspace(left.sparkSession, "fuzzy")
     members, others = ws.stage(_members(left, block, tokens, key), "left"), ws.stage(_members(right, block, tokens, order), "right")
-    sets, other_sets = _token_sets(members, block), _token_sets(others, block)
-    pairs = similar_sets(ws, _firsts(members, sets, block), _firsts(others, other_sets, block), block, least)
+    sets = _token_sets(members, block)
+    pairs = similar_sets(ws, members, others, block, least)
     best = keep_first(pairs, [block, "l_id"], F.col("score").desc(), F.col("r_id"))
     owners = members.select(block, "__key", "__sid").join(sets.withColumnRenamed("first", "l_id"), [block, "__sid"])
     return owners.join(best, [block, "l_id"]).select(F.col("__key").alias(key), F.col("r_id").alias("match"), "score")
@@ -128,7 +156,7 @@ def match_fuzzy_self(rows: DataFrame, block: str, tokens: str, key: str, least:
     copies = members.select(block, "__key", "__sid").join(sets.where("n > 1"), [block, "__sid"])
     second = copies.where("__key != first").groupBy(block, "__sid").agg(F.min("__key").alias("second"))
     twins = copies.join(second, [block, "__sid"]).select("__key", F.when(F.col("__key") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("match"), F.lit(1.0).alias("score"))
-    pairs = similar_sets(ws, _firsts(members, sets, block), None, block, least)
+    pairs = similar_sets(ws, members, None, block, least)
     lone = sets.where("n = 1").select(block, F.col("first").alias("l_id"))
     alone = keep_first(pairs.join(lone, [block, "l_id"], "left_semi"), [block, "l_id"], F.col("score").desc(), F.col("r_id")).select(F.col("l_id").alias("__key"), F.col("r_id").alias("match"), "score")
     return twins.unionByName(alone).withColumnRenamed("__key", key)

@@ -137,6 +137,28 @@ def test_fuzzy_matching_equals_brute_force(spark):
     assert got == {x for r in rows if (x := best(*r, right))}
 
 
+def test_similar_sets_lose_no_pair_and_stage_few_candidates(spark):
+    """Sets near the threshold, of other sizes too, among many that share a few rare tokens: as by brute force, and whole sets meet for few other pairs."""
+    import random
+
+    from lexspan.staging import Workspace
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        near = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(20, 150))] + [f"own{i}-{j}" for j in range(8)]
+        rows += [(10 * i + c, "a", sorted({t for t in near if rng.random() > c * 0.04} | {f"new{i}-{c}-{j}" for j in range(c)})) for c in range(5)]
+    sets = {i: set(t) for i, _, t in rows}
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    want = {(i, j) for i in sets for j in sets if i != j and jaccard(sets[i], sets[j]) >= 0.85}
+    ws = Workspace(spark, "similar")
+    members = ws.stage(registry._members(spark.createDataFrame(rows, "id long, block string, tokens array<string>"), "block", "tokens", "id"), "members")
+    found = registry.similar_sets(ws, members, None, "block").collect()
+    assert {(r.l_id, r.r_id) for r in found} == want and len(found) == len(want) > 100
+    assert all(abs(r.score - jaccard(sets[r.l_id], sets[r.r_id])) < 1e-12 for r in found)
+    assert spark.read.parquet(f"{ws.path}/candidates").count() < 3 * len(want)
+
+
 def test_trees(spark):
     nodes = spark.createDataFrame([("c1", None, "chapter-1", 0, False), ("s1", "c1", "section-1", 0, True), ("s2", "c1", "section-2", 1, True), ("p", None, "part-preamble", 1, True), ("o", "gone", "orphan", 0, True)], "id string, parent string, slug string, ord int, has_content boolean")
     walk = [r.path for r in tree.preorder(tree.paths(nodes, 3), F.lit(1)).orderBy("sort_order").collect()]
