@@ -25,14 +25,22 @@ import numpy as np
 BLOCK_TOKENS, LANES = 8192, 1536
 #: Ids between two places of learning: of predictions and shares, and (at most) of frequencies.
 STEP, FREQ_STEP = 64, 1024
-_NONE = 0xFFFF  # no prediction; local symbols are smaller, as a block has at most BLOCK_TOKENS of them
 _HASH_BITS, _HASH_STEP = 12, 4
 _SHARE_BITS, _FREQ_BITS = 16, 13
 _WHOLE = 1 << _FREQ_BITS
 _BOTTOM = np.uint64(1 << 32)
 _HALF, _MASK, _ZERO, _ONE = np.uint64(32), np.uint64(2**32 - 1), np.uint64(0), np.uint64(1)
-_FULL, _TOTAL, _LAST = np.uint64(1 << _SHARE_BITS), np.uint64(_SHARE_BITS + _FREQ_BITS), np.uint64((1 << _SHARE_BITS + _FREQ_BITS) - 1)
-_UPPER, _LOWER, _LAST_PLACE = np.uint32(16), np.uint32(0xFFFF), np.uint64(_WHOLE - 1)
+_TOTAL = np.uint64(_SHARE_BITS + _FREQ_BITS)
+_UPPER, _LOWER = np.uint32(16), np.uint32(0xFFFF)
+#: A prediction is a symbol (below BLOCK_TOKENS) above three bits of confidence. Where none is known yet: the last symbol, confidence 0.
+_CONF, _SURE = np.uint16(3), np.uint16(7)
+_NONE = np.uint16((BLOCK_TOKENS - 1) << 3)
+_PREV2, _HASHED = np.uint16(_HASH_STEP), np.uint16((1 << _HASH_BITS) - 1)
+#: What a place adds to its pair of confidences, by which orders were right (none, 2, 1, both): three counts of 16 bits in one float,
+#: of places, hits of order 2 and hits of order 1 only.
+_KINDS = np.array([1, 1 + (1 << 16), 1 + (1 << 32), 1 + (1 << 16)], float)
+#: Lanes whose frequencies are set together.
+_SOME_LANES = 64
 
 
 def _stretches(most: int) -> list[tuple[int, int, bool]]:
@@ -45,79 +53,80 @@ def _stretches(most: int) -> list[tuple[int, int, bool]]:
 class _Model:
     """The predictors of k blocks; lanes are sorted by length, longest first, so the first `n` are at work.
 
-    syms[t + 2] are the local symbols at place t, after two rows that stand for what is before the block.
+    syms[:, t + 2] are the local symbols at place t, after two columns that stand for what is before the block. Stretches are
+    learnt lane by lane, so that a lane's tables stay in the cache.
     """
 
     def __init__(self, sizes: np.ndarray, lengths: np.ndarray, decode: bool):
         k, self.width, most = len(sizes), int(sizes.max(initial=1)) + 1, int(lengths.max())
-        self.sizes, self.lengths, self.decode, self.upto = sizes.astype(np.int64), lengths, decode, 0
-        self.counts = np.zeros((k, self.width), np.int64)
-        self.seen = np.zeros((k, 256), np.int64)
-        self.syms = np.tile(self.sizes.astype(np.int32), (most + 2, 1))  # before a block: a symbol beyond its own alphabet
-        # predictions: the symbol above six bits; below, the confidence (of order 2 in bits 3 to 5, of order 1 in bits 0 to 2)
-        self.at1 = np.full(k * self.width, _NONE << 6, np.int32)
-        self.at2 = np.full(k << _HASH_BITS, _NONE << 6, np.int32)
+        self.sizes, self.lengths, self.decode, self.upto = sizes.astype(np.int32), lengths, decode, 0
+        self.counts = np.zeros((k, self.width), np.int32)
+        self.seen = np.zeros(k * 64)
+        self.syms = np.repeat(self.sizes.astype(np.uint16)[:, None], most + 2, axis=1)  # before a block: a symbol beyond its own alphabet
+        self.at1, self.at2 = np.full(k * self.width, _NONE), np.full(k << _HASH_BITS, _NONE)
+        self.order0 = np.zeros(k * self.width, np.uint32)
+        self.symbol = np.zeros(k << _FREQ_BITS if decode else 0, np.uint16)
         lanes = np.arange(k)
-        self.row0, self.row2, self.row_share, self.row_seen, self.row_freq = lanes * self.width, lanes << _HASH_BITS, lanes * 64, lanes * 256, lanes << _FREQ_BITS
-
-    def contexts(self, t, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where the predictions of order 2 and order 1 at place(s) t are kept."""
-        prev, prev2 = self.syms[t + 1, :n], self.syms[t, :n]
-        return ((prev2 << _HASH_STEP ^ prev) & ((1 << _HASH_BITS) - 1)) + self.row2[:n], prev + self.row0[:n]
-
-    def predict(self, t, n: int) -> tuple[np.ndarray, ...]:
-        """Predictions of order 2 and order 1 with their confidences; where the share of order 2 ends, and that of order 1; what is
-        left to the frequencies."""
-        i2, i1 = self.contexts(t, n)
+        self.row0, self.row2, self.row_share, self.row_freq = lanes * self.width, lanes << _HASH_BITS, lanes * 64, lanes << _FREQ_BITS
+
+    def look(self, a: int, b: int, n: int) -> tuple[np.ndarray, ...]:
+        """Places a to b of the first n lanes, a row each: symbols, where the predictions of order 2 and order 1 are kept, these
+        predictions, which are right, and where the pair of their confidences is kept."""
+        syms = self.syms[:n, a : b + 2]
+        sym, prev = syms[:, 2:], syms[:, 1:-1]
+        i2 = ((syms[:, :-2] << _PREV2 ^ prev) & _HASHED) + self.row2[:n, None]
+        i1 = prev + self.row0[:n, None]
         e2, e1 = self.at2.take(i2), self.at1.take(i1)
-        pair = ((e2 | e1) & 63) + self.row_share[:n]
-        shares = self.shares.take(pair)
-        return e2, e1, shares >> _HALF, shares & _MASK, self.rests.take(pair)
-
-    def learn(self, a: int, b: int, n: int, freqs: bool) -> None:
-        """Take in places a to b of the first n lanes, then set shares, and frequencies if wanted."""
-        if b > a:
-            t = np.arange(a, b)
-            sym, where, (i2, i1) = self.syms[a + 2 : b + 2, :n], self.row0[:n], self.contexts(t, n)
-            lane = self.row_seen[:n]
-            if self.lengths[n - 1] < b:  # places beyond a block's end don't count
-                real = t[:, None] < self.lengths[None, :n]
-                sym, i2, i1, where, lane = sym[real], i2[real], i1[real], np.broadcast_to(where, real.shape)[real], np.broadcast_to(lane, real.shape)[real]
-            e2, e1 = self.at2.take(i2), self.at1.take(i1)
-            hit2, hit1 = (e2 >> 6) == sym, (e1 >> 6) == sym
-            pair = (((e2 | e1) & 63) << 2) + lane + hit1
-            pair += hit2 * 2
-            self.seen[:n] += np.bincount(pair.ravel(), minlength=n * 256).reshape(n, -1)
-            # the last id to follow a context is predicted next; its confidence rises if it was predicted before
-            symbol = sym << 6
-            for table, i, e, hit, unit in ((self.at2, i2, e2, hit2, 8), (self.at1, i1, e1, hit1, 1)):
-                table[i] = np.where(hit, np.minimum(e + unit, e | 7 * unit), symbol + unit)
+        hit2, hit1 = e2 >> _CONF == sym, e1 >> _CONF == sym
+        if self.width > BLOCK_TOKENS:  # _NONE's symbol occurs; without a prediction it is no hit
+            hit2, hit1 = hit2 & (e2 != _NONE), hit1 & (e1 != _NONE)
+        return sym, i2, i1, e2, e1, hit2, hit1, ((e2 & _SURE) << _CONF | e1 & _SURE) + self.row_share[:n, None]
+
+    def learn(self, a: int, b: int, looked: tuple[np.ndarray, ...]) -> None:
+        """Take in what look() found at places a to b."""
+        n = len(looked[0])
+        if self.lengths[n - 1] < b:  # places beyond a block's end don't count
+            real = np.arange(a, b) < self.lengths[:n, None]
+            looked = tuple(x[real] for x in looked)
+        sym, i2, i1, e2, e1, hit2, hit1, pair = looked
+        kinds = _KINDS.take(hit2 + 2 * hit1.view(np.int8))
+        self.seen[: n * 64] += np.bincount(pair.ravel(), kinds.ravel(), n * 64)
+        # the last id to follow a context is predicted next; its confidence rises if it was predicted before
+        new = (sym << _CONF) + np.uint16(1)
+        for table, i, e, hit in ((self.at2, i2, e2, hit2), (self.at1, i1, e1, hit1)):
+            table[i] = np.where(hit, np.minimum(e + np.uint16(1), e | _SURE), new)
+
+    def prepare(self, b: int, n: int, freqs: bool) -> None:
+        """Set the shares of the first n lanes by what was learnt before place b, and the frequencies if wanted."""
         if freqs:
-            self.count(self.upto, b, n)
+            for lane in range(0, n, _SOME_LANES):
+                self.count(b, lane, min(lane + _SOME_LANES, n))
             self.upto = b
-        # of each pair of confidences: misses, hits of order 1 only, of order 2, of both; a few are assumed beforehand
-        of = self.seen[:n].reshape(n, 64, 4)
-        hit2, hit1, both = of[:, :, 2] + of[:, :, 3], of[:, :, 1], of.sum(2)
+        # of each pair of confidences: hits of order 2, of order 1 only, places; a few are assumed beforehand
+        of = self.seen[: n * 64].astype(np.int64).reshape(n, 64)
+        hit2, hit1, both = (of >> 16 & 0xFFFF).astype(float), (of >> 32).astype(float), (of & 0xFFFF).astype(float)
         guess2, guess1 = np.repeat(np.arange(8), 8) * 3, np.tile(np.arange(8), 8) * 2
-        full = int(_FULL)
-        share2 = np.clip((hit2 * 8 + guess2) * full // (both * 8 + 32), 32, full * 7 // 8)
-        share1 = np.clip((full - share2) * (hit1 * 8 + guess1) // ((both - hit2) * 8 + 32), 32, (full - share2) * 7 // 8)
-        self.shares = (share2 << 32 + _FREQ_BITS | (share2 + share1) << _FREQ_BITS).astype(np.uint64).ravel()
-        self.rests = (full - share2 - share1).astype(np.uint64).ravel()
-
-    def count(self, a: int, b: int, n: int) -> None:
-        """Take the symbols at places a to b into the frequencies."""
-        if b > a:
-            sym, where = self.syms[a + 2 : b + 2, :n] + self.row0[:n], np.arange(a, b)[:, None] < self.lengths[None, :n]
-            self.counts[:n] += np.bincount(sym.ravel() if where.all() else sym[where], minlength=n * self.width).reshape(n, -1)
-        sizes = self.sizes[:n, None]
-        known = np.arange(self.width)[None] < sizes
-        weight = (2 * self.counts[:n] + 1) * known  # each symbol counts for a half beforehand
-        freq = known + weight * (_WHOLE - sizes) // weight.sum(1, keepdims=True)
-        freq[np.arange(n), weight.argmax(1)] += _WHOLE - freq.sum(1)
-        self.order0 = ((np.cumsum(freq, axis=1) - freq) << 16 | freq).astype(np.uint32).ravel()
+        full = 1 << _SHARE_BITS  # all are whole numbers below 2**53, so that quotients' floors are exact
+        share2 = np.clip(np.floor((hit2 * 8 + guess2) * full / (both * 8 + 32)), 32, full * 7 // 8)
+        left = full - share2
+        share1 = np.clip(np.floor(left * (hit1 * 8 + guess1) / ((both - hit2) * 8 + 32)), 32, np.floor(left * 7 / 8))
+        self.end2 = (share2 * _WHOLE).astype(np.uint64).ravel()
+        self.end1 = ((share2 + share1) * _WHOLE).astype(np.uint64).ravel()
+        self.rest = (left - share1).astype(np.uint64).ravel()
+
+    def count(self, b: int, first: int, stop: int) -> None:
+        """Take the symbols from the last count to place b into the frequencies of some lanes."""
+        k, counts, sizes = stop - first, self.counts[first:stop], self.sizes[first:stop, None]
+        if b > self.upto:
+            sym, where = self.syms[first:stop, self.upto + 2 : b + 2] + self.row0[:k, None], np.arange(self.upto, b) < self.lengths[first:stop, None]
+            counts += np.bincount(sym.ravel() if where.all() else sym[where], minlength=k * self.width).reshape(k, -1)
+        known = np.arange(self.width) < sizes
+        weight = (2 * counts + 1) * known  # each symbol counts for a half beforehand; products stay below 2**28
+        freq = weight * (_WHOLE - sizes) // weight.sum(1, keepdims=True, dtype=np.int32) + known
+        freq[np.arange(k), weight.argmax(1)] += _WHOLE - freq.sum(1, dtype=np.int32)
+        self.order0[first * self.width : stop * self.width] = ((np.cumsum(freq, axis=1, dtype=np.int32) - freq) << 16 | freq).ravel()
         if self.decode:
-            self.symbol = np.repeat(np.tile(np.arange(self.width, dtype=np.uint16), n), freq.ravel())
+            self.symbol[first << _FREQ_BITS : stop << _FREQ_BITS] = np.repeat(np.tile(np.arange(self.width, dtype=np.uint16), k), freq.ravel())
 
 
 def _settle(low: np.ndarray, wide: np.ndarray, move) -> None:
@@ -162,10 +171,10 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     k, most = len(blocks), int(lengths.max())
     working = np.searchsorted(-lengths, -np.arange(most), "left")  # lanes longer than each place
     model = _Model(np.array([max(len(a), 1) for a in alphabets]), lengths, False)
-    number = np.zeros(1 << 16, np.int64)
+    number = np.zeros(1 << 16, np.uint16)
     for lane, (block, alphabet) in enumerate(zip(blocks, alphabets, strict=True)):
         number[alphabet] = np.arange(len(alphabet))
-        model.syms[2 : 2 + len(block), lane] = number[block]
+        model.syms[lane, 2 : 2 + len(block)] = number[block]
     low, wide = np.zeros(k, np.uint64), np.full(k, 2**64 - 1, np.uint64)
     room = most + 8  # a step puts out one word at most
     out, put = np.zeros(k * room, np.uint32), np.arange(k) * room
@@ -176,17 +185,16 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         put[lanes] = at + 1
 
     with np.errstate(over="ignore"):
-        before = (0, 0)
         for a, b, freqs in _stretches(most):
-            n = int((lengths > a).sum())
-            model.learn(*before, n, freqs)
-            before = (a, b)
-            sym = np.where(np.arange(a, b)[:, None] < lengths[None, :n], model.syms[a + 2 : b + 2, :n], 0)
-            e2, e1, end2, end1, rest = model.predict(np.arange(a, b), n)
-            hit2, hit1 = sym == e2 >> 6, sym == e1 >> 6
-            found = model.order0.take(sym + model.row0[:n])
-            start = np.where(hit2, _ZERO, np.where(hit1, end2, end1 + (found >> _UPPER) * rest))
-            width = np.where(hit2, end2, np.where(hit1, end1 - end2, (found & _LOWER) * rest))
+            n = int(working[a])
+            model.prepare(a, n, freqs)
+            looked = model.look(a, b, n)
+            sym, _, _, _, _, hit2, hit1, pair = looked
+            end2, end1, rest = model.end2.take(pair), model.end1.take(pair), model.rest.take(pair)
+            found = model.order0.take(sym + model.row0[:n, None])
+            start = np.where(hit2, _ZERO, np.where(hit1, end2, end1 + (found >> _UPPER) * rest)).T.copy()
+            width = np.where(hit2, end2, np.where(hit1, end1 - end2, (found & _LOWER) * rest)).T.copy()
+            model.learn(a, b, looked)
             for t in range(a, b):
                 n = int(working[t])
                 lo, r = low[:n], wide[:n]
@@ -238,31 +246,42 @@ def _decode(blocks: list[bytes]) -> list[np.ndarray]:
 
     with np.errstate(over="ignore", divide="ignore"):
         working = np.searchsorted(-lengths, -np.arange(most), "left")
-        last, before = (model.sizes - 1).astype(np.int32), (0, 0)
+        last = (model.sizes - 1).astype(np.uint16)
+        prev2 = prev = model.sizes.astype(np.uint16)
         for a, b, freqs in _stretches(most):
-            model.learn(*before, int((lengths > a).sum()), freqs)
-            before = (a, b)
+            model.prepare(a, int(working[a]), freqs)
+            found = np.zeros((b - a, int(working[a])), np.uint16)
             for t in range(a, b):
                 n = int(working[t])
-                e2, e1, end2, end1, rest = model.predict(t, n)
+                prev2, prev = prev2[:n], prev[:n]
+                e2 = model.at2.take(((prev2 << _PREV2 ^ prev) & _HASHED) + model.row2[:n])
+                e1 = model.at1.take(prev + model.row0[:n])
+                pair = ((e2 & _SURE) << _CONF | e1 & _SURE) + model.row_share[:n]
+                end1, rest = model.end1.take(pair), model.rest.take(pair)
                 lo, r = low[:n], wide[:n]
                 r >>= _TOTAL
                 v = (code[:n] - lo) // r
-                np.minimum(v, _LAST, out=v)
-                past2, miss = v >= end2, v >= end1
-                place = (v - end1) // rest  # of use where both miss
-                np.minimum(place, _LAST_PLACE, out=place)
-                sym = model.symbol.take(place.view(np.int64) + model.row_freq[:n]).astype(np.int32)
-                found = model.order0.take(sym + model.row0[:n])
-                lo += r * np.where(miss, end1 + (found >> _UPPER) * rest, end2 * past2)
-                r *= np.where(miss, (found & _LOWER) * rest, np.where(past2, end1 - end2, end2))
+                place = (v - end1) // rest  # of use where both predictions miss
+                sym = model.symbol.take(place.view(np.int64) + model.row_freq[:n], mode="clip")
+                freq = model.order0.take(sym + model.row0[:n], mode="clip")
+                start, width = end1 + (freq >> _UPPER) * rest, (freq & _LOWER) * rest
+                hits = (v < end1).nonzero()[0]
+                if len(hits):
+                    own1, own2 = end1[hits], model.end2.take(pair[hits])
+                    second = v[hits] < own2
+                    start[hits] = np.where(second, _ZERO, own2)
+                    width[hits] = np.where(second, own2, own1 - own2)
+                    sym[hits] = np.where(second, e2[hits], e1[hits]) >> _CONF
+                lo += r * start
+                r *= width
                 _settle(lo, r, move)
-                sym = np.where(miss, sym, np.where(past2, e1, e2) >> 6)
                 # damaged data can point anywhere; the checksum tells at the end
-                np.minimum(sym, last[:n], out=model.syms[t + 2, :n])
+                prev2, prev = prev, np.minimum(sym, last[:n], out=found[t - a, :n])
+            model.syms[: found.shape[1], a + 2 : b + 2] = found.T
+            model.learn(a, b, model.look(a, b, found.shape[1]))
     result = []
     for lane, (alphabet, head) in enumerate(zip(alphabets, heads, strict=True)):
-        ids = alphabet[model.syms[2 : 2 + head[0], lane]].astype(np.uint32) if head[0] else np.zeros(0, np.uint32)
+        ids = alphabet[model.syms[lane, 2 : 2 + head[0]]].astype(np.uint32) if head[0] else np.zeros(0, np.uint32)
         if zlib.crc32(ids.astype("<u4").tobytes()) != head[3]:
             raise ValueError("a block's ids don't match their checksum")
         result.append(ids)

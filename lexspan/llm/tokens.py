@@ -6,7 +6,6 @@ import codecs
 import os
 import re
 from array import array
-from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +26,12 @@ _OTHER_WHITE = r"\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{20
 #: end; a comma or full stop before white space that doesn't come after a Latin letter or a digit, as it may belong to a longer piece.
 _ODD = rf"[ \n][ \n]|\A[ \n]|[ \n]\z|[\x01{_OTHER_WHITE}]|(?:\A|[^0-9{_LATIN}])[,.][ \n]"
 #: Letters, then marks other than apostrophes: two pieces for both vocabularies.
-_ENDED = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")
+_MARKS = r"([!-&(-/:-@\[-`{-~]+)"
+_ENDED = re.compile(rf"([A-Za-z]+){_MARKS}")
+_NEAR_ENDED = re.compile(f"({_NEAR.pattern}){_MARKS}")
 #: Byte-level symbols: printable bytes stand for themselves, the others, in order, for the characters from U+0100 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _HIDDEN = [b for b in range(256) if b not in _PRINTED]
-_ID = attrgetter("id")
 _SYMBOLS = "".join(chr(b) if b in _PRINTED else chr(256 + _HIDDEN.index(b)) for b in range(256))
 
 
@@ -62,12 +62,14 @@ class Encoder:
         self.glue = self._whole(" a") != self._whole("a")
         self.make = self._glued if self.glue else self._apart
         self.memo: dict[str, bytes] = {}
+        self.two_bytes = [i.to_bytes(2, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def _whole(self, text: str) -> bytes:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _model(self, symbols: str) -> bytes:
-        return array("H", list(map(_ID, self.tokenize(symbols)))).tobytes()
+        two_bytes = self.two_bytes
+        return b"".join([two_bytes[t.id] for t in self.tokenize(symbols)])
 
     def _glued(self, chunk: str) -> bytes:
         """Ids of a chunk and the space before it. A run of Latin letters is one piece and goes straight to the tokenizer's model,
@@ -87,12 +89,13 @@ class Encoder:
 
     def _apart(self, chunk: str) -> bytes:
         """Ids of a chunk where white space is dropped and letters are lowered."""
-        if _NEAR.fullmatch(chunk):
+        ascii = chunk.isascii()
+        if chunk.isalpha() if ascii else _NEAR.fullmatch(chunk):
             low = chunk.lower()
             if low != chunk:
                 return self._ids(low)
-            return self._model(chunk if chunk.isascii() else codecs.charmap_decode(chunk.encode(), "strict", _SYMBOLS)[0])
-        if ended := _ENDED.fullmatch(chunk):
+            return self._model(chunk if ascii else codecs.charmap_decode(chunk.encode(), "strict", _SYMBOLS)[0])
+        if ended := _NEAR_ENDED.fullmatch(chunk):
             return self._ids(ended[1]) + self._ids(ended[2])
         return self._whole(chunk)
 

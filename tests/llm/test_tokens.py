@@ -69,6 +69,35 @@ def test_range_coder_round_trip(seed):
     assert len(coded[5]) < 900 and len(coded[6]) < 4500
 
 
+def test_coder_format_stays():
+    """Blocks as the coder has written them since its predictions learn every 64 ids, all ids distinct included."""
+    rng = np.random.default_rng(5)
+    blocks = [(rng.zipf(1.3, n) % 900).astype(np.uint16) for n in (8192, 700, 1)] + [np.arange(rangecoder.BLOCK_TOKENS, dtype=np.uint16) * 7]
+    assert [(len(b), zlib.crc32(b)) for b in rangecoder.encode_blocks(blocks)] == [(6942, 30211391), (698, 1085015108), (34, 522308251), (13449, 2367085068)]
+
+
+def test_coder_work_and_tables(monkeypatch):
+    """A stretch's predictions are looked up once to encode it, and a block of 1,000 ids takes 50 kB of tables at most."""
+    looked, models, look, model = [], [], rangecoder._Model.look, rangecoder._Model.__init__
+    monkeypatch.setattr(rangecoder._Model, "look", lambda self, a, b, n: looked.append((a, b)) or look(self, a, b, n))
+    monkeypatch.setattr(rangecoder._Model, "__init__", lambda self, *args: models.append(self) or model(self, *args))
+    blocks = [np.arange(rangecoder.BLOCK_TOKENS, dtype=np.uint16) % 1000] * 20
+    coded = rangecoder.encode_blocks(blocks)
+    assert looked == [(a, b) for a, b, _ in rangecoder._stretches(rangecoder.BLOCK_TOKENS)]
+    rangecoder.decode_blocks(coded)
+    assert [sum(x.nbytes for x in vars(m).values() if isinstance(x, np.ndarray)) // 20 < 50_000 + 2 * rangecoder._WHOLE * m.decode for m in models] == [True, True]
+
+
+def test_letters_and_marks_go_to_the_model(monkeypatch):
+    """Latin words with marks need no whole run of the library; the ids are the library's."""
+    coder, whole = Encoder(WORDS), plain(WORDS)
+    texts = ["été; NÃO! naïve) word: École... ŒUVRE?", "l'été d'Éve; don't"]
+    runs, of = [], coder._whole
+    monkeypatch.setattr(coder, "_whole", lambda text: runs.append(text) or of(text))
+    assert [np.frombuffer(x, "<u2").tolist() for x in coder.encode(pa.array(texts)).to_pylist()] == [whole(t) for t in texts]
+    assert all("'" in r or not r[0].isalpha() for r in runs)
+
+
 def test_damage_is_found():
     ids = (np.random.default_rng(0).zipf(1.3, 3000) % 900).astype(np.uint16)
     data = bytearray(segment([5], [3000], ids))
