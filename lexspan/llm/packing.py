@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .batches import giving_back
 from .common import Workspace, join_unique
 from .tokenfiles import BATCH_BYTES
 from .tokens import encoder
@@ -96,23 +97,27 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 1024, turn
     rows are documents of their own; other columns are not read.
 
     Ids are tokenised once and staged with a row number; offsets, parts and windows are worked out on (row, source,
-    size) alone; the ids are shuffled once, to meet their document's pieces.
+    size) alone; the ids are shuffled once, to meet their document's pieces. A task forgets the chunks it has seen when it
+    ends, so that workers don't hold them beside later stages.
     """
     ws = Workspace(docs.sparkSession, "pack")
     tail = struct.pack("<H", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
-        for batch in batches:
-            step = max(1, len(batch) * BATCH_BYTES // max(1, batch.column("text").nbytes))
-            for at in range(0, len(batch), step):
-                part = batch.slice(at, step)
-                ids = pc.binary_join_element_wise(coder.encode(part.column("text")), tail, b"")
-                size = pc.divide(pc.binary_length(ids), 2).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), size, ids], names=["doc_id", "source", "n", "ids"])
+        try:
+            for batch in batches:
+                step = max(1, len(batch) * BATCH_BYTES // max(1, batch.column("text").nbytes))
+                for at in range(0, len(batch), step):
+                    part = batch.slice(at, step)
+                    ids = pc.binary_join_element_wise(coder.encode(part.column("text")), tail, b"")
+                    size = pc.divide(pc.binary_length(ids), 2).cast(pa.int64())
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), size, ids], names=["doc_id", "source", "n", "ids"])
+        finally:
+            coder.forget()
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    tokens = read.mapInArrow(run, "doc_id long, source string, n long, ids binary")
+    tokens = read.mapInArrow(giving_back(run), "doc_id long, source string, n long, ids binary")
     tokens = ws.stage(tokens.withColumn("row", F.monotonically_increasing_id()), "tokens")
     rows = tokens.select("row", "doc_id", "n", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")).alias("key"))
 
@@ -171,4 +176,4 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 1024, turn
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "doc_tokens", *names, "ids_crc32"])
 
     met = tokens.join(lists, "row").select("doc_id", "source", "n", "ids", "pieces")
-    return met.mapInArrow(digests, "doc_id long, source string, doc_tokens long, start long, length long, sequence_id long, offset long, ids_crc32 long")
+    return met.mapInArrow(giving_back(digests), "doc_id long, source string, doc_tokens long, start long, length long, sequence_id long, offset long, ids_crc32 long")

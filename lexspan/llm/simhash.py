@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import giving_back
 from .common import LAST_ID, Workspace, join_unique
 
 #: Fingerprints that differ in at most RADIUS bits are linked.
@@ -55,7 +56,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array([fingerprint(t.as_py()) for t in batch.column("text")], pa.int64())], names=["id", "text_hash", "fp"])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), text_hash().alias("text_hash"), "text").mapInArrow(run, "id long, text_hash long, fp long")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), text_hash().alias("text_hash"), "text").mapInArrow(giving_back(run), "id long, text_hash long, fp long")
 
 
 def bucket_keys(blocks: int) -> Column:

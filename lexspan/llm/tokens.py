@@ -117,6 +117,9 @@ class Encoder:
             found[i] = memo[chunk] = make(chunk)
         return found
 
+    def forget(self) -> None:
+        self.memo.clear()
+
     def _plain(self, texts: pa.Array) -> pa.Array:
         """Ids of plain texts. Arrow cuts them and finds the distinct chunks, so Python sees each of these once a batch. In the
         glued form _FIRST tells chunks without a space of their own."""

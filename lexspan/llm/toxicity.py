@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import give_back
+
 #: Labelled rows of each class that the fit uses at most (those with the smallest md5 of their doc_id).
 MAX_ROWS = 3_000
 #: Features, and changes of features, of a text that the fit takes at most. Scores see all of them.
@@ -224,6 +226,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     return fit_rows(rows, toxic / total if total else 0.0)
 
 
+def scores(model: Model, batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The score of each text of a task's batches; then the words seen are forgotten and their memory handed back."""
+    try:
+        for texts in batches:
+            found = pd.Series([model.score(t) for t in texts], dtype="float64")
+            del texts
+            yield found
+    finally:
+        model.memo.clear()
+        give_back()
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of `docs` in `row`, with score (0 to 1) and predicted (1 from THRESHOLD on).
 
@@ -233,8 +247,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([model.score(t) for t in texts], dtype="float64")
+        yield from scores(model, batches)
 
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("score", scored("row.text"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
